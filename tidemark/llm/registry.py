@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_sharding": sharding.op4_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (fills pa.compute)
 
 U64 = np.uint64
 #: Text bytes after which a chunk is closed; one longer text makes a chunk of its own.
