@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, substring_dedup
+from . import exact_dedup, jaccard_join, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,3 +68,30 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], out: str, t
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     ranked = keyed.withColumn("_inside", F.row_number().over(inside) - 1)
     return ranked.join(counts, same).withColumn(out, F.col("_before") + F.col("_inside")).drop("_bucket", "_b", "_before", "_inside", *[f"_g{i}" for i in range(len(group))])
+
+
+def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
+    """Sum equally long arrays by ``block``; ``parts`` has ``block int, data binary``. One running sum a block is in memory."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                x = np.frombuffer(data, dtype)
+                if block in sums:
+                    sums[block] += x
+                else:
+                    sums[block] = x.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
+
+    n = min(64, partitions(parts.sparkSession))
+    return parts.repartition(n, "block").mapInArrow(run, "block int, data binary")
+
+
+def collect_blocks(sums: DataFrame, dtype: str, blocks: int, width: int) -> np.ndarray:
+    """The summed blocks as one array of fixed size ``blocks * width``."""
+    out = np.zeros((blocks, width), dtype)
+    for row in sums.collect():
+        out[row.block] = np.frombuffer(row.data, dtype)
+    return out.ravel()
