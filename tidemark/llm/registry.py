@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, jaccard_join, sharding, substring_dedup
+from . import best_fit, exact_dedup, jaccard_join, mixing, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_mixing": mixing.op9_mixing,
         "op10_best_fit": best_fit.op10_best_fit,
     }
 
