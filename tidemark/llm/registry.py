@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, jaccard_join, mixing, sharding, substring_dedup
+from . import best_fit, exact_dedup, jaccard_join, mixing, quality_classifier, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit": best_fit.op10_best_fit,
