@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, jaccard_join, mixing, quality_classifier, sharding, substring_dedup
+from . import best_fit, exact_dedup, jaccard_join, licences, mixing, quality_classifier, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licences": licences.op1_licences,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit": best_fit.op10_best_fit,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op1_licences": licences.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
