@@ -128,7 +128,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     """``(members, links)``.
 
     ``members``: a row per row of ``docs`` (``doc_id``, ``text``) with ``doc_id, n_shingles, component_id``: the least
-    ``doc_id`` that links reach, itself included. ``links``: ``left_id, right_id`` of classes of equal sets that link
+    ``doc_id`` that links reach, itself included; and ``uid_a, uid_b, component``, names of the row and its component
+    that are never null (an empty set has a null component). ``links``: ``left_id, right_id`` of classes of equal sets that link
     (the least ids of the classes; copies aren't expanded). Texts that are null or without a word have an empty set and
     link with nothing. Ids that are null rank below others and give way to any id; repeated rows are copies. An empty
     table gives empty results.
@@ -163,15 +164,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     ids = reps.select("set", "least_id")
     named = ids.join(part, F.col("set") == F.col("id"), "left").select("set", "least_id", F.coalesce("component", "set").alias("component"))
     least = materialize(named.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    named = named.join(least, "component").select("set", "component_id")
-    full = sets.select("doc_id", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(least, "component").select("set", "component_id", "component")
+    full = sets.select("doc_id", "n", "set", "uid_a", "uid_b").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid_a", "uid_b", "component")
+    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "uid_a", "uid_b", F.lit(None).cast(full.schema["component"].dataType).alias("component"))
     name = lambda side: ids.select(F.col("set").alias(side), F.col("least_id").alias(f"{side}_id"))
     return full.unionByName(empty), links.join(name("left"), "left").join(name("right"), "right").select("left_id", "right_id")
 
 
+def near_dedup(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the least ``doc_id`` (nulls last) stays.
+
+    All columns are kept. Texts without words stay, but for rows that repeat both id and text: one of them stays.
+    """
+    members = near_duplicates(docs, shingle=shingle, percent=percent)[0]
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "uid_a", "uid_b")
+    first = members.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("row")).select("row.uid_a", "row.uid_b")
+    stay = first.unionByName(members.filter("component IS NULL").select("uid_a", "uid_b").distinct())
+    return with_uid(docs).join(materialize(stay), ["uid_a", "uid_b"], "left_semi").dropDuplicates(["uid_a", "uid_b"]).drop("uid_a", "uid_b")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))[0]
+    return near_duplicates(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
 
 
 OP3_SQL = """

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import collect_blocks, documents, materialize, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
@@ -173,11 +174,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _scores(contexts, network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes, net = Hasher(5), _Shapes(), network.value
-        for table, texts in chunks(batches, size=1 << 20):
+        for table, texts in chunks(batches, "_text", size=1 << 20):
             score = net.score(_pooled(contexts.value, texts, words, shapes).astype(np.float64)) if net else np.full(len(texts), 0.5)
-            rest = table.drop_columns(["text"]).combine_chunks()
-            for batch in rest.to_batches() or []:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            rest = table.drop_columns(["_text"])
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in rest.columns], pa.array(score, pa.float64())], names=[*rest.column_names, "score"])
 
     return run
 
@@ -190,11 +190,12 @@ def word_contexts(docs: DataFrame) -> np.ndarray:
 
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every row of ``docs`` (``doc_id``, ``text``).
+    """The rows of ``docs`` (``doc_id``, ``text``; all columns are carried) with ``score, predicted``.
 
     ``labelled`` has ``doc_id`` and ``quality`` (1 good, 0 bad, else ignored); the network is fitted on ``sample_rows`` of
     its texts at most, least id hash first. Only the text is scored. A null or empty text scores as a text without words;
-    equal texts score alike. Without labels of both kinds all scores are 0.5. An empty table gives an empty one.
+    equal texts score alike. Without labels of both kinds all scores are 0.5. An empty table gives an empty one. Columns
+    of ``docs`` named like the two that are added are replaced.
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text")
@@ -207,7 +208,9 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, *, sample_rows: int = S
     network = None
     if len(set(y.tolist())) == 2:
         network = Network().fit(np.stack(rows.column("vector").to_numpy()).astype(np.float64), y)
-    scored = texts.mapInArrow(_scores(contexts, sc.broadcast(network)), "doc_id bigint, score double")
+    docs = docs.drop("score", "predicted")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    scored = docs.withColumn("_text", F.col("text")).mapInArrow(_scores(contexts, sc.broadcast(network)), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -218,5 +221,5 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", "quality")
-    scores = quality_scores(documents(spark, sf_dir), labels)
+    scores = quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels)
     return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
