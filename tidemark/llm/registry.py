@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, jaccard_join, licences, mixing, quality_classifier, quality_rules, sharding, substring_dedup
+from . import best_fit, exact_dedup, jaccard_join, licences, mixing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
