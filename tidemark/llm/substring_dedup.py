@@ -104,8 +104,9 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, keep_text: bool = T
     parts = key_partitions(docs)
     probes = texts.select("uid_a", "uid_b", "text").mapInArrow(_probes(window, parts), PACKED)
     hits = materialize(match(probes, parts, width=KEY_BYTES, need_flag=True))
-    candidates = joined(texts, hits).select("uid_a", "uid_b", "text", "hits").mapInArrow(_windows(window, parts), PACKED)
-    twins = materialize(match(candidates, parts, width=8, with_low=True))
+    # Both joins below deal the same columns of the texts by the same key, so Spark shuffles the texts once.
+    candidates = joined(texts, hits).select("doc_id", "uid_a", "uid_b", "text", "hits").mapInArrow(_windows(window, parts), PACKED)
+    twins = match(candidates, parts, width=8, with_low=True)
     return joined(texts, twins).select("doc_id", "text", "hits").mapInArrow(_removed(window, keep_text), OUT)
 
 
