@@ -29,10 +29,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """``id, component`` for every vertex of ``edges``; the component is its least vertex. Vertices may be of any
     orderable type. Null ends are ignored; loops and repeated edges do no harm; no edges give no rows.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    pairs = _saved(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
     vertices = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     label = vertices.withColumn("root", F.col("id"))
-    live = _saved(pairs.filter("a <> b").distinct())
+    live = pairs.filter("a <> b")
     rounds = 0
     while not live.isEmpty():
         rounds += 1
