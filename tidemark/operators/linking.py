@@ -75,7 +75,7 @@ def decide(links: DataFrame) -> DataFrame:
         F.when(same & (F.size("conflicts") > 0), F.lit("conflict")),
         F.when(confidence < ACCEPTED, F.lit("low confidence")),
     ))
-    return links.withColumn("confidence", confidence).withColumn("findings", found).withColumn("accepted", F.size("findings") == 0)
+    return links.withColumn("findings", found).withColumn("confidence", confidence).withColumn("accepted", F.size("findings") == 0)
 
 
 def event_groups(pool: DataFrame, links: DataFrame) -> DataFrame:
