@@ -172,12 +172,11 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     for n, rank, first, offset in plan(counts, capacity):
         by[n].append((rank, first, offset))
     table = spark.createDataFrame(list(by.items()), "_length bigint, _runs array<struct<rank:bigint,first:bigint,offset:bigint>>")
-    others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
-    named = pieces.withColumn("_near", spread("doc_id", "piece", *others, seed=29))
-    ranked = rank_in_group(named, ["length"], ["_near", "doc_id", "piece", *others], "_rank", total=sum(counts.values()))
+    named = pieces.drop("sequence_id", "offset").select("doc_id", "piece", "length", spread("doc_id", "piece", seed=29).alias("_near"), F.struct("*").alias("_row"))
+    ranked = rank_in_group(named, ["length"], ["_near", "doc_id", "piece"], "_rank", total=sum(counts.values()))
     run = F.element_at(F.filter("_runs", lambda x: x["rank"] <= F.col("_rank")), -1)
     found = ranked.join(F.broadcast(table), F.col("length") == F.col("_length")).withColumn("_run", run)
-    return found.select(*pieces.columns, (F.col("_run.first") + F.col("_rank") - F.col("_run.rank")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
+    return found.select("_row.*", (F.col("_run.first") + F.col("_rank") - F.col("_run.rank")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,14 +56,15 @@ def exact_groups(docs: DataFrame, *, salts: int = 16, digest: Column | None = No
 
 
 def exact_dedup(docs: DataFrame, *, salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    verdict = exact_groups(docs.select("doc_id", "text"), salts=salts).filter((F.col("group_size") > 1)).groupBy("text_sha256", F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
-    sha = F.sha2(F.coalesce("text", F.lit("")), DIGEST_BITS)
+    """The rows of ``docs`` that stay, with their columns; see :func:`exact_groups`. Of rows that repeat id and text one stays."""
+    verdict = exact_groups(docs.select("doc_id", "text"), salts=salts).filter("group_size > 1")
+    verdict = verdict.groupBy("text_sha256", F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), DIGEST_BITS).alias("_sha"), F.struct("*").alias("_row"))
     same = (F.col("_sha") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    tagged = docs.withColumn("_sha", sha).join(verdict, same, "left").filter(F.coalesce("_kept", F.lit(True)))
+    tagged = rows.join(verdict, same, "left").filter(F.coalesce("_kept", F.lit(True)))
     once = Window.partitionBy("_sha", "doc_id").orderBy("doc_id")
-    single = tagged.filter(F.col("_kept").isNull()).drop("_sha", "text_sha256", "_id", "_kept")
-    copies = tagged.filter(F.col("_kept").isNotNull()).withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_sha", "text_sha256", "_id", "_kept", "_copy")
+    single = tagged.filter(F.col("_kept").isNull()).select("_row.*")
+    copies = tagged.filter(F.col("_kept").isNotNull()).withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select("_row.*")
     return single.unionByName(copies)
 
 

@@ -74,7 +74,7 @@ def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, bloc
     rows = [(s, shares[s], k, slot, release, deadline) for s, k, slot, release, deadline in pfair_frame(shares)]
     table = F.broadcast(spark.createDataFrame(rows, "_source string, _share long, _k long, _slot long, _release long, _deadline long"))
     ties = [c for c in ("text",) if c in docs.columns]
-    named = docs.withColumn("_near", spread("doc_id", *ties, seed=seed))
+    named = docs.select("doc_id", "source", spread("doc_id", *ties, seed=seed).alias("_near"), F.struct("*").alias("_row"))
     ranked = rank_in_group(named, ["source"], ["_near", "doc_id"], "_rank", total=sum(counts.values()))
     ranked = ranked.withColumn("block", F.expr(f"_rank div {block_rows} + 1")).withColumn("place", F.col("_rank") % block_rows)
     per = F.broadcast(spark.createDataFrame(list(shares.items()), "_name string, _of long"))
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, bloc
     found = found.withColumn("_turn", F.expr("(block - 1) div _of")).withColumn("_at", F.expr("(block - 1) % _of + 1"))
     found = found.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_k")))
     turn = F.col("_turn") * frame
-    return found.select(*docs.columns, "block", *[(turn + F.col(f"_{c}")).alias(c) for c in ("release", "deadline", "slot")], "place")
+    return found.select("_row.*", "block", *[(turn + F.col(f"_{c}")).alias(c) for c in ("release", "deadline", "slot")], "place")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,9 +208,9 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, *, sample_rows: int = S
     network = None
     if len(set(y.tolist())) == 2:
         network = Network().fit(np.stack(rows.column("vector").to_numpy()).astype(np.float64), y)
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = docs.withColumn("_text", F.col("text")).mapInArrow(_scores(contexts, sc.broadcast(network)), schema)
+    rows = docs.drop("score", "predicted").select(F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())])
+    scored = rows.mapInArrow(_scores(contexts, sc.broadcast(network)), schema).select("_row.*", "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

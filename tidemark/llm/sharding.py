@@ -59,10 +59,11 @@ def shard(rows: DataFrame, *, key: list[str], shards: int = 40, seed: int = 17,
 
     ``key`` names the columns whose hash drives both permutations, ``tie`` further ones that tell equal keys apart; rows
     equal in all of them are interchangeable. Null keys are one more value. An empty table stays empty. All columns
-    are carried and the rows are read more than once, so pass narrow rows, or write wide ones along the result.
+    are carried (columns named like the two that are added are replaced) and the rows are written twice on the way.
     """
     spark, tie = rows.sparkSession, tie or []
-    named = rows.withColumn("_near", spread(*key, *tie, seed=seed)).withColumn("_far", spread(*key, *tie, seed=seed + 1))
+    carried = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]).alias("_row")
+    named = rows.select(*key, *tie, spread(*key, *tie, seed=seed).alias("_near"), spread(*key, *tie, seed=seed + 1).alias("_far"), carried)
     held = materialize(named)
     total = held.count()
     blocks = max(LEAST_BLOCKS, -(-total // ROWS_A_BLOCK))
@@ -75,7 +76,7 @@ def shard(rows: DataFrame, *, key: list[str], shards: int = 40, seed: int = 17,
     dealt = dealt.join(bounds, F.col("_block") == F.col("_b"))
     dealt = dealt.withColumn("shard", F.size(F.filter("_bounds", lambda x: x <= F.col("_rank"))).cast("int"))
     sent = materialize(dealt.drop("_block", "_b", "_bounds", "_rank", "_near"))
-    return rank_in_group(sent, ["shard"], ["_far", *key, *tie], "slot", total=total).drop("_far")
+    return rank_in_group(sent, ["shard"], ["_far", *key, *tie], "slot", total=total).select("_row.*", "shard", "slot")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
