@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+ROWS_A_TASK = 100_000
+
+
 def _saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -25,6 +28,11 @@ def _saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tasks(rows: int) -> int:
+    """Tasks for the last step over so many rows: the table shrinks from round to round, and so does the number of files."""
+    return max(2, -(-rows // ROWS_A_TASK))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id, component`` for every vertex of ``edges``; the component is its least vertex. Vertices may be of any
     orderable type. Null ends are ignored; loops and repeated edges do no harm; no edges give no rows.
@@ -33,16 +41,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     vertices = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     label = vertices.withColumn("root", F.col("id"))
     live = pairs.filter("a <> b")
-    rounds = 0
-    while not live.isEmpty():
+    edges_left, rounds = live.count(), 0
+    label_tasks = _tasks(2 * edges_left)
+    while edges_left:
         rounds += 1
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = both.union(both.select("a", F.col("a").alias("b")))
         hash_of = F.xxhash64(F.lit(rounds), F.col("b"))
-        up = _saved(both.groupBy("a").agg(F.min_by("b", F.struct(hash_of, F.col("b"))).alias("up")))
+        up = _saved(both.groupBy("a").agg(F.min_by("b", F.struct(hash_of, F.col("b"))).alias("up")).coalesce(_tasks(2 * edges_left)))
         left, right = up.select(F.col("a").alias("_a"), F.col("up").alias("_ua")), up.select(F.col("a").alias("_b"), F.col("up").alias("_ub"))
         live = live.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-        live = _saved(live.filter("_ua <> _ub").select(F.least("_ua", "_ub").alias("a"), F.greatest("_ua", "_ub").alias("b")).distinct())
-        label = _saved(label.join(left, F.col("root") == F.col("_a"), "left").select("id", F.coalesce("_ua", "root").alias("root")))
+        live = live.filter("_ua <> _ub").select(F.least("_ua", "_ub").alias("a"), F.greatest("_ua", "_ub").alias("b"))
+        live = _saved(live.distinct().coalesce(_tasks(edges_left)))
+        label = _saved(label.join(left, F.col("root") == F.col("_a"), "left").select("id", F.coalesce("_ua", "root").alias("root")).coalesce(label_tasks))
+        edges_left = live.count()
     least = label.groupBy("root").agg(F.min("id").alias("component"))
     return label.join(least, "root").select("id", "component")
