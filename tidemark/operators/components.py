@@ -7,25 +7,13 @@ paths and stars alike need a logarithmic number of rounds. Each round is written
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-ROWS_A_TASK = 100_000
+from ..storage import materialize
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ROWS_A_TASK = 100_000
 
 
 def _tasks(rows: int) -> int:
@@ -37,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """``id, component`` for every vertex of ``edges``; the component is its least vertex. Vertices may be of any
     orderable type. Null ends are ignored; loops and repeated edges do no harm; no edges give no rows.
     """
-    pairs = _saved(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    pairs = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
     vertices = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     label = vertices.withColumn("root", F.col("id"))
     live = pairs.filter("a <> b")
@@ -48,12 +36,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = both.union(both.select("a", F.col("a").alias("b")))
         hash_of = F.xxhash64(F.lit(rounds), F.col("b"))
-        up = _saved(both.groupBy("a").agg(F.min_by("b", F.struct(hash_of, F.col("b"))).alias("up")).coalesce(_tasks(2 * edges_left)))
+        up = materialize(both.groupBy("a").agg(F.min_by("b", F.struct(hash_of, F.col("b"))).alias("up")).coalesce(_tasks(2 * edges_left)))
         left, right = up.select(F.col("a").alias("_a"), F.col("up").alias("_ua")), up.select(F.col("a").alias("_b"), F.col("up").alias("_ub"))
         live = live.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
         live = live.filter("_ua <> _ub").select(F.least("_ua", "_ub").alias("a"), F.greatest("_ua", "_ub").alias("b"))
-        live = _saved(live.distinct().coalesce(_tasks(edges_left)))
-        label = _saved(label.join(left, F.col("root") == F.col("_a"), "left").select("id", F.coalesce("_ua", "root").alias("root")).coalesce(label_tasks))
+        live = materialize(live.distinct().coalesce(_tasks(edges_left)))
+        label = materialize(label.join(left, F.col("root") == F.col("_a"), "left").select("id", F.coalesce("_ua", "root").alias("root")).coalesce(label_tasks))
         edges_left = live.count()
     least = label.groupBy("root").agg(F.min("id").alias("component"))
     return label.join(least, "root").select("id", "component")
