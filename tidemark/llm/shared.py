@@ -1,10 +1,7 @@
-"""Building blocks of several operators: durable intermediate tables, skew-safe ranks, block sums."""
+"""Building blocks of several operators: skew-safe ranks, block sums, and durable tables from ``tidemark.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 
@@ -12,34 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-#: Public setting of Spark 4: drop a query's shuffle files as soon as it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe when executors are lost.
-
-    The shuffle files of the write are dropped when it has ended; the table replaces them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import materialize, shared_dir
 
 
 def partitions(spark: SparkSession) -> int:
@@ -103,3 +73,6 @@ def collect_blocks(sums: DataFrame, dtype: str, blocks: int, width: int) -> np.n
     for row in sums.collect():
         out[row.block] = np.frombuffer(row.data, dtype)
     return out.ravel()
+
+
+__all__ = ["collect_blocks", "documents", "materialize", "partitions", "rank_in_group", "shared_dir", "spread", "sum_blocks"]
