@@ -31,7 +31,11 @@ def query(sql: str | None = None, *ctes: str, recursive: bool = False):
     return register
 
 
-N = F.count(F.lit(1))
+
+
+def rows_n():
+    return F.count(F.lit(1))
+
 TREND = trends.Trend(recent_days=30, baseline_blocks=3)
 POOL_SQL = INCIDENTS_SQL + ", pool AS (SELECT * FROM incidents WHERE record_kind = 'incident' AND review = 'accepted')"
 
@@ -44,12 +48,12 @@ def incidents_filtered(spark, d):
 
 @query("SELECT priority, count(*) AS n FROM incidents WHERE priority IN ('high', 'critical') AND severity IN ('high', 'critical') GROUP BY priority", INCIDENTS_SQL)
 def filters_min_priority(spark, d):
-    return views.incidents(spark, d).filter(filters.Filters(min_priority="high", min_severity="high").keeps()).groupBy("priority").agg(N.alias("n"))
+    return views.incidents(spark, d).filter(filters.Filters(min_priority="high", min_severity="high").keeps()).groupBy("priority").agg(rows_n().alias("n"))
 
 
 @query("SELECT category, count(*) AS n, count(DISTINCT source_id) AS sources FROM pool GROUP BY category", POOL_SQL)
 def accepted_pool(spark, d):
-    return filters.accepted_pool(views.incidents(spark, d)).groupBy("category").agg(N.alias("n"), F.countDistinct("source_id").alias("sources"))
+    return filters.accepted_pool(views.incidents(spark, d)).groupBy("category").agg(rows_n().alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
 @query("SELECT CASE WHEN event_status <> 'resolved' THEN 'event_time' WHEN severity <> 'unresolved' THEN 'declared' ELSE 'retrieved_at' END AS basis, strftime(event_time, '%Y-%m') AS month, count(*) AS n FROM incidents GROUP BY ALL", INCIDENTS_SQL)
@@ -57,7 +61,7 @@ def event_time_basis(spark, d):
     t = F.col("event_time")
     precision = F.when(F.col("event_status") == "resolved", "month").otherwise("day")
     at = X.effective_time(t, precision, F.when(F.col("severity") != "unresolved", t), t)
-    return views.incidents(spark, d).select(at.alias("t")).groupBy(F.col("t.basis").alias("basis"), F.date_format("t.when", "yyyy-MM").alias("month")).agg(N.alias("n"))
+    return views.incidents(spark, d).select(at.alias("t")).groupBy(F.col("t.basis").alias("basis"), F.date_format("t.when", "yyyy-MM").alias("month")).agg(rows_n().alias("n"))
 
 
 RANK_SQL = "CASE {0} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
@@ -82,17 +86,17 @@ def facet_values(spark, d):
 
 @query("SELECT category, event_status, count(*) AS n FROM incidents GROUP BY ALL", INCIDENTS_SQL)
 def category_status_histogram(spark, d):
-    return views.incidents(spark, d).groupBy("category", "event_status").agg(N.alias("n"))
+    return views.incidents(spark, d).groupBy("category", "event_status").agg(rows_n().alias("n"))
 
 
 @query("SELECT count(*) AS total, count_if(coalesce(priority IN ('critical', 'high'), false) OR coalesce(severity IN ('critical', 'high'), false)) AS high_priority, count_if(review <> 'accepted') AS needs_review, count(DISTINCT source_id) AS sources FROM incidents", INCIDENTS_SQL)
 def dashboard_kpis(spark, d):
-    return views.incidents(spark, d).agg(N.alias("total"), F.count_if(filters.high_priority()).alias("high_priority"), F.count_if(F.col("review") != "accepted").alias("needs_review"), F.countDistinct("source_id").alias("sources"))
+    return views.incidents(spark, d).agg(rows_n().alias("total"), F.count_if(filters.high_priority()).alias("high_priority"), F.count_if(F.col("review") != "accepted").alias("needs_review"), F.countDistinct("source_id").alias("sources"))
 
 
 @query("SELECT source_id, count(*) AS refs, count(DISTINCT category) AS categories, min(event_time)::DATE AS first_day FROM incidents GROUP BY source_id", INCIDENTS_SQL)
 def source_index(spark, d):
-    return views.incidents(spark, d).groupBy("source_id").agg(N.alias("refs"), F.countDistinct("category").alias("categories"), F.to_date(F.min("event_time")).alias("first_day"))
+    return views.incidents(spark, d).groupBy("source_id").agg(rows_n().alias("refs"), F.countDistinct("category").alias("categories"), F.to_date(F.min("event_time")).alias("first_day"))
 
 
 @query("SELECT incident_id, category FROM incidents ORDER BY event_time DESC NULLS LAST, incident_id LIMIT 10 OFFSET 20", INCIDENTS_SQL)
@@ -103,7 +107,7 @@ def page_slice(spark, d):
 
 @query("SELECT count(*) AS n FROM incidents WHERE contains(lower(concat_ws(' ', incident_id, category, taluk, district)), 'nation_7')", INCIDENTS_SQL)
 def text_search(spark, d):
-    return filters.contains_all_text(views.incidents(spark, d), ["incident_id", "category", "taluk", "district"], "Nation_7").agg(N.alias("n"))
+    return filters.contains_all_text(views.incidents(spark, d), ["incident_id", "category", "taluk", "district"], "Nation_7").agg(rows_n().alias("n"))
 
 
 @query("SELECT category, strftime(event_time, '%Y-%m') AS month, count(*) AS events FROM pool GROUP BY ALL", POOL_SQL)
@@ -358,12 +362,12 @@ def taluk_severity(spark, d):
 @query("SELECT count(*) AS records, count_if(record_kind = 'incident') AS incidents, count_if(review <> 'accepted') AS review_required, count_if(severity IN ('critical', 'high', 'medium', 'low')) AS shown_severity, count(DISTINCT taluk) AS taluks FROM incidents", INCIDENTS_SQL)
 def gis_stats(spark, d):
     rows = views.incidents(spark, d)
-    return rows.agg(N.alias("records"), F.count_if(F.col("record_kind") == "incident").alias("incidents"), F.count_if(F.col("review") != "accepted").alias("review_required"), F.count_if(geo.map_severity(F.col("severity")).isNotNull()).alias("shown_severity"), F.countDistinct("taluk").alias("taluks"))
+    return rows.agg(rows_n().alias("records"), F.count_if(F.col("record_kind") == "incident").alias("incidents"), F.count_if(F.col("review") != "accepted").alias("review_required"), F.count_if(geo.map_severity(F.col("severity")).isNotNull()).alias("shown_severity"), F.countDistinct("taluk").alias("taluks"))
 
 
 @query("SELECT count(*) AS features FROM points", POINTS_SQL)
 def geojson_features(spark, d):
-    return geo.features(_points(spark, d), lat="lat", lng="lng", properties=["s_suppkey", "s_name"]).agg(N.alias("features"))
+    return geo.features(_points(spark, d), lat="lat", lng="lng", properties=["s_suppkey", "s_name"]).agg(rows_n().alias("features"))
 
 
 @query("SELECT e.record_id, min(CASE WHEN review = 'accepted' THEN 1 WHEN review = 'review_required' THEN 2 ELSE 3 END)::INTEGER AS outcome FROM records AS e LEFT JOIN incidents AS i ON e.record_id = i.record_id GROUP BY e.record_id", INCIDENTS_SQL, RECORDS_SQL)
@@ -375,14 +379,14 @@ def news_outcome(spark, d):
 @query("SELECT record_type, count(*) AS n FROM records WHERE day >= DATE '2024-01-20' GROUP BY record_type", RECORDS_SQL)
 def ingest_delta(spark, d):
     rows = views.records(spark, d)
-    return state.newly_ingested(rows, rows.filter("day < DATE '2024-01-20'")).groupBy("record_type").agg(N.alias("n"))
+    return state.newly_ingested(rows, rows.filter("day < DATE '2024-01-20'")).groupBy("record_type").agg(rows_n().alias("n"))
 
 
 @query("SELECT CASE WHEN record_type = 'error' THEN 'kept_awaiting' WHEN day >= DATE '2024-01-15' THEN 'kept_recent' ELSE 'settled' END AS mark, count(*) AS n FROM records GROUP BY ALL", RECORDS_SQL)
 def baseline_mark(spark, d):
     rows = views.records(spark, d)
     marked = state.baseline_mark(rows, rows.filter("record_type = 'error'"), F.lit("2024-01-15").cast("date"), settle_undated=False)
-    return marked.groupBy("mark").agg(N.alias("n"))
+    return marked.groupBy("mark").agg(rows_n().alias("n"))
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_status = 'ongoing' THEN 'absent' WHEN review = 'review_required' THEN 'mode' WHEN category = 'MACHINERY' THEN 'input_hash' END AS reason FROM incidents) GROUP BY reason", INCIDENTS_SQL)
@@ -390,7 +394,7 @@ def checkpoint_reuse(spark, d):
     rows = views.incidents(spark, d)
     jobs = rows.select("record_id", F.lit("structured").alias("mode"), F.sha2("category", 256).alias("input_hash"))
     saved = rows.filter("event_status <> 'ongoing'").select("record_id", F.when(F.col("review") == "review_required", "semantic").otherwise("structured").alias("mode"), F.sha2(F.when(F.col("category") == "MACHINERY", "older").otherwise(F.col("category")), 256).alias("input_hash"))
-    return state.reuse_reason(jobs, saved, ["mode", "input_hash"]).groupBy("reason").agg(N.alias("n"))
+    return state.reuse_reason(jobs, saved, ["mode", "input_hash"]).groupBy("reason").agg(rows_n().alias("n"))
 
 
 @query("SELECT CASE WHEN category = 'BUILDING' THEN 'unchanged' WHEN event_status = 'ongoing' THEN 'duplicate' ELSE 'created' END AS outcome, count(*) AS n, count(DISTINCT CASE WHEN category = 'BUILDING' OR event_status <> 'ongoing' OR review <> 'accepted' THEN sha256(category) ELSE 'old' END) AS digests FROM incidents GROUP BY ALL", INCIDENTS_SQL)
@@ -400,7 +404,7 @@ def post_ledger(spark, d):
     same = rows.filter("category = 'BUILDING'").select("incident_id", F.sha2("category", 256).alias("digest"))
     old = rows.filter("category <> 'BUILDING' AND event_status = 'ongoing' AND review = 'accepted'").select("incident_id", F.lit("old").alias("digest"))
     out = state.post_outcomes(batch, same.unionByName(old), rows.filter("event_status = 'ongoing'"))
-    return out.groupBy("outcome").agg(N.alias("n"), F.countDistinct("digest").alias("digests"))
+    return out.groupBy("outcome").agg(rows_n().alias("n"), F.countDistinct("digest").alias("digests"))
 
 
 @query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY event_time, record_id) > 1 THEN 'duplicate' ELSE 'stored' END AS outcome FROM records WHERE source_id NOT IN (SELECT source_id FROM records WHERE record_type = 'view' AND value > 60)) GROUP BY outcome", RECORDS_SQL)
@@ -408,12 +412,12 @@ def record_upsert_outcome(spark, d):
     rows = views.records(spark, d)
     old = rows.filter("record_type = 'view' AND value > 60").select("source_id").distinct()
     fresh = rows.join(old, "source_id", "left_anti").withColumn("sequence", F.struct("event_time", "record_id"))
-    return state.upsert_outcomes(fresh, old.limit(0), "source_id").groupBy("outcome").agg(N.alias("n"))
+    return state.upsert_outcomes(fresh, old.limit(0), "source_id").groupBy("outcome").agg(rows_n().alias("n"))
 
 
 @query("SELECT source_id, min(event_time) AS first_seen, count(*) AS records FROM records GROUP BY source_id", RECORDS_SQL)
 def source_dimension(spark, d):
-    return views.records(spark, d).groupBy("source_id").agg(F.min("event_time").cast("timestamp_ntz").alias("first_seen"), N.alias("records"))
+    return views.records(spark, d).groupBy("source_id").agg(F.min("event_time").cast("timestamp_ntz").alias("first_seen"), rows_n().alias("records"))
 
 
 @query("SELECT source_id, max(asked) AS most, count_if(asked > 3) AS limited FROM (SELECT source_id, count(*) OVER (PARTITION BY source_id ORDER BY event_time RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS asked FROM records) GROUP BY source_id", RECORDS_SQL)
@@ -430,7 +434,7 @@ def history_trim(spark, d):
 @query("SELECT page_id, count(*) AS links, string_agg(u, ' ' ORDER BY i) AS urls FROM (SELECT page_id, u, min(i) AS i FROM (SELECT page_id, unnest(us) AS u, unnest(range(len(us))) AS i FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1), lambda x: CASE WHEN x LIKE '/%' THEN 'http://example.org' || x ELSE x END) AS us FROM pages)) GROUP BY ALL) GROUP BY page_id")
 def html_links(spark, d):
     rows = captures.links(views.table(spark, d, "pages"), base="http://example.org/")
-    return rows.groupBy("page_id").agg(N.alias("links"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]), " ").alias("urls"))
+    return rows.groupBy("page_id").agg(rows_n().alias("links"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]), " ").alias("urls"))
 
 
 STRIP = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -443,7 +447,7 @@ def html_article(spark, d):
 
 @query("SELECT 'k' AS name, count(*) AS n, sum(json_extract_string(props, '$.k')::DOUBLE) AS total FROM events")
 def json_facts(spark, d):
-    return captures.json_measures(views.records(spark, d), "data").groupBy("name").agg(N.alias("n"), F.sum("measure").alias("total"))
+    return captures.json_measures(views.records(spark, d), "data").groupBy("name").agg(rows_n().alias("n"), F.sum("measure").alias("total"))
 
 
 @query("SELECT 'WEB-' || substr(sha1(url), 1, 16) AS record_id, 'article' AS record_type, length(html)::INTEGER AS size FROM pages")
@@ -455,13 +459,13 @@ def records_normalized(spark, d):
 def route_mode_counts(spark, d):
     kind = F.when(F.col("record_type").isin("view", "click"), " News ").when(F.col("record_type") == "error", "weather")
     rows = views.records(spark, d).select(X.route_mode(kind, F.col("record_type"), F.col("source_id")).alias("mode"))
-    return rows.groupBy("mode").agg(N.alias("n"))
+    return rows.groupBy("mode").agg(rows_n().alias("n"))
 
 
 @query("SELECT CASE WHEN value < 10 THEN 'max_temp|warning' ELSE 'warning' END AS missing, count(*) AS n FROM events GROUP BY ALL")
 def valueless_fields(spark, d):
     data = F.create_map(F.lit("warning"), F.lit(""), F.lit("language"), F.lit(None).cast("string"), F.lit("max_temp"), F.when(F.col("value") >= 10, F.col("value").cast("string")))
-    return views.records(spark, d).select(F.array_join(X.valueless(data), "|").alias("missing")).groupBy("missing").agg(N.alias("n"))
+    return views.records(spark, d).select(F.array_join(X.valueless(data), "|").alias("missing")).groupBy("missing").agg(rows_n().alias("n"))
 
 
 @query("SELECT doc_id, n AS spans FROM (SELECT doc_id, len(list_filter(range(0, length(text) - 2), lambda i: substr(text, i + 1, 3) = 'ere')) AS n FROM documents WHERE length(text) >= 3) WHERE n > 0")
@@ -473,7 +477,7 @@ def span_occurrences(spark, d):
 @query("SELECT d.doc_id AS field_id, b.item_id AS quote_id, count(*) AS n FROM documents AS d JOIN benchmark AS b ON contains(d.text, b.text), unnest(range(0, length(d.text) - length(b.text) + 1)) AS t(i) WHERE substr(d.text, i + 1, length(b.text)) = b.text GROUP BY ALL")
 def quote_occurrences(spark, d):
     fields, quotes = views.table(spark, d, "documents").select(F.col("doc_id").alias("field_id"), "text"), views.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return evidence.quote_spans(fields, quotes).groupBy("field_id", "quote_id").agg(N.alias("n"))
+    return evidence.quote_spans(fields, quotes).groupBy("field_id", "quote_id").agg(rows_n().alias("n"))
 
 
 @query("SELECT CASE WHEN source = 'src0' THEN 'not_applicable' WHEN source = 'src1' THEN 'unvalidated' WHEN source = 'src2' THEN 'mismatch' ELSE 'validated' END AS outcome, count(*) AS n FROM documents GROUP BY ALL")
@@ -482,7 +486,7 @@ def evidence_verify(spark, d):
     start = F.when(F.col("source") != "src0", F.lit(0))
     hash_ = F.when(F.col("source") != "src1", F.sha2("text", 256))
     quote = F.when(F.col("source") == "src2", F.lit("~")).otherwise(F.substring("text", 1, 20))
-    return views.table(spark, d, "documents").select(evidence.verified(F.col("text"), hash_, quote, start, end).alias("outcome")).groupBy("outcome").agg(N.alias("n"))
+    return views.table(spark, d, "documents").select(evidence.verified(F.col("text"), hash_, quote, start, end).alias("outcome")).groupBy("outcome").agg(rows_n().alias("n"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')))), '|') AS runs FROM documents WHERE regexp_matches(text, '[0-9]')")
@@ -493,7 +497,7 @@ def digit_runs(spark, d):
 
 @query("SELECT lang, 'latin' AS script, count(*) AS n FROM documents GROUP BY ALL")
 def script_mix(spark, d):
-    return views.table(spark, d, "documents").select("lang", X.script(F.col("text")).alias("script")).groupBy("lang", "script").agg(N.alias("n"))
+    return views.table(spark, d, "documents").select("lang", X.script(F.col("text")).alias("script")).groupBy("lang", "script").agg(rows_n().alias("n"))
 
 
 @query("SELECT o_orderkey, (o_orderdate::DATE - 6)::DATE AS since, o_orderdate::DATE AS until FROM orders")
