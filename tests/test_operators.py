@@ -218,3 +218,19 @@ def test_streams_match_batches(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("out_seen").count() == 40
+
+
+def test_normalize(spark):
+    from tidemark.operators import normalize
+
+    article = normalize.articles(spark.createDataFrame([("http://a/1", " A  title ", None, "text"), ("http://a/2", "", None, None)], "url string, title string, published_at timestamp, content string"), prefix="N-", source="paper", district="D")
+    rows = {r.record_id: r for r in normalize.canonical(article).collect()}
+    full, bare = sorted(rows.values(), key=lambda r: len(r.missing))
+    assert [tuple(t) for t in full.texts] == [("title", "A title"), ("data.content", "text")] and full.missing == [] and full.notes == []
+    assert bare.missing == ["title"] and bare.notes == ["content"] and bare.texts == []
+    weather = normalize.forecasts(spark.createDataFrame([("S", "02-Oct", {"max": "31"}), ("S", "31-Feb", {"max": ""})], "station string, forecast_date string, measures map<string,string>"), prefix="W-", source="office", year=F.lit(2026))
+    assert sorted(str(r.event_time) for r in weather.collect()) == ["2026-10-02 00:00:00", "None"]
+    assert [(r.fact_index, r.name) for r in normalize.structured_facts(weather).collect()] == [(0, "max")]
+    assert one(spark, normalize.distinct_parts(F.array(F.lit("Melur town"), F.lit("melur"), F.lit(None).cast("string"), F.lit("East")))) == "Melur town, East"
+    assert one(spark, normalize.display_entries(F.create_map(F.lit("max_c"), F.lit("31"), F.lit("language"), F.lit("ta"), F.lit("min_price"), F.lit("5"), F.lit("unit"), F.lit("kg")))) == {"max_c": "31 °C", "min_price": "5 /kg", "unit": "kg"}
+    assert [tuple(r)[1:] for r in normalize.source_places(article).limit(2).collect()] == [("D", "unknown"), ("D", "district")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.ids import article_id
-from .operators import answers, evidence, filters, geo, linking, recurrence, state, trends
+from .operators import answers, evidence, filters, geo, linking, normalize, recurrence, state, trends
 from .plans import passes
 from .sources import captures, views
 from .sources.views import INCIDENTS_SQL, PRICES_SQL, RECORDS_SQL
@@ -524,3 +524,30 @@ def stream_tumbling(spark, d):
 @query("SELECT source_id, min(event_time) AS since, count(*) AS records FROM (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY event_time, record_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN event_time >= lag(event_time) OVER (PARTITION BY source_id ORDER BY event_time, record_id) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM records)) GROUP BY source_id, s", RECORDS_SQL)
 def stream_session(spark, d):
     return streams.sessions(views.records(spark, d)).select("source_id", F.col("since").cast("timestamp_ntz").alias("since"), "records")
+
+
+def _market_records(spark, d):
+    return normalize.market_prices(views.prices(spark, d).dropDuplicates(["market", "commodity", "price_date"]).select("market", "commodity", "price_date", "quantity", "min_price", "max_price"), prefix="MKT-", source="markets")
+
+
+@query("SELECT DISTINCT 'MKT-' || replace(upper(market), ' ', '_') || '-' || replace(upper(commodity), ' ', '_') || '-' || price_date::VARCHAR AS record_id, commodity || ' at ' || market AS title FROM prices", PRICES_SQL)
+def market_records(spark, d):
+    return _market_records(spark, d).select("record_id", "title")
+
+
+@query("SELECT name, count(*) AS facts FROM (SELECT DISTINCT market, commodity, price_date FROM prices), unnest(['market', 'commodity', 'quantity', 'min_price', 'max_price', 'unit']) AS u(name) GROUP BY name", PRICES_SQL)
+def structured_facts(spark, d):
+    return normalize.structured_facts(_market_records(spark, d)).groupBy("name").agg(rows_n().alias("facts"))
+
+
+@query("SELECT 'WEB-' || substr(sha1(url), 1, 16) AS record_id, p.i::INTEGER AS position, p.path, p.text, sha256(p.text) AS text_hash FROM pages, unnest([{'i': 0, 'path': 'title', 'text': trim(url)}, {'i': 1, 'path': 'data.content', 'text': html}, {'i': 2, 'path': 'data.language', 'text': 'ta'}]) AS u(p)")
+def citable_fields(spark, d):
+    pages = views.table(spark, d, "pages").select("url", F.col("url").alias("title"), F.lit(None).cast("timestamp").alias("published_at"), F.col("html").alias("content"))
+    return normalize.citable_fields(normalize.articles(pages, prefix="WEB-", source="web"))
+
+
+@query("SELECT kind, context_type, count(*) AS n FROM (SELECT CASE WHEN record_type IN ('view', 'error') THEN 'forecast' ELSE 'context' END AS kind, CASE WHEN record_type IN ('view', 'error') THEN 'weather' WHEN record_type = 'purchase' THEN 'market' ELSE 'other' END AS context_type FROM records) GROUP BY ALL", RECORDS_SQL)
+def record_kinds(spark, d):
+    kind = F.when(F.col("record_type") == "view", "forecast").when(F.col("record_type") == "purchase", "market_price")
+    source = F.when(F.col("record_type") == "error", " Weather ")
+    return views.records(spark, d).select(normalize.record_kind(kind, source).alias("k")).groupBy("k.kind", "k.context_type").agg(rows_n().alias("n"))
