@@ -95,3 +95,20 @@ def question_window(text: Column, today: Column) -> Column:
         .when(t.contains("last month"), span(F.add_months(month, -1), F.date_sub(month, 1)))
         .when(t.contains("this month"), span(month, F.last_day(month)))
     )
+
+
+def search(rows: DataFrame, keep: Column, time: str, *, days: int | None = None, shown: int = 8, tie: str = "incident_id") -> DataFrame:
+    """The newest ``shown`` of the rows that ``keep`` holds; with ``days``, of those days that end at the newest match."""
+    found = rows.filter(keep)
+    if days is not None:
+        found = period(found, time, days).filter("in_period").drop("in_period")
+    return found.orderBy(F.desc_nulls_last(time), F.desc(tie)).limit(shown)
+
+
+def carried_actions(actions: DataFrame, events: DataFrame, past_phrases: list[str]) -> DataFrame:
+    """Saved suggestions about events of the period, less those that speak of the past. ``actions``: action_id, text, event_ids."""
+    past = F.lit(False)
+    for phrase in past_phrases:
+        past |= F.lower("text").contains(phrase)
+    known = actions.filter(~past).select("action_id", "text", F.explode("event_ids").alias("event_id"))
+    return known.join(events.select("event_id").distinct(), "event_id", "left_semi").groupBy("action_id", "text").agg(F.array_sort(F.collect_set("event_id")).alias("event_ids"))

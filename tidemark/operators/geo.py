@@ -81,3 +81,26 @@ def areas_joined(areas: DataFrame, rollup: DataFrame, name: str) -> DataFrame:
 def grouped_markets(rows: DataFrame) -> DataFrame:
     """Per market its rows, its commodities and their price range."""
     return rows.groupBy("market").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("commodity")), "|").alias("commodities"), F.min("min_price").alias("low"), F.max("max_price").alias("high"))
+
+
+def display_records(rows: DataFrame) -> DataFrame:
+    """Incidents as a map shows them: short date, shown severity, review flag and one text to search in."""
+    kind = F.coalesce("record_kind", F.lit("incident"))
+    text = F.lower(F.concat_ws(" ", "incident_id", "category", "incident_type", "taluk", "district", "source_id"))
+    return rows.select(
+        F.concat(kind, F.lit(":"), "incident_id").alias("key"), kind.alias("record_kind"), map_severity(F.col("severity")).alias("severity"), F.date_format("event_time", "dd MMM yyyy").alias("date_shown"),
+        F.date_format("event_time", "yyyy-MM-dd").alias("date_iso"), (F.col("review") != "accepted").alias("review_required"), text.alias("search_string"),
+    )
+
+
+def map_filter(rows: DataFrame, *, since: str | None = None, until: str | None = None, search: str | None = None, **equal: str) -> DataFrame:
+    """Case-insensitive equality ("all" lets everything pass), ISO date bounds (undated rows fall out) and substring search."""
+    out = rows
+    for name, value in equal.items():
+        if value and value.lower() != "all":
+            out = out.filter(F.lower(name) == value.lower())
+    if since:
+        out = out.filter(F.col("date_iso") >= since)
+    if until:
+        out = out.filter(F.col("date_iso") <= until)
+    return out.filter(F.col("search_string").contains(search.strip().lower())) if search else out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.ids import article_id
-from .operators import answers, evidence, filters, geo, linking, normalize, recurrence, state, trends
+from .operators import answers, checks, evidence, filters, geo, linking, normalize, recurrence, state, trends
 from .plans import passes
 from .sources import captures, views
 from .sources.views import INCIDENTS_SQL, PRICES_SQL, RECORDS_SQL
@@ -551,3 +551,25 @@ def record_kinds(spark, d):
     kind = F.when(F.col("record_type") == "view", "forecast").when(F.col("record_type") == "purchase", "market_price")
     source = F.when(F.col("record_type") == "error", " Weather ")
     return views.records(spark, d).select(normalize.record_kind(kind, source).alias("k")).groupBy("k.kind", "k.context_type").agg(rows_n().alias("n"))
+
+
+@query("SELECT key, severity, date_shown, review_required FROM (SELECT record_kind || ':' || incident_id AS key, CASE WHEN severity IN ('critical', 'high', 'low') THEN severity END AS severity, strftime(event_time, '%d %b %Y') AS date_shown, review <> 'accepted' AS review_required, record_kind, taluk, event_time FROM incidents) WHERE record_kind = 'incident' AND severity = 'high' AND event_time >= DATE '2000-01-01' AND contains(lower(taluk), 'nation_2')", INCIDENTS_SQL)
+def map_records(spark, d):
+    rows = geo.map_filter(geo.display_records(views.incidents(spark, d)), since="2000-01-01", search="Nation_2", record_kind="Incident", severity="HIGH", review="all")
+    return rows.select("key", "severity", "date_shown", "review_required")
+
+
+@query("SELECT incident_id, event_time::DATE AS day FROM pool WHERE category = 'FURNITURE' AND event_time::DATE > (SELECT max(event_time)::DATE FROM pool WHERE category = 'FURNITURE') - 90 ORDER BY event_time DESC, incident_id DESC LIMIT 8", POOL_SQL)
+def search_newest(spark, d):
+    pool = filters.accepted_pool(views.incidents(spark, d))
+    return answers.search(pool, filters.Filters(category="FURNITURE").keeps(), "event_time", days=90).select("incident_id", F.to_date("event_time").alias("day"))
+
+
+@query("SELECT rule, 0::BIGINT AS rows FROM (VALUES ('few_events'), ('no_rise'), ('ratio_presence'), ('mean_over_max'), ('negative'), ('eligible_with_findings')) AS t(rule)")
+def trend_rule_violations(spark, d):
+    return checks.violations(trends.findings(_arithmetic(spark, d), TREND), checks.trend_rules())
+
+
+@query("SELECT rule, 0::BIGINT AS rows FROM (VALUES ('size'), ('shown'), ('truncated'), ('repeated')) AS t(rule)")
+def family_rule_violations(spark, d):
+    return checks.violations(recurrence.buckets(_single_units(spark, d)), checks.family_rules())
