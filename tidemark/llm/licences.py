@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of a text; long lines are read in overlapping windows. Its features are hashed word 1-, 2- and
+A paragraph is a line of a text; long lines are read in overlapping windows of two sizes. Its features are hashed word 1-, 2- and
 3-grams. A multinomial logistic regression over licence families and "no licence" is fitted on variants of the templates
 below (words dropped and put in, names and years set) and on a bounded sample of the table's own lines; a temperature and
 the probability from which a family is believed are calibrated on held-out variants. A paragraph that is no plain text but
@@ -42,7 +42,8 @@ PLAIN = [
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [NONE, *TEMPLATES]
 FEATURES, GRAMS = 1 << 15, 3
-LONG, STRIDE = 64, 32  # words in a window of a long line
+LONG, STRIDE = 64, 32  # words in a window of a long line, and from one to the next
+SHORT, STEP, SHORT_LINE = 12, 4, 16  # the same for notices inside longer text; lines up to SHORT_LINE words are read once
 #: Lines of the table that stand for plain text in the fit, at most, and the texts they come from.
 PLAIN_LINES, PLAIN_TEXTS = 1500, 400
 VARIANTS, ROUNDS, RATE, DECAY = 24, 80, 2.0, 1e-5
@@ -54,16 +55,20 @@ _CLEAN = bytes((c + 32 if 65 <= c < 91 else c) if 97 <= c < 123 or 65 <= c < 91
 class Paragraphs:
     """Windows of the lines of some texts: features by window, and the word range of each."""
 
-    def __init__(self, texts: list[bytes], hasher: Hasher):
+    def __init__(self, texts: list[bytes], hasher: Hasher, fine: bool = True):
         self.chunk = chunk = Chunk([t.translate(_CLEAN) for t in texts])
         words = hasher.words(chunk)
         line = np.cumsum(chunk.buf == 10)[chunk.starts] if len(words) else np.zeros(0, np.int64)
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(words) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(words)))
-        windows = np.maximum(1, -(-(size - LONG) // STRIDE) + 1)
-        nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        self.begin = np.repeat(first, windows) + nth * STRIDE
-        self.end = np.minimum(self.begin + LONG, np.repeat(first + size, windows))
+        begin, end, which = [], [], []
+        for wide, step, lines in ((LONG, STRIDE, np.arange(len(size))), (SHORT, STEP, np.flatnonzero(size > SHORT_LINE) if fine else np.zeros(0, np.int64))):
+            windows = np.maximum(1, -(-(size[lines] - wide) // step) + 1)
+            nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+            begin.append(np.repeat(first[lines], windows) + nth * step)
+            end.append(np.minimum(begin[-1] + wide, np.repeat((first + size)[lines], windows)))
+            which.append(np.repeat(lines, windows))
+        self.begin, self.end, self.line = np.concatenate(begin), np.concatenate(end), np.concatenate(which)
         self.doc = chunk.doc_of_word()[self.begin] if len(words) else np.zeros(0, np.int64)
         self.grams = [(hasher.windows(words, k) >> U64(64 - 15)).astype(np.int64) for k in range(1, GRAMS + 1)]
         self.words = words
@@ -90,8 +95,8 @@ class Paragraphs:
         return row, np.concatenate(cols), 1 / np.sqrt(n[row])
 
 
-def variants(rng: np.random.Generator, template: str) -> list[str]:
-    """The template and changed copies: words dropped, years and names put in front or behind."""
+def variants(rng: np.random.Generator, template: str, filler: list[str]) -> list[str]:
+    """The template and changed copies: words dropped, years, names and plain words put in front or behind."""
     words, out = template.split(), [template]
     for _ in range(VARIANTS - 1):
         own = [w for w in words if len(words) < 4 or rng.random() > 0.08]
@@ -99,6 +104,10 @@ def variants(rng: np.random.Generator, template: str) -> list[str]:
             own = [f"Copyright (c) {rng.integers(1990, 2030)}", "The Authors.", *own]
         if rng.random() < 0.3:
             own = [*own, *["See the file for details.", "for more information", "and its contributors"][int(rng.integers(3)) :][:1]]
+        if rng.random() < 0.4 and len(own) < LONG // 2:
+            some = [filler[int(i)] for i in rng.integers(len(filler), size=LONG - len(own))]
+            cut = int(rng.integers(len(some) + 1))
+            own = [*some[:cut], *own, *some[cut:]]
         out.append(" ".join(own) or template)
     return out
 
@@ -114,12 +123,13 @@ class Model:
     def __init__(self, plain: list[str], seed: int = 5):
         rng, hasher = np.random.default_rng(seed), Hasher(31)
         texts, y = list(plain) + PLAIN * 20, [0] * (len(plain) + 20 * len(PLAIN))
+        filler = " ".join(texts).split()
         for family, templates in TEMPLATES.items():
             for t in templates:
-                own = [" ".join(v.split()[:LONG]) for v in variants(rng, t)]
+                own = [" ".join(v.split()[:LONG]) for v in variants(rng, t, filler)]
                 texts, y = texts + own, y + [CLASSES.index(family)] * len(own)
         texts, y = [t.replace("\n", " ") for t in texts], np.array(y)
-        full = Paragraphs([t.encode() for t in texts], hasher)
+        full = Paragraphs([t.encode() for t in texts], hasher, fine=False)
         row, col, value = full.sparse()
         y = y[full.doc]
         held = rng.random(len(y)) < 0.2
@@ -143,8 +153,8 @@ class Model:
         self.believed = float(max(0.5, np.quantile(p.max(1)[right], 0.01))) if right.any() else 1.0
         self.pairs = {f: [_pairs(Paragraphs([t.encode()], hasher)) for t in ts] for f, ts in TEMPLATES.items()}
 
-    def families(self, paragraphs: Paragraphs) -> Iterator[tuple[int, str, float]]:
-        """``(text, family, probability)`` of the windows that aren't plain text."""
+    def families(self, paragraphs: Paragraphs) -> Iterator[tuple[int, int, str, float]]:
+        """``(text, line, family, probability)`` of the windows that aren't plain text."""
         if not len(paragraphs.begin):
             return
         p = _softmax(paragraphs.logits(self.weights) / self.temperature)
@@ -154,9 +164,9 @@ class Model:
             match = max(len(own & t) / max(1, len(t)) for t in self.pairs[CLASSES[best]])
             near = max(len(own & t) / max(1, len(t)) for ts in self.pairs.values() for t in ts)
             if p[i, best] >= self.believed and match >= CONFIRMED:
-                yield int(paragraphs.doc[i]), CLASSES[best], float(p[i, best])
+                yield int(paragraphs.doc[i]), int(paragraphs.line[i]), CLASSES[best], float(p[i, best])
             elif near > 0.25:
-                yield int(paragraphs.doc[i]), UNKNOWN, float(1 - p[i, 0])
+                yield int(paragraphs.doc[i]), int(paragraphs.line[i]), UNKNOWN, float(1 - p[i, 0])
 
 
 def _gather(row: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
@@ -168,7 +178,7 @@ def _pairs(paragraphs: Paragraphs, begin: int = 0, end: int | None = None) -> se
     return set(zip(words, words[1:], strict=False)) or set(zip(words, words, strict=True))
 
 
-FOUND = "doc_id bigint, n_windows bigint, n_licence bigint, families array<string>, probability double"
+FOUND = "doc_id bigint, n_lines bigint, n_licence bigint, families array<string>, probability double"
 
 
 def _scan(model):
@@ -176,20 +186,28 @@ def _scan(model):
         hasher = Hasher(31)
         for table, texts in chunks(batches, size=1 << 19):
             paragraphs = Paragraphs(texts, hasher)
-            found: dict[int, list[tuple[str, float]]] = {}
-            for doc, family, p in model.value.families(paragraphs):
-                found.setdefault(doc, []).append((family, p))
-            seen = [found.get(i, []) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(np.bincount(paragraphs.doc, minlength=len(texts)), pa.int64()), pa.array([len(x) for x in seen], pa.int64()), pa.array([sorted({f for f, _ in x}) for x in seen], pa.list_(pa.string())), pa.array([max((p for _, p in x), default=0.0) for x in seen], pa.float64())], names=["doc_id", "n_windows", "n_licence", "families", "probability"])
+            found: dict[int, dict[int, dict[str, float]]] = {}
+            for doc, line, family, p in model.value.families(paragraphs):
+                own = found.setdefault(doc, {}).setdefault(line, {})
+                own[family] = max(p, own.get(family, 0.0))
+            for lines in found.values():
+                for own in lines.values():  # a part of a notice that another window knows
+                    if len(own) > 1:
+                        own.pop(UNKNOWN, None)
+            seen = [found.get(i, {}) for i in range(len(texts))]
+            read = np.bincount(np.unique(np.stack([paragraphs.doc, paragraphs.line]), axis=1)[0], minlength=len(texts))
+            named = [sorted({f for own in x.values() for f in own}) for x in seen]
+            best = [max((p for own in x.values() for p in own.values()), default=0.0) for x in seen]
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(read, pa.int64()), pa.array([len(x) for x in seen], pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(best, pa.float64())], names=["doc_id", "n_lines", "n_licence", "families", "probability"])
 
     return run
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``): ``n_windows`` read, ``n_licence`` of them with a licence notice, the sorted
+    """Per row of ``docs`` (``doc_id``, ``text``): ``n_lines`` with words, ``n_licence`` of them with a licence notice, the sorted
     distinct ``families`` (``unknown`` among them) and the highest ``probability``.
 
-    Whole texts are read. Null and empty texts have no windows and no families. Repeated rows are read alike; null ids
+    Whole texts are read. Null and empty texts have no lines and no families. Repeated rows are read alike; null ids
     are allowed. An empty table gives an empty one.
     """
     chosen = docs.select("doc_id", "text").orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(PLAIN_TEXTS)
