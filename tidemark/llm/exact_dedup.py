@@ -8,8 +8,8 @@ that share a digest are never merged:
    over ``salts`` tasks;
 3. *global*: the winners of the salts, ``salts`` rows a text at most, are combined by (digest, text).
 
-The result goes back to the rows along the same salts. Rows whose digest occurs once are settled by a count of digests
-alone, so only texts that have a chance of a copy are shuffled.
+The result goes back to the rows along the same salts. Rows whose digest occurs once are settled by a count of digests;
+their texts are dealt once, by the join that finds them out, and take no part in the stages.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def exact_groups(docs: DataFrame, *, salts: int = 16, digest: Column | None = No
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
 
     often = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest")
-    # Both branches read the input; neither moves texts that have no copy.
+    # Both branches read the input; this one moves no text.
     slim = rows.select("doc_id", "_extra", "_sha", "_digest")
     alone = slim.join(often, "_digest", "left_anti").select("doc_id", "_extra", "_sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
 
