@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 
 
 ROWS_A_TASK = 100_000
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     label_tasks = _tasks(2 * edges_left)
     while edges_left:
         rounds += 1
+        before = live, label
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = both.union(both.select("a", F.col("a").alias("b")))
         hash_of = F.xxhash64(F.lit(rounds), F.col("b"))
@@ -42,6 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         live = live.filter("_ua <> _ub").select(F.least("_ua", "_ub").alias("a"), F.greatest("_ua", "_ub").alias("b"))
         live = materialize(live.distinct().coalesce(_tasks(edges_left)))
         label = materialize(label.join(left, F.col("root") == F.col("_a"), "left").select("id", F.coalesce("_ua", "root").alias("root")).coalesce(label_tasks))
+        release(up, *before)
         edges_left = live.count()
     least = label.groupBy("root").agg(F.min("id").alias("component"))
     return label.join(least, "root").select("id", "component")

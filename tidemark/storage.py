@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe when executors are lost.
 
-    The shuffle files of the write are dropped when it has ended; the table replaces them. Tables stay until the folder
-    is cleared.
+    The shuffle files of the write are dropped when it has ended; the table replaces them. A table stays until it is
+    released or the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -36,4 +36,15 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned and that no later step reads."""
+    for table in tables:
+        if path := getattr(table, "table_path", None):
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
