@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .textops import U64, chunks
 
 #: Text bytes that one partition of keys may stand for, and the fewest partitions.
-BYTES_A_PARTITION, LEAST_PARTITIONS = 256 << 20, 24
+BYTES_A_PARTITION, LEAST_PARTITIONS = 256 << 20, 40
 
 PACKED = "bucket int, n int, keys binary, flags binary, places binary, docs binary, hit_a bigint, hit_b bigint, hits binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("flags", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("hit_a", pa.int64()), ("hit_b", pa.int64()), ("hits", pa.binary())])
@@ -35,9 +35,9 @@ def with_uid(docs: DataFrame) -> DataFrame:
 
 
 def key_partitions(docs: DataFrame) -> int:
-    """Partitions for the keys, by the size of the texts alone: 24 at least, one for 32 MB, beyond 128 GB one for 256 MB."""
+    """Partitions for the keys, by the size of the texts alone: 40 at least, one for 16 MB, beyond 64 GB 4096, beyond 1 TB one for 256 MB."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(LEAST_PARTITIONS, min(-(-size // (BYTES_A_PARTITION // 8)), 4096), -(-size // BYTES_A_PARTITION))
+    return max(LEAST_PARTITIONS, min(-(-size // (BYTES_A_PARTITION // 16)), 4096), -(-size // BYTES_A_PARTITION))
 
 
 def planes(x: np.ndarray, width: int) -> bytes:

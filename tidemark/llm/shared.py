@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import materialize, shared_dir
+from ..storage import materialize, release, shared_dir
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,4 +75,4 @@ def collect_blocks(sums: DataFrame, dtype: str, blocks: int, width: int) -> np.n
     return out.ravel()
 
 
-__all__ = ["collect_blocks", "documents", "materialize", "partitions", "rank_in_group", "shared_dir", "spread", "sum_blocks"]
+__all__ = ["collect_blocks", "documents", "materialize", "partitions", "rank_in_group", "release", "shared_dir", "spread", "sum_blocks"]
