@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packed import PACKED, key_partitions, match, pack, places_of, uids, with_uid
-from .shared import documents, materialize
+from .shared import documents, materialize, release
 from .textops import U64, Chunk, chunks, mix, ranges
 
 WIDTH, SEED_BYTES = 200, 32
 OFFSETS = [32, 64, 128]
 KEY_BYTES = 5
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 INSIDE, TEST, SHOWN = 0, 1, 2
 
 
@@ -149,20 +149,23 @@ def doubled(suffixes: DataFrame, width: int) -> DataFrame:
 
 
 def verdicts(suffixes: DataFrame, width: int) -> DataFrame:
-    """``uid_a, uid_b, runs``: per text, runs of window starts that have twins (INSIDE), may have (TEST), or have twins and are shown to others (SHOWN)."""
+    """``run_a, run_b, runs``: per text, runs of window starts that have twins (INSIDE), may have (TEST), or have twins and are shown to others (SHOWN)."""
     me = F.struct("uid_a", "uid_b", "at")
     spans = suffixes.groupBy(F.col("span_a").alias("_sa"), F.col("span_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_n"), F.min(me).alias("_first")).filter("_n > 1").drop("_n")
     ends = materialize(doubled(suffixes.withColumn("whole", F.col("last")), width))
     judged = ends.join(spans, (F.col("span_a") == F.col("_sa")) & (F.col("span_b") == F.col("_sb")), "left")
     judged = judged.withColumn("inside", F.col("_sa").isNotNull()).withColumn("one", F.coalesce(F.col("_first") == me, F.lit(False)))
     judged = materialize(judged.filter("inside OR first <= last").select("uid_a", "uid_b", "at", "seed", "first", "last", "whole", "inside", "one"))
+    release(suffixes, ends)
     open_seeds = judged.filter("NOT inside").select(F.col("seed").alias("_seed")).distinct()
     shown = judged.filter("one").join(open_seeds, F.col("seed") == F.col("_seed"), "left_semi")
     run = lambda kind, end: F.struct(F.lit(kind).alias("kind"), F.col("first").cast("int").alias("first"), F.col(end).cast("int").alias("last"))
     rows = judged.filter("NOT inside").select("uid_a", "uid_b", run(TEST, "last").alias("run"))
     rows = rows.unionByName(judged.filter("inside").select("uid_a", "uid_b", run(INSIDE, "whole").alias("run")))
     rows = rows.unionByName(shown.select("uid_a", "uid_b", run(SHOWN, "whole").alias("run")))
-    return rows.groupBy(F.col("uid_a").alias("run_a"), F.col("uid_b").alias("run_b")).agg(F.collect_list("run").alias("runs"))
+    runs = materialize(rows.groupBy(F.col("uid_a").alias("run_a"), F.col("uid_b").alias("run_b")).agg(F.collect_list("run").alias("runs")))
+    release(judged)
+    return runs
 
 
 def _runs(table: pa.Table, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,10 +236,12 @@ def repeated_bytes(docs: DataFrame, *, width: int = WIDTH, keep_text: bool = Tru
     texts = with_uid(docs.select("doc_id", "text"))
     parts = key_partitions(docs)
     probes = texts.select("uid_a", "uid_b", "text").mapInArrow(_probes(width, parts), PACKED)
-    hits = materialize(match(probes, parts, width=KEY_BYTES)).groupBy("hit_a", "hit_b").agg(F.collect_list("hits").alias("hits"))
+    found = materialize(match(probes, parts, width=KEY_BYTES))
+    hits = found.groupBy("hit_a", "hit_b").agg(F.collect_list("hits").alias("hits"))
     mine = (F.col("uid_a") == F.col("hit_a")) & (F.col("uid_b") == F.col("hit_b"))
     suffixes = materialize(texts.join(hits, mine).select("uid_a", "uid_b", "text", "hits").mapInArrow(_suffixes(width), SUFFIXES))
-    runs = materialize(verdicts(suffixes, width))
+    release(found)
+    runs = verdicts(suffixes, width)
     # Both joins below deal the same columns of the texts by the same key, so Spark shuffles the texts once.
     judged = texts.join(runs, (F.col("uid_a") == F.col("run_a")) & (F.col("uid_b") == F.col("run_b")), "left").drop("run_a", "run_b")
     twins = match(judged.mapInArrow(_windows(width, parts), PACKED), parts, width=8, with_low=True)
