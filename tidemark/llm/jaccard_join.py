@@ -3,13 +3,14 @@
 A text's set is its distinct lower-cased word shingles. Texts with one set are one class, and only classes are joined.
 Shingles are ordered rare first: by how often their hash bucket occurs in the whole table (a fixed number of buckets),
 then by hash; any order common to all texts is right, this one keeps frequent shingles out of the prefixes. Two sets of
-the wanted similarity share a shingle of their prefixes. For the classes that share one, the length filter, the
-positional filter and the suffix filter (sizes of the sets' parts by hash range) are applied, and each remaining pair is
-verified once, on the whole sets.
-
-Pairs are asked for in two rounds, so that a large group of near copies isn't paired all with all: first each class with
-the first class of the shingle; then, for shingles that still hold several components, all classes of different ones.
-Every candidate pair is so verified or inside one component already: no link between components is lost.
+the wanted similarity share a shingle of their prefixes. Prefix shingles of a single class are dropped (see ``packed``);
+classes that share one pass the length filter, the positional filter and the suffix filter (a lower bound of the sets'
+distance from the parities of their sizes by hash range), and each remaining pair is verified once, on the whole sets.
+
+Pairs are asked for in rounds, so that a large group of near copies isn't paired all with all: first each class with
+one class of the shingle, by a hash that differs from round to round and skipping those already in its component; in the
+last round, for shingles that still hold several components, all classes of different ones. Every candidate pair is so
+verified or inside one component already: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .packed import with_uid
-from .shared import collect_blocks, documents, materialize, sum_blocks
+from .packed import PACKED, key_partitions, match, pack, places_of, with_uid
+from .shared import collect_blocks, documents, materialize, release, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
 BUCKET_BITS, BLOCK = 20, 1 << 12
-PARTS = 16  # hash ranges of the suffix filter
+PARITY = 4  # words of 64 hash ranges each, for the suffix filter
+ROUNDS = 2  # with one class per shingle, before the last
+KEY_BYTES = 5
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def _frequencies(k: int):
     return run
 
 
-MEMBERS = "doc_id bigint, uid_a bigint, uid_b bigint, n bigint, set_a bigint, set_b bigint, parts array<int>, prefix array<bigint>"
+MEMBERS = "doc_id bigint, uid_a bigint, uid_b bigint, n bigint, set_a bigint, set_b bigint, parity array<bigint>, prefix array<bigint>"
 
 
 def _members(k: int, percent: int, frequency):
@@ -75,12 +78,13 @@ def _members(k: int, percent: int, frequency):
             if len(values):
                 set_a[full] = mix(np.add.reduceat(mix(values + U64(1)), begin[full])).view(np.int64)
                 set_b[full] = mix(np.add.reduceat(mix(values ^ U64(0x5DEECE66D1234567)), begin[full])).view(np.int64)
-            parts = np.bincount(doc * PARTS + (values >> U64(60)).astype(np.int64), minlength=len(texts) * PARTS).reshape(-1, PARTS)
+            odd = np.bincount(doc * 64 * PARITY + (values & U64(64 * PARITY - 1)).astype(np.int64), minlength=len(texts) * 64 * PARITY) % 2
+            parity = np.packbits(odd.astype(bool), bitorder="little").view("<i8").reshape(-1, PARITY)
             order = np.lexsort((values, often[(values >> U64(64 - BUCKET_BITS)).astype(np.int64)], doc))
             ranked = values[order].view(np.int64)
             length = np.where(full, sizes + (-percent * sizes // 100) + 1, 0)
             prefix = [ranked[b : b + m] for b, m in zip(begin.tolist(), length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), table.column("uid_a").combine_chunks(), table.column("uid_b").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(set_a), pa.array(set_b), pa.array(list(parts.astype(np.int32)), pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "uid_a", "uid_b", "n", "set_a", "set_b", "parts", "prefix"])
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), table.column("uid_a").combine_chunks(), table.column("uid_b").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(set_a), pa.array(set_b), pa.array(list(parity), pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "uid_a", "uid_b", "n", "set_a", "set_b", "parity", "prefix"])
 
     return run
 
@@ -103,25 +107,59 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _fits(percent: int, n: str, m: str, i: str, j: str) -> F.Column:
-    """Length and positional filters for a shingle at places i and j of the ordered sets of sizes n and m."""
-    n, m, i, j = (F.col(x) for x in (n, m, i, j))
+def _shared(parts: int):
+    """Prefix shingles as keys of :func:`packed.pack`: the class is the text, the place in the prefix the position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 8192):
+                part = batch.slice(begin, 8192)
+                lists = part.column("prefix")
+                size = np.asarray(pa.compute.list_value_length(lists), np.int64)
+                token = np.asarray(lists.flatten()).view(np.uint64)
+                doc = np.repeat(np.arange(part.num_rows, dtype=np.int32), size)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                yield from pack(token, None, doc, place, np.zeros(len(token), bool), part.column("set_a").to_numpy(), part.column("set_b").to_numpy(), parts, KEY_BYTES, False)
+
+    return run
+
+
+PREFIX = "set_a bigint, set_b bigint, n bigint, parity array<bigint>, at bigint, token bigint"
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 2048):
+            part = batch.slice(begin, 2048)
+            at = [places_of(h) for h in part.column("hits").to_pylist()]
+            row = np.repeat(np.arange(part.num_rows), [len(x) for x in at])
+            lists = part.column("prefix")
+            base = np.asarray(lists.offsets)[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            at = np.concatenate(at)
+            token = np.asarray(lists.flatten())[base[row] + at]
+            rest = part.select(["set_a", "set_b", "n", "parity"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(at), pa.array(token)], names=["set_a", "set_b", "n", "parity", "at", "token"])
+
+
+def _pairs(group: DataFrame, other: DataFrame, percent: int) -> DataFrame:
+    """``left, right`` (sorted) of classes that share a shingle, are in different components and pass the three filters."""
+    other = other.select(F.col("token").alias("o_token"), *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "at", "parity", "part")])
+    n, m, i, j = (F.col(x) for x in ("n", "o_n", "at", "o_at"))
+    total = n + m
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+    apart = sum((F.bit_count(F.col("parity")[w].bitwiseXOR(F.col("o_parity")[w])) for w in range(PARITY)), F.lit(0))
+    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * total) & ((100 + percent) * (total - apart) >= 2 * percent * total)
+    both = group.join(other, (F.col("token") == F.col("o_token")) & (F.col("part") != F.col("o_part")) & fits)
+    return both.select(F.least("set", "o_set").alias("left"), F.greatest("set", "o_set").alias("right")).distinct()
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``left, right`` (set keys) of the candidate pairs that pass the suffix filter and the verification."""
-    side = lambda name: reps.select(F.col("set").alias(name), F.col("n").alias(f"{name}_n"), F.col("parts").alias(f"{name}_parts"), F.col("uid").alias(f"{name}_uid"))
-    apart = F.aggregate(F.zip_with("left_parts", "right_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    total = F.col("left_n") + F.col("right_n")
-    pairs = pairs.join(side("left"), "left").join(side("right"), "right").filter((100 + percent) * (total - apart) >= 2 * percent * total)
-    pairs = materialize(pairs.select("left", "right", "left_uid", "right_uid"))
-    asked = pairs.select(F.col("left_uid").alias("uid")).union(pairs.select(F.col("right_uid").alias("uid"))).distinct()
-    needed = materialize(texts.join(asked, "uid", "left_semi").dropDuplicates(["uid"]))
-    text = lambda name: needed.select(F.col("uid").alias(f"{name}_uid"), F.col("text").alias(f"{name}_text"))
-    rows = pairs.join(text("left"), "left_uid").join(text("right"), "right_uid").select("left", "right", "left_text", "right_text")
-    return materialize(rows.mapInArrow(_verified(k, percent), pairs.select("left", "right").schema))
+def _links(pairs: DataFrame, reps: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link, verified on the whole sets."""
+    side = lambda name: reps.select(F.col("set").alias(name), F.col("uid").alias(f"{name}_uid"))
+    text = lambda name: pool.select(F.col("uid").alias(f"{name}_uid"), F.col("text").alias(f"{name}_text"))
+    named = pairs.join(side("left"), "left").join(side("right"), "right")
+    rows = named.join(text("left"), "left_uid").join(text("right"), "right_uid").select("left", "right", "left_text", "right_text")
+    return materialize(rows.mapInArrow(_verified(k, percent), pairs.schema))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -142,23 +180,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     every = materialize(texts.mapInArrow(_members(shingle, percent, frequency), MEMBERS)).withColumn("set", F.struct("set_a", "set_b"))
     sets = every.filter("n > 0")
     first = sets.groupBy("set").agg(F.min(F.struct("uid_a", "uid_b")).alias("uid"), F.min("doc_id").alias("least_id"))
-    reps = materialize(sets.withColumn("uid", F.struct("uid_a", "uid_b")).join(first, ["set", "uid"]).select("set", "uid", "n", "parts", "prefix", "least_id").dropDuplicates(["set"]))
-    prefixes = reps.select("set", "n", F.posexplode("prefix").alias("at", "token"))
-
-    lead = prefixes.groupBy("token").agg(F.min(F.struct("set", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    grouped = materialize(prefixes.join(lead, "token").select("token", "set", "n", "at", F.col("lead.set").alias("left"), F.col("lead.n").alias("m"), F.col("lead.at").alias("j")))
-    uid_text = texts.select(F.struct("uid_a", "uid_b").alias("uid"), "text")
-    asked = materialize(grouped.filter(F.col("set") != F.col("left")).filter(_fits(percent, "n", "m", "at", "j")).select("left", F.col("set").alias("right")).distinct())
-    links = _links(asked, reps, uid_text, shingle, percent)
-
-    part = connected_components(links, "left", "right")
-    group = grouped.join(part, F.col("set") == F.col("id"), "left").select("token", "set", "n", "at", F.coalesce("component", "set").alias("part"))
-    split = group.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    group = materialize(group.join(split, "token", "left_semi"))
-    other = group.select("token", F.col("set").alias("right"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("part").alias("other"))
-    more = group.withColumnRenamed("set", "left").join(other, "token").filter(F.col("part") < F.col("other")).filter(_fits(percent, "n", "m", "at", "j"))
-    more = more.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct().join(asked, ["left", "right"], "left_anti")
-    links = links.union(_links(materialize(more), reps, uid_text, shingle, percent))
+    reps = materialize(sets.withColumn("uid", F.struct("uid_a", "uid_b")).join(first, ["set", "uid"]).select("set", "set_a", "set_b", "uid", "n", "parity", "prefix", "least_id").dropDuplicates(["set"]))
+
+    parts = key_partitions(docs)
+    hits = match(reps.select("set_a", "set_b", "prefix").mapInArrow(_shared(parts), PACKED), parts, width=KEY_BYTES)
+    hits = hits.groupBy("hit_a", "hit_b").agg(F.collect_list("hits").alias("hits"))
+    some = reps.select("set_a", "set_b", "n", "parity", "prefix").join(hits, (F.col("set_a") == F.col("hit_a")) & (F.col("set_b") == F.col("hit_b")))
+    group = materialize(some.select("set_a", "set_b", "n", "parity", "prefix", "hits").mapInArrow(_kept, PREFIX)).withColumn("set", F.struct("set_a", "set_b")).drop("set_a", "set_b")
+    involved = group.select("set").distinct().join(reps.select("set", "uid"), "set").select("uid")
+    pool = materialize(texts.select(F.struct("uid_a", "uid_b").alias("uid"), "text").join(involved, "uid", "left_semi").dropDuplicates(["uid"]))
+
+    group = group.withColumn("part", F.col("set"))
+    links = asked = group.select(F.col("set").alias("left"), F.col("set").alias("right")).limit(0)
+    for step in range(ROUNDS + 1):
+        split = group.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min(F.struct(F.xxhash64(F.lit(step), "set").alias("h"), "set", "n", "at", "parity", "part")).alias("one")).filter("_low < _high")
+        one = split.select("token", "one.set", "one.n", "one.at", "one.parity", "one.part")
+        before, group = group, materialize(group.join(split.select("token"), "token", "left_semi"))
+        if group.isEmpty():
+            break
+        pairs = _pairs(group, group if step == ROUNDS else one, percent)
+        pairs = materialize(pairs.join(asked, ["left", "right"], "left_anti") if step else pairs)
+        release(before)
+        found = _links(pairs, reps, pool, shingle, percent)
+        asked, links = asked.union(pairs), links.union(found)
+        if step < ROUNDS and not found.isEmpty():
+            part = connected_components(links, "left", "right").withColumnRenamed("component", "_component")
+            before, group = group, materialize(group.join(part, F.col("set") == F.col("id"), "left").withColumn("part", F.coalesce("_component", "part")).drop("id", "_component"))
+            release(before)
 
     part = connected_components(links, "left", "right")
     ids = reps.select("set", "least_id")
@@ -180,7 +228,8 @@ def near_dedup(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCEN
     row = F.struct(F.col("doc_id").isNull(), "doc_id", "uid_a", "uid_b")
     first = members.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("row")).select("row.uid_a", "row.uid_b")
     stay = first.unionByName(members.filter("component IS NULL").select("uid_a", "uid_b").distinct())
-    return with_uid(docs).join(materialize(stay), ["uid_a", "uid_b"], "left_semi").dropDuplicates(["uid_a", "uid_b"]).drop("uid_a", "uid_b")
+    rows = with_uid(docs.select("doc_id", "text", F.struct("*").alias("_row")))
+    return rows.join(materialize(stay), ["uid_a", "uid_b"], "left_semi").dropDuplicates(["uid_a", "uid_b"]).select("_row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
