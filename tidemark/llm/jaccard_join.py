@@ -30,7 +30,7 @@ from .textops import U64, Chunk, Hasher, chunks, mix
 SHINGLE, PERCENT = 4, 85
 BUCKET_BITS, BLOCK = 20, 1 << 12
 PARITY = 4  # words of 64 hash ranges each, for the suffix filter
-ROUNDS = 2  # with one class per shingle, before the last
+ROUNDS = 1  # with one class per shingle, before the last
 KEY_BYTES = 5
 
 
