@@ -10,7 +10,9 @@ distance from the parities of their sizes by hash range), and each remaining pai
 Pairs are asked for in rounds, so that a large group of near copies isn't paired all with all: first each class with
 one class of the shingle, by a hash that differs from round to round and skipping those already in its component; in the
 last round, for shingles that still hold several components, all classes of different ones. Every candidate pair is so
-verified or inside one component already: no link between components is lost.
+verified or inside one component already: no link between components is lost. A pair that shares many shingles is met at
+one of them: each class knows its ``LEADS`` least shingles, and where two classes have some of these in common, only
+the least of them names the pair.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ SHINGLE, PERCENT = 4, 85
 BUCKET_BITS, BLOCK = 20, 1 << 12
 PARITY = 4  # words of 64 hash ranges each, for the suffix filter
 ROUNDS = 1  # with one class per shingle, before the last
+LEADS = 8
 KEY_BYTES = 5
 
 
@@ -141,14 +144,26 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(at), pa.array(token)], names=["set_a", "set_b", "n", "parity", "at", "token"])
 
 
+def _with_leads(group: DataFrame) -> DataFrame:
+    """``group`` with ``leads``: the least shingles that the class has in it."""
+    leads = group.groupBy("set").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LEADS).alias("leads"))
+    return group.join(leads, "set")
+
+
 def _pairs(group: DataFrame, other: DataFrame, percent: int) -> DataFrame:
-    """``left, right`` (sorted) of classes that share a shingle, are in different components and pass the three filters."""
-    other = other.select(F.col("token").alias("o_token"), *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "at", "parity", "part")])
+    """``left, right`` (sorted) of classes that share a shingle, are in different components and pass the three filters.
+
+    With ``leads`` on both sides, a pair that has leads in common is made at the least of them alone.
+    """
+    led = "leads" in other.columns
+    other = other.select(F.col("token").alias("o_token"), *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "at", "parity", "part", *["leads"] * led)])
     n, m, i, j = (F.col(x) for x in ("n", "o_n", "at", "o_at"))
     total = n + m
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
     apart = sum((F.bit_count(F.col("parity")[w].bitwiseXOR(F.col("o_parity")[w])) for w in range(PARITY)), F.lit(0))
     fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * total) & ((100 + percent) * (total - apart) >= 2 * percent * total)
+    if led:
+        fits &= F.coalesce(F.get(F.array_intersect("leads", "o_leads"), 0), F.col("token")) == F.col("token")
     both = group.join(other, (F.col("token") == F.col("o_token")) & (F.col("part") != F.col("o_part")) & fits)
     return both.select(F.least("set", "o_set").alias("left"), F.greatest("set", "o_set").alias("right")).distinct()
 
@@ -195,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     for step in range(ROUNDS + 1):
         split = group.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min(F.struct(F.xxhash64(F.lit(step), "set").alias("h"), "set", "n", "at", "parity", "part")).alias("one")).filter("_low < _high")
         one = split.select("token", "one.set", "one.n", "one.at", "one.parity", "one.part")
-        before, group = group, materialize(group.join(split.select("token"), "token", "left_semi"))
+        before, group = group, materialize((_with_leads(group) if step == ROUNDS else group).join(split.select("token"), "token", "left_semi"))
         if group.isEmpty():
             break
         pairs = _pairs(group, group if step == ROUNDS else one, percent)
