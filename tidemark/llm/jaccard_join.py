@@ -33,7 +33,7 @@ SHINGLE, PERCENT = 4, 85
 BUCKET_BITS, BLOCK = 20, 1 << 12
 PARITY = 4  # words of 64 hash ranges each, for the suffix filter
 ROUNDS = 1  # with one class per shingle, before the last
-LEADS = 8
+LEADS = 16
 KEY_BYTES = 5
 
 
