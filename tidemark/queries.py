@@ -224,17 +224,13 @@ PAIRS_SQL = """sig AS (SELECT incident_id AS id, record_id AS rec, epoch(event_t
   best AS (SELECT DISTINCT a, b, n, gap, link FROM (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY e ORDER BY n DESC, gap, link) <= 5))"""
 
 
-def _recent_pool(spark, d):
-    return filters.accepted_pool(views.incidents(spark, d)).filter(F.col("event_time") >= F.lit("2001-01-01").cast("timestamp"))
-
-
 @query("SELECT a AS low_id, b AS high_id, n AS shared, gap AS gap_seconds, link AS link_id FROM best", POOL_SQL, PAIRS_SQL)
 def candidate_pairs(spark, d):
-    return linking.candidate_pairs(linking.signals(_recent_pool(spark, d)))
+    return linking.candidate_pairs(linking.signals(filters.accepted_pool(views.incidents(spark, d))))
 
 
 def _links(spark, d):
-    pool = _recent_pool(spark, d)
+    pool = filters.accepted_pool(views.incidents(spark, d))
     pairs = linking.candidate_pairs(linking.signals(pool))
     side = lambda n: pool.select(F.col("incident_id").alias(f"{n}_id"), F.struct("event_time", "incident_type", "taluk").alias(n))
     return pool, pairs.join(side("low"), "low_id").join(side("high"), "high_id").withColumn("conflicts", linking.conflicts("low", "high"))
