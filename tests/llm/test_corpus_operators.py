@@ -82,6 +82,33 @@ def test_pfair_deviation():
             assert all(abs(had[x] - w * (t + 1) / 500) < 1 for x, w in shares.items())
 
 
+def test_mix_follows_the_weights_asked_for(spark):
+    from fractions import Fraction
+
+    def check(weights, rows):
+        total = sum(map(Fraction, weights.values()))
+        slots = {r.slot: (r.source, r.block) for r in rows}
+        assert len(slots) == len({(r.source, r.block) for r in rows}) and all(r.release <= r.slot < r.deadline for r in rows)
+        last, had = {}, Counter()
+        for slot, (s, _) in slots.items():
+            last[s] = max(slot, last.get(s, 0))
+        for t in range(min(last.values())):  # all sources still have blocks
+            had[slots[t][0]] += 1
+            assert slots[t][1] == had[slots[t][0]]
+            if t % 97 == 0 or t > 4000:
+                assert all(abs(had[s] - Fraction(w) / total * (t + 1)) < 1 for s, w in weights.items())
+        return min(last.values())
+
+    weights = {"big": 0.91} | {f"s{i}": 0.01 for i in range(9)}
+    docs = spark.range(5000).selectExpr("id AS doc_id", "if(id < 4550, 'big', concat('s', id % 9)) AS source")
+    assert check(weights, mixing.mix(docs, weights=weights, block_rows=1).collect()) > 4500
+    weights = {"big": 0.5} | {f"s{i}": 0.001 for i in range(500)}
+    docs = spark.range(5000).selectExpr("id AS doc_id", "if(id < 2500, 'big', concat('s', id % 500)) AS source")
+    assert check(weights, mixing.mix(docs, weights=weights, block_rows=1).collect()) > 3900
+    many = mixing.mix(spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source"), block_rows=1).collect()
+    assert sorted(r.slot for r in many) == list(range(3000))
+
+
 def test_encoder_agrees_with_tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer

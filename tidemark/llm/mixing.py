@@ -2,9 +2,10 @@
 
 Each source's rows are dealt at random into blocks of equal size. With target weight ``w``, its ``k``-th block (from 1) is
 released at slot ``floor((k - 1) / w)`` and due by slot ``ceil(k / w)``; in every slot the released block with the earliest
-deadline runs. Such a schedule meets all deadlines, so after any number ``t`` of slots a source has had ``w * t`` blocks,
-give or take less than one. Weights are whole multiples of ``1 / frame``, so the schedule repeats every ``frame`` slots: one
-frame is worked out (a table of ``frame`` rows at any input size) and every block finds its slot by a join and arithmetic.
+deadline runs. Such a schedule meets all deadlines, so after any number ``t`` of slots a source that still has blocks has had
+``w * t`` of them, give or take less than one. Releases and deadlines are worked out in whole numbers from the exact ratio of
+the weights, so the bound holds for the weights asked for, over the whole schedule and for any number of sources. One pass
+over the blocks (not the rows) assigns the slots; it holds two entries a source, and blocks meet their slots by a join.
 
 A source that has run out leaves its slots empty; the others keep their own slots, and with them their weights among
 each other. No row is dropped or repeated.
@@ -13,13 +14,20 @@ each other. No row is dropped or repeated.
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, materialize, rank_in_group, spread
 
-BLOCK_ROWS, FRAME, TEMPERATURE = 8, 1000, 0.5
+BLOCK_ROWS, TEMPERATURE = 8, 0.5
+BATCH = 1 << 16
+SCHEDULE = "_source string, _block long, _slot long, _release long, _deadline long"
 
 
 def whole_weights(weights: dict[str | None, float], frame: int) -> dict[str | None, int]:
@@ -34,55 +42,77 @@ def whole_weights(weights: dict[str | None, float], frame: int) -> dict[str | No
     return out
 
 
-def pfair_frame(shares: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """``(source, k, slot, release, deadline)`` of each block in one frame of ``sum(shares)`` slots, by earliest deadline."""
-    frame = sum(shares.values())
+def exact_weights(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the ratio of the weights (every float is a fraction)."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*{x.denominator for x in exact.values()})
+    return {s: x.numerator * (scale // x.denominator) for s, x in exact.items()}
+
+
+def schedule(shares: dict[str | None, int], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """``(source, k, slot, release, deadline)`` of all blocks by slot, for weights ``share / sum(shares)``."""
+    total = sum(shares.values())
     name = lambda s: (s is None, s or "")
-    waiting = [(0, -(-frame // share), name(s), s, 1) for s, share in shares.items()]
+    waiting = [(0, -(-total // share), name(s), 1) for s, share in shares.items() if blocks[s]]
     heapq.heapify(waiting)
     ready: list = []
-    out = []
-    for slot in range(frame):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, deadline, order, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, order, s is None, s or "", k, release))
-        deadline, order, null, s, k, release = heapq.heappop(ready)
-        s = None if null else s
-        out.append((s, k, slot, release, deadline))
-        if k < (share := shares[s]):
-            heapq.heappush(waiting, (k * frame // share, -(-(k + 1) * frame // share), order, s, k + 1))
-    return out
+            release, deadline, order, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, order, k, release))
+        deadline, order, k, release = heapq.heappop(ready)
+        s = None if order[0] else order[1]
+        yield s, k, slot, release, deadline
+        if k < blocks[s]:
+            heapq.heappush(waiting, (k * total // shares[s], -(-(k + 1) * total // shares[s]), order, k + 1))
+        slot += 1
+
+
+def pfair_frame(shares: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
+    """``(source, k, slot, release, deadline)`` of each block in one frame of ``sum(shares)`` slots, by earliest deadline."""
+    return list(schedule(shares, shares))
+
+
+def _scheduled(shares: dict[str | None, int], blocks: dict[str | None, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_source", "_block", "_slot", "_release", "_deadline"]
+        for _ in range(sum(batch.num_rows for batch in batches)):
+            todo = schedule(shares, blocks)
+            while part := list(itertools.islice(todo, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*part, strict=True))], names=names)
+
+    return run
 
 
-def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME, temperature: float = TEMPERATURE, seed: int = 41) -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, frame: int | None = None, temperature: float = TEMPERATURE, seed: int = 41) -> DataFrame:
     """Add ``block`` (its number in the source, from 1), ``release``, ``deadline`` and ``slot`` to rows with ``doc_id`` and ``source``.
 
     Sorted by ``slot, place`` (``place``: within the block), rows are mixed to ``weights`` (any positive numbers by source;
-    all sources must be named) or, without them, to row counts to the power ``temperature``. A null source is a source.
+    all sources must be named) or, without them, to row counts to the power ``temperature``. A null source is a source. With
+    ``frame``, weights are first rounded to whole multiples of ``1 / frame`` (:func:`whole_weights`); by default they are exact.
     Null ids and repeated rows keep places of their own; equal rows are interchangeable. An empty table stays empty.
     ``docs`` is read several times: pass a table. Columns of the names added are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("block", "release", "deadline", "slot", "place")
-    counts = {r[0]: r[1] for r in docs.groupBy("source").count().limit(frame + 1).collect()}  # more sources than slots: refused below
+    counts = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}  # one row a source
     if not counts:
         return docs.selectExpr("*", "0L block", "0L release", "0L deadline", "0L slot", "0L place")
     if weights is not None and (set(counts) - set(weights) or min(weights.values()) <= 0):
         raise ValueError("every source needs a positive weight")
     wanted = {s: weights[s] if weights is not None else n**temperature for s, n in counts.items()}
-    shares = whole_weights(wanted, frame)
-    rows = [(s, shares[s], k, slot, release, deadline) for s, k, slot, release, deadline in pfair_frame(shares)]
-    table = F.broadcast(spark.createDataFrame(rows, "_source string, _share long, _k long, _slot long, _release long, _deadline long"))
+    shares = exact_weights(wanted) if frame is None else whole_weights(wanted, frame)
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    table = materialize(spark.range(0, 1, 1, 1).mapInArrow(_scheduled(shares, blocks), SCHEDULE))
     ties = [c for c in ("text",) if c in docs.columns]
     named = docs.select("doc_id", "source", spread("doc_id", *ties, seed=seed).alias("_near"), F.struct("*").alias("_row"))
     ranked = rank_in_group(named, ["source"], ["_near", "doc_id"], "_rank", total=sum(counts.values()))
     ranked = ranked.withColumn("block", F.expr(f"_rank div {block_rows} + 1")).withColumn("place", F.col("_rank") % block_rows)
-    per = F.broadcast(spark.createDataFrame(list(shares.items()), "_name string, _of long"))
-    found = ranked.join(per, F.col("source").eqNullSafe(F.col("_name")))
-    found = found.withColumn("_turn", F.expr("(block - 1) div _of")).withColumn("_at", F.expr("(block - 1) % _of + 1"))
-    found = found.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_k")))
-    turn = F.col("_turn") * frame
-    return found.select("_row.*", "block", *[(turn + F.col(f"_{c}")).alias(c) for c in ("release", "deadline", "slot")], "place")
+    found = ranked.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    return found.select("_row.*", "block", *[F.col(f"_{c}").alias(c) for c in ("release", "deadline", "slot")], "place")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
