@@ -120,6 +120,19 @@ def test_encoder_agrees_with_tokenizers():
     assert best_fit.Encoder(best_fit.tokenizer_path())(texts) == want
 
 
+def test_pieces_follow_the_contract_for_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext|><|endoftext|>  a ", "a <|endoftext b", "plain words", " two  blanks <|endoftext|>"]
+    ids = [[*reference.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids[0] == [64, 220, 50256, 275, 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in best_fit.token_pieces(docs).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_plan_is_valid_and_tight():
     rng = np.random.default_rng(4)
     for counts in ({3: 5, 1024: 2, 512: 4, 513: 1}, {int(k): int(rng.integers(1, 50)) for k in range(1, 1025)}, {700: 10, 300: 10, 24: 10}, {1: 5000}):

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,21 +33,22 @@ REMEMBERED = 1_000_000
 
 
 def tokenizer_path() -> str:
-    """Merge ranks of ``byte_bpe_50k.json``; both files give the same ids (held against each other in the tests)."""
+    """Merge ranks of ``byte_bpe_50k.json``, which lies beside; both give the same ids for texts without added tokens."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Encoder:
-    """Token ids of texts as packed 32-bit numbers; the strings of special tokens are ordinary text.
+    """Token ids of texts as packed 32-bit numbers. Texts with an added token of ``contract`` (the JSON file of the
+    tokenizer) go through ``tokenizers`` itself; without ``contract``, the strings of such tokens are ordinary text.
 
     The pre-tokenizer of byte-level BPE takes at most one blank in front of a word, so a text may be cut before each single
     blank and each distinct word is encoded once. New words are encoded together, joined by blanks: a token that begins
-    with a blank begins a word. A text with two blanks in a row is encoded whole.
+    with a blank begins a word. A text with two blanks in a row, or with an added token, is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, contract: str | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -55,8 +57,16 @@ class Encoder:
         self.blank = np.zeros(max(ranks.values()) + 1, bool)
         self.blank[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
         self.words: dict[str, bytes] = {}
+        self.added, self.contract = [], None
+        if contract:
+            from tokenizers import Tokenizer
+
+            self.added = [t["content"] for t in json.loads(Path(contract).read_text())["added_tokens"]]
+            self.contract = Tokenizer.from_file(contract)
 
     def one(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.contract.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.raw(text), "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
@@ -71,7 +81,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for begin in range(0, len(texts), 64):
-            split = [None if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts[begin : begin + 64]]
+            split = [None if "  " in t or t[:1] == " " or t[-1:] == " " or any(a in t for a in self.added) else t.split(" ") for t in texts[begin : begin + 64]]
             if len(self.words) > REMEMBERED:
                 self.words.clear()
             new: set[str] = set()
@@ -87,9 +97,9 @@ class Encoder:
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, size bigint"
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, contract: str | None, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = Encoder(path, contract), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             texts = batch.column("text")
@@ -110,7 +120,9 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 def token_pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, size``: texts as token ids and an end id; longer ones in pieces, the first short."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), capacity, end_id), PIECES)
+    path = path or tokenizer_path()
+    twin = Path(path).with_suffix(".json")
+    return docs.select("doc_id", "text").mapInArrow(_pieces(path, str(twin) if twin.exists() else None, capacity, end_id), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
