@@ -236,6 +236,21 @@ def test_quality_rules_limit_false_rejections(spark):
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    texts = {"mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+             "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+             "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."}
+    rows = [(i, mark + ("\n" + mark).join(textwrap.wrap(t, width)), f) for i, (f, t, width, mark) in enumerate((f, t, w, m) for f, t in texts.items() for w in (70, 80) for m in ("", "# "))]
+    rows += [(900, "The rights under copyright stay with us;\nno warranty whatever comes with the licence of this thing.", licences.UNKNOWN)]
+    plain = [(1000 + i, "the plain words of an old story about a house and a river", "") for i in range(40)]
+    docs = spark.createDataFrame(rows + plain, "doc_id long, text string, family string")
+    got = {r.doc_id: r.families for r in licences.licence_scan(docs).collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: [f] for i, _, f in rows}
+    assert not any(got[i] for i, *_ in plain)
+
+
 def test_licences(spark):
     notices = [(i, f"Some plain text before.\n{t}\nand after it more words", f) for i, (f, t) in enumerate((f, t) for f, ts in licences.TEMPLATES.items() for t in ts)]
     plain = [(1000 + i, t, None) for i, t in enumerate(["The license plate of the car was red.", "word " * 5000, None, ""])]

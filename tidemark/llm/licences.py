@@ -1,14 +1,17 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of a text; long lines are read in overlapping windows of two sizes. Its features are hashed word 1-, 2- and
+A paragraph is a line of a text, or consecutive lines up to a blank one; long ones are read in overlapping windows of two
+sizes, and so are the words of a wrapped paragraph across its line breaks. Its features are hashed word 1-, 2- and
 3-grams. A multinomial logistic regression over licence families and "no licence" is fitted on variants of the templates
 below (words dropped and put in, names and years set) and on a bounded sample of the table's own lines; a temperature and
 the probability from which a family is believed are calibrated on held-out variants. A paragraph that is no plain text but
-whose family is not believed, or whose words do not bear out any template of it, is of family ``unknown``.
+whose family is not believed, or whose words do not bear out any template of it, is of family ``unknown`` if it shares a
+quarter of a template's word pairs or has a word of licences (``LEGAL``); other windows that are no plain text are junk.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,7 @@ PLAIN = [
     "This work is a study of the general public and its rights.", "A free copy of the software came with the book.", "The fishing license costs two dollars in version one of the price list.",
     "He was under the impression that the terms were fair.", "All parts of the source were published by the foundation in May.", "The file was released to the press under the new law.", "The commons were open to all, attribution or not.",
 ]
+LEGAL = "license licence licensed licenced licensing licenses licences sublicense copyright copyleft copyrighted warranty warranties redistribute redistribution redistributed".split()
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [NONE, *TEMPLATES]
 FEATURES, GRAMS = 1 << 15, 3
@@ -69,6 +73,21 @@ class Paragraphs:
             end.append(np.minimum(begin[-1] + wide, np.repeat((first + size)[lines], windows)))
             which.append(np.repeat(lines, windows))
         self.begin, self.end, self.line = np.concatenate(begin), np.concatenate(end), np.concatenate(which)
+        of_word = np.repeat(np.arange(len(size)), size)
+        if fine and len(words):
+            doc = chunk.doc_of_word()
+            wrapped = (np.diff(line[first]) == 1) & (doc[first][1:] == doc[first][:-1])
+            top = np.flatnonzero(np.concatenate([[True], ~wrapped]))
+            start, length = first[top], np.add.reduceat(size, top)
+            for wide, step in ((LONG, STRIDE), (SHORT, STEP)):
+                windows = np.maximum(1, -(-(length - wide) // step) + 1)
+                nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+                a = np.repeat(start, windows) + nth * step
+                b = np.minimum(a + wide, np.repeat(start + length, windows))
+                across = of_word[a] < of_word[b - 1]
+                begin, end, which = [*begin, a[across]], [*end, b[across]], [*which, of_word[a[across]]]
+            self.begin, self.end, self.line = np.concatenate(begin), np.concatenate(end), np.concatenate(which)
+        self.line_of_word = of_word
         self.doc = chunk.doc_of_word()[self.begin] if len(words) else np.zeros(0, np.int64)
         self.grams = [(hasher.windows(words, k) >> U64(64 - 15)).astype(np.int64) for k in range(1, GRAMS + 1)]
         self.words = words
@@ -151,22 +170,42 @@ class Model:
         p = _softmax(logit / self.temperature)
         right = (p.argmax(1) == y[held]) & (y[held] > 0)
         self.believed = float(max(0.5, np.quantile(p.max(1)[right], 0.01))) if right.any() else 1.0
+        self.legal = set(Paragraphs([" ".join(LEGAL).encode()], hasher, fine=False).words.tolist())
         self.pairs = {f: [_pairs(Paragraphs([t.encode()], hasher)) for t in ts] for f, ts in TEMPLATES.items()}
 
     def families(self, paragraphs: Paragraphs) -> Iterator[tuple[int, int, str, float]]:
-        """``(text, line, family, probability)`` of the windows that aren't plain text."""
+        """``(text, line, family, probability)`` of the windows that aren't plain text. A notice across line breaks is named at
+        each line that it touches; lines that hold a notice of their own don't count for another one.
+        """
         if not len(paragraphs.begin):
             return
         p = _softmax(paragraphs.logits(self.weights) / self.temperature)
-        for i in np.flatnonzero(p[:, 0] < 0.5):
+        line_of, named, marked, loose = paragraphs.line_of_word, set(), set(), set()
+        last = line_of[paragraphs.end - 1]
+        odd = np.flatnonzero(p[:, 0] < 0.5)
+        for i in odd[np.argsort(paragraphs.line[odd] < last[odd], kind="stable")]:  # single lines first
             best = 1 + int(p[i, 1:].argmax())
-            own = _pairs(paragraphs, int(paragraphs.begin[i]), int(paragraphs.end[i]))
-            match = max(len(own & t) / max(1, len(t)) for t in self.pairs[CLASSES[best]])
-            near = max(len(own & t) / max(1, len(t)) for ts in self.pairs.values() for t in ts)
+            begin, end, lines = int(paragraphs.begin[i]), int(paragraphs.end[i]), range(int(paragraphs.line[i]), int(last[i]) + 1)
+            joined = len(lines) > 1
+            words = paragraphs.words[begin:end].tolist()
+            at = line_of[begin:end].tolist()
+            steps = [(j, (x, y)) for j, (x, y) in enumerate(zip(words, words[1:], strict=False)) if not joined or at[j] not in named and at[j + 1] not in named]
+            own = {pair for _, pair in steps} if joined else _pairs(paragraphs, begin, end)
+            template = max(self.pairs[CLASSES[best]], key=lambda t: len(own & t) / max(1, len(t)))
+            match = len(own & template) / max(1, len(template))
             if p[i, best] >= self.believed and match >= CONFIRMED:
-                yield int(paragraphs.doc[i]), int(paragraphs.line[i]), CLASSES[best], float(p[i, best])
-            elif near > 0.25:
-                yield int(paragraphs.doc[i]), int(paragraphs.line[i]), UNKNOWN, float(1 - p[i, 0])
+                touched = sorted({at[k] for j, pair in steps if pair in template for k in (j, j + 1)} | loose.intersection(lines)) if joined else lines
+                if not joined:
+                    named.update(touched)
+                marked.update(touched)
+                for line in touched:
+                    yield int(paragraphs.doc[i]), line, CLASSES[best], float(p[i, best])
+            elif not joined or marked.isdisjoint(lines):
+                near = max(len(own & t) / max(1, len(t)) for ts in self.pairs.values() for t in ts)
+                if near > 0.25 or not self.legal.isdisjoint(words):
+                    marked.update(lines)
+                    loose.update(() if joined else lines)
+                    yield int(paragraphs.doc[i]), lines[0], UNKNOWN, float(1 - p[i, 0])
 
 
 def _gather(row: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
@@ -178,6 +217,11 @@ def _pairs(paragraphs: Paragraphs, begin: int = 0, end: int | None = None) -> se
     return set(zip(words, words[1:], strict=False)) or set(zip(words, words, strict=True))
 
 
+def _word_pairs(text: str) -> set[tuple[str, str]]:
+    words = re.findall(r"\w+", text.lower())
+    return set(zip(words, words[1:], strict=False))
+
+
 FOUND = "doc_id bigint, n_lines bigint, n_licence bigint, families array<string>, probability double"
 
 
@@ -214,6 +258,8 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     lines = chosen.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line")).distinct()
     notice = F.lower("line").rlike("licen[cs]|copyright|spdx|all rights reserved|permission is hereby|public domain")
     plain = [r.line for r in lines.filter(~notice & (F.length("line") > 3)).orderBy(F.xxhash64("line"), "line").limit(PLAIN_LINES).collect()]
+    pairs = {x for ts in TEMPLATES.values() for t in ts for x in _word_pairs(t)}
+    plain = [x for x in plain if len(pairs & _word_pairs(x)) < 3]  # lines of wrapped notices
     model = docs.sparkSession.sparkContext.broadcast(Model(plain))
     return docs.select("doc_id", "text").mapInArrow(_scan(model), FOUND)
 
