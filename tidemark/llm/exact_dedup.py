@@ -4,12 +4,13 @@ Rows of equal text are merged in three stages, and each stage groups by the whol
 that share a digest are never merged:
 
 1. *local*: every task folds its own rows of a (digest, salt, text) into one (Spark's map-side aggregation);
-2. *salted*: those partial groups meet by (digest, salt, text), so a group that holds a third of the table is spread
-   over ``salts`` tasks;
-3. *global*: the winners of the salts, ``salts`` rows a text at most, are combined by (digest, text).
+2. *salted*: those partial groups meet by (digest, salt, text);
+3. *global*: the winners of the salts are combined by (digest, text).
 
-The result goes back to the rows along the same salts. Rows whose digest occurs once are settled by a count of digests;
-their texts are dealt once, by the join that finds them out, and take no part in the stages.
+Only hot digests are salted: those with more than one in ``HOT_DIGESTS`` of all rows, so there are fewer of them than that
+whatever the table, and they are broadcast. The rows of any other digest meet under one salt, and their winner needs no third
+stage. A text is shuffled once. What was found goes back to the rows by (digest, salt) without the texts; digests that more
+than one text has are the exception, and theirs are compared again.
 """
 
 from __future__ import annotations
@@ -18,54 +19,74 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import documents
+from .shared import documents, materialize
 
 DIGEST_BITS = 256
+HOT_DIGESTS, SALTS = 10_000, 32
+PLAIN = -1  # the salt of digests that aren't hot
 
 
-def exact_groups(docs: DataFrame, *, salts: int = 16, digest: Column | None = None) -> DataFrame:
+def _salted(rows: DataFrame, total: int, salts: int) -> DataFrame:
+    """``rows`` (``_id, _digest``) with ``_salt``."""
+    counts = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.filter(F.col("_n") > max(1, total // HOT_DIGESTS)).select("_digest", F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).otherwise(PLAIN)
+    return rows.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", salt).drop("_hot")
+
+
+def _rows(docs: DataFrame, digest: Column | None) -> DataFrame:
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("_rest"))
+    rows = rows.withColumn("_sha", F.sha2("_text", DIGEST_BITS))
+    return rows.withColumn("_digest", F.unhex("_sha") if digest is None else digest)
+
+
+def exact_groups(docs: DataFrame, *, salts: int = SALTS, digest: Column | None = None) -> DataFrame:
     """One row per input row: all columns of ``docs`` but ``text``, and ``keep_id, group_size, kept, text_sha256``.
 
-    ``docs`` needs ``doc_id`` and ``text``; further columns are carried. A null text counts as empty. The row with the
-    largest ``doc_id`` of equal texts stays; null ids rank below all others, and of rows that repeat one id with one
-    text a single one has ``kept``. ``keep_id`` is null only if every id of the group is null. An empty table gives an
-    empty one. ``digest`` replaces SHA-256 as grouping digest (tests pass a weak one: contents decide, not digests).
+    ``docs`` needs ``doc_id`` and ``text``; further columns are carried, but for those named like the four added ones. A null
+    text counts as empty. The row with the largest ``doc_id`` of equal texts stays; null ids rank below all others, and of rows
+    that repeat one id with one text a single one has ``kept``. ``keep_id`` is null only if every id of the group is null. Texts
+    of any length are compared whole. An empty table gives an empty one. ``docs`` is read several times: pass a table.
+    ``digest`` replaces SHA-256 as grouping digest (tests pass a weak one: contents decide, not digests).
+    """
+    rows = _salted(_rows(docs, digest), docs.count(), salts)
+    salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    plain = salted.filter(F.col("_salt") == PLAIN).select("_digest", "_text", "keep_id", "group_size", F.array("_salt").alias("_salts"))
+    hot = salted.filter(F.col("_salt") != PLAIN).groupBy("_digest", "_text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.collect_list("_salt").alias("_salts"))
+    whole = plain.unionByName(hot)
+    found = materialize(whole.drop("_text"))
+    shared = materialize(found.groupBy("_digest").count().filter("count > 1").select("_digest"))
+
+    slim = rows.select("_id", "_rest", "_sha", "_digest", "_salt")
+    key = ["_digest", "_salt"]
+    if shared.isEmpty():
+        back = slim.join(found.withColumn("_salt", F.explode("_salts")), key)
+    else:
+        mixed = whole.join(shared, "_digest", "left_semi").withColumn("_salt", F.explode("_salts"))
+        back = rows.join(mixed, [*key, "_text"]).select(*slim.columns, "keep_id", "group_size")
+        alone = found.join(shared, "_digest", "left_anti").withColumn("_salt", F.explode("_salts"))
+        back = back.unionByName(slim.join(alone, key).select(*slim.columns, "keep_id", "group_size"))
+    copies = Window.partitionBy(*key, "_sha", "_id").orderBy("_id")
+    kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(copies) == 1)
+    added = [F.col("keep_id"), F.col("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256")]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "keep_id", "group_size", "kept", "text_sha256")]
+    return back.select(F.col("_id").alias("doc_id"), *[F.col("_rest").getField(c).alias(c) for c in others], *added)
+
+
+def exact_dedup(docs: DataFrame, *, salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns (names may be any but ``_null``); rules as in :func:`exact_groups`.
+
+    Of rows that repeat id and text one stays, whichever; a null text that stays is null still. The winning row itself
+    goes through the three stages, so texts are shuffled once and nothing is joined back.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = F.struct(*[F.col(f"`{c}`") for c in extra]) if extra else F.lit(None).cast("string")
-    sha = F.sha2(F.col("_text"), DIGEST_BITS)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), carried.alias("_extra"))
-    rows = rows.withColumn("_sha", sha).withColumn("_digest", F.unhex("_sha") if digest is None else digest)
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-
-    often = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest")
-    # Both branches read the input; this one moves no text.
-    slim = rows.select("doc_id", "_extra", "_sha", "_digest")
-    alone = slim.join(often, "_digest", "left_anti").select("doc_id", "_extra", "_sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-
-    many = rows.join(often, "_digest", "left_semi")
-    salted = many.groupBy("_digest", "_salt", "_text").agg(F.max("doc_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
-    whole = salted.groupBy("_digest", "_text").agg(F.max("_top").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_list("_salt").alias("_salts"))
-    verdict = whole.select("_digest", F.explode("_salts").alias("_salt"), "_text", "keep_id", "group_size")
-    same = Window.partitionBy("_digest", "_salt", "_text", "doc_id").orderBy("doc_id")
-    back = many.join(verdict, ["_digest", "_salt", "_text"]).withColumn("_copy", F.row_number().over(same))
-    back = back.select("doc_id", "_extra", "_sha", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"))
-
-    out = alone.unionByName(back)
-    return out.select("doc_id", *[F.col("_extra").getField(c).alias(c) for c in extra if c not in ("keep_id", "group_size", "kept", "text_sha256")], "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
-
-
-def exact_dedup(docs: DataFrame, *, salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; see :func:`exact_groups`. Of rows that repeat id and text one stays."""
-    verdict = exact_groups(docs.select("doc_id", "text"), salts=salts).filter("group_size > 1")
-    verdict = verdict.groupBy("text_sha256", F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
-    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), DIGEST_BITS).alias("_sha"), F.struct("*").alias("_row"))
-    same = (F.col("_sha") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    tagged = rows.join(verdict, same, "left").filter(F.coalesce("_kept", F.lit(True)))
-    once = Window.partitionBy("_sha", "doc_id").orderBy("doc_id")
-    single = tagged.filter(F.col("_kept").isNull()).select("_row.*")
-    copies = tagged.filter(F.col("_kept").isNotNull()).withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select("_row.*")
-    return single.unionByName(copies)
+    rows = _salted(_rows(docs, None).drop("_sha"), docs.count(), salts)
+    rank = F.struct(F.col("_id").isNotNull(), "_id")
+    salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max_by("_rest", rank).alias("_rest"))
+    hot = salted.filter(F.col("_salt") != PLAIN).withColumn("_id", F.col("_rest.doc_id"))
+    hot = hot.groupBy("_digest", "_text").agg(F.max_by("_rest", rank).alias("_rest"))
+    stay = salted.filter(F.col("_salt") == PLAIN).select("_text", "_rest").unionByName(hot.select("_text", "_rest"))
+    text = F.when(~F.col("_rest._null"), F.col("_text")).alias("text")
+    return stay.select(*[text if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,29 +36,55 @@ ROUNDS = 1  # with one class per shingle, before the last
 LEADS = 16
 KEY_BYTES = 5
 
+_LOWER = bytes.lower  # of A-Z only
 
-def shingle_sets(texts: list[bytes], hasher: Hasher, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle fingerprints of each text, ascending, one text after another; and the set sizes."""
-    chunk = Chunk(texts)
-    words = hasher.words(chunk)
+
+def _windows(chunk: Chunk, words: np.ndarray, hasher: Hasher, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and fingerprint of every shingle; a shorter text is one shingle."""
     at = chunk.window_starts(k)
     doc, value = chunk.doc_of_word()[at], hasher.windows(words, k)[at]
     short = np.flatnonzero((chunk.n_words > 0) & (chunk.n_words < k))
-    if len(short):  # the whole sequence as one
+    if len(short):
         whole = [mix(hasher.windows(words[chunk.word_start[i] : chunk.word_start[i + 1]], int(chunk.n_words[i])) + U64(chunk.n_words[i])) for i in short]
         doc, value = np.concatenate([doc, short.astype(doc.dtype)]), np.concatenate([value, *whole])
+    return doc, value
+
+
+def shingle_sets(texts: list[bytes], hasher: Hasher, k: int, second: Hasher | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct shingle fingerprints of each text, ascending, one text after another; the set sizes; and with ``second`` the
+    fingerprints of the same shingles in that family.
+    """
+    chunk = Chunk(texts)
+    doc, value = _windows(chunk, hasher.words(chunk), hasher, k)
     order = np.lexsort((value, doc))
+    other = _windows(chunk, second.words(chunk), second, k)[1][order] if second else None
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return value[new], np.bincount(doc[new], minlength=len(texts))
+    return value[new], np.bincount(doc[new], minlength=len(texts)), other[new] if second else None
+
+
+def exact_shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of each text, as in :func:`shingle_sets`; numbers agree where all words do."""
+    chunk = Chunk([_LOWER(t) for t in texts])
+    words = pa.array([w for t in chunk.texts for w in t.split()], pa.binary()).dictionary_encode()
+    part, doc = words.indices.to_numpy().astype(np.int64), chunk.doc_of_word()
+    place = np.arange(len(part)) - chunk.word_start[doc]
+    for far in range(1, k):  # a shingle's number after `far + 1` words; where the text ends, the number of what is there
+        after = np.full(len(part), -1)
+        inside = np.flatnonzero(place + far < chunk.n_words[doc])
+        after[inside] = words.indices.to_numpy()[inside + far]
+        part = np.unique(part * (len(words.dictionary) + 1) + after + 1, return_inverse=True)[1]
+    full = (place + k <= chunk.n_words[doc]) | (place == 0)
+    pair = np.unique(doc[full].astype(np.int64) * (len(part) + 1) + part[full])
+    return pair % (len(part) + 1), np.bincount(pair // (len(part) + 1), minlength=len(texts))
 
 
 def _frequencies(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = Hasher(3, lower=True), np.zeros(1 << BUCKET_BITS, np.int64)
         for _, texts in chunks(batches):
-            values, _ = shingle_sets(texts, hasher, k)
+            values = shingle_sets(texts, hasher, k)[0]
             total += np.bincount((values >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
         parts = total.reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "data"])
@@ -71,16 +97,16 @@ MEMBERS = "doc_id bigint, uid_a bigint, uid_b bigint, n bigint, set_a bigint, se
 
 def _members(k: int, percent: int, frequency):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, often = Hasher(3, lower=True), frequency.value
+        hasher, second, often = Hasher(3, lower=True), Hasher(4, lower=True), frequency.value
         for table, texts in chunks(batches):
-            values, sizes = shingle_sets(texts, hasher, k)
+            values, sizes, other = shingle_sets(texts, hasher, k, second)
             ends = np.cumsum(sizes)
             doc = np.repeat(np.arange(len(texts)), sizes)
             full, begin = sizes > 0, ends - sizes
             set_a, set_b = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             if len(values):
                 set_a[full] = mix(np.add.reduceat(mix(values + U64(1)), begin[full])).view(np.int64)
-                set_b[full] = mix(np.add.reduceat(mix(values ^ U64(0x5DEECE66D1234567)), begin[full])).view(np.int64)
+                set_b[full] = mix(np.add.reduceat(mix(other + U64(1)), begin[full])).view(np.int64)
             odd = np.bincount(doc * 64 * PARITY + (values & U64(64 * PARITY - 1)).astype(np.int64), minlength=len(texts) * 64 * PARITY) % 2
             parity = np.packbits(odd.astype(bool), bitorder="little").view("<i8").reshape(-1, PARITY)
             order = np.lexsort((values, often[(values >> U64(64 - BUCKET_BITS)).astype(np.int64)], doc))
@@ -94,12 +120,11 @@ def _members(k: int, percent: int, frequency):
 
 def _verified(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(3, lower=True)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 both = [t.encode() for t in part.column("left_text").to_pylist()] + [t.encode() for t in part.column("right_text").to_pylist()]
-                values, sizes = shingle_sets(both, hasher, k)
+                values, sizes = exact_shingles(both, k)
                 ends, n, keep = np.cumsum(sizes), part.num_rows, []
                 for i in range(n):
                     x, y = values[ends[i] - sizes[i] : ends[i]], values[ends[n + i] - sizes[n + i] : ends[n + i]]

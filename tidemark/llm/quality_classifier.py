@@ -46,7 +46,8 @@ class _Shapes:
         marks = np.flatnonzero(kind == 5)
         kind[marks] = 6 + np.arange(len(marks)) % 200
         kind[[0x20, *range(0x09, 0x0E)]] = 0
-        self.kind, self.hasher = kind, Hasher(11)
+        self.kind = kind
+        self.turn = mix(np.arange(16, dtype=U64) + U64(11)) | U64(1)
         self.value = mix(np.arange(256, dtype=U64) * U64(0x9E3779B97F4A7C15))  # 0 for separators
 
     def __call__(self, chunk: Chunk) -> np.ndarray:
@@ -61,7 +62,7 @@ class _Shapes:
         first[chunk.starts] = step[chunk.starts]
         np.maximum.accumulate(first, out=first)
         run = np.clip(step - first, 0, 15)
-        value = self.value[k] * self.hasher.powers(16)[run]
+        value = self.value[k] * self.turn[run]
         value[~keep] = 0
         return mix(np.add.reduceat(value, chunk.starts))
 

@@ -36,15 +36,76 @@ CHUNK = 512 << 10
 INSIDE, TEST, SHOWN = 0, 1, 2
 
 
+P = U64((1 << 31) - 1)
+
+
+def _near(x: np.ndarray) -> np.ndarray:
+    """``x`` (a temporary array, under ``2**63``) modulo the prime ``2**31 - 1``, or one or two more than that."""
+    for _ in range(2):
+        high = x >> U64(31)
+        x &= P
+        x += high
+    return x
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = _near(x)
+    return np.subtract(x, P, out=x, where=x >= P)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, _fold(out * U64(pow(base, len(out), int(P))))])
+    return out
+
+
+class _Residues:
+    """Polynomial hash of byte ranges modulo a prime, from sums over prefixes."""
+
+    def __init__(self, seed: int):
+        self.table = _fold(mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) >> U64(1))
+        self.base = int(mix(np.array([seed + 77], U64))[0]) % (int(P) - 1000) + 500
+        self.power = self.inverse = np.ones(1, U64)
+
+    def read(self, buf: np.ndarray) -> None:
+        n = len(buf) + 1
+        if len(self.power) < n:
+            self.power, self.inverse = _powers(self.base, n), _powers(pow(self.base, -1, int(P)), n)
+        self.prefix = np.zeros(n, U64)
+        np.cumsum(_near(self.table[buf] * self.power[: n - 1]), out=self.prefix[1:])
+
+    def range(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return _fold(_near(self.prefix[begin + size] - self.prefix[begin]) * self.inverse[begin])
+
+
 class Substrings:
-    """64-bit fingerprints of any byte ranges of a buffer, from sums over prefixes."""
+    """62-bit fingerprints of any byte ranges of a buffer: two polynomials of random base modulo a prime, so that two
+    different strings agree by chance alone, whatever their structure; ``seed`` picks an independent pair.
+    """
+
+    def __init__(self, seed: int):
+        self.parts = _Residues(2 * seed), _Residues(2 * seed + 1)
+
+    def read(self, buf: np.ndarray) -> "Substrings":
+        for p in self.parts:
+            p.read(buf)
+        return self
+
+    def at(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        a, b = (p.range(begin, size) for p in self.parts)
+        return mix(((a << U64(31)) | b) + np.asarray(size).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+class Rolling:
+    """Cheap 64-bit hashes of byte ranges. Where two strings agree by mistake, more windows than needed are compared."""
 
     def __init__(self, seed: int):
         self.table = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
         self.base = int(mix(np.array([seed + 77], U64))[0]) | 1
         self.power = self.inverse = np.ones(1, U64)
 
-    def read(self, buf: np.ndarray) -> "Substrings":
+    def read(self, buf: np.ndarray) -> "Rolling":
         n = len(buf) + 1
         if len(self.power) < n:
             for name, base in (("power", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
@@ -55,8 +116,8 @@ class Substrings:
         np.cumsum(self.table[buf] * self.power[: n - 1], out=self.prefix[1:])
         return self
 
-    def at(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return mix((self.prefix[begin + size] - self.prefix[begin]) * self.inverse[begin] + np.asarray(size).astype(U64))
+    def at(self, begin: np.ndarray, size: int) -> np.ndarray:
+        return mix((self.prefix[begin + size] - self.prefix[begin]) * self.inverse[begin] + U64(size))
 
     def every(self, size: int) -> np.ndarray:
         n = len(self.prefix) - size
@@ -66,7 +127,7 @@ class Substrings:
 class Anchors:
     """The anchors of a chunk: text, place in it, first and last window start that it serves (places in the buffer)."""
 
-    def __init__(self, chunk: Chunk, hashes: Substrings, width: int):
+    def __init__(self, chunk: Chunk, hashes: Rolling, width: int):
         seeds = hashes.read(chunk.buf).every(SEED_BYTES)
         reach = width - SEED_BYTES + 1
         starts = ranges(chunk.byte_start[:-1], chunk.n_bytes - width + 1)
@@ -90,7 +151,7 @@ class Anchors:
 
 def _probes(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Substrings(1)
+        hashes = Rolling(1)
         for table, texts in chunks(batches, size=CHUNK):
             chunk = Chunk(texts)
             a = Anchors(chunk, hashes, width)
@@ -108,10 +169,10 @@ def _suffixes(width: int):
     ends = [*OFFSETS[1:], width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Substrings(1), Substrings(2)
+        rolling, one, two = Rolling(1), Substrings(1), Substrings(2)
         for table, texts in chunks(batches, size=CHUNK):
             chunk = Chunk(texts)
-            a = Anchors(chunk, one, width)
+            a = Anchors(chunk, rolling, width)
             if not len(a.at):
                 continue
             base = chunk.byte_start[a.doc]
@@ -119,14 +180,13 @@ def _suffixes(width: int):
             hit = np.concatenate([p + b for p, b in zip(mine, chunk.byte_start[:-1], strict=True)])
             keep = np.isin(a.at, hit)
             at, first, last, base, doc, key = (x[keep] for x in (a.at, a.first, a.last, base, a.doc, a.key))
-            two.read(chunk.buf)
             stop = base + chunk.n_bytes[doc]
             follow = []
             for begin, end in zip(OFFSETS, ends, strict=True):
                 inside = at + end <= stop
-                value = one.at(np.where(inside, at + begin, 0), end - begin)
+                value = rolling.at(np.where(inside, at + begin, 0), end - begin)
                 follow.append(pa.array(value.view(np.int64), mask=~inside))
-            span = [h.at(first, last - first + width).view(np.int64) for h in (one, two)]
+            span = [h.read(chunk.buf).at(first, last - first + width).view(np.int64) for h in (one, two)]
             ua, ub = (u[doc] for u in uids(table))
             cols = [pa.array(ua), pa.array(ub), *[pa.array(x - base) for x in (at, first, last)], pa.array(key.view(np.int64)), *follow, *map(pa.array, span)]
             yield pa.RecordBatch.from_arrays(cols, names=_SUFFIX_NAMES)

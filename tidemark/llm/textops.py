@@ -29,23 +29,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit polynomial fingerprints of words and word windows; ``seed`` picks an independent family."""
+    """64-bit fingerprints of words and word windows; ``seed`` picks an independent family.
+
+    A word is hashed by tabulation: each (byte, place) has a random number of its own, so the hash is no polynomial, whose
+    value modulo a power of two agrees for certain long words whatever the base. Windows are hashed as trees.
+    """
+
+    PLACES = 64  # tables; further bytes use them again, times a random odd number for each turn
 
     def __init__(self, seed: int = 1, lower: bool = False):
+        key = U64(seed * 0x9FB21C651E98DF25 & 2**64 - 1)
         byte = np.arange(256, dtype=U64)
         if lower:  # A-Z only
             byte[65:91] += U64(32)
-        self.table = mix((byte + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(seed * 0x1000193))
-        self.table[_SEP] = 0
-        self.base = int(mix(np.array([seed * 2 + 0x5851F42D], U64))[0]) | 1
-        self._pow = np.ones(1, U64)
-
-    def powers(self, n: int) -> np.ndarray:
-        if len(self._pow) < n:
-            out = np.full(max(n, 64), self.base, U64)
-            out[0] = 1
-            self._pow = np.multiply.accumulate(out)
-        return self._pow
+        place = np.arange(self.PLACES, dtype=U64)[:, None]
+        table = mix(mix(byte[None, :] * U64(0x9E3779B97F4A7C15) + key) + place * U64(0xD6E8FEB86659FD93))
+        table[:, _SEP] = 0
+        self.table, self.key = table.ravel(), key
+        self.level = [U64(int(x) | 1) for x in mix(np.arange(1, 65, dtype=U64) + key)]
 
     def words(self, chunk: "Chunk") -> np.ndarray:
         if not len(chunk.starts):
@@ -55,9 +56,11 @@ class Hasher:
         at[chunk.starts] = chunk.starts
         np.maximum.accumulate(at, out=at)
         np.subtract(np.arange(n, dtype=at.dtype), at, out=at)
+        value = self.table[((at & (self.PLACES - 1)) << 8) | chunk.buf]
         lengths = chunk.ends - chunk.starts
-        at[_SEP[chunk.buf]] = 0
-        value = self.table[chunk.buf] * self.powers(int(lengths.max()) + 1)[at]
+        if lengths.max() > self.PLACES:
+            far = np.flatnonzero(at >= self.PLACES)
+            value[far] *= mix((at[far] // self.PLACES).astype(U64) + self.key) | U64(1)
         return mix(np.add.reduceat(value, chunk.starts) + lengths.astype(U64) * U64(0x9E3779B97F4A7C15))
 
     def windows(self, words: np.ndarray, k: int) -> np.ndarray:
@@ -65,17 +68,16 @@ class Hasher:
         n = len(words) - k + 1
         if n <= 0:
             return np.zeros(0, U64)
-        power = lambda e: U64(pow(self.base, e, 1 << 64))
-        out, done, part, size = None, 0, words, 1
+        out, done, part, size, level = None, 0, words, 1, 0
         while True:
             if k & size:
-                piece = part[done : done + n] if out is not None else part[:n]
-                out = piece.copy() if out is None else out * power(size) + piece
+                piece = part[done : done + n]
+                out = piece if out is None else mix(out * self.level[level] + piece)
                 done += size
             if done == k:
-                return mix(out)
-            part = part[:-size] * power(size) + part[size:]
-            size *= 2
+                return out
+            part = mix(part[:-size] * self.level[32 + level] + part[size:])
+            size, level = 2 * size, level + 1
 
 
 class Chunk:
