@@ -8,8 +8,9 @@ classes that share one pass the length filter, the positional filter and the suf
 distance from the parities of their sizes by hash range), and each remaining pair is verified once, on the whole sets.
 
 Pairs are asked for in rounds, so that a large group of near copies isn't paired all with all: first each class with
-one class of the shingle, by a hash that differs from round to round and skipping those already in its component; in the
-last round, for shingles that still hold several components, all classes of different ones. Every candidate pair is so
+one class of the shingle, the one that has the largest part of its own set in common with others (of a text and its copies,
+that is the text: copies have shingles of their own). In the last round, for shingles that still hold several components, the
+classes outside the component of that class meet all classes of other components. Every candidate pair is so
 verified or inside one component already: no link between components is lost. A pair that shares many shingles is met at
 one of them: each class knows its ``LEADS`` least shingles, and where two classes have some of these in common, only
 the least of them names the pair.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .packed import PACKED, key_partitions, match, pack, places_of, with_uid
-from .shared import collect_blocks, documents, materialize, release, sum_blocks
+from .shared import collect_blocks, documents, lookup, materialize, release, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
@@ -152,7 +153,7 @@ def _shared(parts: int):
     return run
 
 
-PREFIX = "set_a bigint, set_b bigint, n bigint, parity array<bigint>, at bigint, token bigint"
+PREFIX = "set_a bigint, set_b bigint, n bigint, parity array<bigint>, worth double, at bigint, token bigint"
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +166,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = np.asarray(lists.offsets)[:-1].astype(np.int64) - lists.offsets[0].as_py()
             at = np.concatenate(at)
             token = np.asarray(lists.flatten())[base[row] + at]
+            worth = np.bincount(row, minlength=part.num_rows) / part.column("n").to_numpy()
             rest = part.select(["set_a", "set_b", "n", "parity"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(at), pa.array(token)], names=["set_a", "set_b", "n", "parity", "at", "token"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(worth[row]), pa.array(at), pa.array(token)], names=["set_a", "set_b", "n", "parity", "worth", "at", "token"])
 
 
 def _with_leads(group: DataFrame) -> DataFrame:
@@ -178,7 +180,8 @@ def _with_leads(group: DataFrame) -> DataFrame:
 def _pairs(group: DataFrame, other: DataFrame, percent: int) -> DataFrame:
     """``left, right`` (sorted) of classes that share a shingle, are in different components and pass the three filters.
 
-    With ``leads`` on both sides, a pair that has leads in common is made at the least of them alone.
+    With ``leads`` on both sides, a pair that has leads in common is made at the least of them alone. With ``main`` (of the
+    shingle), ``group`` holds the classes of other components and each of its pairs is made once.
     """
     led = "leads" in other.columns
     other = other.select(F.col("token").alias("o_token"), *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "at", "parity", "part", *["leads"] * led)])
@@ -187,6 +190,8 @@ def _pairs(group: DataFrame, other: DataFrame, percent: int) -> DataFrame:
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
     apart = sum((F.bit_count(F.col("parity")[w].bitwiseXOR(F.col("o_parity")[w])) for w in range(PARITY)), F.lit(0))
     fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * total) & ((100 + percent) * (total - apart) >= 2 * percent * total)
+    if "main" in group.columns:
+        fits &= (F.col("o_part") == F.col("main")) | (F.col("set") < F.col("o_set"))
     if led:
         fits &= F.coalesce(F.get(F.array_intersect("leads", "o_leads"), 0), F.col("token")) == F.col("token")
     both = group.join(other, (F.col("token") == F.col("o_token")) & (F.col("part") != F.col("o_part")) & fits)
@@ -226,34 +231,40 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     hits = match(reps.select("set_a", "set_b", "prefix").mapInArrow(_shared(parts), PACKED), parts, width=KEY_BYTES)
     hits = hits.groupBy("hit_a", "hit_b").agg(F.collect_list("hits").alias("hits"))
     some = reps.select("set_a", "set_b", "n", "parity", "prefix").join(hits, (F.col("set_a") == F.col("hit_a")) & (F.col("set_b") == F.col("hit_b")))
-    group = materialize(some.select("set_a", "set_b", "n", "parity", "prefix", "hits").mapInArrow(_kept, PREFIX)).withColumn("set", F.struct("set_a", "set_b")).drop("set_a", "set_b")
+    held = materialize(some.select("set_a", "set_b", "n", "parity", "prefix", "hits").mapInArrow(_kept, PREFIX))
+    group = held.withColumn("set", F.struct("set_a", "set_b")).drop("set_a", "set_b").withColumn("part", F.col("set"))
     involved = group.select("set").distinct().join(reps.select("set", "uid"), "set").select("uid")
     pool = materialize(texts.select(F.struct("uid_a", "uid_b").alias("uid"), "text").join(involved, "uid", "left_semi").dropDuplicates(["uid"]))
 
-    group = group.withColumn("part", F.col("set"))
     links = asked = group.select(F.col("set").alias("left"), F.col("set").alias("right")).limit(0)
     for step in range(ROUNDS + 1):
-        split = group.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min(F.struct(F.xxhash64(F.lit(step), "set").alias("h"), "set", "n", "at", "parity", "part")).alias("one")).filter("_low < _high")
-        one = split.select("token", "one.set", "one.n", "one.at", "one.parity", "one.part")
-        before, group = group, materialize((_with_leads(group) if step == ROUNDS else group).join(split.select("token"), "token", "left_semi"))
-        if group.isEmpty():
+        last = step == ROUNDS
+        choice = F.struct((-F.col("worth")).alias("w"), F.xxhash64(F.lit(step), "set").alias("h"), "set", "n", "at", "parity", "part")
+        split = group.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min(choice).alias("one")).filter("_low < _high")
+        main = split.select("token", F.col("one.part").alias("main"))
+        before, held = held, materialize((_with_leads(group) if last else group).join(main, "token"))
+        one = materialize(split.select("token", "one.set", "one.n", "one.at", "one.parity", "one.part")) if not last else None
+        release(before)
+        if held.isEmpty():
             break
-        pairs = _pairs(group, group if step == ROUNDS else one, percent)
+        pairs = _pairs(held.filter("part <> main"), held, percent) if last else _pairs(held.drop("main"), one, percent)
         pairs = materialize(pairs.join(asked, ["left", "right"], "left_anti") if step else pairs)
-        release(before)
         found = _links(pairs, reps, pool, shingle, percent)
         asked, links = asked.union(pairs), links.union(found)
-        if step < ROUNDS and not found.isEmpty():
+        if not last:
+            release(one)
             part = connected_components(links, "left", "right").withColumnRenamed("component", "_component")
-            before, group = group, materialize(group.join(part, F.col("set") == F.col("id"), "left").withColumn("part", F.coalesce("_component", "part")).drop("id", "_component"))
+            before, held = held, materialize(held.drop("main").join(part, F.col("set") == F.col("id"), "left").withColumn("part", F.coalesce("_component", "part")).drop("id", "_component"))
             release(before)
+            group = held
+    release(held, pool)
 
     part = connected_components(links, "left", "right")
     ids = reps.select("set", "least_id")
     named = ids.join(part, F.col("set") == F.col("id"), "left").select("set", "least_id", F.coalesce("component", "set").alias("component"))
     least = materialize(named.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    named = named.join(least, "component").select("set", "component_id", "component")
-    full = sets.select("doc_id", "n", "set", "uid_a", "uid_b").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid_a", "uid_b", "component")
+    named = materialize(named.join(least, "component").select("set", "component_id", "component"))
+    full = lookup(sets.select("doc_id", "n", "set", "uid_a", "uid_b"), named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid_a", "uid_b", "component")
     empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "uid_a", "uid_b", F.lit(None).cast(full.schema["component"].dataType).alias("component"))
     name = lambda side: ids.select(F.col("set").alias(side), F.col("least_id").alias(f"{side}_id"))
     return full.unionByName(empty), links.join(name("left"), "left").join(name("right"), "right").select("left_id", "right_id")

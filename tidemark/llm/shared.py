@@ -48,6 +48,22 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], out: str, t
     return ranked.join(counts, same).withColumn(out, F.col("_before") + F.col("_inside")).drop("_bucket", "_b", "_before", "_inside", *[f"_g{i}" for i in range(len(group))])
 
 
+#: A key is hot if it has more than one in so many of all rows: there are fewer hot keys than that in any table.
+HOT_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (one row a key). The few hot keys are broadcast, so none fills a task; the rest is dealt by key.
+
+    Both are read several times: pass tables.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > max(1, rows.count() // HOT_KEYS)).select(key)
+    hot = materialize(table.join(hot, key, "left_semi"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(table, key))
+
+
 def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
     """Sum equally long arrays by ``block``; ``parts`` has ``block int, data binary``. One running sum a block is in memory."""
 
@@ -75,4 +91,4 @@ def collect_blocks(sums: DataFrame, dtype: str, blocks: int, width: int) -> np.n
     return out.ravel()
 
 
-__all__ = ["collect_blocks", "documents", "materialize", "partitions", "rank_in_group", "release", "shared_dir", "spread", "sum_blocks"]
+__all__ = ["HOT_KEYS", "collect_blocks", "documents", "lookup", "materialize", "partitions", "rank_in_group", "release", "shared_dir", "spread", "sum_blocks"]
