@@ -56,9 +56,10 @@ def shingle_sets(texts: list[bytes], hasher: Hasher, k: int, second: Hasher | No
     fingerprints of the same shingles in that family.
     """
     chunk = Chunk(texts)
-    doc, value = _windows(chunk, hasher.words(chunk), hasher, k)
+    words = hasher.words(chunk)
+    doc, value = _windows(chunk, words, hasher, k)
     order = np.lexsort((value, doc))
-    other = _windows(chunk, second.words(chunk), second, k)[1][order] if second else None
+    other = _windows(chunk, words, second, k)[1][order] if second else None
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
