@@ -1,20 +1,20 @@
 """Packing token pieces into sequences of fixed size by bulk-synchronous best fit.
 
-Pieces and gaps are held in size order. In a superstep, every unplaced piece asks for its successor: the smallest gap that
-takes it. Where several ask for one gap, rank decides (larger pieces first, then their order by hash), losers ask for
-the next larger gap; then gaps are updated and the next superstep begins. When nothing more fits, the largest pieces left
-open sequences.
-
-Sizes are whole numbers up to the capacity, so pieces of one length are interchangeable but for their rank, and so are
-gaps of one width. The sweep therefore runs over (length, count) and (width, count) classes, ``capacity`` rows at most at
-any input size, which Spark counts. The outcome, "ranks r to s of length l go to sequences q to q + s - r at offset o", goes
-back to the pieces, which Spark ranks within their length (a length that holds a third of all pieces is ranked by many tasks).
+In a superstep, pieces and gaps are range-sorted by size, a gap by the length of its successor: the largest piece that is left and fits.
+Each task sweeps its range from the largest piece down; a piece takes the smallest gap of the task that holds it, and of pieces
+that want one gap the higher rank (longer, then first in the range) has it. Gaps are updated, a gap that still holds a piece of
+the range stays in the sweep, and all others go into the next superstep with their new width. A size that a third of all
+pieces have is cut by a hash, of pieces and gaps alike, and each superstep cuts anew.
+
+Pieces over half a sequence open one. When a superstep places little, the largest pieces left open as many sequences as what is left needs. Once
+the rest is small enough for a single task, its sweep ends the packing. The driver sees counts by length and width alone.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize, rank_in_group, spread
+from .shared import documents, materialize, spread
 
 CAPACITY, END_ID = 1024, 2
+#: Pieces and gaps that one task sweeps.
+ROWS_A_TASK = 100_000
+#: A superstep that places less than this part of the pieces makes new sequences open.
+PROGRESS = 0.05
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -119,76 +123,120 @@ def _pieces(path: str, contract: str | None, capacity: int, end_id: int):
 
 
 def token_pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, size``: texts as token ids and an end id; longer ones in pieces, the first short."""
+    """``doc_id, piece, start, length, ids_crc32, size``: texts as token ids and an end id; longer ones in pieces, the first short.
+
+    A null or empty text is its end id alone; null ids and repeated rows give pieces of their own. A text of any length is encoded
+    whole, in one task, so it has to fit in a worker's memory several times. Other columns are ignored; an empty table gives an empty one.
+    """
     path = path or tokenizer_path()
     twin = Path(path).with_suffix(".json")
     return docs.select("doc_id", "text").mapInArrow(_pieces(path, str(twin) if twin.exists() else None, capacity, end_id), PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """``(length, first rank, first sequence, offset)``: each entry holds up to the next first rank of its length."""
-    left = {n: c for n, c in counts.items() if c}
-    ranks = dict.fromkeys(left, 0)
-    out: list[tuple[int, int, int, int]] = []
-    gaps: dict[int, list[list[int]]] = {}  # width -> runs of sequences [first, count]
-    opened = 0
-
-    def place(n: int, first: int, count: int, offset: int, into: dict[int, list[list[int]]]) -> None:
-        out.append((n, ranks[n], first, offset))
-        ranks[n] += count
-        left[n] -= count
-        if rest := capacity - offset - n:
-            into.setdefault(rest, []).append([first, count])
-
-    for n in sorted(left, reverse=True):
-        if 2 * n > capacity:
-            c = left[n]
-            place(n, opened, c, 0, gaps)
-            opened += c
-    while any(left.values()):
-        updated: dict[int, list[list[int]]] = {}
-        widths, moved = sorted(gaps), False
-        for n in sorted((n for n, c in left.items() if c), reverse=True):
-            at = bisect.bisect_left(widths, n)
-            while left[n] and at < len(widths):
-                runs = gaps[widths[at]]
-                while left[n] and runs:
-                    first, count = runs[-1]
-                    take = min(count, left[n])
-                    place(n, first, take, capacity - widths[at], updated)
-                    runs[-1] = [first + take, count - take]
-                    if take == count:
-                        runs.pop()
-                    moved = True
-                at += not runs
-        for width, runs in updated.items():
-            gaps.setdefault(width, []).extend(runs)
-        gaps = {w: r for w, r in gaps.items() if r}
-        if not moved:
-            n = max(n for n, c in left.items() if c)
-            new = -(-left[n] // (capacity // n))
-            place(n, opened, new, 0, gaps)
-            opened += new
-    return out
-
-
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+SWEPT = "what int, id bigint, sequence_id bigint, offset bigint, length bigint"
+PLACED, LEFT, GAP = 0, 1, 2
+
+
+def sweep(rows: Iterator[tuple[bool, int, int]], capacity: int, last: bool) -> Iterator[tuple[int, int, int | None, int | None, int]]:
+    """Best fit over ``(is a piece, id, length or width)``; rows come by falling size, gaps before pieces.
+
+    Gives ``(what, id, sequence, offset, length)``. With ``last``, a piece without a gap opens a sequence, else it is left.
+    """
+    widths: list[int] = []  # with a gap, ascending
+    gaps: dict[int, list[int]] = {}
+
+    def add(width: int, sequence: int) -> None:
+        if width not in gaps:
+            gaps[width] = []
+            bisect.insort(widths, width)
+        gaps[width].append(sequence)
+
+    for piece, ident, size in rows:
+        if not piece:
+            add(size, ident)
+            continue
+        at = bisect.bisect_left(widths, size)
+        if at < len(widths):
+            width = widths[at]
+            sequence = gaps[width].pop()
+            if not gaps[width]:
+                del gaps[width], widths[at]
+        elif last:
+            width, sequence = capacity, ident
+        else:
+            yield LEFT, ident, None, None, size
+            continue
+        yield PLACED, ident, sequence, capacity - width, size
+        if width > size:
+            add(width - size, sequence)
+    for width in widths:
+        for sequence in gaps[width]:
+            yield GAP, sequence, None, None, width
+
+
+def _swept(capacity: int, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p, i, n) for b in batches for p, i, n in zip(b.column("piece").to_pylist(), b.column("id").to_pylist(), b.column("length").to_pylist(), strict=True))
+        out = sweep(rows, capacity, last)
+        while part := list(itertools.islice(out, 1 << 14)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.int32()) for i, c in enumerate(zip(*part, strict=True))], names=["what", "id", "sequence_id", "offset", "length"])
+
+    return run
+
+
+def _opening(counts: dict[int, int], capacity: int, wanted: int) -> tuple[int, float]:
+    """``(length, part)``: longer pieces open sequences, and of those with just this length the part, ``wanted`` in all."""
+    for n in sorted(counts, reverse=True):
+        if counts[n] >= wanted:
+            return n, wanted / counts[n]
+        wanted -= counts[n]
+    return 0, 0.0
+
+
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id, piece, length`` (1 to ``capacity``).
 
-    Null ids are allowed, equal rows get places of their own, an empty table stays empty; further columns are carried.
-    ``pieces`` is read several times: pass a written table.
+    Null ids and repeated rows are pieces of their own, an empty table stays empty; further columns are carried, columns
+    of the two names are replaced. Which of equally long pieces goes where is open. ``pieces`` is read twice: pass a written table.
     """
     spark = pieces.sparkSession
-    counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    by: dict[int, list[tuple[int, int, int]]] = {n: [] for n in counts}
-    for n, rank, first, offset in plan(counts, capacity):
-        by[n].append((rank, first, offset))
-    table = spark.createDataFrame(list(by.items()), "_length bigint, _runs array<struct<rank:bigint,first:bigint,offset:bigint>>")
-    named = pieces.drop("sequence_id", "offset").select("doc_id", "piece", "length", spread("doc_id", "piece", seed=29).alias("_near"), F.struct("*").alias("_row"))
-    ranked = rank_in_group(named, ["length"], ["_near", "doc_id", "piece"], "_rank", total=sum(counts.values()))
-    run = F.element_at(F.filter("_runs", lambda x: x["rank"] <= F.col("_rank")), -1)
-    found = ranked.join(F.broadcast(table), F.col("length") == F.col("_length")).withColumn("_run", run)
-    return found.select("_row.*", (F.col("_run.first") + F.col("_rank") - F.col("_run.rank")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
+    named = materialize(pieces.drop("sequence_id", "offset").withColumn("_pid", F.monotonically_increasing_id()))
+    left = named.select(F.col("_pid").alias("id"), "length")
+    gaps = left.limit(0)
+    placed = spark.createDataFrame([], "id bigint, sequence_id bigint, offset bigint")
+    tally = lambda rows: {int(n): int(c) for n, c in rows.groupBy("length").count().collect()}  # noqa: E731  capacity rows at most
+    counts, widths, step = tally(left), {}, 0
+    stalled = True
+    while counts:
+        total = sum(counts.values())
+        tasks = max(1, -(-(total + sum(widths.values())) // rows_a_task))
+        if tasks > 1 and stalled:
+            need = -(-sum(n * c for n, c in counts.items()) // capacity)
+            halves = sum(c for n, c in counts.items() if 2 * n > capacity)
+            edge, part = _opening(counts, capacity, max(need, halves))
+            opens = (F.col("length") > edge) | ((F.col("length") == edge) & (spread("id", seed=step) < F.lit(int(part * 2**31))))
+            first = left.filter(opens)
+            placed = placed.unionByName(first.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            gaps = gaps.unionByName(first.select("id", (capacity - F.col("length")).alias("length")).filter("length > 0"))
+            left = left.filter(~opens)
+        # The successor of a gap: the largest piece that is left and fits. One row a width.
+        sizes = sorted(counts)
+        fits = [(w, sizes[bisect.bisect_right(sizes, w) - 1]) for w in range(sizes[0], capacity + 1)]
+        near = F.broadcast(spark.createDataFrame(fits, "length bigint, size bigint"))
+        rows = left.select(F.lit(True).alias("piece"), "id", "length", F.col("length").alias("size"))
+        rows = rows.unionByName(gaps.join(near, "length").select(F.lit(False).alias("piece"), "id", "length", "size"))
+        order = [F.desc("size"), F.asc("piece"), F.asc("length"), F.asc("id")]
+        if tasks > 1:
+            dealt = rows.withColumn("cut", spread("id", seed=1000 + step)).repartitionByRange(tasks, F.desc("size"), "cut")
+        else:
+            dealt = rows.repartition(1)
+        swept = materialize(dealt.sortWithinPartitions(*order).select("piece", "id", "length").mapInArrow(_swept(capacity, tasks == 1), SWEPT))
+        placed = placed.unionByName(swept.filter(F.col("what") == PLACED).select("id", "sequence_id", "offset"))
+        left, gaps = (swept.filter(F.col("what") == w).select("id", "length") for w in (LEFT, GAP))
+        counts, widths = tally(left), tally(gaps)
+        stalled = sum(counts.values()) > (1 - PROGRESS) * total
+        step += 1
+    return named.join(placed.withColumnRenamed("id", "_pid"), "_pid").drop("_pid")
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
