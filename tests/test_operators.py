@@ -123,7 +123,7 @@ def _trend(spark, rows):
     t = trends.Trend(recent_days=30, baseline_blocks=2)
     spans = trends.windows(rows, "day", t)
     grouped = rows.withColumn("dimension", F.lit("type")).withColumn("value", F.lit("flood"))
-    return spans, trends.findings(trends.arithmetic(trends.blocks(grouped, "day", spans), trends.coverage(rows, "day", spans), t), t)
+    return spans, trends.findings(trends.arithmetic(trends.blocks(grouped, "day", spans), trends.coverage(rows, "day", spans), t, trends.new_sources(grouped, "day", spans)), t)
 
 
 def test_trend_counts_events_not_reports(spark):

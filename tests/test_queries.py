@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from tidemark import queries as q
+from tidemark import catalogue as q
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def _rows(frame: pd.DataFrame, columns: list[str]) -> list[str]:
     return sorted(repr([plain(v) for v in r]) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(q.QUERIES))
+@pytest.mark.parametrize("name", sorted(q.SQL))
 def test_query(spark, connection, name):
     got, want = q.QUERIES[name](spark, SF).toPandas(), connection.sql(q.SQL[name]).df()
     columns = sorted(want.columns)

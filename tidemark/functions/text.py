@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +16,8 @@ def squeeze(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Trimmed, lower-cased, white space squeezed."""
-    return F.lower(squeeze(text))
+    """Trimmed, case-folded (a sharp s is two letters), white space squeezed."""
+    return F.replace(F.lower(squeeze(text)), F.lit("ß"), F.lit("ss"))
 
 
 def script(text: Column) -> Column:
@@ -23,9 +26,15 @@ def script(text: Column) -> Column:
     return F.when(tamil & latin, "mixed").when(tamil, "tamil").when(latin, "latin").otherwise("other")
 
 
+#: Every decimal digit of every script and the ASCII digit it stands for, by rule.
+DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
 def digit_runs(text: Column) -> Column:
-    """Distinct digit runs without leading zeros, in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)")), lambda d: F.regexp_replace(d, "^0+(?=.)", "")))
+    """Distinct runs of decimal digits of any script, as ASCII digits without leading zeros, in order of appearance."""
+    plain = F.translate(text, "".join(DIGITS), ASCII_DIGITS)
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit("([0-9]+)")), lambda d: F.regexp_replace(d, "^0+(?=.)", "")))
 
 
 def find_spans(text: Column, quote: Column) -> Column:
@@ -106,5 +115,6 @@ def date_precision(text: Column) -> Column:
 def contains_alias(text: Column, alias: Column) -> Column:
     """ASCII aliases at word edges, others anywhere; both sides folded."""
     ascii_only = ~alias.rlike(r"[^\x00-\x7F]")
-    edged = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), alias, F.lit(" ")))
+    bare = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
+    edged = bare(text).contains(bare(alias))
     return F.when(ascii_only, edged).otherwise(text.contains(alias))

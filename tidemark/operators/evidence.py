@@ -54,7 +54,7 @@ def rules() -> dict[str, Column]:
         "evidence_repeated": F.size(F.array_distinct(ids)) < F.size(ids),
         "dangling_reference": F.size(F.array_except(refs, ids)) > 0,
         "claim_without_evidence": F.exists("claims", lambda x: (x["review"] == "accepted") & (x["method"] != "source_metadata") & (F.size(x["evidence_ids"]) < 1)),
-        "claim_without_confidence": F.exists("claims", lambda x: (x["method"] == "language_model") & x["confidence"].isNull()),
+        "claim_without_confidence": F.exists("claims", lambda x: x["method"].isin("llm", "statistical") & x["confidence"].isNull()),
         "confidence_range": F.exists("claims", lambda x: x["confidence"].isNotNull() & ~x["confidence"].between(0, 1)),
         "half_coordinates": F.exists("locations", lambda p: p["latitude"].isNull() != p["longitude"].isNull()),
         "unresolved_coordinates": F.exists("locations", lambda p: p["latitude"].isNotNull() & (F.coalesce(p["resolution"], F.lit("")) != "resolved")),

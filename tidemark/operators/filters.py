@@ -58,9 +58,11 @@ def in_window(time: Column, since: dt.date | None, until: dt.date | None) -> Col
 
 
 def accepted_pool(incidents: DataFrame) -> DataFrame:
-    """Accepted incidents, the first row of each id."""
+    """Accepted incidents, one row an id: the one that was reported first (then the least record id)."""
     rows = incidents.filter((F.col("record_kind") == "incident") & (F.col("review") == "accepted"))
-    return rows.dropDuplicates(["incident_id"])
+    order = [F.asc_nulls_last("event_time"), F.asc("record_id")]
+    nth = F.row_number().over(Window.partitionBy("incident_id").orderBy(*order))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
 def attention(incidents: DataFrame) -> DataFrame:
@@ -75,6 +77,15 @@ def high_priority() -> Column:
     return F.coalesce(F.col("priority").isin("critical", "high"), F.lit(False)) | F.coalesce(F.col("severity").isin("critical", "high"), F.lit(False))
 
 
+def needs_review() -> Column:
+    """A document that isn't accepted, or that holds a claim that isn't."""
+    return (F.col("review") != "accepted") | F.exists("claims", lambda c: c["review"] != "accepted")
+
+
+def quotes() -> Column:
+    return F.array_join(F.transform("evidence", lambda e: e["quote"]), " ")
+
+
 def page(rows: DataFrame, number: int, size: int = 10) -> DataFrame:
     """A page of sorted rows; numbers past the end give the last page."""
     if number <= 1:

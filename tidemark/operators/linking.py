@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ids import event_id, link_id
-from ..functions.text import known
+from ..functions.text import effective_time, known
 from .components import connected_components
 
 PAIRS, GAP_DAYS, ACCEPTED = 5, 7, 0.8
 
 
+def effective() -> Column:
+    """``struct(when, basis)`` of a document: see :func:`tidemark.functions.text.effective_time`."""
+    return effective_time(F.col("event_time"), F.col("event_time_precision"), F.col("declared_event_time"), F.col("retrieved_at"))
+
+
 def signals(incidents: DataFrame, place: str = "taluk", person: str = "person") -> DataFrame:
     """``incident_id, record_id, reported_at, kind, value``: what two reports may share."""
     pairs = F.array(

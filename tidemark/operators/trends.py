@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import short_hash
+
 
 @dataclass(frozen=True)
 class Trend:
@@ -51,14 +53,37 @@ def dimensions(units: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def blocks(grouped: DataFrame, day: str, spans: DataFrame) -> DataFrame:
-    """``dimension, value, k, events, incidents, records, sources, source_ids``; all columns but the day are counted distinct."""
+    """``dimension, value, k, events, incidents, records, sources``; all columns but the day are counted distinct."""
     return in_windows(grouped, day, spans).groupBy("dimension", "value", "k").agg(
-        F.countDistinct("event_id").alias("events"), F.countDistinct("incident_id").alias("incidents"), F.countDistinct("record_id").alias("records"), F.countDistinct("source_id").alias("sources"), F.collect_set("source_id").alias("source_ids"),
+        F.countDistinct("event_id").alias("events"), F.countDistinct("incident_id").alias("incidents"), F.countDistinct("record_id").alias("records"), F.countDistinct("source_id").alias("sources"),
     )
 
 
-def arithmetic(block: DataFrame, pool: DataFrame, t: Trend) -> DataFrame:
-    """One row a pattern that passes the gate: enough recent events, and more than the baseline mean."""
+def new_sources(grouped: DataFrame, day: str, spans: DataFrame) -> DataFrame:
+    """``dimension, value, new_sources``: sources of the recent window that no baseline window of the pattern has."""
+    seen = in_windows(grouped, day, spans).groupBy("dimension", "value", "source_id").agg(F.max("k").alias("oldest"))
+    return seen.groupBy("dimension", "value").agg(F.count_if(F.col("oldest") == 0).alias("new_sources"))
+
+
+def named(trends: DataFrame, grouped: DataFrame, day: str, spans: DataFrame) -> DataFrame:
+    """Add ``trend_id``: of the pattern, its period and the set of its events.
+
+    The set goes in as its size and four sums of hash words, which any other set alters, so no task holds all ids of a pattern.
+    """
+    word = lambda i: F.sum(F.conv(F.substring(F.sha2("event_id", 256), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")
+    events = in_windows(grouped, day, spans).select("dimension", "value", "event_id").distinct()
+    sums = events.groupBy("dimension", "value").agg(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *map(word, range(4))).alias("_events"))
+    period = F.broadcast(spans.agg(F.min("since").cast("string").alias("_since"), F.max("until").cast("string").alias("_until")))
+    out = trends.join(sums, ["dimension", "value"]).crossJoin(period)  # period: one row
+    made = F.concat(F.lit("TRD-"), short_hash(F.concat_ws("|", "dimension", "value", "_since", "_until", "_events")))
+    return out.withColumn("trend_id", made).drop("_events", "_since", "_until")
+
+
+def arithmetic(block: DataFrame, pool: DataFrame, t: Trend, fresh: DataFrame) -> DataFrame:
+    """One row a pattern that passes the gate: enough recent events, and more than the baseline mean.
+
+    ``block``: :func:`blocks`; ``pool``: :func:`coverage`; ``fresh``: :func:`new_sources`.
+    """
     usable = F.broadcast(pool.agg(F.max("k").alias("usable"), F.max(F.when(F.col("k") == 0, F.col("pool_records"))).alias("pool_0"), F.sum(F.when(F.col("k") > 0, F.col("pool_records"))).alias("pool_base"), F.count_if((F.col("k") > 0) & (F.col("pool_records") > 0)).alias("pooled"), F.count_if(F.col("pool_records") == 0).alias("empty_windows")))
     base, now = F.col("k") > 0, F.col("k") == 0
     rows = block.join(F.broadcast(pool.select("k", "pool_records")), "k")
@@ -66,18 +91,17 @@ def arithmetic(block: DataFrame, pool: DataFrame, t: Trend) -> DataFrame:
     sums = rows.groupBy("dimension", "value").agg(
         total("events", now).alias("e0"), total("incidents", now).alias("i0"), total("events", base).alias("eb"), total("incidents", base).alias("ib"), F.coalesce(F.max(F.when(base, F.col("events"))), F.lit(0)).alias("baseline_max"),
         F.coalesce(F.sum(F.when(base & (F.col("pool_records") > 0), F.col("events") / F.col("pool_records"))), F.lit(0.0)).alias("shares"),
-        F.flatten(F.collect_list(F.when(now, F.col("source_ids")))).alias("_now"), F.flatten(F.collect_list(F.when(base, F.col("source_ids")))).alias("_then"),
     )
     mean = F.col("eb") / F.col("usable")
     share = F.col("shares") / F.col("pooled")
     r4 = lambda c: F.bround(c, 4)
-    gated = sums.crossJoin(usable).filter((F.col("e0") >= t.min_events) & ((mean == 0) | (F.col("e0") > mean)))  # usable: one row
+    gated = sums.join(fresh, ["dimension", "value"], "left").crossJoin(usable).filter((F.col("e0") >= t.min_events) & ((mean == 0) | (F.col("e0") > mean)))  # usable: one row
     return gated.select(
         "dimension", "value", F.col("e0").alias("recent_events"), F.col("i0").alias("recent_incidents"), r4(mean).alias("baseline_mean"), "baseline_max", r4(F.col("pool_base") / F.col("usable")).alias("pool_mean"),
         r4(F.col("e0") - mean).alias("change"), F.when(mean > 0, r4(F.col("e0") / mean)).alias("ratio"), r4(F.col("i0") / F.col("e0")).alias("per_event_recent"),
         F.when(F.col("eb") > 0, r4(F.col("ib") / F.col("eb"))).otherwise(0.0).alias("per_event_baseline"), F.when(F.col("pool_0") > 0, r4(F.col("e0") / F.col("pool_0"))).otherwise(0.0).alias("share_recent"),
         F.when(F.col("pooled") > 0, r4(share)).otherwise(0.0).alias("share_baseline"), F.when((share > 0) & (F.col("pool_0") > 0), r4(F.col("e0") / F.col("pool_0") / share)).alias("share_ratio"),
-        "empty_windows", F.size(F.array_except("_now", "_then")).cast("long").alias("new_sources"),
+        "empty_windows", F.coalesce("new_sources", F.lit(0)).alias("new_sources"),
     )
 
 
@@ -99,8 +123,27 @@ def findings(trends: DataFrame, t: Trend, *, deduplicated: bool = True, undecide
     return trends.withColumn("findings", found).withColumn("alert_eligible", F.size("findings") == 0)
 
 
+def evidence_findings(t: Trend, *, confidence: float = 0.8, quoted: int = 2) -> Column:
+    """What the evidence of a pattern lacks for an alert, in order.
+
+    Columns ``quoted_events`` (events with a quote of their own) and, of a reading if there was one, ``one_problem``,
+    ``reading_confidence`` (null without a reading) and ``cited_events``.
+    """
+    c = F.col
+    read = c("reading_confidence").isNotNull()
+    rules = [
+        (c("quoted_events") < max(quoted, t.min_events), "few quoted events"),
+        (read & (c("one_problem") == F.lit(False)), "different problems"),
+        (read & (c("reading_confidence") < confidence), "low confidence"),
+        (read & (c("cited_events") < quoted), "fewer than two cited"),
+    ]
+    return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
+
+
 def ranked(trends: DataFrame) -> DataFrame:
-    return trends.orderBy(F.desc(F.coalesce("ratio", F.lit(0.0))), F.desc("recent_events"), "dimension", "value")
+    """By ratio, then recent events, then id (without ids: dimension and value)."""
+    last = ["trend_id"] if "trend_id" in trends.columns else ["dimension", "value"]
+    return trends.orderBy(F.desc(F.coalesce("ratio", F.lit(0.0))), F.desc("recent_events"), *last)
 
 
 def compare(rows: DataFrame, day: str, days: int, area: str) -> DataFrame:
@@ -108,7 +151,6 @@ def compare(rows: DataFrame, day: str, days: int, area: str) -> DataFrame:
     anchor = F.broadcast(rows.agg(F.max(day).alias("anchor")))
     k = F.floor(F.datediff(F.col("anchor"), F.col(day)) / days)
     pair = rows.crossJoin(anchor).withColumn("k", k).filter("k IN (0, 1)")
-    seen = lambda i: F.collect_set(F.when(F.col("k") == i, F.col(area)))
-    out = pair.agg(F.count_if(F.col("k") == 0).alias("recent"), F.count_if(F.col("k") == 1).alias("before"), seen(0).alias("now"), seen(1).alias("then"))
-    text = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), "|")
-    return out.select("recent", "before", (F.col("recent") - F.col("before")).alias("change"), text("now", "then").alias("new_areas"), text("then", "now").alias("gone_areas"))
+    by_area = pair.groupBy(area).agg(F.count_if(F.col("k") == 0).alias("now"), F.count_if(F.col("k") == 1).alias("then"))
+    only = lambda a, b: F.array_join(F.array_sort(F.collect_list(F.when((F.col(a) > 0) & (F.col(b) == 0), F.col(area)))), "|")
+    return by_area.agg(F.sum("now").alias("recent"), F.sum("then").alias("before"), F.sum(F.col("now") - F.col("then")).alias("change"), only("now", "then").alias("new_areas"), only("then", "now").alias("gone_areas"))

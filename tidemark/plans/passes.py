@@ -5,29 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import known
 from ..operators import answers, filters, linking, recurrence, trends
 
 
-def link_pass(incidents: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(links, groups, units)``. ``decisions``: ``link_id, verdict, confidence, quotes_low, quotes_high`` of any reader."""
+def link_pass(incidents: DataFrame, decisions: DataFrame, *, only_place: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(links, groups, units)``. ``decisions``: ``link_id, verdict, confidence, quotes_low, quotes_high`` of any reader.
+
+    With ``only_place``, no conflict but a differing place speaks against a link.
+    """
     pool = filters.accepted_pool(incidents)
     pairs = linking.candidate_pairs(linking.signals(pool))
     side = lambda n: pool.select(F.col("incident_id").alias(f"{n}_id"), F.struct("event_time", "incident_type", "taluk").alias(n))
     drafts = pairs.join(decisions, "link_id").join(side("low"), "low_id").join(side("high"), "high_id").withColumn("conflicts", linking.conflicts("low", "high"))
+    if only_place:
+        drafts = drafts.withColumn("conflicts", F.array_intersect("conflicts", F.array(F.lit("place"))))
     links = linking.decide(drafts).drop("low", "high")
     groups = linking.event_groups(pool, links)
     return links, groups, linking.event_units(pool, groups)
 
 
-def trend_pass(incidents: DataFrame, records: DataFrame, t: trends.Trend, keep: filters.Filters | None = None) -> DataFrame:
-    """Ranked patterns with findings. Coverage counts all records, whatever the filters keep."""
+PATTERNS = ["category", "incident_type", "place"]
+
+
+def event_rows(pool: DataFrame, groups: DataFrame, t: trends.Trend) -> tuple[DataFrame, DataFrame]:
+    """``(spans, grouped)``: windows over the events' days, and one row a report and pattern with its event.
+
+    An event is dated by its earliest report, so all its reports fall in one window.
+    """
+    first = pool.join(groups.select("incident_id", "event_id"), "incident_id")
+    days = first.groupBy("event_id").agg(F.to_date(F.min("event_time")).alias("day"))
+    rows = first.join(days, "event_id").select("event_id", "incident_id", "record_id", "source_id", "day", "category", F.when(known(F.col("incident_type")), F.col("incident_type")).alias("incident_type"), "taluk")
+    grouped = trends.dimensions(rows, {"category": F.array_compact(F.array("category")), "incident_type": F.array_compact(F.array("incident_type")), "place": F.array_compact(F.array(F.concat(F.lit("taluk:"), "taluk")))})
+    return trends.windows(days, "day", t), grouped
+
+
+def trend_pass(incidents: DataFrame, records: DataFrame, t: trends.Trend, keep: filters.Filters | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Ranked patterns with findings and ids. Events are counted, not reports: ``groups`` (:func:`linking.event_groups`)
+    says which reports are one event; without it each report is an event of its own, which is a finding of every pattern. Coverage counts all
+    records, whatever the filters keep.
+    """
     pool = filters.accepted_pool(incidents)
-    rows = (pool.filter(keep.keeps()) if keep else pool).withColumn("day", F.to_date("event_time")).withColumn("event_id", F.col("incident_id"))
-    spans = trends.windows(rows, "day", t)
-    pool_counts = trends.coverage(records, "day", spans)
-    grouped = trends.dimensions(rows.select("event_id", "incident_id", "record_id", "source_id", "day", "category", "incident_type", "taluk"), {"category": F.array("category"), "incident_type": F.array("incident_type"), "place": F.array(F.concat(F.lit("taluk:"), "taluk"))})
+    pool = pool.filter(keep.keeps()) if keep else pool
+    told = groups if groups is not None else pool.select("incident_id", F.col("incident_id").alias("event_id"))
+    spans, grouped = event_rows(pool, told, t)
     block = trends.blocks(grouped, "day", spans)
-    return trends.ranked(trends.findings(trends.arithmetic(block, pool_counts, t), t))
+    found = trends.findings(trends.arithmetic(block, trends.coverage(records, "day", spans), t, trends.new_sources(grouped, "day", spans)), t)
+    if groups is None:
+        found = found.withColumn("findings", F.concat(F.array(F.lit("not_deduplicated")), "findings")).withColumn("alert_eligible", F.lit(False))
+    return trends.ranked(trends.named(found, grouped, "day", spans))
 
 
 def recurrence_pass(units: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,39 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.ids import article_id
 from .operators import answers, checks, evidence, filters, geo, linking, normalize, recurrence, state, trends
 from .plans import passes
+from .registering import query
 from .sources import captures, views
 from .sources.views import INCIDENTS_SQL, PRICES_SQL, RECORDS_SQL
 from .streaming import windows as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *ctes: str, recursive: bool = False):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + sql
-        return f
-
-    return register
-
-
-
-
 def rows_n():
     return F.count(F.lit(1))
 
+
 TREND = trends.Trend(recent_days=30, baseline_blocks=3)
 POOL_SQL = INCIDENTS_SQL + ", pool AS (SELECT * FROM incidents WHERE record_kind = 'incident' AND review = 'accepted')"
 
@@ -172,12 +155,12 @@ def dimension_groups(spark, d):
 @query("SELECT dimension, value, k::INTEGER AS k, events, incidents, records, sources FROM block", *TREND_CTES[:4])
 def trend_blocks(spark, d):
     _, spans, grouped = _trend_parts(spark, d)
-    return trends.blocks(grouped, "day", spans).drop("source_ids")
+    return trends.blocks(grouped, "day", spans)
 
 
 def _arithmetic(spark, d):
     every, spans, grouped = _trend_parts(spark, d)
-    return trends.arithmetic(trends.blocks(grouped, "day", spans), trends.coverage(every, "day", spans), TREND)
+    return trends.arithmetic(trends.blocks(grouped, "day", spans), trends.coverage(every, "day", spans), TREND, trends.new_sources(grouped, "day", spans))
 
 
 @query("SELECT * FROM arith", *TREND_CTES)
@@ -192,8 +175,8 @@ def trend_findings(spark, d):
 
 @query("SELECT dimension, value, ratio, recent_events, findings FROM found ORDER BY coalesce(ratio, 0) DESC, recent_events DESC, dimension, value LIMIT 6", *TREND_CTES)
 def trend_rank(spark, d):
-    every = views.incidents(spark, d).withColumn("day", F.to_date("event_time"))
-    return passes.trend_pass(every, every, TREND).limit(6).select("dimension", "value", "ratio", "recent_events", F.array_join("findings", "|").alias("findings"))
+    ranked = trends.ranked(trends.findings(_arithmetic(spark, d), TREND))
+    return ranked.limit(6).select("dimension", "value", "ratio", "recent_events", F.array_join("findings", "|").alias("findings"))
 
 
 @query(
@@ -218,7 +201,7 @@ def briefing_measure(spark, d):
     return passes.briefing_pass(views.incidents(spark, d), 30)[0]
 
 
-PAIRS_SQL = """sig AS (SELECT incident_id AS id, record_id AS rec, epoch(event_time)::BIGINT AS t, unnest([{'kind': 'type', 'value': CASE WHEN incident_type NOT IN ('unresolved', 'other', 'unknown') THEN incident_type END}, {'kind': 'category', 'value': category}, {'kind': 'place', 'value': taluk}, {'kind': 'person', 'value': person}], recursive := true) FROM pool WHERE event_time >= TIMESTAMP '2001-01-01'),
+PAIRS_SQL = """sig AS (SELECT incident_id AS id, record_id AS rec, epoch(event_time)::BIGINT AS t, unnest([{'kind': 'type', 'value': CASE WHEN incident_type NOT IN ('unresolved', 'other', 'unknown') THEN incident_type END}, {'kind': 'category', 'value': category}, {'kind': 'place', 'value': taluk}, {'kind': 'person', 'value': person}], recursive := true) FROM pool),
   pr AS (SELECT a.id AS a, b.id AS b, count(*) AS n, any_value(abs(a.t - b.t)) AS gap, 'LNK-' || substr(sha256(a.id || '|' || b.id), 1, 16) AS link FROM sig AS a JOIN sig AS b ON a.kind = b.kind AND a.value = b.value AND a.id < b.id AND a.rec <> b.rec AND abs(a.t - b.t) <= 604800 GROUP BY a.id, b.id),
   ends AS (SELECT a AS e, * FROM pr UNION ALL SELECT b AS e, * FROM pr),
   best AS (SELECT DISTINCT a, b, n, gap, link FROM (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY e ORDER BY n DESC, gap, link) <= 5))"""
@@ -255,8 +238,7 @@ def _groups(spark, d):
 
 
 COMPONENT_SQL = """edge AS (SELECT a, b FROM drafts WHERE n >= 2 AND conflicts NOT LIKE '%place%' UNION SELECT b, a FROM drafts WHERE n >= 2 AND conflicts NOT LIKE '%place%'),
-  young AS (SELECT * FROM pool WHERE event_time >= TIMESTAMP '2001-01-01'),
-  reach(v, w) AS (SELECT incident_id, incident_id FROM young UNION SELECT v, edge.b FROM reach JOIN edge ON w = edge.a),
+  reach(v, w) AS (SELECT incident_id, incident_id FROM pool UNION SELECT v, edge.b FROM reach JOIN edge ON w = edge.a),
   root AS (SELECT v, min(w) AS root FROM reach GROUP BY v),
   ev AS (SELECT root, 'EVT-' || substr(sha256(string_agg(v, '|' ORDER BY v)), 1, 16) AS event_id, count(*) AS size FROM root GROUP BY root)"""
 
@@ -267,7 +249,7 @@ def event_components(spark, d):
 
 
 @query("""SELECT event_id, min(event_time)::DATE AS day, count(*) AS incidents, coalesce(string_agg(DISTINCT category, '|' ORDER BY category), '') AS categories, coalesce(string_agg(DISTINCT taluk, '|' ORDER BY taluk), '') AS taluks
-  FROM young JOIN root ON incident_id = v JOIN ev ON root.root = ev.root GROUP BY event_id""", POOL_SQL, PAIRS_SQL, CONFLICT_SQL, COMPONENT_SQL, recursive=True)
+  FROM pool JOIN root ON incident_id = v JOIN ev ON root.root = ev.root GROUP BY event_id""", POOL_SQL, PAIRS_SQL, CONFLICT_SQL, COMPONENT_SQL, recursive=True)
 def event_units(spark, d):
     units = linking.event_units(*_groups(spark, d))
     return units.select("event_id", F.to_date("when").alias("day"), "incidents", F.array_join("categories", "|").alias("categories"), F.array_join("taluks", "|").alias("taluks"))
@@ -278,11 +260,7 @@ def _single_units(spark, d):
     return pool.select(F.col("incident_id").alias("event_id"), F.col("event_time").alias("when"), F.array_compact(F.array(F.when(X.known(F.col("incident_type")), F.col("incident_type")))).alias("types"), F.array("category").alias("categories"), F.array("taluk").alias("taluks"), F.array("district").alias("districts"))
 
 
-@query(
-    """SELECT 'BKT-' || substr(sha256(string_agg(e, '|' ORDER BY e)), 1, 16) AS bucket_id, max(size) AS size, greatest(max(size) - 8, 0) AS truncated, string_agg(e, '|' ORDER BY e) AS event_ids FROM (
-  SELECT *, row_number() OVER (PARTITION BY root ORDER BY t DESC NULLS LAST, e DESC) AS n, count(*) OVER (PARTITION BY root) AS size FROM member) WHERE n <= 8 AND size >= 2 GROUP BY root""",
-    POOL_SQL,
-    """k AS (SELECT incident_id AS e, event_time AS t, unnest(['taluk:' || lower(taluk), 'district:' || lower(district)]) AS place, incident_type, category FROM pool),
+BUCKET_SQL = """k AS (SELECT incident_id AS e, event_time AS t, unnest(['taluk:' || lower(taluk), 'district:' || lower(district)]) AS place, incident_type, category FROM pool),
   kp AS (SELECT DISTINCT e, t, 'P' || place || '/' || problem AS key FROM k, unnest(list_filter([CASE WHEN incident_type <> 'unresolved' THEN 'type:' || incident_type END, 'category:' || category], lambda x: x IS NOT NULL)) AS u(problem)),
   pairs AS (SELECT min(e) OVER (PARTITION BY key) AS x, e AS y FROM kp),
   lbl AS (SELECT e, min(x) AS l1 FROM (SELECT y AS e, x FROM pairs UNION ALL SELECT x, y FROM pairs) GROUP BY e),
@@ -290,7 +268,14 @@ def _single_units(spark, d):
   both_hop AS (SELECT x, y FROM hop UNION SELECT y, x FROM hop),
   rr(v, w) AS (SELECT DISTINCT x, x FROM both_hop UNION SELECT v, y FROM rr JOIN both_hop ON w = x),
   top AS (SELECT v, min(w) AS root FROM rr GROUP BY v),
-  member AS (SELECT DISTINCT kp.e, kp.t, root FROM kp JOIN lbl ON kp.e = lbl.e JOIN top ON lbl.l1 = top.v)""",
+  member AS (SELECT DISTINCT kp.e, kp.t, root FROM kp JOIN lbl ON kp.e = lbl.e JOIN top ON lbl.l1 = top.v)"""
+
+
+@query(
+    """SELECT 'BKT-' || substr(sha256(string_agg(e, '|' ORDER BY e)), 1, 16) AS bucket_id, max(size) AS size, greatest(max(size) - 8, 0) AS truncated, string_agg(e, '|' ORDER BY e) AS event_ids FROM (
+  SELECT *, row_number() OVER (PARTITION BY root ORDER BY t DESC NULLS LAST, e DESC) AS n, count(*) OVER (PARTITION BY root) AS size FROM member) WHERE n <= 8 AND size >= 2 GROUP BY root""",
+    POOL_SQL,
+    BUCKET_SQL,
     recursive=True,
 )
 def recurrence_buckets(spark, d):
@@ -561,11 +546,44 @@ def search_newest(spark, d):
     return answers.search(pool, filters.Filters(category="FURNITURE").keeps(), "event_time", days=90).select("incident_id", F.to_date("event_time").alias("day"))
 
 
-@query("SELECT rule, 0::BIGINT AS rows FROM (VALUES ('few_events'), ('no_rise'), ('ratio_presence'), ('mean_over_max'), ('negative'), ('eligible_with_findings')) AS t(rule)")
+@query("""SELECT rule, rows FROM (SELECT unnest([{'rule': 'few_events', 'rows': count_if(dimension = 'place')}, {'rule': 'no_rise', 'rows': count_if(dimension = 'place' AND baseline_mean >= 1)},
+  {'rule': 'ratio_presence', 'rows': count_if(dimension = 'category' AND baseline_mean > 0)}, {'rule': 'mean_over_max', 'rows': count_if(dimension = 'category' AND baseline_mean > 0)},
+  {'rule': 'negative', 'rows': count_if(dimension = 'incident_type')}, {'rule': 'eligible_with_findings', 'rows': count_if(dimension = 'incident_type' AND findings <> '')}], recursive := true) FROM found)""", *TREND_CTES)
 def trend_rule_violations(spark, d):
-    return checks.violations(trends.findings(_arithmetic(spark, d), TREND), checks.trend_rules())
+    """The rules over rows with faults put in by dimension."""
+    rows = trends.findings(_arithmetic(spark, d), TREND)
+    place, category, kind = (F.col("dimension") == x for x in ("place", "category", "incident_type"))
+    rows = rows.withColumn("recent_events", F.when(place, 1).otherwise(F.col("recent_events"))).withColumn("new_sources", F.when(kind, -1).otherwise(F.col("new_sources")))
+    rows = rows.withColumn("ratio", F.when(~category, F.col("ratio"))).withColumn("baseline_max", F.when(category, 0).otherwise(F.col("baseline_max")))
+    return checks.violations(rows.withColumn("alert_eligible", kind | F.col("alert_eligible")), checks.trend_rules())
 
 
-@query("SELECT rule, 0::BIGINT AS rows FROM (VALUES ('size'), ('shown'), ('truncated'), ('repeated')) AS t(rule)")
+@query("""SELECT rule, CASE WHEN rule IN ('truncated', 'repeated') THEN n ELSE 0 END AS rows FROM (SELECT count(*) AS n FROM (SELECT root FROM member GROUP BY root HAVING count(DISTINCT e) >= 2)),
+  (VALUES ('size'), ('shown'), ('truncated'), ('repeated')) AS t(rule)""", POOL_SQL, BUCKET_SQL, recursive=True)
 def family_rule_violations(spark, d):
-    return checks.violations(recurrence.buckets(_single_units(spark, d)), checks.family_rules())
+    """The rules over buckets with a wrong count of what isn't shown and an event that is shown twice."""
+    rows = recurrence.buckets(_single_units(spark, d)).withColumn("truncated", F.col("truncated") + 1)
+    twice = F.concat(F.slice("event_ids", 1, F.size("event_ids") - 1), F.slice("event_ids", 1, 1))
+    return checks.violations(rows.withColumn("event_ids", twice), checks.family_rules())
+
+
+@query("""SELECT rule, rows FROM (SELECT unnest([{'rule': 'order', 'rows': count_if(k = 0)}, {'rule': 'id', 'rows': count_if(k = 0)}, {'rule': 'accepted_without_confidence', 'rows': count_if(k = 1)},
+  {'rule': 'accepted_without_quotes', 'rows': count_if(k = 2)}, {'rule': 'accepted_with_conflict', 'rows': count_if(k = 3)}, {'rule': 'accepted_undetermined', 'rows': count_if(k = 4)}], recursive := true)
+  FROM (SELECT ascii(substr(link, 5)) % 6 AS k FROM best))""", POOL_SQL, PAIRS_SQL)
+def link_rule_violations(spark, d):
+    """The rules over accepted links with one fault each, by their id; one in six has none."""
+    k = F.ascii(F.substring("link_id", 5, 1)) % 6
+    pairs = linking.candidate_pairs(linking.signals(filters.accepted_pool(views.incidents(spark, d))))
+    rows = pairs.select(
+        F.when(k == 0, F.col("high_id")).otherwise(F.col("low_id")).alias("low_id"), F.when(k == 0, F.col("low_id")).otherwise(F.col("high_id")).alias("high_id"), "link_id", F.lit(True).alias("accepted"),
+        F.when(k == 4, "undetermined").otherwise("same_event").alias("verdict"), F.when(k == 1, 0.5).otherwise(0.9).alias("confidence"), F.when(k == 2, 0).otherwise(1).alias("quotes_low"), F.lit(1).alias("quotes_high"),
+        F.when(k == 3, F.array(F.lit("day"))).otherwise(F.array().cast("array<string>")).alias("conflicts"),
+    )
+    return checks.violations(rows, checks.link_rules())
+
+
+@query("""SELECT quote_id, any_value(field_id) AS field_id FROM (SELECT *, max(share) OVER (PARTITION BY quote_id) AS top FROM (SELECT d.doc_id AS field_id, b.item_id AS quote_id, length(b.text) / length(d.text) AS share
+    FROM documents AS d JOIN benchmark AS b ON contains(d.text, b.text) AND NOT contains(substr(d.text, strpos(d.text, b.text) + 1), b.text))) WHERE share = top GROUP BY quote_id HAVING count(*) = 1""")
+def quote_unique_field(spark, d):
+    fields, quotes = views.table(spark, d, "documents").select(F.col("doc_id").alias("field_id"), "text"), views.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return evidence.unique_field(fields, quotes)

@@ -35,6 +35,19 @@ def table_rows(pages: DataFrame, *, cells: int = 7, header: str = "Date") -> Dat
     return each.filter((F.size("cells") >= cells) & (F.col("cells")[0] != header) & F.col("cells")[0].contains("-"))
 
 
+def forecast_rows(pages: DataFrame, *, heading: str, cells: int = 7) -> DataFrame:
+    """``page_id, row, day, values`` of the first table below a heading: the day's cell, the others as numbers or null."""
+    below = F.regexp_extract("html", rf"(?s)\Q{heading}\E.*?<table[^>]*>(.*?)</table>", 1)
+    rows = table_rows(pages.select("page_id", below.alias("html")), cells=cells)
+    numbers = F.transform(F.slice("cells", F.lit(2), F.size("cells") - 1), lambda c: c.try_cast("double"))
+    return rows.select("page_id", "row", F.col("cells")[0].alias("day"), numbers.alias("values"))
+
+
+def added_line(pages: DataFrame) -> DataFrame:
+    """``page_id, added``: the first text of a page that says when it was added."""
+    return pages.select("page_id", F.nullif(F.regexp_extract(strip_tags(F.col("html")), r"(ADDED\s*:[^<]{5,40}?(?:AM|PM|am|pm))", 1), F.lit("")).alias("added"))
+
+
 def json_measures(rows: DataFrame, column: str) -> DataFrame:
     """A JSON object of numbers as rows ``record_id, name, measure``; values that are no numbers are null."""
     pairs = F.from_json(column, "map<string,string>")

@@ -43,7 +43,50 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same view for DuckDB.
+def incident_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents as nested documents (:data:`tidemark.schema.INCIDENT`): two places, a person, two claims and two pieces of
+    evidence each. Some break the contract on purpose: a quote is missing, a reference dangles, a coordinate is given too early.
+    """
+    c, none = F.col, F.lit(None)
+    row = incidents(spark, sf_dir)
+    cited, meta = F.concat(F.lit("ev-"), "record_id", F.lit("-1")), F.concat(F.lit("ev-"), "record_id", F.lit("-2"))
+    settled = F.coalesce(c("priority") == "critical", F.lit(False))
+    known = F.when(settled, F.concat(F.lit("P"), F.substring("taluk", 8, 9)))
+    state = F.when(settled, "resolved").otherwise("pending_gis")
+
+    def place(kind: str, name: str, role, review, canonical, latitude, longitude, resolution):
+        fields = {"text": c(name), "normalized_name": F.lower(name), "location_type": F.lit(kind), "role": role, "district": c("district"), "taluk": c("taluk") if kind == "taluk" else none.cast("string")}
+        fields |= {"block": none.cast("string"), "village": none.cast("string"), "review": review, "latitude": latitude, "longitude": longitude, "resolution": resolution, "canonical_id": canonical, "evidence_ids": F.array(meta)}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    early = c("weight") > 350000
+    taluk = place(
+        "taluk", "taluk", F.when(c("event_status") == "resolved", "mentioned_only").otherwise("event_location"), F.when(c("severity") == "low", "review_required").otherwise("accepted"),
+        known, F.when(settled | early, F.lit(9.9)), F.when(settled, F.lit(78.1)), state,
+    )
+    district = place("district", "district", F.lit("event_container"), F.lit("accepted"), none.cast("string"), none.cast("double"), none.cast("double"), F.lit("pending_gis"))
+    person = F.struct(c("person").alias("text"), F.lower("person").alias("normalized_name"), F.lit("person").alias("entity_type"), F.when(c("weight") > 100000, "accepted").otherwise("review_required").alias("review"), F.array(cited).alias("evidence_ids"))
+    reference = F.when(c("weight") > 300000, F.lit("ev-none")).otherwise(cited)
+    confidence = F.when(c("priority").isNotNull(), F.lit(0.9))
+    claim = lambda field, value, review, ids: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit("llm").alias("method"), confidence.alias("confidence"), review.alias("review"), ids.alias("evidence_ids"))
+    claims = F.array(
+        claim("incident_type", c("incident_type"), F.lit("accepted"), F.array(reference)),
+        claim("event_status", c("event_status"), F.when(c("event_status") == "under_investigation", "review_required").otherwise("accepted"), F.when(c("severity") == "moderate", F.array().cast("array<string>")).otherwise(F.array(cited))),
+    )
+    quote = F.when(~((c("record_kind") == "forecast") & settled), c("category"))
+    evidence = lambda key, field, method, text, size: F.struct(key.alias("evidence_id"), c("record_id"), F.lit(field).alias("field"), F.lit(method).alias("method"), text.alias("quote"), F.when(size.isNotNull(), F.lit(0)).alias("char_start"), size.alias("char_end"), F.when(size.isNotNull(), F.sha2(c("category"), 256)).alias("text_hash"))
+    size = F.length("category") + F.when(c("severity") == "unresolved", 1).otherwise(0)
+    stamp = c("event_time")
+    return row.select(
+        "incident_id", "record_id", "source_id", F.concat(F.lit("https://example.org/"), "record_id").alias("source_url"), "record_kind", "review", "incident_type", "category", none.cast("string").alias("department"),
+        "severity", "priority", "event_status", F.when(c("severity") != "low", stamp).alias("event_time"), F.when(c("severity") == "moderate", "month").otherwise("day").alias("event_time_precision"),
+        F.when(c("event_status") == "ongoing", stamp - F.expr("INTERVAL 40 DAYS")).alias("declared_event_time"), (stamp + F.expr("INTERVAL 1 DAY")).alias("retrieved_at"), c("district").alias("district_hint"), none.cast("string").alias("state_hint"),
+        F.array(taluk, district).alias("locations"), F.array(person).alias("entities"), claims.alias("claims"),
+        F.array(evidence(cited, "title", "llm", quote, size), evidence(meta, "data.taluk", "source_metadata", none.cast("string"), none.cast("int"))).alias("evidence"),
+    )
+
+
+#: The flat view of incidents for DuckDB.
 INCIDENTS_SQL = """
 incidents AS (
   SELECT 'INC-' || lpad(o_orderkey::VARCHAR, 9, '0') AS incident_id, o_orderkey::VARCHAR AS record_id, 'SRC-' || o_custkey::VARCHAR AS source_id,
