@@ -120,19 +120,30 @@ def _members(k: int, percent: int, frequency):
     return run
 
 
+def _linked(values: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs link, of sets one after another: all left ones, then all right ones."""
+    n = len(sizes) // 2
+    pair = np.repeat(np.arange(2 * n) % n, sizes)
+    order = np.lexsort((values, pair))
+    v, p = values[order], pair[order]
+    shared = np.bincount(p[1:][(v[1:] == v[:-1]) & (p[1:] == p[:-1])], minlength=n)
+    return 100 * shared >= percent * (sizes[:n] + sizes[n:] - shared)
+
+
 def _verified(k: int, percent: int):
+    """Pairs whose fingerprints say that they link are compared by their words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(3, lower=True)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                both = [t.encode() for t in part.column("left_text").to_pylist()] + [t.encode() for t in part.column("right_text").to_pylist()]
-                values, sizes = exact_shingles(both, k)
-                ends, n, keep = np.cumsum(sizes), part.num_rows, []
-                for i in range(n):
-                    x, y = values[ends[i] - sizes[i] : ends[i]], values[ends[n + i] - sizes[n + i] : ends[n + i]]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield part.select(["left", "right"]).filter(pa.array(keep, pa.bool_()))
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                for check in (lambda texts: shingle_sets(texts, hasher, k)[:2], lambda texts: exact_shingles(texts, k)):
+                    both = [t.encode() for side in ("left_text", "right_text") for t in part.column(side).to_pylist()]
+                    part = part.filter(pa.array(_linked(*check(both), percent), pa.bool_()))
+                    if not part.num_rows:
+                        break
+                yield part.select(["left", "right"])
 
     return run
 

@@ -4,7 +4,7 @@ A paragraph is a line of a text, or consecutive lines up to a blank one; long on
 sizes, and so are the words of a wrapped paragraph across its line breaks. Its features are hashed word 1-, 2- and
 3-grams. A multinomial logistic regression over licence families and "no licence" is fitted on variants of the templates
 below (words dropped and put in, names and years set) and on a bounded sample of the table's own lines; a temperature and
-the probability from which a family is believed are calibrated on held-out variants. A paragraph that is no plain text but
+the probability from which a family is believed are calibrated by a fit that has not seen one notice of each family. A paragraph that is no plain text but
 whose family is not believed, or whose words do not bear out any template of it, is of family ``unknown`` if it shares a
 quarter of a template's word pairs or has a word of licences (``LEGAL``); other windows that are no plain text are junk.
 """
@@ -48,10 +48,11 @@ CLASSES = [NONE, *TEMPLATES]
 FEATURES, GRAMS = 1 << 15, 3
 LONG, STRIDE = 64, 32  # words in a window of a long line, and from one to the next
 SHORT, STEP, SHORT_LINE = 12, 4, 16  # the same for notices inside longer text; lines up to SHORT_LINE words are read once
-#: Lines of the table that stand for plain text in the fit, at most, and the texts they come from.
+#: Windows of lines that stand for plain text in the fit, at most, and the texts of the table that they come from.
 PLAIN_LINES, PLAIN_TEXTS = 1500, 400
 VARIANTS, ROUNDS, RATE, DECAY = 24, 80, 2.0, 1e-5
 CONFIRMED = 0.6  # of a template's word pairs
+HELD_NOTICE = 1  # of each family, for the calibration
 
 _CLEAN = bytes((c + 32 if 65 <= c < 91 else c) if 97 <= c < 123 or 65 <= c < 91 or 48 <= c < 58 or c >= 128 or c == 10 else 32 for c in range(256))
 
@@ -136,40 +137,45 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
+def _fit(full: "Paragraphs", y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Weights by feature and class, from the windows that ``used`` marks: logistic regression, plain and other windows of equal weight."""
+    row, col, value = full.sparse()
+    keep = used[row]
+    row, col, value = row[keep], col[keep], value[keep]
+    target = np.eye(len(CLASSES))[y]
+    weight_of = np.where(y == 0, len(y) / (2 * max(1, (y == 0).sum())), len(y) / (2 * max(1, (y > 0).sum()))) / max(1, used.sum())
+    w, speed = np.zeros((FEATURES, len(CLASSES))), np.zeros((FEATURES, 1))
+    cells, where = np.unique(col, return_inverse=True)
+    for _ in range(ROUNDS):
+        off = (_softmax(_gather(row, len(y), w[col] * value[:, None])) - target) * weight_of[:, None]
+        g = _gather(where, len(cells), off[row] * value[:, None]) + DECAY * w[cells]
+        speed[cells] += (g**2).sum(1, keepdims=True)
+        w[cells] -= RATE * g / np.sqrt(speed[cells] + 1e-12)
+    return w.astype(np.float32)
+
+
 class Model:
     """Weights, temperature, the least probability of a believed family and the templates' word pairs."""
 
     def __init__(self, plain: list[str], seed: int = 5):
         rng, hasher = np.random.default_rng(seed), Hasher(31)
         texts, y = list(plain) + PLAIN * 20, [0] * (len(plain) + 20 * len(PLAIN))
-        filler = " ".join(texts).split()
+        filler, notice = " ".join(texts).split(), [-1] * len(texts)
         for family, templates in TEMPLATES.items():
-            for t in templates:
+            for i, t in enumerate(templates):
                 own = [" ".join(v.split()[:LONG]) for v in variants(rng, t, filler)]
-                texts, y = texts + own, y + [CLASSES.index(family)] * len(own)
-        texts, y = [t.replace("\n", " ") for t in texts], np.array(y)
-        full = Paragraphs([t.encode() for t in texts], hasher, fine=False)
-        row, col, value = full.sparse()
-        y = y[full.doc]
-        held = rng.random(len(y)) < 0.2
-        used, target = ~held[row], np.eye(len(CLASSES))[y]
-        weight_of = np.where(y == 0, len(y) / (2 * max(1, (y == 0).sum())), len(y) / (2 * max(1, (y > 0).sum())))
-        w, speed = np.zeros((FEATURES, len(CLASSES))), np.zeros((FEATURES, 1))
-        cells, where = np.unique(col, return_inverse=True)
-        for _ in range(ROUNDS):
-            logit = _gather(row, len(y), w[col] * value[:, None])
-            off = (_softmax(logit) - target) * (weight_of / (~held).sum())[:, None]
-            g = _gather(where[used], len(cells), off[row[used]] * value[used, None]) + DECAY * w[cells]
-            speed[cells] += (g**2).sum(1, keepdims=True)
-            w[cells] -= RATE * g / np.sqrt(speed[cells] + 1e-12)
-        self.weights = w.astype(np.float32)
-        logit = full.logits(self.weights)[held]
-        grid = np.geomspace(0.2, 5, 41)
-        pick = np.arange(held.sum()), y[held]
+                texts, y, notice = texts + own, y + [CLASSES.index(family)] * len(own), notice + [i] * len(own)
+        full = Paragraphs([t.replace("\n", " ").encode() for t in texts], hasher, fine=False)
+        y, notice = np.array(y)[full.doc], np.array(notice)[full.doc]
+        # Temperature and cutoff come of notices whose family the weights know by its other notices alone, and of other plain text.
+        held = np.where(notice < 0, rng.random(len(y)) < 0.2, notice == HELD_NOTICE)
+        logit = full.logits(_fit(full, y, ~held))[held]
+        grid, pick = np.geomspace(0.2, 5, 41), (np.arange(held.sum()), y[held])
         self.temperature = float(grid[int(np.argmin([-np.log(_softmax(logit / t)[pick] + 1e-12).mean() for t in grid]))])
         p = _softmax(logit / self.temperature)
         right = (p.argmax(1) == y[held]) & (y[held] > 0)
-        self.believed = float(max(0.5, np.quantile(p.max(1)[right], 0.01))) if right.any() else 1.0
+        self.believed = float(max(0.5, np.quantile(p.max(1)[right], 0.01))) if right.any() else 0.5
+        self.weights = _fit(full, y, np.ones(len(y), bool))
         self.legal = set(Paragraphs([" ".join(LEGAL).encode()], hasher, fine=False).words.tolist())
         self.pairs = {f: [_pairs(Paragraphs([t.encode()], hasher)) for t in ts] for f, ts in TEMPLATES.items()}
 
@@ -251,11 +257,15 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): ``n_lines`` with words, ``n_licence`` of them with a licence notice, the sorted
     distinct ``families`` (``unknown`` among them) and the highest ``probability``.
 
-    Whole texts are read. Null and empty texts have no lines and no families. Repeated rows are read alike; null ids
+    Whole texts are read; a text of any length is read in one piece by its task. The fit sees ``PLAIN_LINES`` windows of ``PLAIN_TEXTS``
+    texts of the table at most, by hash of id and content, from anywhere in these texts. Null and empty texts have no lines and no families. Repeated rows are read alike; null ids
     are allowed. An empty table gives an empty one.
     """
-    chosen = docs.select("doc_id", "text").orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(PLAIN_TEXTS)
-    lines = chosen.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line")).distinct()
+    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(PLAIN_TEXTS)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # PLAIN_TEXTS ids
+    lines = chosen.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    windows = F.regexp_extract_all("line", F.lit(rf"(\S+(?:\s+\S+){{0,{LONG - 1}}})"))
+    lines = lines.select(F.explode(windows).alias("line")).distinct()
     notice = F.lower("line").rlike("licen[cs]|copyright|spdx|all rights reserved|permission is hereby|public domain")
     plain = [r.line for r in lines.filter(~notice & (F.length("line") > 3)).orderBy(F.xxhash64("line"), "line").limit(PLAIN_LINES).collect()]
     pairs = {x for ts in TEMPLATES.values() for t in ts for x in _word_pairs(t)}

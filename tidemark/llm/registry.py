@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": licences.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op1_licences": licences.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op6_suffix_dedup": suffix_dedup.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packed import PACKED, key_partitions, match, pack, places_of, uids, with_uid
-from .shared import documents, materialize, release
+from .shared import HOT_KEYS, documents, materialize, release
 from .textops import U64, Chunk, chunks, mix, ranges
 
 WIDTH, SEED_BYTES = 200, 32
 OFFSETS = [32, 64, 128]
 KEY_BYTES = 5
+DEALS = 1 << 20  # into which rows without a partner in a join are dealt
 CHUNK = 512 << 10
 INSIDE, TEST, SHOWN = 0, 1, 2
 
@@ -194,27 +195,50 @@ def _suffixes(width: int):
     return run
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: dict[str, str], hot: Column) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row a key, ``keys``: column of the table to column of the rows).
+
+    Rows of the table for which ``hot`` holds, fewer than ``HOT_KEYS``, are broadcast. Rows that meet one of them, or
+    that have no key, are dealt at random in the join of all others, so that none of its tasks is theirs alone.
+    """
+    values = [c for c in table.columns if c not in keys]
+    side = lambda part, name: part.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.struct(F.lit(True).alias("_met"), *values).alias(f"_{name}"))
+    same = lambda name: [F.col(f"_{name}_{k}") == F.col(c) for k, c in keys.items()]
+    met = rows.join(F.broadcast(side(table.filter(hot), "hot")), same("hot"), "left")
+    apart = F.col("_hot").isNotNull()
+    for c in keys.values():
+        apart |= F.col(c).isNull()
+    met = met.withColumn("_deal", F.when(apart, 1 + F.pmod(F.xxhash64("uid_a", "uid_b", "at"), F.lit(DEALS))).otherwise(0))
+    cold = side(table, "cold").withColumn("_cold_deal", F.lit(0).cast("long"))
+    met = met.join(cold, [*same("cold"), F.col("_deal") == F.col("_cold_deal")], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+    return met.select(*rows.columns, F.col("_v").isNotNull().alias("met"), *[F.col(f"_v.{c}").alias(c) for c in values if not c.startswith("_n")])
+
+
 def doubled(suffixes: DataFrame, width: int) -> DataFrame:
     """Rank pairs at growing offsets; ``last`` is cut back where a suffix turns out to be alone."""
-    out = suffixes.withColumn("rank", F.col("seed"))
+    hot = F.col("_n") > max(1, suffixes.count() // HOT_KEYS)
+    out, written = suffixes.withColumn("rank", F.col("seed")), None
     for begin, end in zip(OFFSETS, [*OFFSETS[1:], width], strict=True):
         follow = f"f{begin}"
-        pairs = out.filter(F.col("rank").isNotNull() & F.col(follow).isNotNull()).groupBy(F.col("rank").alias("_rank"), F.col(follow).alias("_follow"))
-        twice = pairs.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        out = out.join(twice, (F.col("rank") == F.col("_rank")) & (F.col(follow) == F.col("_follow")), "left")
-        alone = F.col("_rank").isNull()
-        out = out.withColumn("last", F.when(alone, F.least("last", F.col("at") + (end - width - 1))).otherwise(F.col("last")))
-        out = out.withColumn("rank", F.when(alone, F.lit(None).cast("long")).otherwise(F.xxhash64("rank", follow))).drop("_rank", "_follow", follow)
-    return out.drop("rank")
+        pairs = out.filter(F.col("rank").isNotNull() & F.col(follow).isNotNull()).groupBy("rank", follow)
+        twice = pairs.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        out = _looked_up(out, twice, {"rank": "rank", follow: follow}, hot)
+        out = out.withColumn("last", F.when(F.col("met"), F.col("last")).otherwise(F.least("last", F.col("at") + (end - width - 1))))
+        out = out.withColumn("rank", F.when(F.col("met"), F.xxhash64("rank", follow))).drop("met", follow)
+        before, written = written, materialize(out)
+        out = written
+        if before is not None:
+            release(before)
+    return written
 
 
 def verdicts(suffixes: DataFrame, width: int) -> DataFrame:
     """``run_a, run_b, runs``: per text, runs of window starts that have twins (INSIDE), may have (TEST), or have twins and are shown to others (SHOWN)."""
     me = F.struct("uid_a", "uid_b", "at")
-    spans = suffixes.groupBy(F.col("span_a").alias("_sa"), F.col("span_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_n"), F.min(me).alias("_first")).filter("_n > 1").drop("_n")
-    ends = materialize(doubled(suffixes.withColumn("whole", F.col("last")), width))
-    judged = ends.join(spans, (F.col("span_a") == F.col("_sa")) & (F.col("span_b") == F.col("_sb")), "left")
-    judged = judged.withColumn("inside", F.col("_sa").isNotNull()).withColumn("one", F.coalesce(F.col("_first") == me, F.lit(False)))
+    spans = suffixes.groupBy("span_a", "span_b").agg(F.count(F.lit(1)).alias("_n"), F.min(me).alias("first_at")).filter("_n > 1")
+    ends = doubled(suffixes.withColumn("whole", F.col("last")), width)
+    judged = _looked_up(ends, spans, {"span_a": "span_a", "span_b": "span_b"}, F.col("_n") > max(1, ends.count() // HOT_KEYS))
+    judged = judged.withColumnRenamed("met", "inside").withColumn("one", F.coalesce(F.col("first_at") == me, F.lit(False)))
     judged = materialize(judged.filter("inside OR first <= last").select("uid_a", "uid_b", "at", "seed", "first", "last", "whole", "inside", "one"))
     release(suffixes, ends)
     open_seeds = judged.filter("NOT inside").select(F.col("seed").alias("_seed")).distinct()
@@ -311,3 +335,19 @@ def repeated_bytes(docs: DataFrame, *, width: int = WIDTH, keep_text: bool = Tru
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP6_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, i, md5(b[i + 1:i + 200]) AS k FROM t, unnest(range(0, octet_length(b) - 199)) AS r(i)),
+twin AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM twin),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+piece AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM run),
+gone AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last, string_agg(hex(b[kept_from + 1:a]), '' ORDER BY a) AS kept
+  FROM piece JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:octet_length(b)]))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)
+"""
