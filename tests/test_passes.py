@@ -149,3 +149,46 @@ def test_links_and_added_lines(spark):
 def test_limited_evidence(spark, size, most):
     rows = spark.createDataFrame([(1, "e", "i", p, f"q{p % 4}") for p in range(size)], "event_rank int, event_id string, incident_id string, position int, evidence_id string")
     assert replies.limited_evidence(rows, most=most).count() == min(size, most)
+
+
+def test_readers_fail_over_and_close(spark):
+    from tidemark.plans.readers import Refused, Unreadable, read_with
+
+    def first(row):
+        if row["k"] >= 5:
+            raise Refused("quota")
+        return {"verdict": f"a{row['k']}"} if row["k"] % 2 == 0 else None
+
+    def second(row):
+        if row["k"] == 3:
+            raise Unreadable("torn page")
+        return {"verdict": "b"} if row["k"] < 8 else None
+
+    rows = spark.createDataFrame([(k,) for k in range(10)], "k long").coalesce(1)
+    got = {r.k: (r.state, r.answered_by, r.verdict) for r in read_with(rows, [("first", first), ("second", second)], "verdict string", key="k").collect()}
+    assert got[0] == ("completed", "first", "a0") and got[1] == ("completed", "second", "b") and got[3] == ("failed", "second", None)
+    assert got[6] == ("completed", "second", "b")  # the first one has closed
+    assert got[9] == ("deferred", None, None)
+    assert {r.state for r in read_with(rows, [], "verdict string", key="k").collect()} == {"deferred"}
+
+
+def test_session_memory_on_a_stream(spark, tmp_path):
+    from tidemark.streaming.memory import remembered
+
+    turns = [(1, t, "x" * (150 * t)) for t in range(1, 8)] + [(2, 1, None), (2, 2, "y" * 2000)]
+    for part in (turns[:4], turns[4:]):
+        spark.createDataFrame(part, "conv_id long, turn long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("conv_id long, turn long, text string").parquet(str(tmp_path / "in"))
+        remembered(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+    got = {(r.conv_id, r.turn): (r.kept, r.chars) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {}
+    for conv in (1, 2):
+        own = [(t, len(x or "")) for c, t, x in turns if c == conv]
+        for i, (t, _) in enumerate(own):
+            kept = chars = 0
+            for _, size in reversed(own[max(0, i - 5) : i + 1]):
+                if chars + size > 1200:
+                    break
+                kept, chars = kept + 1, chars + size
+            want[conv, t] = (kept, chars)
+    assert got == want

@@ -33,12 +33,14 @@ def value_match(facts: DataFrame, fields: list[str], question: str) -> DataFrame
 
 def price_range(rows: DataFrame, *, most_named: int = 3) -> DataFrame:
     """One row: lowest and highest price; markets and commodities by name up to ``most_named``, else their number."""
-
-    def named(c: str) -> Column:
-        few = F.slice(F.array_sort(F.collect_set(c)), 1, most_named)
-        return F.when(F.countDistinct(c) > most_named, F.concat(F.countDistinct(c).cast("string"), F.lit(f" {c}s"))).otherwise(F.array_join(few, ", ")).alias(c)
-
-    return rows.agg(F.min("min_price").alias("low"), F.max("max_price").alias("high"), F.count(F.lit(1)).alias("rows"), named("market"), named("commodity"))
+    out = rows.agg(F.min("min_price").alias("low"), F.max("max_price").alias("high"), F.count(F.lit(1)).alias("rows"))
+    for c in ("market", "commodity"):
+        values = rows.select(c).filter(F.col(c).isNotNull()).distinct()
+        few = values.orderBy(c).limit(most_named).agg(F.array_join(F.array_sort(F.collect_list(c)), ", ").alias("few"))  # most_named values
+        named = values.agg(F.count(F.lit(1)).alias("n")).crossJoin(few)
+        text = F.when(F.col("n") > most_named, F.concat(F.col("n").cast("string"), F.lit(f" {c}s"))).otherwise(F.col("few"))
+        out = out.crossJoin(named.select(text.alias(c)))  # one row each
+    return out
 
 
 def status_split(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import wording as W
 from .functions.text import fold
 from .operators import boards, checks, checkpoints, documents, families, filters, linking, replies, trends
-from .plans import passes
+from .plans import passes, readers
 from .queries import COMPONENT_SQL, CONFLICT_SQL, PAIRS_SQL, POOL_SQL, TREND, _groups, _market_records
 from .registering import query
 from .sources import views
@@ -431,3 +431,21 @@ def carried_actions(spark, d):
     rows = views.table(spark, d, "conversations")
     fine = F.contains(fold(F.col("text")), F.lit("the")) & (F.size(W.phrases_in(F.col("text"), ["completed", "was done"])) == 0)
     return rows.filter(fine).select("conv_id", "turn")
+
+
+def _by_rule(row: dict) -> dict | None:
+    if row["o_orderkey"] % 5 == 0:
+        raise readers.Unreadable("torn page")
+    return {"verdict": row["o_orderpriority"]} if row["o_orderkey"] % 5 == 2 else None
+
+
+def _by_script(row: dict) -> dict | None:
+    return {"verdict": row["o_orderpriority"]} if row["o_orderkey"] % 5 in (3, 4) else None
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'deferred' ELSE 'completed' END AS state, CASE o_orderkey % 5 WHEN 0 THEN 'rule' WHEN 2 THEN 'rule' WHEN 3 THEN 'script' WHEN 4 THEN 'script' END AS answered_by,
+  CASE WHEN o_orderkey % 5 >= 2 THEN o_orderpriority END AS verdict FROM orders""")
+def reader_chain(spark, d):
+    """A chain of readers over a table: the first that answers has the row, a torn row fails alone, the rest is deferred."""
+    rows = views.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return readers.read_with(rows, [("rule", _by_rule), ("script", _by_script)], "verdict string", key="o_orderkey").drop("note")
