@@ -209,7 +209,8 @@ def _looked_up(rows: DataFrame, table: DataFrame, keys: dict[str, str], hot: Col
     for c in keys.values():
         apart |= F.col(c).isNull()
     met = met.withColumn("_deal", F.when(apart, 1 + F.pmod(F.xxhash64("uid_a", "uid_b", "at"), F.lit(DEALS))).otherwise(0))
-    cold = side(table, "cold").withColumn("_cold_deal", F.lit(0).cast("long"))
+    # Always zero, but no constant: one would leave the join's keys, and the rows would be dealt without it.
+    cold = side(table, "cold").withColumn("_cold_deal", F.pmod(F.col("_cold._n"), F.lit(1)).cast("long"))
     met = met.join(cold, [*same("cold"), F.col("_deal") == F.col("_cold_deal")], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
     return met.select(*rows.columns, F.col("_v").isNotNull().alias("met"), *[F.col(f"_v.{c}").alias(c) for c in values if not c.startswith("_n")])
 
