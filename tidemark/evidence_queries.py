@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .operators import answers, checks, contracts, filters, grounding, records
+from .functions import text as X
+from .operators import answers, checks, contracts, filters, grounding, normalize, records, state
 from .queries import POOL_SQL, _market_records
 from .registering import query
-from .sources import views
+from .sources import captures, views
 from .sources.views import INCIDENTS_SQL, PRICES_SQL, RECORDS_SQL
 
 
@@ -32,12 +33,12 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     quote = F.when(which == 0, "rose quickly").when(which.isin(1, 2), "water").when(which == 3, "Officials said").when(which == 4, "Officials said that all the pumps will stay until the end").when(which == 5, "nothing of the kind")
     quote = quote.when(which == 6, "").when(which == 7, "pumps").otherwise("rose")
     cited = F.when(which == 7, "title").when(which == 8, "data.none").otherwise("data.content")
-    return views.table(spark, d, "orders").select(k, fields.alias("fields"), cited.alias("cited"), quote.alias("quote"), F.when(which == 2, 34).cast("int").alias("stated"))
+    return views.table(spark, d, "orders").select(k, fields.alias("fields"), cited.alias("cited"), quote.alias("quote"), F.when(which == 2, 36).cast("int").alias("stated"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 1 THEN 'ambiguous_quote' WHEN 5 THEN 'unsupported_claim' WHEN 6 THEN 'unsupported_claim' WHEN 8 THEN 'unknown_field' END AS code,
   CASE o_orderkey % 9 WHEN 0 THEN 'data.content' WHEN 2 THEN 'data.content' WHEN 3 THEN 'data.note' WHEN 4 THEN 'data.note' WHEN 7 THEN 'data.note' END AS path,
-  (CASE o_orderkey % 9 WHEN 0 THEN 10 WHEN 2 THEN 34 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 7 THEN 24 ELSE -1 END)::INTEGER AS start, (CASE o_orderkey % 9 WHEN 0 THEN 22 WHEN 2 THEN 39 WHEN 3 THEN 14 WHEN 4 THEN 52 WHEN 7 THEN 29 ELSE -1 END)::INTEGER AS stop,
+  (CASE o_orderkey % 9 WHEN 0 THEN 10 WHEN 2 THEN 36 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 7 THEN 24 ELSE -1 END)::INTEGER AS start, (CASE o_orderkey % 9 WHEN 0 THEN 22 WHEN 2 THEN 41 WHEN 3 THEN 14 WHEN 4 THEN 53 WHEN 7 THEN 29 ELSE -1 END)::INTEGER AS stop,
   o_orderkey % 9 IN (3, 4, 7) AS moved FROM orders""")
 def grounded_quotes(spark, d):
     rows = grounding.ground(_answers(spark, d), inexact=True)
@@ -260,3 +261,58 @@ def baseline_report(spark, d):
 def report_counts(spark, d):
     found = F.when(F.col("severity") == "low", F.array(F.lit("f"))).otherwise(F.array().cast("array<string>"))
     return records.report_counts(views.incidents(spark, d).withColumn("findings", found), "review")
+
+
+@query("SELECT conv_id AS job_id, count_if(role = 'user' AND trim(text, ' ') <> '') AS lines, count_if(role <> 'user') AS pages, sha256(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user' AND text <> ''), '')) AS digest FROM conversations GROUP BY conv_id")
+def ocr_lines(spark, d):
+    kind = F.when(F.col("role") == "user", "LINE").otherwise("PAGE")
+    rows = views.table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("page_number"), F.array(F.struct(kind.alias("type"), F.col("text").alias("text"))).alias("blocks"))
+    return captures.ocr_lines(rows).select("job_id", "lines", "pages", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT 'WX-' || strftime(ts, '%d-%b') AS record_id, 'forecast' AS record_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL")
+def forecast_records(spark, d):
+    rows = views.table(spark, d, "events").select(F.lit("station").alias("station"), F.date_format("ts", "dd-MMM").alias("forecast_date"), F.create_map(F.lit("max_temp_c"), F.col("value").cast("string")).alias("measures"))
+    out = normalize.forecasts(rows, prefix="WX-", source="weather", year=F.lit(2024))
+    return out.groupBy("record_id", "record_type", F.to_date("event_time").alias("day")).agg(n_rows())
+
+
+@query("SELECT location_type, count(*) AS n FROM (SELECT DISTINCT market, commodity, price_date FROM prices), (VALUES ('unknown')) AS t(location_type) GROUP BY location_type", PRICES_SQL)
+def source_places(spark, d):
+    return normalize.source_places(_market_records(spark, d)).groupBy("location_type").agg(n_rows())
+
+
+@query("SELECT event_id, rtrim(rtrim(printf('%.2f', value), '0'), '.') || ' °C' AS temp, rtrim(rtrim(printf('%.2f', value), '0'), '.') || ' %' AS humid, rtrim(rtrim(printf('%.2f', value), '0'), '.') || ' /kg' AS price, 4::INTEGER AS shown FROM events")
+def shown_entries(spark, d):
+    number = F.regexp_replace(F.format_string("%.2f", "value"), r"\.?0+$", "")
+    data = F.create_map(*[x for k, v in (("max_temp_c", number), ("humidity", number), ("min_price", number), ("unit", F.lit("kg")), ("language", F.lit("ta")), ("note", F.lit(""))) for x in (F.lit(k), v)])
+    rows = views.table(spark, d, "events").select("event_id", normalize.display_entries(data).alias("m"))
+    return rows.select("event_id", F.col("m")["max_temp_c"].alias("temp"), F.col("m")["humidity"].alias("humid"), F.col("m")["min_price"].alias("price"), F.size("m").alias("shown"))
+
+
+@query("SELECT n_nationkey, 'Bus stand ' || n_name || ', ' || r_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey WHERE NOT contains(lower('Bus stand ' || n_name), lower(r_name))")
+def distinct_parts(spark, d):
+    rows = views.table(spark, d, "nation").join(views.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.filter(~F.contains(F.lower(F.concat(F.lit("Bus stand "), "n_name")), F.lower("r_name")))
+    parts = F.array(F.concat(F.lit("Bus stand "), "n_name"), F.lower("n_name"), F.col("r_name"), F.lit(None).cast("string"), F.lit(" "))
+    return rows.select("n_nationkey", normalize.distinct_parts(parts).alias("place"))
+
+
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE '' END AS fault, CASE WHEN n >= 2 THEN '' ELSE 'out_of_range' END AS second FROM (SELECT doc_id, len(list_filter(range(0, length(text) - 2), lambda i: substr(text, i + 1, 3) = 'ere')) AS n FROM documents WHERE length(text) >= 3) WHERE n > 0""")
+def located_spans(spark, d):
+    rows = views.table(spark, d, "documents").filter("length(text) >= 3").withColumn("spans", X.find_spans(F.col("text"), F.lit("ere"))).filter("size(spans) > 0")
+    fault = lambda n: F.coalesce(X.locate(F.col("spans"), F.lit(3), n)["fault"], F.lit(""))
+    return rows.select("doc_id", fault(None).alias("fault"), fault(1).alias("second"))
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'day' END AS precision, count(*) AS n FROM events GROUP BY ALL")
+def declared_precisions(spark, d):
+    shown = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    return views.table(spark, d, "events").groupBy(X.date_precision(shown).alias("precision")).agg(n_rows())
+
+
+@query("SELECT record_type, count(*) AS n, count_if(record_id::BIGINT % 2 = 0) AS fresh FROM records GROUP BY record_type", RECORDS_SQL)
+def store_merged(spark, d):
+    old = views.records(spark, d).select("record_id", "record_type", F.lit(False).alias("new"))
+    out = state.merged(old, old.filter(F.col("record_id").cast("long") % 2 == 0).withColumn("new", F.lit(True)), ["record_id"])
+    return out.groupBy("record_type").agg(n_rows(), F.count_if("new").alias("fresh"))

@@ -36,14 +36,14 @@ def unicode_digit_runs(spark, d):
     return views.table(spark, d, "orders").select("o_orderkey", F.array_join(W.digit_set(shown), "|").alias("runs"))
 
 
-@query("SELECT o_orderkey, CASE WHEN strpos('7 of ' || o_orderdate::DATE::VARCHAR, '19') > 0 THEN NULL ELSE NULL END AS nothing, o_custkey::VARCHAR AS stray FROM orders WHERE o_custkey > 2100 OR o_custkey BETWEEN 32 AND 1994")
+@query("SELECT o_orderkey, o_custkey::VARCHAR AS stray FROM orders WHERE o_custkey > 2100 OR o_custkey BETWEEN 32 AND 1994")
 def stray_digit_runs(spark, d):
     """Numbers of a line that the measured lines don't hold; the digits of an identifier measure nothing."""
     rows = views.table(spark, d, "orders").filter("o_custkey > 2100 OR o_custkey BETWEEN 32 AND 1994")
     line = F.concat_ws(" ", F.lit("7 cases, customer"), "o_custkey")
     measured = F.concat(F.lit("7 cases of EVT-"), F.col("o_custkey").cast("string"), F.lit(" in 2001"))
     stray = F.array_join(W.stray_digits(line, measured), "|")
-    return rows.select("o_orderkey", F.lit(None).cast("int").alias("nothing"), stray.alias("stray"))
+    return rows.select("o_orderkey", stray.alias("stray"))
 
 
 SPOKEN_SQL = """said AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'நகரம் ' || o_orderpriority WHEN 1 THEN 'நகரம்' WHEN 2 THEN o_orderpriority ELSE '12' END AS text,
