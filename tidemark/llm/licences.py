@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents
-from .textops import U64, Chunk, Hasher, chunks
+from .textops import U64, Chunk, Hasher, chunks, mix
 
 # Names and notices of public licences, as their stewards word them.
 TEMPLATES = {
@@ -132,14 +132,19 @@ def variants(rng: np.random.Generator, template: str, filler: list[str]) -> list
     return out
 
 
+def _part(rng: np.random.Generator, words: list[str], size: int) -> str:
+    at = int(rng.integers(max(1, len(words) - size + 1)))
+    return " ".join(words[at : at + size])
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(1, keepdims=True))
     return x / x.sum(1, keepdims=True)
 
 
-def _fit(full: "Paragraphs", y: np.ndarray, used: np.ndarray) -> np.ndarray:
+def _fit(grams: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Weights by feature and class, from the windows that ``used`` marks: logistic regression, plain and other windows of equal weight."""
-    row, col, value = full.sparse()
+    row, col, value = grams
     keep = used[row]
     row, col, value = row[keep], col[keep], value[keep]
     target = np.eye(len(CLASSES))[y]
@@ -159,6 +164,7 @@ class Model:
 
     def __init__(self, plain: list[str], seed: int = 5):
         rng, hasher = np.random.default_rng(seed), Hasher(31)
+        plain = [t if rng.random() < 0.5 else _part(rng, t.split(), SHORT) for t in plain]  # the scan reads windows of both sizes
         texts, y = list(plain) + PLAIN * 20, [0] * (len(plain) + 20 * len(PLAIN))
         filler, notice = " ".join(texts).split(), [-1] * len(texts)
         for family, templates in TEMPLATES.items():
@@ -169,15 +175,26 @@ class Model:
         y, notice = np.array(y)[full.doc], np.array(notice)[full.doc]
         # Temperature and cutoff come of notices whose family the weights know by its other notices alone, and of other plain text.
         held = np.where(notice < 0, rng.random(len(y)) < 0.2, notice == HELD_NOTICE)
-        logit = full.logits(_fit(full, y, ~held))[held]
+        grams = full.sparse()
+        logit = full.logits(_fit(grams, y, ~held))[held]
         grid, pick = np.geomspace(0.2, 5, 41), (np.arange(held.sum()), y[held])
         self.temperature = float(grid[int(np.argmin([-np.log(_softmax(logit / t)[pick] + 1e-12).mean() for t in grid]))])
         p = _softmax(logit / self.temperature)
         right = (p.argmax(1) == y[held]) & (y[held] > 0)
         self.believed = float(max(0.5, np.quantile(p.max(1)[right], 0.01))) if right.any() else 0.5
-        self.weights = _fit(full, y, np.ones(len(y), bool))
+        self.weights = _fit(grams, y, np.ones(len(y), bool))
         self.legal = set(Paragraphs([" ".join(LEGAL).encode()], hasher, fine=False).words.tolist())
         self.pairs = {f: [_pairs(Paragraphs([t.encode()], hasher)) for t in ts] for f, ts in TEMPLATES.items()}
+        every = np.array([x for ts in self.pairs.values() for t in ts for x in t], U64)
+        self.codes, self.words = np.unique(_code(every[:, 0], every[:, 1])), np.array(sorted(self.legal), U64)
+
+    def hopeful(self, paragraphs: "Paragraphs") -> np.ndarray:
+        """Windows that hold a word pair of some template or a word of licences; no other can be named or called unknown."""
+        words = paragraphs.words
+        pair = np.concatenate([[0], np.cumsum(np.isin(_code(words[:-1], words[1:]), self.codes))])
+        word = np.concatenate([[0], np.cumsum(np.isin(words, self.words))])
+        a, b = paragraphs.begin, paragraphs.end
+        return (word[b] > word[a]) | (pair[np.maximum(b - 1, a)] > pair[a])
 
     def families(self, paragraphs: Paragraphs) -> Iterator[tuple[int, int, str, float]]:
         """``(text, line, family, probability)`` of the windows that aren't plain text. A notice across line breaks is named at
@@ -188,7 +205,7 @@ class Model:
         p = _softmax(paragraphs.logits(self.weights) / self.temperature)
         line_of, named, marked, loose = paragraphs.line_of_word, set(), set(), set()
         last = line_of[paragraphs.end - 1]
-        odd = np.flatnonzero(p[:, 0] < 0.5)
+        odd = np.flatnonzero((p[:, 0] < 0.5) & self.hopeful(paragraphs))
         for i in odd[np.argsort(paragraphs.line[odd] < last[odd], kind="stable")]:  # single lines first
             best = 1 + int(p[i, 1:].argmax())
             begin, end, lines = int(paragraphs.begin[i]), int(paragraphs.end[i]), range(int(paragraphs.line[i]), int(last[i]) + 1)
@@ -214,6 +231,10 @@ class Model:
                     yield int(paragraphs.doc[i]), lines[0], UNKNOWN, float(1 - p[i, 0])
 
 
+def _code(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * U64(0x9E3779B97F4A7C15) + right)
+
+
 def _gather(row: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(row, x[:, c], minlength=n) for c in range(x.shape[1])], 1)
 
