@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .packed import PACKED, key_partitions, match, pack, places_of, with_uid
-from .shared import collect_blocks, documents, lookup, materialize, release, sum_blocks
+from .shared import collect_blocks, documents, lookup, materialize, partitions, release, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     spark = docs.sparkSession
     texts = with_uid(docs.select("doc_id", "text"))
     blocks = (1 << BUCKET_BITS) // BLOCK
-    counted = sum_blocks(docs.select("text").mapInArrow(_frequencies(shingle), "block int, data binary"), "<i8")
+    counted = sum_blocks(docs.select("text").coalesce(partitions(spark)).mapInArrow(_frequencies(shingle), "block int, data binary"), "<i8", blocks)
     frequency = spark.sparkContext.broadcast(collect_blocks(counted, "<i8", blocks, BLOCK))
     every = materialize(texts.mapInArrow(_members(shingle, percent, frequency), MEMBERS)).withColumn("set", F.struct("set_a", "set_b"))
     sets = every.filter("n > 0")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import collect_blocks, documents, materialize, sum_blocks
+from .shared import collect_blocks, documents, materialize, partitions, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -185,7 +185,8 @@ def _scores(contexts, network):
 
 def word_contexts(docs: DataFrame) -> np.ndarray:
     """Context vectors of length 1 by bucket, over all of ``docs`` (``text``); a bucket without neighbours stays zero."""
-    summed = sum_blocks(docs.select("text").mapInArrow(_contexts, "block int, data binary"), "<f8")
+    texts = docs.select("text").coalesce(partitions(docs.sparkSession))
+    summed = sum_blocks(texts.mapInArrow(_contexts, "block int, data binary"), "<f8", BUCKETS // BLOCK)
     out = collect_blocks(summed, "<f8", BUCKETS // BLOCK, BLOCK * DIMS).reshape(BUCKETS, DIMS)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -194,7 +195,7 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, *, sample_rows: int = S
     """The rows of ``docs`` (``doc_id``, ``text``; all columns are carried) with ``score, predicted``.
 
     ``labelled`` has ``doc_id`` and ``quality`` (1 good, 0 bad, else ignored); the network is fitted on ``sample_rows`` of
-    its texts at most, least id hash first. Only the text is scored. A null or empty text scores as a text without words;
+    its texts at most, least id hash first (of rows that repeat an id, one). Only the text is scored. A null or empty text scores as a text without words;
     equal texts score alike. Without labels of both kinds all scores are 0.5. An empty table gives an empty one. Columns
     of ``docs`` named like the two that are added are replaced.
     """
@@ -203,7 +204,8 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, *, sample_rows: int = S
     contexts = sc.broadcast(word_contexts(texts))
     marks = labelled.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = materialize(marks.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample_rows))
-    vectors = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_vectors(contexts), "doc_id bigint, vector array<float>")
+    sample = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # one row an id
+    vectors = sample.mapInArrow(_vectors(contexts), "doc_id bigint, vector array<float>")
     rows = vectors.join(F.broadcast(chosen), "doc_id").select("doc_id", "vector", "quality").toArrow().sort_by("doc_id")  # sample_rows at most
     y = rows.column("quality").to_numpy().astype(np.float64)
     network = None

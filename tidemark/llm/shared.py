@@ -64,8 +64,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(table, key))
 
 
-def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
-    """Sum equally long arrays by ``block``; ``parts`` has ``block int, data binary``. One running sum a block is in memory."""
+def sum_blocks(parts: DataFrame, dtype: str, blocks: int = 64) -> DataFrame:
+    """Sum equally long arrays by ``block`` (``blocks`` of them); ``parts`` has ``block int, data binary``. One running sum a block is in memory.
+
+    Each task that fills ``parts`` sends all blocks once, so coalesce its input to the tasks that run at a time (:func:`partitions`).
+    """
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -79,7 +82,7 @@ def sum_blocks(parts: DataFrame, dtype: str) -> DataFrame:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
 
-    n = min(64, partitions(parts.sparkSession))
+    n = min(blocks, partitions(parts.sparkSession))
     return parts.repartition(n, "block").mapInArrow(run, "block int, data binary")
 
 
