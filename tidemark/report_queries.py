@@ -109,7 +109,7 @@ def link_pass_counts(spark, d):
     return checkpoints.link_counts(links.withColumn("review", F.when(F.col("accepted"), "accepted").otherwise("review_required")))
 
 
-@query("""SELECT incident_type, count(*) AS events, array_to_string(list_filter([CASE WHEN count_if(priority = 'critical') < 3 THEN 'few quoted events' END, CASE WHEN incident_type = 'high' THEN 'different problems' END, CASE WHEN incident_type = 'low' THEN 'low confidence' END], lambda x: x IS NOT NULL), '|') AS findings
+@query("""SELECT incident_type, count(*) AS events, array_to_string(list_filter([CASE WHEN count(*) FILTER (priority = 'critical') < 3 THEN 'few quoted events' END, CASE WHEN incident_type = 'high' THEN 'different problems' END, CASE WHEN incident_type = 'low' THEN 'low confidence' END], lambda x: x IS NOT NULL), '|') AS findings
   FROM pool WHERE event_time::DATE > (SELECT max(event_time)::DATE FROM pool) - 60 GROUP BY incident_type""", POOL_SQL)
 def trend_evidence(spark, d):
     """Evidence rules: quoted events needed for an alert, and what a reading of the pattern objects to."""
