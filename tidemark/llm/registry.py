@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, jaccard_join, licences, mixing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import best_fit, bit_sliced, elkan, exact_dedup, filter_audit, jaccard_join, licences, mixing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit": best_fit.op10_best_fit,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_topk": bit_sliced.op12_topk,
+        "op13_elkan": elkan.op13_elkan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": licences.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op6_suffix_dedup": suffix_dedup.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op11_filter_audit": filter_audit.OP11_SQL, "op12_topk": bit_sliced.OP12_SQL, "op13_elkan": elkan.OP13_SQL, "op1_licences": licences.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op6_suffix_dedup": suffix_dedup.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
