@@ -1,6 +1,6 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
-Components are quantised to integers. The index is a table of blocks of some ``BLOCK_ROWS`` vectors; a block holds, for each attribute
+Components are quantised to integers. The index is a table of blocks of some 32,768 vectors; a block holds, for each attribute
 and each bit of its values, a bitmap over its rows. A query weighs an attribute by its own integer component:
 
 1. *add*: the slices of the upper bits of all attributes, shifted by the set bits of their weights, are summed by
@@ -11,12 +11,13 @@ and each bit of its values, a bitmap over its rows. A query weighs an attribute
    k-th one (or of the k-th exact score found before) are the boundary: their integer inner products decide, ties by id.
 
 Blocks and query pieces meet in a grid of cells, each cell one Spark partition: a group of blocks is read into memory and
-query pieces stream past it. Index blocks are sent once for each ``QUERIES_A_CELL`` queries, queries once for each group of blocks.
+query pieces stream past it. Index blocks are sent once for each 131,072 queries, queries once for each group of blocks (:class:`Layout`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,18 @@ from .shared import materialize, partitions, release
 
 SCALE, EVERY, K = 256, 50, 5
 
-#: Rows that a block is planned for, blocks that share a cell, queries that travel as one row, and queries that a cell answers.
-BLOCK_ROWS, BLOCKS_A_CELL, QUERIES_A_PIECE, QUERIES_A_CELL = 32_768, 8, 64, 131_072
 
-#: Bits of each attribute that the coarse score counts.
-COARSE_BITS = 5
+@dataclass(frozen=True)
+class Layout:
+    """Rows that a block is planned for, blocks that share a cell, queries that travel as one row, queries that a cell
+    answers, and bits of each attribute that the coarse score counts. Results don't depend on any of them."""
+
+    block_rows: int = 32_768
+    blocks_a_cell: int = 8
+    queries_a_piece: int = 64
+    queries_a_cell: int = 131_072
+    coarse_bits: int = 6
+
 
 BLOCK = pa.schema([("dims", pa.int32()), ("n", pa.int32()), ("bits", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("least", pa.binary()), ("slices", pa.binary())])
 PIECE = pa.schema([("dims", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("least", pa.binary())])
@@ -66,14 +74,14 @@ def _by_length(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[n
             at = np.flatnonzero(sizes == size)
             held.setdefault(size, []).append((ids[at], known[at], flat[starts[at][:, None] + np.arange(size)].astype(np.int64)))
             rows[size] = rows.get(size, 0) + len(at)
-        while sum(n * (s + 1) for s, n in rows.items()) > most * 65:
+        while sum(n * (s + 1) for s, n in rows.items()) > max(most, 4096) * 65:
             yield from out(max(rows, key=lambda s: rows[s] * (s + 1)))
     for size in list(rows):
         yield from out(size)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, known, values in _by_length(batches, 2 * BLOCK_ROWS):
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for ids, known, values in _by_length(batches, most):
         order = np.lexsort((ids, ~known))  # ties go to the smaller id: the earlier row; rows without id come last
         ids, known, values = ids[order], known[order], values[order]
         least = values.min(0)
@@ -93,17 +101,15 @@ def _flags(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(bitmap.view(np.uint8), axis=-1, bitorder="little")[..., :n]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, _, values in _by_length(batches, BLOCK_ROWS):
-        for a in range(0, len(ids), QUERIES_A_PIECE):
-            part = values[a : a + QUERIES_A_PIECE]
-            yield pa.RecordBatch.from_pylist([{"dims": part.shape[1], "n": len(part), "ids": ids[a : a + QUERIES_A_PIECE].tobytes(), "least": part.tobytes()}], schema=PIECE)
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for ids, _, values in _by_length(batches, most):
+        yield pa.RecordBatch.from_pylist([{"dims": values.shape[1], "n": len(ids), "ids": ids.tobytes(), "least": values.tobytes()}], schema=PIECE)
 
 
 class Block:
     """A block in memory: coarse slices, their complements, and the integers themselves."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, coarse_bits: int) -> None:
         self.n, self.dims, bits = row["n"], row["dims"], row["bits"]
         self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
         self.least = np.frombuffer(row["least"], np.int64)
@@ -112,7 +118,7 @@ class Block:
         values = np.repeat(self.least[None, :], self.n, 0)
         for b in range(bits):
             values += _flags(slices[:, b], self.n).T.astype(np.int64) << b
-        self.left_out = max(0, bits - COARSE_BITS)
+        self.left_out = max(0, bits - coarse_bits)
         high = slices[:, self.left_out :]
         self.bits, self.rows = high.shape[1], _bitmaps(np.ones((1, self.n)))[0]
         self.terms = np.concatenate([high, ~high]).reshape(2 * self.dims * self.bits, words)  # attribute by attribute, then its complements
@@ -202,7 +208,7 @@ def best(block: Block, q: np.ndarray, query_id: int, k: int, held: list[tuple])
     return sorted([*held, *rows], key=lambda r: (-r[0], not r[1], r[2]))[:k]
 
 
-def _answers(k: int):
+def _answers(k: int, layout: Layout):
     """Answers of the cells of a partition; a cell's blocks come before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +218,7 @@ def _answers(k: int):
                 if row["cell"] != cell:
                     cell, blocks = row["cell"], []
                 if row["piece"] is None:
-                    blocks.append(Block(row))
+                    blocks.append(Block(row, layout.coarse_bits))
                     continue
                 ids, values = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["least"], np.int64).reshape(row["n"], row["dims"])
                 out = []
@@ -220,7 +226,7 @@ def _answers(k: int):
                     held: list[tuple] = []
                     for block in blocks:
                         held = best(block, q, query_id, k, held)
-                    out += [{"query": row["piece"] * QUERIES_A_PIECE + i, "query_id": query_id, "vec_id": v if known else None, "score": min(max(s, _LONG.min), _LONG.max)} for s, known, v in held]
+                    out += [{"query": row["piece"] * layout.queries_a_piece + i, "query_id": query_id, "vec_id": v if known else None, "score": min(max(s, _LONG.min), _LONG.max)} for s, known, v in held]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=FOUND)
 
@@ -232,14 +238,14 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def index(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+def index(vectors: DataFrame, scale: int = SCALE, layout: Layout = Layout()) -> DataFrame:
     """The bit-sliced blocks of all usable vectors, as a table. No row is shuffled: tasks of small inputs are joined, so blocks fill."""
     usable = quantised(vectors, scale)
-    tasks = max(1, -(-usable.count() // BLOCK_ROWS))
-    return materialize(usable.coalesce(tasks).mapInArrow(_blocks, _ddl(BLOCK)))
+    tasks = max(1, -(-usable.count() // layout.block_rows))
+    return materialize(usable.coalesce(tasks).mapInArrow(lambda batches: _blocks(batches, 2 * layout.block_rows), _ddl(BLOCK)))
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = SCALE) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = SCALE, layout: Layout = Layout()) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``vectors`` that ``queries`` (a condition) names, its k best among the others.
 
     ``vectors`` needs ``vec_id, embedding``; further columns aren't read. Vectors that are null or hold null or
@@ -250,12 +256,13 @@ def search(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = SCAL
     With fewer than k candidates all are returned; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    blocks = index(vectors, scale)
+    blocks = index(vectors, scale, layout)
     asked = quantised(vectors.filter(queries & F.col("vec_id").isNotNull()), scale)
-    pieces = materialize(asked.coalesce(max(1, -(-asked.count() // BLOCK_ROWS))).mapInArrow(_pieces, _ddl(PIECE)))
-    groups = max(1, -(-blocks.count() // BLOCKS_A_CELL))
+    tasks = max(1, -(-asked.count() // layout.block_rows))
+    pieces = materialize(asked.coalesce(tasks).mapInArrow(lambda batches: _pieces(batches, layout.queries_a_piece), _ddl(PIECE)))
+    groups = max(1, -(-blocks.count() // layout.blocks_a_cell))
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    strips = max(-(-total // QUERIES_A_CELL), -(-partitions(spark) // groups), 1)
+    strips = max(-(-total // layout.queries_a_cell), -(-partitions(spark) // groups), 1)
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     number = F.monotonically_increasing_id()
@@ -265,7 +272,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = K, scale: int = SCAL
     columns = [*BLOCK.names, "piece", "cell"]
     sent = left.withColumn("cell", cell).select(columns).unionByName(right.withColumn("cell", cell).select("dims", "n", "ids", "least", "piece", "cell"), allowMissingColumns=True)
     met = sent.repartitionById(groups * strips, F.col("cell")).sortWithinPartitions("cell", F.asc_nulls_first("piece"))
-    found = materialize(met.mapInArrow(_answers(k), _ddl(FOUND)))
+    found = materialize(met.mapInArrow(_answers(k, layout), _ddl(FOUND)))
     release(blocks, pieces)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -83,7 +83,7 @@ def fingerprint(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-def _routed(rows, key: Callable[[bytes], int], spread: int) -> Iterator[tuple[int, tuple]]:
+def _routed(rows, key: Callable[[bytes], int], spread: int, chunk_bytes: int) -> Iterator[tuple[int, tuple]]:
     """``(route, (fingerprint, text, mask, id, parts))`` for what a chunk can't settle, ``(route, verdict)`` for what it can."""
     chains = Chains()
     settled = 0
@@ -94,7 +94,7 @@ def _routed(rows, key: Callable[[bytes], int], spread: int) -> Iterator[tuple[in
         for verdict in done:
             settled += 1
             yield settled % spread, verdict
-        if chains.size >= CHUNK_BYTES:
+        if chains.size >= chunk_bytes:
             yield from _entries(chains)
             chains = Chains()
     yield from _entries(chains)
@@ -118,7 +118,7 @@ def _met(records) -> Iterator[tuple]:
             yield from ((doc_id, part, mask, n) for part, n in parts.items())
 
 
-def verdicts(docs: DataFrame, *, key: Callable[[bytes], int] = fingerprint) -> DataFrame:
+def verdicts(docs: DataFrame, *, key: Callable[[bytes], int] = fingerprint, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, part, mask, n``: the filters that each row fails (bits of ``FILTERS``), rows that agree in all three counted together.
 
     ``docs`` needs ``doc_id, text, source``; further columns aren't read, whatever their names. A null text counts as empty, a
@@ -130,7 +130,7 @@ def verdicts(docs: DataFrame, *, key: Callable[[bytes], int] = fingerprint) -> D
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce("source", F.lit("")).alias("part"))
     size = narrow.agg(F.sum(F.octet_length("text").cast("long") + ENTRY_BYTES)).first()[0] or 0
     parts = max(partitions(spark), -(-size // PARTITION_BYTES))
-    routed = narrow.rdd.mapPartitions(lambda rows: _routed(rows, key, parts)).partitionBy(parts, lambda k: k)
+    routed = narrow.rdd.mapPartitions(lambda rows: _routed(rows, key, parts, chunk_bytes)).partitionBy(parts, lambda k: k)
     return spark.createDataFrame(routed.mapPartitions(_met), VERDICT, verifySchema=False)
 
 
