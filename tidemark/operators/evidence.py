@@ -2,86 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import find_spans
-
-
-#: Characters of a quote's opening, and openings that are looked up in memory at most.
-HEAD, MOST_HEADS = 24, 200_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _rolled(points: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` characters from each place on."""
-    n = len(points) - size + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(size if n > 0 else 0):
-        out = out * _FACTOR + points[i : i + n]
-    return out
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-
-
-def _openings(heads: list[str]):
-    """Places of texts at which one of ``heads`` seems to begin, by hash; the whole quote is compared later."""
-    by: dict[int, tuple[np.ndarray, list[str]]] = {}
-    for size in {len(h) for h in heads}:
-        own = [h for h in heads if len(h) == size]
-        value = np.array([_rolled(_points(h), size)[0] for h in own], np.uint64)
-        order = np.argsort(value)
-        by[size] = value[order], [own[i] for i in order]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = {"field_id": [], "head": [], "place": []}
-            for key, text in zip(frame["field_id"], frame["text"], strict=True):
-                points = _points(text or "")
-                for size, (value, own) in by.items():
-                    rolled = _rolled(points, size)
-                    at = np.minimum(np.searchsorted(value, rolled), len(value) - 1)
-                    hit = np.flatnonzero(value[at] == rolled)
-                    found["field_id"] += [key] * len(hit)
-                    found["head"] += [own[i] for i in at[hit]]
-                    found["place"] += hit.tolist()
-            yield pd.DataFrame(found)
-
-    return run
-
+from .patterns import occurrences
 
 def quote_spans(fields: DataFrame, quotes: DataFrame) -> DataFrame:
     """``field_id, quote_id, char_start, char_end`` of every occurrence of a quote in a text, overlapping ones included.
 
-    Pairs are found by the quote's opening (``HEAD`` characters, or all of a shorter quote), so no text is paired with a quote that it
-    doesn't at least begin. Up to ``MOST_HEADS`` distinct openings are looked up in each text by one pass of rolling hashes; more
-    are met by a join on the hashes of all windows.
+    One plan at any number of quotes and texts: see :mod:`tidemark.operators.patterns`. Blank quotes are nowhere.
     """
-    key = quotes.filter(F.trim("quote") != "").select("quote_id", "quote", F.substring("quote", 1, HEAD).alias("head"))
-    heads = [r.head for r in key.select("head").distinct().limit(MOST_HEADS + 1).collect()]
-    if len(heads) <= MOST_HEADS:
-        kind = fields.schema["field_id"].dataType.simpleString()
-        near = fields.select("field_id", "text").mapInPandas(_openings(heads), f"field_id {kind}, head string, place int").join(key, "head")
-    else:
-        near = _joined_openings(fields, key)
-    named = near.join(fields, "field_id").filter(F.substr(F.col("text"), F.col("place") + 1, F.length("quote")) == F.col("quote"))
-    return named.select("field_id", "quote_id", F.col("place").alias("char_start"), (F.col("place") + F.length("quote")).alias("char_end"))
-
-
-def _joined_openings(fields: DataFrame, key: DataFrame) -> DataFrame:
-    letters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    key = key.withColumn("size", F.length("head")).withColumn("hash", F.xxhash64(letters("head")))
-    sizes = F.broadcast(key.agg(F.array_sort(F.collect_set("size")).alias("sizes")))  # one row of HEAD lengths at most
-    at = fields.crossJoin(sizes).select("field_id", letters("text").alias("letters"), F.explode("sizes").alias("size")).filter(F.size("letters") >= F.col("size"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("letters") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("letters", i, F.col("size"))))
-    return at.select("field_id", "size", F.posexplode(windows).alias("place", "hash")).join(key, ["size", "hash"]).drop("size", "hash")
+    found = occurrences(fields, quotes.filter(F.trim("quote") != "").select("quote_id", "quote"), key="field_id", text="text", pattern="quote")
+    return found.select("field_id", "quote_id", "char_start", (F.col("char_start") + F.length("quote")).alias("char_end"))
 
 
 def unique_field(fields: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import contains_alias, fold
 from ..schema import MAP_SEVERITIES
+from .patterns import occurrences
 
 EARTH_METRES, FIRST_METRES, STEP_METRES = 111320.0, 16.0, 7.0
-MOST_INSIDE = 10_000
 
 
 def coordinates_fault(lat: Column, lng: Column, lat_box: tuple[float, float], lng_box: tuple[float, float]) -> Column:
@@ -26,7 +26,7 @@ def geocode(rows: DataFrame, registry: DataFrame, aliases: DataFrame, *, key: st
     Given coordinates decide, even wrong ones (a text never repairs them). Else the first alias in ``aliases``
     (``place_id, alias, position``) that the text contains, at word edges for ASCII, gives the point of ``registry``
     (``place_id, lat, lng``). A text without an alias is ``insufficient``. ASCII aliases are met by their first word and then
-    compared; others may sit inside a word, so each text is compared with all of them, ``MOST_INSIDE`` at most.
+    compared; others may sit inside a word and are found by their grams (:mod:`tidemark.operators.patterns`).
     """
     fault = coordinates_fault(F.col("lat"), F.col("lng"), lat_box, lng_box)
     words = rows.select(key, fold(F.col(text)).alias("_t")).filter("_t <> ''")
@@ -34,11 +34,9 @@ def geocode(rows: DataFrame, registry: DataFrame, aliases: DataFrame, *, key: st
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
     keyed = aliases.filter(plain).withColumn("_w", F.get(tokens(F.col("alias")), 0))
     met = words.withColumn("_w", F.explode(F.array_distinct(tokens(F.col("_t"))))).join(keyed, "_w").drop("_w")
-    inside = aliases.filter(~plain)
-    if inside.limit(MOST_INSIDE + 1).count() > MOST_INSIDE:
-        raise ValueError(f"more than {MOST_INSIDE} aliases that may sit inside a word")
-    held = words.join(F.broadcast(inside), F.contains("_t", F.lower("alias")))
-    hit = met.filter(contains_alias(F.col("_t"), F.col("alias"))).unionByName(held)
+    inside = aliases.filter(~plain).select("place_id", "position", F.lower("alias").alias("alias"))
+    held = occurrences(words, inside, key=key, text="_t", pattern="alias")
+    hit = met.filter(contains_alias(F.col("_t"), F.col("alias"))).select(key, "place_id", "position").unionByName(held.select(key, "place_id", "position"))
     first = hit.groupBy(key).agg(F.min_by("place_id", "position").alias("place_id"))
     points = registry.select("place_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
     out = rows.withColumn("_fault", fault).join(first, key, "left").join(points, "place_id", "left")

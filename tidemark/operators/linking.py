@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ids import event_id, link_id
 from ..functions.text import effective_time, known
 from .components import connected_components
+from .neighbours import nearest_pairs
 
 PAIRS, GAP_DAYS, ACCEPTED = 5, 7, 0.8
 
@@ -33,26 +33,9 @@ def candidate_pairs(sig: DataFrame, *, pairs: int = PAIRS, gap_days: int = GAP_D
     """``low_id, high_id, shared, gap_seconds, link_id``: for each incident its best pairs, both ends' choices together.
 
     A pair shares a signal, comes of two records and was reported at most ``gap_days`` apart; a pair with an unknown gap
-    counts, after all others. Time is part of the join key (spans of the gap's length, and each row also in the next
-    one), so a signal that a third of all rows carry meets only its own weeks.
+    counts, after all others. Found by sorted neighbours: see :mod:`tidemark.operators.neighbours`.
     """
-    span = F.lit(gap_days * 86400)
-    second = F.unix_timestamp("reported_at")
-    dated = sig.filter("reported_at IS NOT NULL").withColumn("second", second).withColumn("week", F.floor(second / span))
-    a = dated.select(F.col("incident_id").alias("a"), F.col("record_id").alias("ar"), F.col("second").alias("at"), F.col("kind").alias("ak"), F.col("value").alias("av"), F.explode(F.array(F.col("week") - 1, F.col("week"), F.col("week") + 1)).alias("aw"))
-    b = dated.select(F.col("incident_id").alias("b"), F.col("record_id").alias("br"), F.col("second").alias("bt"), "kind", "value", "week")
-    near = (F.col("ak") == F.col("kind")) & (F.col("av") == F.col("value")) & (F.col("aw") == F.col("week")) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & (F.abs(F.col("at") - F.col("bt")) <= span)
-    found = a.join(b, near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.abs(F.col("at") - F.col("bt"))).alias("gap_seconds"))
-    undated = sig.filter("reported_at IS NULL")
-    one = undated.select(F.col("incident_id").alias("a"), F.col("record_id").alias("ar"), F.col("kind").alias("ak"), F.col("value").alias("av"))
-    two = sig.select(F.col("incident_id").alias("b"), F.col("record_id").alias("br"), "kind", "value", F.col("reported_at").isNull().alias("open"))
-    meets = (F.col("ak") == F.col("kind")) & (F.col("av") == F.col("value")) & (F.col("ar") != F.col("br")) & (F.col("a") != F.col("b")) & (~F.col("open") | (F.col("a") < F.col("b")))
-    loose = one.join(two, meets).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.lit(None).cast("long").alias("gap_seconds"))
-    every = found.unionByName(loose).withColumn("link_id", link_id(F.col("a"), F.col("b")))
-    order = [F.desc("shared"), F.asc_nulls_last("gap_seconds"), F.asc("link_id")]
-    ends = every.select("*", F.explode(F.array("a", "b")).alias("end"))
-    best = ends.withColumn("_n", F.row_number().over(Window.partitionBy("end").orderBy(*order))).filter(F.col("_n") <= pairs)
-    return best.select(F.col("a").alias("low_id"), F.col("b").alias("high_id"), "shared", "gap_seconds", "link_id").distinct()
+    return nearest_pairs(sig, pairs=pairs, gap_days=gap_days)
 
 
 def conflicts(left: str, right: str) -> Column:
