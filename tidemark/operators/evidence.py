@@ -14,7 +14,7 @@ def quote_spans(fields: DataFrame, quotes: DataFrame) -> DataFrame:
 
     One plan at any number of quotes and texts: see :mod:`tidemark.operators.patterns`. Blank quotes are nowhere.
     """
-    found = occurrences(fields, quotes.filter(F.trim("quote") != "").select("quote_id", "quote"), key="field_id", text="text", pattern="quote")
+    found = occurrences(fields, quotes.filter(F.col("quote").rlike(r"(?U)\S")).select("quote_id", "quote"), key="field_id", text="text", pattern="quote")
     return found.select("field_id", "quote_id", "char_start", (F.col("char_start") + F.length("quote")).alias("char_end"))
 
 

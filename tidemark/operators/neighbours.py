@@ -1,8 +1,8 @@
 """Best partners of every report, by sorted neighbours within combinations of shared signals.
 
 Partners rank by how many signals they share, then by the gap in time. Reports are therefore looked up by combinations of
-signals, largest combinations first: among the reports that have a combination, the best partners are the nearest in time. A report that has
-found enough partners at one size is closed and doesn't ask at smaller ones, so a signal that a third of all reports have is searched by
+signals, first those of three and more, then pairs, then single ones: among the reports that have a combination, the best partners are the nearest in time. A report that has
+found enough partners in one pass is closed and doesn't ask again, so a signal that a third of all reports have is searched by
 the few reports that have nothing better.
 
 Nearest partners come without pairing a combination with itself: its time points (with counts of reports) are sorted, each sees a few points
@@ -23,12 +23,13 @@ from ..storage import materialize, release
 SIDE = 6
 
 _IN, _BETWEEN = "\u001e", "\u001f"
+_ASK = ["key", "id", "record", "marks", "second"]
 
 
-def combinations(signals: Column, size: int) -> Column:
-    """All combinations of ``size`` elements of an array of strings, each as one string."""
+def combinations(signals: Column, least: int, most: int) -> Column:
+    """All combinations of ``least`` to ``most`` elements of an array of strings, each as one string."""
     every = F.sequence(F.lit(1), F.pow(F.lit(2), F.size(signals)).cast("long") - 1)
-    chosen = F.filter(every, lambda m: F.bit_count(m) == size)
+    chosen = F.filter(every, lambda m: F.bit_count(m).between(least, most))
     return F.transform(chosen, lambda m: F.concat_ws(_BETWEEN, F.filter(signals, lambda _, i: F.getbit(m, i) == 1)))
 
 
@@ -39,44 +40,49 @@ def reports(sig: DataFrame) -> DataFrame:
     return rows.withColumn("marks", F.transform("signals", lambda s: F.xxhash64(s))).join(many, "record")
 
 
-def _keyed(rows: DataFrame, size: int) -> DataFrame:
-    return rows.filter(F.size("signals") >= size).select("id", "record", "second", "marks", "many", F.explode(combinations(F.col("signals"), size)).alias("key"))
+def _keyed(rows: DataFrame, least: int, most: int) -> DataFrame:
+    return rows.filter(F.size("signals") >= least).select("id", "record", "second", "marks", "many", F.explode(combinations(F.col("signals"), least, most)).alias("key"))
 
 
-def time_points(keyed: DataFrame, span: int) -> DataFrame:
-    """``key, second, near``: for each time point of a key the points at most ``span`` away, ``SIDE`` a side, nearest first: ``gap, second, n, before``.
+def time_points(keyed: DataFrame, span: int, pairs: int) -> DataFrame:
+    """``key, second, reach, lonely``: for each time point of a key the points that its reports have to look at, and whether those are too few.
 
-    ``n`` counts a point's reports, ``before`` those of strictly nearer points. A point is seen from its own span of time and
-    from the two beside it, so a key's points are sorted in pieces of three spans.
+    Of the points at most ``span`` away, ``SIDE`` a side, the nearest ones are taken until they hold ``pairs`` reports of other records, the last
+    distance whole. A point is seen from its own span of time and from the two beside it, so a key's points are sorted in pieces of three spans.
     """
-    counts = keyed.filter("second IS NOT NULL").groupBy("key", "second").agg(F.count(F.lit(1)).alias("n"))
+    counts = keyed.filter("second IS NOT NULL").groupBy("key", "second").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"))
     own = F.floor(F.col("second") / span)
     cells = counts.select("*", F.explode(F.array(own - 1, own, own + 1)).alias("cell"))
     seen = F.collect_list(F.struct("second", "n")).over(Window.partitionBy("key", "cell").orderBy("second").rowsBetween(-SIDE, SIDE))
     gap = lambda p: F.abs(p["second"] - F.col("second"))
-    near = F.array_sort(F.transform(F.filter("seen", lambda p: gap(p) <= span), lambda p: F.struct(gap(p).alias("gap"), p["second"].alias("second"), p["n"].alias("n"))))
-    nearer = lambda p: F.aggregate(F.filter("near", lambda q: q["gap"] < p["gap"]), F.lit(0).cast("long"), lambda s, q: s + q["n"])
-    told = F.transform("near", lambda p: F.struct(p["gap"].alias("gap"), p["second"].alias("second"), p["n"].alias("n"), nearer(p).alias("before")))
-    rows = cells.withColumn("seen", seen).filter(F.col("cell") == own).withColumn("near", near)
-    return rows.select("key", "second", told.alias("near"))
+    total = lambda points: F.aggregate(points, F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    nearer = lambda p: total(F.filter("near", lambda q: gap(q) < gap(p)))
+    need = F.col("many") + pairs
+    rows = cells.withColumn("seen", seen).filter(F.col("cell") == own).withColumn("near", F.filter("seen", lambda p: gap(p) <= span))
+    lonely = total(F.col("near")) < need
+    reach = F.when(lonely, F.col("near")).otherwise(F.filter("near", lambda p: nearer(p) < need))
+    return rows.select("key", "second", reach["second"].alias("reach"), lonely.alias("lonely"))
+
 
+def _partners(asks: DataFrame, keyed: DataFrame, pairs: int, span: int, *, undated: bool, crowded: bool) -> DataFrame:
+    """Pairs of an asking report and a report that may be among its best, found by one combination: ``id, other, shared, gap_seconds``.
 
-def _partners(asks: DataFrame, keyed: DataFrame, pairs: int, span: int, undated: bool) -> DataFrame:
-    """Pairs of an asking report and a report that may be among its best, found by one combination: ``id, other, shared, gap_seconds``."""
+    ``undated`` and ``crowded`` say whether there are reports without time, and records with so many reports that they meet whole weeks.
+    """
     need = F.col("many") + pairs
     dated = asks.filter("second IS NOT NULL")
-    narrow = dated.filter(need <= SIDE + 1).join(time_points(keyed, span), ["key", "second"])
-    within = F.filter("near", lambda p: p["before"] < need)
+    narrow = dated.filter(need <= SIDE + 1).select(*_ASK).join(time_points(keyed, span, pairs), ["key", "second"])
     other = lambda *more: keyed.select("key", F.col("id").alias("other"), F.col("record").alias("other_record"), F.col("marks").alias("other_marks"), F.col("second").alias("other_second"), *more)
-    reached = narrow.select("key", "id", "record", "marks", "second", F.explode(within["second"]).alias("other_second"))
-    week = F.floor(F.col("second") / span)
-    wide = dated.filter(need > SIDE + 1).select("key", "id", "record", "marks", "second", F.explode(F.array(week - 1, week, week + 1)).alias("week"))
-    met = [reached.join(other(), ["key", "other_second"]), wide.join(other(week.alias("week")), ["key", "week"]).drop("week")]
+    reached = narrow.select(*_ASK, F.explode("reach").alias("other_second"))
+    met = [reached.join(other(), ["key", "other_second"])]
+    if crowded:
+        week = F.floor(F.col("second") / span)
+        wide = dated.filter(need > SIDE + 1).select(*_ASK, F.explode(F.array(week - 1, week, week + 1)).alias("week"))
+        met.append(wide.join(other(week.alias("week")), ["key", "week"]).drop("week"))
     if undated:
-        total = F.aggregate("near", F.lit(0).cast("long"), lambda s, p: s + p["n"])
-        lonely = narrow.filter(total < need).select("key", "id", "record", "marks", "second").unionByName(dated.filter(need > SIDE + 1).select("key", "id", "record", "marks", "second"))
+        lonely = narrow.filter("lonely").select(*_ASK).unionByName(dated.filter(need > SIDE + 1).select(*_ASK))
         met.append(lonely.join(other().filter("other_second IS NULL"), "key"))
-        met.append(asks.filter("second IS NULL").select("key", "id", "record", "marks", "second").join(other(), "key"))
+        met.append(asks.filter("second IS NULL").select(*_ASK).join(other(), "key"))
     gap = F.abs(F.col("second") - F.col("other_second"))
     out = None
     for rows in met:
@@ -95,11 +101,12 @@ def nearest_pairs(sig: DataFrame, *, pairs: int, gap_days: int) -> DataFrame:
     """
     span = gap_days * 86400
     base = materialize(reports(sig))
-    most, undated = base.agg(F.max(F.size("signals")), F.coalesce(F.bool_or(F.col("second").isNull()), F.lit(False))).first()
+    most, undated, many = base.agg(F.max(F.size("signals")), F.coalesce(F.bool_or(F.col("second").isNull()), F.lit(False)), F.max("many")).first()
+    passes = [(least, top) for least, top in ((3, most or 0), (2, 2), (1, 1)) if least <= min(top, most or 0)]
     rank = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("shared"), F.asc_nulls_last("gap_seconds"), "link_id"))
     asking, held, done, tables = base, None, [], [base]
-    for size in range(most or 0, 0, -1):
-        found = _partners(_keyed(asking, size), _keyed(base, size), pairs, span, undated)
+    for sizes in passes:
+        found = _partners(_keyed(asking, *sizes), _keyed(base, *sizes), pairs, span, undated=undated, crowded=many + pairs > SIDE + 1)
         found = found.withColumn("link_id", link_id(F.least("id", "other"), F.greatest("id", "other")))
         if held is not None:
             found = found.unionByName(held.filter(F.col("n") < pairs).drop("n"))
@@ -107,7 +114,7 @@ def nearest_pairs(sig: DataFrame, *, pairs: int, gap_days: int) -> DataFrame:
         held = materialize(best.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))))
         tables.append(held)
         full = held.filter(F.col("n") >= pairs)
-        done.append(full if size > 1 else held)
+        done.append(full if sizes != passes[-1] else held)
         asking = asking.join(full.select("id").distinct(), "id", "left_anti")
     if not done:
         empty = sig.select(F.col("incident_id").alias("low_id"), F.col("incident_id").alias("high_id"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("gap_seconds"), F.lit("").alias("link_id"))

@@ -51,11 +51,12 @@ class Settling(StatefulProcessor):
 
 
 def settling(results: DataFrame) -> DataFrame:
-    """``record_id, change`` of a stream of results (``record_id, sequence, state``), when an id's standing changes and only then.
+    """``record_id, change`` of a stream (or a table) of results (``record_id, sequence, state``), when an id's standing changes and only then.
 
     ``seen``: completed for the first time; ``awaiting``: sent to a person, until ``released`` by a completed result; a seen id may
     be awaited again. Failed and deferred results change nothing. Rows of a batch are taken by ``sequence``.
     """
+    results.sparkSession.streams.active  # noqa: B018  a table has state stores as well; their coordinator starts with the session's streams
     keyed = results.filter("record_id IS NOT NULL AND record_id <> ''").groupBy("record_id")
     return keyed.transformWithStateInPandas(statefulProcessor=Settling(), outputStructType=SETTLED, outputMode="Append", timeMode="None")
 
