@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..functions.wording import said_in
+from ..vocabularies import DAY_WORDS, MONTH_NAMES, MONTH_WORDS, WEEK_WORDS
 
 
 def value_index(facts: DataFrame, fields: list[str]) -> DataFrame:
@@ -73,30 +75,45 @@ def overlapping(families: DataFrame, events: DataFrame) -> DataFrame:
     return pairs.join(events.select("event_id").distinct(), "event_id", "left_semi").groupBy("family_id").agg(F.countDistinct("event_id").alias("shared"))
 
 
+def _named_days(text: Column) -> Column:
+    """``array<struct<day, month, year>>`` of forms like "2 Oct", "2-october-2026": in order, those whose word is a month; no year is -1."""
+    shape = F.lit(r"(?<![0-9])([0-9]{1,2})[\s/-]([a-z]{3,9})(?:[\s,/-]+([0-9]{4}))?(?![0-9])")
+    part = lambda i: F.regexp_extract_all(text, shape, F.lit(i))
+    names = {n: i for i, full in enumerate(MONTH_NAMES, 1) for n in (full, full[:3])} | {"sept": 9}
+    months = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    every = F.transform(F.arrays_zip(part(1).alias("d"), part(2).alias("m"), part(3).alias("y")), lambda x: F.struct(x["d"].cast("int").alias("day"), F.try_element_at(months, x["m"]).alias("month"), F.coalesce(F.nullif(x["y"], F.lit("")).cast("int"), F.lit(-1)).alias("year")))
+    return F.filter(every, lambda x: x["month"].isNotNull())
+
+
 def question_window(text: Column, today: Column) -> Column:
-    """``struct(since, until)`` that a question names, by the first form that fits; null if none does or the date doesn't exist."""
+    """``struct(since, until)`` that a question names, by the first form that fits; null if none does, null days if the date doesn't exist.
+
+    In this order: ISO days (one digit will do), day/month/year, "n days ago" and "last (past, recent) n days" of two digits at most, words for
+    days, days with a month's name (the year of ``today`` if none is said), words for weeks and months.
+    """
     t = fold(text)
-    day = lambda c: F.struct(c.alias("since"), c.alias("until"))
     span = lambda a, b: F.struct(a.alias("since"), b.alias("until"))
-    iso = F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1)
-    dmy = [F.regexp_extract(t, r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", i) for i in (1, 2, 3)]
-    ago, last = F.regexp_extract(t, r"\b(\d{1,3}) days? ago\b", 1), F.regexp_extract(t, r"\b(?:last|past) (\d{1,3}) days?\b", 1)
-    number = lambda s: F.expr("0") + s.cast("int")
+    day = lambda c: span(c, c)
+    group = lambda shape, i: F.regexp_extract(t, shape, i)
+    number = lambda s: F.nullif(s, F.lit("")).cast("int")
+    date = lambda y, m, d: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")).cast("date")
+    iso = r"(?<![0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])"
+    dmy = r"(?<![0-9])([0-9]{1,2})[\s/-]([0-9]{1,2})[\s/-]([0-9]{4})(?![0-9])"
+    ago, last = r"(?<![0-9])([0-9]{1,2})\s+days?\s+ago", r"(?:last|past|recent)\s+([0-9]{1,2})\s+days?"
+    out = F.when(group(iso, 1) != "", day(date(*[number(group(iso, i)) for i in (1, 2, 3)]))).when(group(dmy, 1) != "", day(date(*[number(group(dmy, i)) for i in (3, 2, 1)])))
+    out = out.when(group(ago, 1) != "", day(F.date_sub(today, number(group(ago, 1))))).when(group(last, 1) != "", span(F.date_sub(today, number(group(last, 1)) - 1), today))
+    said = lambda word: F.size(said_in(t, [word])) > 0
+    for word, back in DAY_WORDS.items():
+        out = out.when(said(word), day(F.date_sub(today, back)))
+    named = F.transform(_named_days(t), lambda x: date(F.when(x["year"] >= 0, x["year"]).otherwise(F.year(today)), x["month"], x["day"]))
+    first = F.try_element_at(F.array_compact(named), F.lit(1))
+    out = out.when(first.isNotNull(), day(first))
     monday, month = F.date_trunc("week", today).cast("date"), F.trunc(today, "month")
-    parsed = F.try_to_timestamp(F.concat_ws("-", dmy[2], F.lpad(dmy[1], 2, "0"), F.lpad(dmy[0], 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-    return (
-        F.when(iso != "", day(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")))
-        .when(dmy[0] != "", day(parsed))
-        .when(ago != "", day(F.date_sub(today, number(ago))))
-        .when(last != "", span(F.date_sub(today, number(last) - 1), today))
-        .when(t.contains("yesterday"), day(F.date_sub(today, 1)))
-        .when(t.contains("tomorrow"), day(F.date_add(today, 1)))
-        .when(t.contains("today"), day(today))
-        .when(t.contains("last week"), span(F.date_sub(monday, 7), F.date_sub(monday, 1)))
-        .when(t.contains("this week"), span(monday, F.date_add(monday, 6)))
-        .when(t.contains("last month"), span(F.add_months(month, -1), F.date_sub(month, 1)))
-        .when(t.contains("this month"), span(month, F.last_day(month)))
-    )
+    for word, weeks in WEEK_WORDS.items():
+        out = out.when(said(word), span(F.date_add(monday, 7 * weeks), F.date_add(monday, 7 * weeks + 6)))
+    for word, months in MONTH_WORDS.items():
+        out = out.when(said(word), span(F.add_months(month, months), F.last_day(F.add_months(month, months))))
+    return out
 
 
 def search(rows: DataFrame, keep: Column, time: str, *, days: int | None = None, shown: int = 8, tie: str = "incident_id") -> DataFrame:

@@ -65,7 +65,7 @@ def general_refusal(lines: Column, *, answerable: Column, value_shaped: Column,
     """Why an answer from background can't be shown, by the first reason that holds; null where it can."""
     kept = F.filter(F.transform(lines, squeeze), lambda x: F.coalesce(x, F.lit("")) != "")
     text = F.array_join(kept, " ")
-    emoji = text.rlike("[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]")
+    emoji = text.rlike("[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{FE0F}]")
     held = F.exists(places, lambda p: (p != "") & F.contains(fold(text), p))
     return (
         F.when(~F.coalesce(answerable, F.lit(False)), "answered from records").when(F.size(kept) == 0, "nothing written").when(F.size(kept) > GENERAL_LINES, "too long").when(emoji, "emoji").when(held, "names a held place")

@@ -50,3 +50,9 @@ TALUK_SPELLINGS = {
     "thirumangalam": "Thirumangalam", "tirumangalam": "Thirumangalam", "thiruparankundram": "Thiruparankundram", "thirupparankundram": "Thiruparankundram",
     "usilampatti": "Usilampatti", "vadipatti": "Vadipatti", "vadippatti": "Vadipatti", "peraiyur": "Peraiyur", "kallikudi": "Kallikudi", "kalligudi": "Kallikudi",
 }
+
+#: Words of questions (fixed values): days back, weeks and months from the current one, month names.
+DAY_WORDS = {"today": 0, "இன்று": 0, "yesterday": 1, "நேற்று": 1, "நேற்றை": 1, "tomorrow": -1, "நாளை": -1}
+WEEK_WORDS = {"this week": 0, "current week": 0, "இந்த வாரம்": 0, "last week": -1, "previous week": -1, "கடந்த வாரம்": -1}
+MONTH_WORDS = {"this month": 0, "current month": 0, "இந்த மாதம்": 0, "last month": -1, "previous month": -1, "கடந்த மாதம்": -1}
+MONTH_NAMES = "january february march april may june july august september october november december".split()
