@@ -33,6 +33,41 @@ def verified(text: Column, text_hash: Column, quote: Column, start: Column, end:
     return F.when(start.isNull() | end.isNull(), "not_applicable").when(text_hash.isNull(), "unvalidated").when((F.sha2(text, 256) != text_hash) | (slice_ != quote), "mismatch").otherwise("validated")
 
 
+#: Fields of a document that a claim stands behind, and values that say nothing (fixed values).
+CLAIMED = ["incident_type", "category", "department", "severity", "priority", "event_status"]
+ABSENT = ["", "unresolved", "unknown"]
+
+
+def _stated(field: Column) -> Column:
+    """What a document says in a field; null for a field that isn't one of :data:`CLAIMED` or the time, the empty string for none."""
+    held = {n: F.col(n) for n in CLAIMED} | {"event_time": F.col("event_time").cast("string")}
+    out = F.lit(None).cast("string")
+    for name, value in held.items():
+        out = F.when(field == name, F.coalesce(value, F.lit(""))).otherwise(out)
+    return out
+
+
+def claim_rules() -> dict[str, Column]:
+    """Rules on what stands behind the values and the review of a document that was assembled from a draft; columns also ``issues, context_type, context_facts``."""
+    c = F.col
+    said = lambda n: F.coalesce(~c(n).isin(ABSENT), F.lit(False))
+    claimed = F.transform("claims", lambda x: x["field"])
+    unclaimed = F.lit(False)
+    for n in CLAIMED:
+        unclaimed |= said(n) & ~F.array_contains(claimed, n)
+    doubtful = F.exists("claims", lambda x: (x["review"] != "accepted") & ~F.coalesce(_stated(x["field"]).isin(ABSENT), F.lit(True)))
+    flagged = doubtful
+    for n in ("locations", "entities", "context_facts"):
+        flagged |= F.exists(n, lambda x: x["review"] != "accepted")
+    idle = c("record_kind").isin("forecast", "context")
+    return {
+        "value_without_claim": unclaimed, "event_time_without_claim": c("event_time").isNotNull() & ~F.array_contains(claimed, "event_time"), "accepted_though_flagged": (c("review") == "accepted") & flagged,
+        "unresolved_with_accepted_claim": (c("review") == "unresolved") & F.exists("claims", lambda x: x["review"] == "accepted"),
+        "review_without_reason": (c("review") == "review_required") & ~flagged & (F.size("issues") == 0), "context_with_happening": idle & (said("category") | said("department") | said("severity") | said("priority") | said("event_status")),
+        "incident_with_context": c("context_type").isNotNull() & ~idle, "claimed_twice": F.size(F.array_distinct(claimed)) < F.size(claimed),
+    }
+
+
 def rules() -> dict[str, Column]:
     """Contract of a nested incident: name to "is violated". Columns as in :data:`tidemark.schema.INCIDENT`."""
     c = F.col
@@ -51,14 +86,15 @@ def rules() -> dict[str, Column]:
         "unresolved_coordinates": F.exists("locations", lambda p: p["latitude"].isNotNull() & (F.coalesce(p["resolution"], F.lit("")) != "resolved")),
         "incident_without_type": (c("record_kind") == "incident") & (c("review") == "accepted") & F.coalesce(c("incident_type").isin("unresolved", "unknown"), F.lit(True)) & ~F.exists("claims", lambda x: (x["field"] == "description") & (x["review"] == "accepted")),
         "context_with_event": c("record_kind").isin("forecast", "context") & F.coalesce(~c("incident_type").isin("unresolved", "unknown"), F.lit(False)),
-        "accepted_with_open_claim": (c("review") == "accepted") & F.exists("claims", lambda x: x["review"] != "accepted"),
+        "accepted_with_open_claim": (c("review") == "accepted") & F.exists("claims", lambda x: (x["review"] != "accepted") & ~F.coalesce(_stated(x["field"]).isin(ABSENT), F.lit(False))),
     }
 
 
-def violations(documents: DataFrame) -> DataFrame:
-    """``rule, documents``: how many documents violate each rule, zeros included; one scan."""
-    sums = documents.agg(*[F.count_if(F.coalesce(v, F.lit(False))).alias(n) for n, v in rules().items()])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("documents")) for n in rules()])).alias("r")).select("r.rule", "r.documents")
+def violations(documents: DataFrame, held: dict[str, Column] | None = None) -> DataFrame:
+    """``rule, documents``: how many documents violate each rule (:func:`rules` unless others are given), zeros included; one scan."""
+    held = held or rules()
+    sums = documents.agg(*[F.count_if(F.coalesce(v, F.lit(False))).alias(n) for n, v in held.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("documents")) for n in held])).alias("r")).select("r.rule", "r.documents")
 
 
 __all__ = ["find_spans", "quote_spans", "rules", "unique_field", "verified", "violations"]
