@@ -172,3 +172,19 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(docs).count() == 0
     members, links = jaccard_join.near_duplicates(docs)
     assert members.count() == 0 and links.count() == 0
+
+
+def test_exact_dedup_of_rows_that_repeat(spark):
+    """Equal rows without ids: dealt over salts, one of them is kept; names of the operator's own columns are free."""
+    names = ("_null", "_rest", "_text", "_id", "_digest", "_salt", "_sha", "_best", "_row", "keep_salt")
+    docs = spark.createDataFrame([(None, "copy", *names)] * 3000 + [(7, "copy", *names)] * 50 + [(None, None, *names), (1, "", *names), (2, "alone", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(12)
+    dealt = exact_dedup._salted(exact_dedup._rows(docs, None), docs.count(), 32).filter("_text = 'copy'").groupBy("_salt").count().collect()
+    assert len(dealt) >= 6 and max(r["count"] for r in dealt) < 3050 / 3
+    groups = exact_dedup.exact_groups(docs)
+    assert set(names) <= set(groups.columns) and groups.count() == 3053
+    kept = sorted((r.doc_id, r.keep_id, r.group_size) for r in groups.filter("kept").collect())
+    assert kept == [(1, 1, 2), (2, 2, 1), (7, 7, 3050)]
+    nameless = exact_dedup.exact_groups(docs.filter("doc_id IS NULL AND text = 'copy'"))
+    assert nameless.filter("kept").count() == 1 and nameless.filter("keep_id IS NULL").count() == 3000
+    out = exact_dedup.exact_dedup(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text, r._null) for r in out.collect()) == [(1, "", "_null"), (2, "alone", "_null"), (7, "copy", "_null")]

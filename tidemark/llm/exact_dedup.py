@@ -27,15 +27,16 @@ PLAIN = -1  # the salt of digests that aren't hot
 
 
 def _salted(rows: DataFrame, total: int, salts: int) -> DataFrame:
-    """``rows`` (``_id, _digest``) with ``_salt``."""
+    """``rows`` (``_id, _digest``) with ``_salt``: by id and place in the table, so rows that repeat an id, or have none, are dealt as well."""
+    rows = rows.withColumn("_place", F.spark_partition_id())
     counts = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
     hot = materialize(counts.filter(F.col("_n") > max(1, total // HOT_DIGESTS)).select("_digest", F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).otherwise(PLAIN)
-    return rows.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", salt).drop("_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "_place"), F.lit(salts)).cast("int")).otherwise(PLAIN)
+    return rows.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", salt).drop("_hot", "_place")
 
 
 def _rows(docs: DataFrame, digest: Column | None) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("_rest"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), F.col("text").isNull().alias("_null"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"))
     rows = rows.withColumn("_sha", F.sha2("_text", DIGEST_BITS))
     return rows.withColumn("_digest", F.unhex("_sha") if digest is None else digest)
 
@@ -51,9 +52,10 @@ def exact_groups(docs: DataFrame, *, salts: int = SALTS, digest: Column | None =
     """
     rows = _salted(_rows(docs, digest), docs.count(), salts)
     salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    plain = salted.filter(F.col("_salt") == PLAIN).select("_digest", "_text", "keep_id", "group_size", F.array("_salt").alias("_salts"))
-    hot = salted.filter(F.col("_salt") != PLAIN).groupBy("_digest", "_text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.collect_list("_salt").alias("_salts"))
-    whole = plain.unionByName(hot)
+    plain = salted.filter(F.col("_salt") == PLAIN).select("_digest", "_text", "keep_id", F.col("_salt").alias("keep_salt"), "group_size", F.array("_salt").alias("_salts"))
+    best = F.max(F.struct(F.col("keep_id").isNotNull().alias("known"), F.col("keep_id").alias("id"), F.col("_salt").alias("salt"))).alias("_best")
+    hot = salted.filter(F.col("_salt") != PLAIN).groupBy("_digest", "_text").agg(best, F.sum("group_size").alias("group_size"), F.collect_list("_salt").alias("_salts"))
+    whole = plain.unionByName(hot.select("_digest", "_text", F.col("_best.id").alias("keep_id"), F.col("_best.salt").alias("keep_salt"), "group_size", "_salts"))
     found = materialize(whole.drop("_text"))
     shared = materialize(found.groupBy("_digest").count().filter("count > 1").select("_digest"))
 
@@ -63,30 +65,30 @@ def exact_groups(docs: DataFrame, *, salts: int = SALTS, digest: Column | None =
         back = slim.join(found.withColumn("_salt", F.explode("_salts")), key)
     else:
         mixed = whole.join(shared, "_digest", "left_semi").withColumn("_salt", F.explode("_salts"))
-        back = rows.join(mixed, [*key, "_text"]).select(*slim.columns, "keep_id", "group_size")
+        back = rows.join(mixed, [*key, "_text"]).select(*slim.columns, "keep_id", "keep_salt", "group_size")
         alone = found.join(shared, "_digest", "left_anti").withColumn("_salt", F.explode("_salts"))
-        back = back.unionByName(slim.join(alone, key).select(*slim.columns, "keep_id", "group_size"))
+        back = back.unionByName(slim.join(alone, key).select(*slim.columns, "keep_id", "keep_salt", "group_size"))
     copies = Window.partitionBy(*key, "_sha", "_id").orderBy("_id")
-    kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(copies) == 1)
+    kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_salt") == F.col("keep_salt")) & (F.row_number().over(copies) == 1)
     added = [F.col("keep_id"), F.col("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256")]
     others = [c for c in docs.columns if c not in ("doc_id", "text", "keep_id", "group_size", "kept", "text_sha256")]
     return back.select(F.col("_id").alias("doc_id"), *[F.col("_rest").getField(c).alias(c) for c in others], *added)
 
 
 def exact_dedup(docs: DataFrame, *, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (names may be any but ``_null``); rules as in :func:`exact_groups`.
+    """The rows of ``docs`` that stay, with all their columns; rules as in :func:`exact_groups`.
 
     Of rows that repeat id and text one stays, whichever; a null text that stays is null still. The winning row itself
     goes through the three stages, so texts are shuffled once and nothing is joined back.
     """
     rows = _salted(_rows(docs, None).drop("_sha"), docs.count(), salts)
     rank = F.struct(F.col("_id").isNotNull(), "_id")
-    salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max_by("_rest", rank).alias("_rest"))
-    hot = salted.filter(F.col("_salt") != PLAIN).withColumn("_id", F.col("_rest.doc_id"))
-    hot = hot.groupBy("_digest", "_text").agg(F.max_by("_rest", rank).alias("_rest"))
-    stay = salted.filter(F.col("_salt") == PLAIN).select("_text", "_rest").unionByName(hot.select("_text", "_rest"))
-    text = F.when(~F.col("_rest._null"), F.col("_text")).alias("text")
-    return stay.select(*[text if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max_by(F.struct("_rest", "_null"), rank).alias("_row"))
+    hot = salted.filter(F.col("_salt") != PLAIN).withColumn("_id", F.col("_row._rest.doc_id"))
+    hot = hot.groupBy("_digest", "_text").agg(F.max_by("_row", rank).alias("_row"))
+    stay = salted.filter(F.col("_salt") == PLAIN).select("_text", "_row").unionByName(hot.select("_text", "_row"))
+    text = F.when(~F.col("_row._null"), F.col("_text")).alias("text")
+    return stay.select(*[text if c == "text" else F.col("_row._rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
