@@ -35,8 +35,8 @@ def signals_of(spark, reports):
     return spark.createDataFrame(rows, SIG).repartition(4)
 
 
-@pytest.mark.parametrize(("seed", "undated", "per_record"), [(1, 0.0, 1), (2, 0.1, 2), (3, 0.05, 9)])
-def test_nearest_pairs(spark, seed, undated, per_record):
+@pytest.mark.parametrize(("seed", "undated", "per_record", "people"), [(1, 0.0, 1, 0), (2, 0.1, 2, 0), (3, 0.05, 9, 0), (4, 0.05, 1, 9)])
+def test_nearest_pairs(spark, seed, undated, per_record, people):
     rng = random.Random(seed)
     reports = []
     for n in range(220):
@@ -47,7 +47,9 @@ def test_nearest_pairs(spark, seed, undated, per_record):
         if rng.random() < 0.3:
             sigs.add(("person", f"n{rng.randrange(40)}"))
         if rng.random() < 0.1:
-            sigs = set(list(sigs)[:1])
+            sigs = set(sorted(sigs)[:1])
+        if people and rng.random() < 0.2:  # more signals than are combined
+            sigs |= {("person", f"n{rng.randrange(12)}") for _ in range(people)}
         reports.append((f"i{n:03}", f"r{n // per_record}", when, frozenset(sigs)))
     got = neighbours.nearest_pairs(signals_of(spark, reports), pairs=5, gap_days=7)
     assert got.columns == ["low_id", "high_id", "shared", "gap_seconds", "link_id"]

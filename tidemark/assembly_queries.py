@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import shapes
 from .operators import assembly
 from .registering import query
 from .sources import views
@@ -60,3 +61,33 @@ def assembled_lineage(spark, d):
     claims = out.select("record_id", "evidence", F.explode("claims").alias("c")).select("record_id", "evidence", F.col("c.field").alias("field"), F.explode("c.evidence_ids").alias("id"))
     held = claims.withColumn("e", F.try_element_at(F.filter("evidence", lambda e: e["evidence_id"] == F.col("id")), F.lit(1))).filter("e.quote IS NOT NULL")
     return held.select("record_id", "field", F.col("e.field").alias("path"), "e.char_start", "e.char_end", "e.quote")
+
+
+DRAFT_KIND = shapes.data_type({
+    "type": "object", "required": ["type", "value"],
+    "properties": {
+        "type": {"type": "string"}, "value": {"type": "number"}, "tags": {"type": ["array", "null"], "items": {"type": "string"}},
+        "record": {"type": ["object", "null"], "properties": {"k": {"type": "integer"}}, "required": ["k"]},
+    },
+})[0]
+
+#: Drafts made of the events' own values; some are written as another type, some have more, some are cut off.
+TORN_SQL = """texts AS (SELECT event_id, '{"type": ' || CASE WHEN user_id % 3 = 0 THEN user_id::VARCHAR ELSE '"' || event_type || '"' END || ', "value": ' || CASE WHEN user_id % 5 = 0 THEN '"' || user_id || '"' ELSE user_id::VARCHAR END
+    || ', "record": ' || CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN '[1, 2.5, "x"]' WHEN 2 THEN replace(props, 'k', 'j') ELSE props END || ', "tags": ["a", ' || CASE WHEN event_id % 4 = 0 THEN user_id::VARCHAR ELSE '"b"' END || ']'
+    || CASE WHEN user_id % 7 = 0 THEN ', "extra": 1' ELSE '' END || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END AS t FROM events)"""
+
+
+@query("""SELECT event_id, CASE WHEN NOT json_valid(t) THEN '$ is no JSON' ELSE array_to_string(list_filter([CASE WHEN json_exists(t, '$.extra') THEN '$.extra unknown field' END, CASE WHEN json_type(t, '$.type') <> 'VARCHAR' THEN '$.type number, not string' END,
+    CASE WHEN json_type(t, '$.value') = 'VARCHAR' THEN '$.value string, not number' END, CASE WHEN json_type(t, '$.tags[1]') <> 'VARCHAR' THEN '$.tags[1] number, not string' END,
+    CASE WHEN json_type(t, '$.record') = 'ARRAY' THEN '$.record array, not object' WHEN json_exists(t, '$.record.j') THEN '$.record.j unknown field|$.record.k is missing' END], lambda x: x IS NOT NULL), '|') END AS faults FROM texts""", TORN_SQL)
+def draft_faults(spark, d):
+    """What is wrong with each draft, by path."""
+    key, user, props = F.col("event_id"), F.col("user_id"), F.col("props")
+    quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    record = F.when(key % 5 == 0, "null").when(key % 5 == 1, '[1, 2.5, "x"]').when(key % 5 == 2, F.replace(props, F.lit("k"), F.lit("j"))).otherwise(props)
+    text = F.concat(
+        F.lit('{"type": '), F.when(user % 3 == 0, user.cast("string")).otherwise(quoted(F.col("event_type"))), F.lit(', "value": '), F.when(user % 5 == 0, quoted(user)).otherwise(user.cast("string")), F.lit(', "record": '), record,
+        F.lit(', "tags": ["a", '), F.when(key % 4 == 0, user.cast("string")).otherwise('"b"'), F.lit("]"), F.when(user % 7 == 0, ', "extra": 1').otherwise(""), F.when(key % 11 == 0, "").otherwise("}"),
+    )
+    rows = views.table(spark, d, "events").select("event_id", shapes.faults(text, DRAFT_KIND).alias("f"))
+    return rows.select("event_id", F.array_join(F.transform("f", lambda x: F.concat_ws(" ", x["path"], x["fault"])), "|").alias("faults"))

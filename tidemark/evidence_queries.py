@@ -55,12 +55,15 @@ def built_evidence(spark, d):
     return grounding.build_evidence(rows).select("doc_id", "fault", "evidence_id")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'lat|latitude' ELSE '' END AS dropped, 'taluk|text' AS kept FROM orders")
+@query("""SELECT c_nationkey, coalesce(string_agg(DISTINCT k, '|' ORDER BY k) FILTER (k IN ('lat', 'longitude', 'geometry', 'lng')), '') AS dropped, coalesce(string_agg(DISTINCT k, '|' ORDER BY k) FILTER (k NOT IN ('lat', 'longitude', 'geometry', 'lng')), '') AS kept
+  FROM (SELECT c_nationkey, (['text', 'lat', 'longitude', 'taluk', 'geometry', 'lng', 'block'])[(c_custkey % 7) + 1] AS k FROM customer WHERE c_acctbal < 500) GROUP BY c_nationkey""")
 def gis_keys_dropped(spark, d):
-    plain = F.create_map(F.lit("text"), F.lit("x"), F.lit("taluk"), F.lit("y"))
-    item = F.when(F.col("o_orderkey") % 2 == 0, F.map_concat(plain, F.create_map(F.lit("latitude"), F.lit("1"), F.lit("lat"), F.lit("1")))).otherwise(plain)
-    rows = views.table(spark, d, "orders").select("o_orderkey", grounding.without_gis_keys(item).alias("g"))
-    return rows.select("o_orderkey", joined("g.dropped").alias("dropped"), joined(F.array_sort(F.map_keys("g.item"))).alias("kept"))
+    """Drafted places, one a nation, with the keys that its poorer customers bring."""
+    names = _array("text", "lat", "longitude", "taluk", "geometry", "lng", "block")
+    keyed = views.table(spark, d, "customer").filter("c_acctbal < 500").select("c_nationkey", F.element_at(names, (F.col("c_custkey") % 7 + 1).cast("int")).alias("k"))
+    items = keyed.groupBy("c_nationkey").agg(F.map_from_entries(F.transform(F.collect_set("k"), lambda k: F.struct(k.alias("key"), F.lit("x").alias("value")))).alias("item"))
+    rows = items.select("c_nationkey", grounding.without_gis_keys(F.col("item")).alias("g"))
+    return rows.select("c_nationkey", joined("g.dropped").alias("dropped"), joined(F.array_sort(F.map_keys("g.item"))).alias("kept"))
 
 
 @query("""SELECT conv_id AS job_id, count(*) AS rows FROM (SELECT conv_id, sum(length('[line_id=' || turn::VARCHAR || '; page=None] ' || trim(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn) AS chars FROM conversations WHERE trim(text, ' ') <> '') WHERE chars <= 600 GROUP BY conv_id""")
@@ -77,13 +80,15 @@ def insight_verdicts(spark, d):
     return grounding.insight_verdicts(items, rows.select(F.col("doc_id").alias("job_id"), "text"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'too large' WHEN 2 THEN 'file type' END AS fault, CASE WHEN o_orderkey % 3 = 0 THEN 'cached' WHEN o_orderkey % 3 = 1 THEN 'conflict' ELSE 'read' END AS answer FROM orders")
+@query("""SELECT page_id, CASE WHEN size <= 0 THEN 'empty' WHEN size > 10485760 THEN 'too large' WHEN NOT regexp_matches(lower(name), '[.](pdf|tif|tiff)$') THEN 'file type' END AS fault,
+  CASE WHEN contains(html, '<table') THEN 'cached' WHEN NOT contains(html, '<p') THEN 'conflict' ELSE 'read' END AS answer
+  FROM (SELECT page_id, html, url || (['', '.pdf', '.PDF', '.Tiff', '.doc'])[length(url) % 5 + 1] AS name, (length(html) - 500) * 4000 AS size FROM pages)""")
 def uploads_and_jobs(spark, d):
-    k = F.col("o_orderkey")
-    size = F.when(k % 4 == 0, 0).when(k % 4 == 1, 11 * 1024 * 1024).otherwise(100)
-    name = F.when(k % 4 == 2, "scan.exe").otherwise("Scan.TIFF")
-    answer = contracts.job_answer(F.when(k % 3 == 1, "IN_PROGRESS").otherwise("SUCCEEDED"), k % 3 == 0)
-    return views.table(spark, d, "orders").select("o_orderkey", contracts.upload_fault(name, size).alias("fault"), answer.alias("answer"))
+    """Pages as files to be uploaded: their names and sizes are those of the pages, with an ending by the length of the address."""
+    endings = _array("", ".pdf", ".PDF", ".Tiff", ".doc")
+    rows = views.table(spark, d, "pages").withColumn("name", F.concat("url", F.element_at(endings, (F.length("url") % 5 + 1).cast("int")))).withColumn("size", (F.length("html") - 500) * 4000)
+    answer = contracts.job_answer(F.when(F.contains("html", F.lit("<p")), "SUCCEEDED").otherwise("IN_PROGRESS"), F.contains("html", F.lit("<table")))
+    return rows.select("page_id", contracts.upload_fault(F.col("name"), F.col("size")).alias("fault"), answer.alias("answer"))
 
 
 def _array(*values: str):
@@ -103,30 +108,6 @@ def interpretation_contract(spark, d):
     return checks.violations(rows, contracts.interpretation_rules())
 
 
-ANSWER_FAULTS = {
-    "events are counted": 0, "shown over counted": 1, "change": 2, "foreign event": 3, "foreign evidence": 4, "foreign quotation": 5, "repeated quotation": 6, "invented number": 7, "grounded with findings": 8, "grounded without acceptance": 9,
-    "grounded without statement": 10, "grounded without confidence": 11, "grounded with claim words": 12, "grounded on too few quotes": 13, "qualified without findings": 15, "qualified and missing": 16, "refused with statement": 17, "refused without reason": 18, "refused and accepted": 19,
-}
-
-
-@query("SELECT rule, count_if(o_orderkey % 23 = k) AS rows FROM orders, (VALUES " + ", ".join(f"('{r}', {k})" for r, k in {**{r: 22 for r in ("incidents are counted", "grounded without quotation", "qualified without statement")}, **ANSWER_FAULTS}.items()).replace(", 22)", ", -1)") + ") AS t(rule, k) GROUP BY rule")
-def answer_contract(spark, d):
-    """Answers with one fault each, by order key; the rules find just these."""
-    k = F.col("o_orderkey") % 23
-    f = ANSWER_FAULTS
-    at = lambda rule, value, other: F.when(k == f[rule], value).otherwise(other)
-    state = F.when(k.isin(15, 16), "qualified").when(k.isin(17, 18, 19), "refused").otherwise("grounded")
-    statement = F.when(k.isin(10, 18, 19), _array()).when(k == 7, _array("We saw 99 cases")).when(k == 12, _array("It is confirmed: 2 cases")).otherwise(_array("We saw 2 cases"))
-    rows = views.table(spark, d, "orders").select(
-        at("events are counted", 3, 2).alias("events"), _array("e1", "e2").alias("event_ids"), F.lit(1).alias("incidents"), _array("i1").alias("incident_ids"), at("shown over counted", 5, 2).alias("shown_events"), at("grounded on too few quotes", 1, 2).alias("quoted_events"),
-        state.alias("state"), F.when(k == 19, "accepted").when(k.isin(9, 17, 18), "review_required").otherwise("accepted").alias("review"), F.when(k.isin(8, 16), _array("f")).otherwise(_array()).alias("findings"), statement.alias("statements"),
-        F.when(k.isin(16, 17, 19), "why").when(k == 18, " ").alias("missing"), F.lit("read").alias("explanation"), at("grounded without confidence", 0.3, 0.9).alias("confidence"), at("foreign event", _array("e9"), _array("e1")).alias("cited_events"),
-        at("foreign evidence", _array("q9"), _array("q1")).alias("cited_evidence"), at("repeated quotation", _array("q1", "q1"), _array("q1", "q2")).alias("quotation_evidence"), at("foreign quotation", _array("i9"), _array("i1")).alias("quotation_incidents"),
-        _array("2 cases were counted").alias("numbers"), F.when(k == 2, 1).alias("previous"), F.when(k == 2, 5).alias("change"),
-    )
-    return checks.violations(rows, contracts.answer_rules())
-
-
 BRIEF_FAULTS = {"period upside down": 0, "anchor": 1, "events are counted": 2, "shown over counted": 3, "truncated": 4, "foreign event": 5, "foreign evidence": 6, "foreign quotation": 7, "unprinted item": 8, "invented number": 9, "days out of range": 10, "unknown basis": 11}
 
 
@@ -144,18 +125,6 @@ def briefing_contract(spark, d):
     return checks.violations(rows, contracts.briefing_rules())
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'uncited' WHEN 2 THEN 'event out of scope' WHEN 3 THEN 'evidence not printed' WHEN 4 THEN 'number not measured' END AS fault, CASE WHEN o_orderkey % 6 = 5 THEN 'grounded' ELSE 'refused' END AS state FROM orders")
-def supported_statements(spark, d):
-    k = F.col("o_orderkey") % 6
-    rows = views.table(spark, d, "orders").select(
-        "o_orderkey", F.when(k == 0, "").when(k == 4, "12 cases").otherwise("3 cases").alias("text"), F.lit(True).alias("calculated"), F.when(k == 1, _array()).when(k == 2, _array("e9")).otherwise(_array("e1")).alias("cited_events"),
-        F.when(k == 3, _array("q9")).otherwise(_array()).alias("cited_evidence"), _array("e1").alias("scope_events"), _array("q1").alias("printed_evidence"), _array("3 cases").alias("numbers"),
-    )
-    out = contracts.supported_statements(rows)
-    state = contracts.answer_state(F.when(F.col("fault").isNull(), 1).otherwise(0), F.lit(0), F.lit(True))
-    return out.select("o_orderkey", "fault", state.alias("state"))
-
-
 # Common records in detail.
 @query("SELECT CASE WHEN value < 10 THEN 'min: null' WHEN value < 20 THEN 'min: empty' WHEN value < 30 THEN 'min: not a scalar' ELSE '' END || CASE WHEN value < 30 THEN '|' ELSE '' END || 'max: missing' AS notes, 'extra' AS unused, count(*) AS n FROM events GROUP BY ALL")
 def field_notes(spark, d):

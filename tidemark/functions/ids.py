@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What identifiers begin with that are printed to be cited: events, incidents, issues, trends, briefings and evidence (fixed values).
+PRINTED = ["EVT", "INC", "ISS", "TRD", "BRF", "ev"]
+
+
 def short_hash(text: Column, size: int = 16) -> Column:
     return F.substring(F.sha2(text, 256), 1, size)
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..vocabularies import CLAIM_WORDS, FORECAST_WORDS, MARKET_WORDS, MONTHS_TAMIL, PAST_WORDS, TALUK_SPELLINGS
+from .ids import PRINTED
 from .text import digit_runs, fold, script, squeeze
 
+
 @F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
@@ -31,7 +33,7 @@ def digit_set(text: Column) -> Column:
 
 def without_ids(text: Column) -> Column:
     """Identifiers are printed to be cited; their digits measure nothing."""
-    return F.regexp_replace(text, r"\b(?:BRF|EVT|INC|ISS|TRD|ev)-[0-9A-Za-z_-]+", "")
+    return F.regexp_replace(text, rf"\b({'|'.join(PRINTED)})-[\w-]+", "")
 
 
 def stray_digits(text: Column, allowed: Column) -> Column:

@@ -19,6 +19,9 @@ from pyspark.sql.window import Window
 from ..functions.ids import link_id
 from ..storage import materialize, release
 
+#: Signals of a report that is looked up by combinations; the pairs of reports with more are found by single signals within their weeks.
+MOST_SIGNALS = 6
+
 #: Time points that a point sees on either side. A report whose record has more than ``SIDE + 1 - pairs`` reports meets all of its weeks.
 SIDE = 6
 
@@ -92,30 +95,55 @@ def _partners(asks: DataFrame, keyed: DataFrame, pairs: int, span: int, *, undat
     return out
 
 
+def _crowded_pairs(crowded: DataFrame, base: DataFrame, span: int, *, undated: bool) -> DataFrame:
+    """All pairs of which one report is in ``crowded``, from either end: ``id, other, shared, gap_seconds``."""
+    one = lambda rows: rows.select("id", "record", "second", "marks", F.explode("signals").alias("key"))
+    other = one(base).select("key", F.col("id").alias("other"), F.col("record").alias("other_record"), F.col("marks").alias("other_marks"), F.col("second").alias("other_second"))
+    week, own = F.floor(F.col("other_second") / span), F.floor(F.col("second") / span)
+    asks = one(crowded)
+    met = asks.withColumn("week", F.explode(F.array(own - 1, own, own + 1))).join(other.withColumn("week", week), ["key", "week"]).drop("week")
+    if undated:
+        met = met.unionByName(asks.filter("second IS NULL").join(other, "key")).unionByName(asks.filter("second IS NOT NULL").join(other.filter("other_second IS NULL"), "key"))
+    gap = F.abs(F.col("second") - F.col("other_second"))
+    fine = met.filter((F.col("id") != F.col("other")) & (F.col("record") != F.col("other_record")) & (gap.isNull() | (gap <= span)))
+    pairs = fine.select("id", "other", F.size(F.array_intersect("marks", "other_marks")).cast("long").alias("shared"), gap.alias("gap_seconds")).distinct()
+    return pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "shared", "gap_seconds"))
+
+
 def nearest_pairs(sig: DataFrame, *, pairs: int, gap_days: int) -> DataFrame:
     """``low_id, high_id, shared, gap_seconds, link_id``: for each report its ``pairs`` best partners, both ends' choices together.
 
     ``sig`` has ``incident_id, record_id, reported_at, kind, value``; a pair shares a signal, comes of two records and was reported at most
-    ``gap_days`` apart; a pair with an unknown gap counts, after all others that share as much. Ties go to the smaller link id. The
-    work of a report of m signals is 2^m combinations: the data model has four kinds of signals. Signals are counted by 64-bit hashes.
+    ``gap_days`` apart; a pair with an unknown gap counts, after all others that share as much. Ties go to the smaller link id. A
+    report of m signals has 2^m combinations; those of more than ``MOST_SIGNALS`` meet all reports of their weeks by single signals instead. Signals are counted by 64-bit hashes.
     """
     span = gap_days * 86400
     base = materialize(reports(sig))
-    most, undated, many = base.agg(F.max(F.size("signals")), F.coalesce(F.bool_or(F.col("second").isNull()), F.lit(False)), F.max("many")).first()
+    narrow, crowded = base.filter(F.size("signals") <= MOST_SIGNALS), base.filter(F.size("signals") > MOST_SIGNALS)
+    most, undated, many, broad = base.agg(F.max(F.when(F.size("signals") <= MOST_SIGNALS, F.size("signals"))), F.coalesce(F.bool_or(F.col("second").isNull()), F.lit(False)), F.max("many"), F.count_if(F.size("signals") > MOST_SIGNALS)).first()
     passes = [(least, top) for least, top in ((3, most or 0), (2, 2), (1, 1)) if least <= min(top, most or 0)]
     rank = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("shared"), F.asc_nulls_last("gap_seconds"), "link_id"))
-    asking, held, done, tables = base, None, [], [base]
+    link = link_id(F.least("id", "other"), F.greatest("id", "other"))
+    best = lambda found: found.withColumn("_rank", rank).filter(F.col("_rank") <= pairs).drop("_rank").dropDuplicates(["id", "other"])
+    asking, held, done, tables = narrow, None, [], [base]
+    if broad:
+        extra = materialize(best(_crowded_pairs(crowded, base, span, undated=undated).withColumn("link_id", link)))
+        tables.append(extra)
+        done.append(extra.join(crowded.select("id"), "id", "left_semi"))
+        held = extra.join(crowded.select("id"), "id", "left_anti")
+        if not passes:
+            done.append(held)
     for sizes in passes:
-        found = _partners(_keyed(asking, *sizes), _keyed(base, *sizes), pairs, span, undated=undated, crowded=many + pairs > SIDE + 1)
-        found = found.withColumn("link_id", link_id(F.least("id", "other"), F.greatest("id", "other")))
+        found = _partners(_keyed(asking, *sizes), _keyed(narrow, *sizes), pairs, span, undated=undated, crowded=many + pairs > SIDE + 1).withColumn("link_id", link)
         if held is not None:
-            found = found.unionByName(held.filter(F.col("n") < pairs).drop("n"))
-        best = found.withColumn("_rank", rank).filter(F.col("_rank") <= pairs).drop("_rank").dropDuplicates(["id", "other"])
-        held = materialize(best.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))))
-        tables.append(held)
-        full = held.filter(F.col("n") >= pairs)
-        done.append(full if sizes != passes[-1] else held)
-        asking = asking.join(full.select("id").distinct(), "id", "left_anti")
+            found = found.unionByName(held)
+        # a report is closed once it has enough partners that share as much as this pass looks for
+        enough = F.count_if(F.col("shared") >= sizes[0]).over(Window.partitionBy("id"))
+        after = materialize(best(found).withColumn("n", enough))
+        tables.append(after)
+        done.append((after.filter(F.col("n") >= pairs) if sizes != passes[-1] else after).drop("n"))
+        held = after.filter(F.col("n") < pairs).drop("n")
+        asking = asking.join(after.filter(F.col("n") >= pairs).select("id").distinct(), "id", "left_anti")
     if not done:
         empty = sig.select(F.col("incident_id").alias("low_id"), F.col("incident_id").alias("high_id"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("gap_seconds"), F.lit("").alias("link_id"))
         return empty.filter("false")

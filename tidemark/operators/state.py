@@ -80,3 +80,32 @@ def counts_by_state(rows: DataFrame, state: str, states: list[str]) -> DataFrame
     """Counts with all ``states`` present, those without rows as zero."""
     every = rows.sparkSession.createDataFrame([(s,) for s in states], f"{state} string")
     return every.join(rows.groupBy(state).agg(F.count(F.lit(1)).alias("n")), state, "left").select(state, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: States whose result can be used again (fixed values).
+REUSABLE = ["completed", "review_required"]
+
+
+def reuse_reasons(jobs: DataFrame, saved: DataFrame, *, schema_version: str, candidates: list[tuple[str, str]] | None = None, provider: str | None = None, model: str | None = None, key: str = "record_id") -> DataFrame:
+    """``key, reason``: null where the saved result of a job can be used again, else why not, by the first reason that holds.
+
+    ``jobs``: ``key, mode, prompt_version, input_hash, prompt_digest``; ``saved``: those and ``state, schema_version, provider, model``. What read a record
+    counts for ``semantic`` jobs alone: their prompt, and that a candidate of this run (or the one provider and model) has read it.
+    """
+    c = F.col
+    named = saved.select(key, F.lit(True).alias("_there"), *[F.col(f).alias(f"s_{f}") for f in ("state", "mode", "prompt_version", "schema_version", "input_hash", "prompt_digest", "provider", "model")])
+    differs = lambda name: ~c(name).eqNullSafe(c(f"s_{name}"))
+    blank = lambda name: F.coalesce(c(name), F.lit("")) == ""
+    other = lambda name, wanted: F.lit(bool(wanted)) & ~blank(f"s_{name}") & (c(f"s_{name}") != F.lit(wanted or ""))
+    readers = F.array(*[F.concat(F.lit(p), F.lit("/"), F.lit(m)) for p, m in candidates or [("", "")]])
+    read_by = F.concat(F.coalesce("s_provider", F.lit("")), F.lit("/"), F.coalesce("s_model", F.lit("")))
+    table = [
+        ("absent", c("_there").isNull() | ~F.coalesce(c("s_state").isin(REUSABLE), F.lit(False))), ("mode", differs("mode")), ("prompt version", differs("prompt_version")), ("contract", ~c("s_schema_version").eqNullSafe(F.lit(schema_version))), ("not fingerprinted", c("input_hash").isNull()),
+        ("input", differs("input_hash")), (None, c("mode") != "semantic"), ("prompt unknown", ~blank("prompt_digest") & blank("s_prompt_digest")), ("prompt", ~blank("prompt_digest") & differs("prompt_digest")),
+        ("not a candidate", F.lit(bool(candidates)) & ~F.array_contains(readers, read_by)), (None, F.lit(bool(candidates))), ("model", other("model", model)), ("provider", other("provider", provider)),
+    ]
+    reason = None
+    for said, held in table:
+        held = F.coalesce(held, F.lit(False))
+        reason = F.when(held, F.lit(said).cast("string")) if reason is None else reason.when(held, F.lit(said).cast("string"))
+    return jobs.join(named, key, "left").select(key, reason.alias("reason"))

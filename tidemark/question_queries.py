@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .operators import answers, filters, questions
+from .functions.wording import digit_set
+from .operators import answers, checks, contracts, filters, questions
 from .queries import POOL_SQL
 from .registering import query
 from .sources import views
@@ -57,9 +59,9 @@ def questions_read(spark, d):
     return read.join(asked.select("question_id", "carried"), "question_id").select("question_id", "carried", said.alias("wanted"), "since", "until")
 
 
-@query("""SELECT question_id, coalesce(events, 0)::BIGINT AS events, coalesce(previous, 0)::BIGINT AS previous, coalesce(undated, 0)::BIGINT AS undated, coalesce(outside, 0)::BIGINT AS outside, coalesce(shown, '') AS shown,
+TOLD_SQL = """told AS (SELECT question_id, coalesce(events, 0)::BIGINT AS events, coalesce(previous, 0)::BIGINT AS previous, coalesce(undated, 0)::BIGINT AS undated, coalesce(outside, 0)::BIGINT AS outside, coalesce(shown, '') AS shown,
     CASE WHEN coalesce(events, 0) = 0 THEN 'refused' WHEN events >= 2 AND quoted < 2 THEN 'qualified' ELSE 'grounded' END AS state,
-    CASE WHEN coalesce(events, 0) > 0 THEN NULL WHEN coalesce(outside, 0) = 0 THEN 'no record holds what is asked for' WHEN since IS NOT NULL AND undated = outside THEN 'what matches carries no date' ELSE 'nothing falls into the period' END AS missing
+    CASE WHEN coalesce(events, 0) > 0 THEN NULL WHEN coalesce(outside, 0) = 0 THEN 'no record holds what is asked for' WHEN since IS NOT NULL AND undated = outside THEN 'what matches carries no date' ELSE 'nothing falls into the period' END AS missing, since, until
   FROM dated LEFT JOIN (
     SELECT question_id, count_if(place = 0) AS events, count_if(place = 1) AS previous, count_if(place = 2) AS undated, count_if(place <> 0) AS outside,
       string_agg(event_id, '|' ORDER BY rank) FILTER (place = 0 AND rank <= 8) AS shown, least(count_if(place = 0), 8) AS quoted
@@ -69,14 +71,72 @@ def questions_read(spark, d):
               HAVING count(DISTINCT facet) = (SELECT count(DISTINCT facet) FROM wanted w WHERE w.question_id = wanted.question_id)
             UNION ALL SELECT question_id, event_id FROM dated, events WHERE question_id NOT IN (SELECT question_id FROM wanted))
       JOIN events USING (event_id) JOIN dated USING (question_id)))
-    GROUP BY question_id) USING (question_id)""", POOL_SQL, ASKED_SQL)
-def questions_answered(spark, d):
+    GROUP BY question_id) USING (question_id))"""
+
+
+def _told(spark, d):
     """Searches, newest events and cited answers of all questions at once; questions that ask the same are searched once."""
     pool, units, _, read = _read(spark, d)
     found = materialize(questions.retrieve(units, read.select("search_id", "wanted", "since", "until").distinct()))
     evidence = pool.select(F.col("incident_id").alias("event_id"), "incident_id", F.concat(F.lit("ev-"), "record_id").alias("evidence_id"), F.col("category").alias("quote"), F.lit("").alias("source_url"))
-    out = questions.answers(read, found, evidence)
-    return out.select("question_id", "events", "previous", "undated", "outside", F.array_join("shown", "|").alias("shown"), "state", "missing")
+    return questions.answers(read, found, evidence)
+
+
+@query("SELECT question_id, events, previous, undated, outside, shown, state, missing FROM told", POOL_SQL, ASKED_SQL, TOLD_SQL)
+def questions_answered(spark, d):
+    return _told(spark, d).select("question_id", "events", "previous", "undated", "outside", F.array_join("shown", "|").alias("shown"), "state", "missing")
+
+
+def _digits(text: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({text}, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')))"
+
+
+#: What each answer measured, in words, and the same of the question before it.
+BESIDE_SQL = f"""spoken AS (SELECT *, events || ' distinct event(s) in ' || events || ' report(s)' || CASE WHEN since IS NOT NULL THEN ' from ' || since || ' to ' || until ELSE '' END || '.' AS line, string_split(shown, '|') AS ids,
+    CASE WHEN since IS NOT NULL THEN previous || ' event(s) in as many days before.' ELSE '' END || CASE WHEN undated > 0 THEN undated || ' event(s) carry no date.' ELSE '' END AS more FROM told WHERE missing IS NULL),
+  beside AS (SELECT *, lag(line || more) OVER w AS other_lines, lag(ids) OVER w AS other_ids, lag(events - previous) OVER w AS other_change FROM spoken WINDOW w AS (ORDER BY question_id)),
+  judged AS (SELECT *, list_filter({_digits("line || more")}, lambda x: NOT list_contains({_digits("other_lines")}, x)) AS stray, list_filter({_digits("line")}, lambda x: NOT list_contains({_digits("other_lines")}, x)) AS stray_line FROM beside WHERE other_lines IS NOT NULL)"""
+
+
+def _beside(spark, d):
+    """Answers next to what the question before them measured and showed."""
+    said = materialize(_told(spark, d).filter("missing IS NULL"))
+    order = Window.orderBy("question_id")  # a row a question of a small table
+    lines = F.filter("statements", lambda t: F.contains(t, F.lit("event(s)")))
+    rows = said.withColumn("lines", lines).withColumn("other_lines", F.lag("lines").over(order)).withColumn("other_ids", F.lag("shown").over(order)).withColumn("other_change", F.lag("change").over(order))
+    return rows.filter("other_lines IS NOT NULL")
+
+
+@query("SELECT question_id, CASE WHEN NOT list_contains(other_ids, ids[1]) THEN 'event out of scope' WHEN len(stray_line) > 0 THEN 'number not measured' END AS fault FROM judged", POOL_SQL, ASKED_SQL, TOLD_SQL, BESIDE_SQL)
+def supported_statements(spark, d):
+    """The first line of each answer held against what the question before it measured and showed."""
+    none = F.array().cast("array<string>")
+    rows = _beside(spark, d).select(
+        "question_id", F.element_at("lines", 1).alias("text"), F.lit(True).alias("calculated"), F.slice("shown", 1, 1).alias("cited_events"), none.alias("cited_evidence"), F.col("other_ids").alias("scope_events"), none.alias("printed_evidence"), F.col("other_lines").alias("numbers")
+    )
+    return contracts.supported_statements(rows).select("question_id", "fault")
+
+
+ANSWER_RULES = {
+    "events are counted": "events <> len(ids)", "incidents are counted": "events <> len(ids)", "change": "events - previous <> other_change", "foreign event": "len(list_filter(other_ids, lambda x: NOT list_contains(ids, x))) > 0", "invented number": "len(stray) > 0",
+    "grounded without acceptance": "state = 'grounded' AND events > 8", "grounded with findings": "false", "shown over counted": "false", "foreign evidence": "false", "foreign quotation": "len(list_filter(other_ids, lambda x: NOT list_contains(ids, x))) > 0", "repeated quotation": "false",
+    "grounded without statement": "false", "grounded without confidence": "state = 'grounded' AND len(stray) > 0", "grounded with claim words": "false", "grounded on too few quotes": "false", "grounded without quotation": "false",
+    "qualified without findings": "false", "qualified without statement": "false", "qualified and missing": "state = 'qualified'", "refused with statement": "false", "refused without reason": "false", "refused and accepted": "false",
+}
+
+
+@query("SELECT unnest([" + ", ".join(f"{{'rule': '{rule}', 'rows': count_if({held})}}" for rule, held in ANSWER_RULES.items()) + "], recursive := true) FROM judged", POOL_SQL, ASKED_SQL, TOLD_SQL, BESIDE_SQL)
+def answer_contract(spark, d):
+    """Answers told with the numbers, the change and the events of the question before them, and with counts of what is shown: the rules find where that doesn't fit."""
+    c = F.col
+    stray = F.size(F.array_except(F.flatten(F.transform("lines", digit_set)), F.flatten(F.transform("other_lines", digit_set)))) > 0
+    rows = _beside(spark, d).select(
+        "events", c("shown").alias("event_ids"), "incidents", F.col("shown").alias("incident_ids"), F.size("shown").alias("shown_events"), F.size(F.array_distinct(F.transform("citations", lambda q: q["event_id"]))).alias("quoted_events"), "state",
+        F.when(c("events") > 8, "review_required").otherwise("accepted").alias("review"), "findings", c("lines").alias("statements"), F.when(c("state") == "qualified", "why").alias("missing"), F.lit("read").alias("explanation"), F.when(stray, 0.5).otherwise(0.9).alias("confidence"),
+        c("other_ids").alias("cited_events"), F.array().cast("array<string>").alias("cited_evidence"), F.transform("citations", lambda q: q["evidence_id"]).alias("quotation_evidence"),
+        c("other_ids").alias("quotation_incidents"), c("other_lines").alias("numbers"), "previous", c("other_change").alias("change"),
+    )
+    return checks.violations(rows, contracts.answer_rules())
 
 
 @query(r"""SELECT o_orderkey, since::DATE AS since, until::DATE AS until FROM (SELECT o_orderkey, o_orderdate::DATE AS today, o_orderkey % 12 AS k, o_custkey % 40 + 1 AS n FROM orders), LATERAL (SELECT

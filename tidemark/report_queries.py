@@ -159,12 +159,15 @@ def unwritten_facts(spark, d):
     return replies.unwritten_facts(_reply_lines(spark, d))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'answered from records' WHEN 1 THEN 'nothing written' WHEN 2 THEN 'too long' WHEN 3 THEN 'emoji' WHEN 4 THEN 'names a held place' WHEN 5 THEN 'number for a value question' WHEN 6 THEN 'claims about the district' END AS refusal FROM orders""")
+@query(r"""SELECT doc_id, CASE WHEN length(t) % 7 = 0 THEN 'answered from records' WHEN len(kept) = 0 THEN 'nothing written' WHEN len(kept) > 24 THEN 'too long' WHEN regexp_matches(said, '[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]') THEN 'emoji'
+    WHEN contains(lower(said), 'http') OR contains(lower(said), 'copyright') THEN 'names a held place' WHEN source IS NOT NULL AND length(source) % 2 = 0 AND regexp_matches(said, '\p{Nd}') THEN 'number for a value question' WHEN contains(lower(t), 'email') THEN 'claims about the district' END AS refusal
+  FROM (SELECT *, array_to_string(kept, ' ') AS said FROM (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')), lambda x: x <> '') AS kept FROM documents))""")
 def general_refusals(spark, d):
-    k = F.col("o_orderkey") % 8
-    lines = F.when(k == 1, F.array(F.lit(" "))).when(k == 2, F.array_repeat(F.lit("a line"), 25)).when(k == 3, F.array(F.lit("fine ☀ day"))).when(k == 4, F.array(F.lit("In NATION_3 it rains"))).when(k == 5, F.array(F.lit("About 12 a year"))).otherwise(F.array(F.lit("Plain words"), F.lit(None).cast("string")))
-    refusal = replies.general_refusal(lines, answerable=k != 0, value_shaped=k == 5, district_claims=k == 6, places=F.array(F.lit("nation_3")))
-    return views.table(spark, d, "orders").select("o_orderkey", refusal.alias("refusal"))
+    """Documents as answers from background: what their lines hold decides."""
+    rows = views.table(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    held = F.array(F.lit("http"), F.lit("copyright"))
+    refusal = replies.general_refusal(F.split("t", "\n"), answerable=F.length("t") % 7 != 0, value_shaped=F.coalesce(F.length("source") % 2 == 0, F.lit(False)), district_claims=F.contains(F.lower("t"), F.lit("email")), places=held)
+    return rows.select("doc_id", refusal.alias("refusal"))
 
 
 @query("SELECT path, rule, rows FROM (SELECT 'all' AS path, unnest([{'rule': 'no text', 'rows': count_if(k = 0)}, {'rule': 'general with citations', 'rows': count_if(k = 1)}, {'rule': 'values without citations', 'rows': count_if(k = 2)}, {'rule': 'general without a model', 'rows': count_if(k = 3)}, {'rule': 'too many calls', 'rows': count_if(k = 4)}, {'rule': 'refused with citations', 'rows': count_if(k = 5)}], recursive := true) FROM (SELECT o_orderkey % 7 AS k FROM orders))")
@@ -218,12 +221,13 @@ def held_names(spark, d):
     return replies.held_names(both)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a|b' ELSE 'a' END AS kept, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'z' END AS strange, (o_orderkey % 10 + 1)::INTEGER > 8 AS cut, sha256('read' || chr(10) || o_orderkey::VARCHAR) AS key FROM orders")
+@query("""SELECT doc_id, array_to_string(list_filter(named, lambda x: list_contains(shown, x)), '|') AS kept, array_to_string(list_filter(named, lambda x: NOT list_contains(shown, x)), '|') AS strange, len(w) > 8 AS cut, sha256('read' || chr(10) || t) AS key
+  FROM (SELECT *, w[4:12] AS shown, list_filter(w[1:6], lambda x, i: NOT list_contains(w[1:i - 1], x)) AS named FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM documents))""")
 def picks_caps_and_keys(spark, d):
-    named = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("z")))
-    p = replies.picked(named, F.array(F.lit("a"), F.lit("b"), F.lit("c")))
-    items = F.sequence(F.lit(0), (F.col("o_orderkey") % 10).cast("int"))
-    return views.table(spark, d, "orders").select("o_orderkey", joined(p["kept"]).alias("kept"), joined(p["strange"]).alias("strange"), replies.capped(items)["cut"].alias("cut"), replies.prompt_key(F.lit("read"), F.col("o_orderkey").cast("string")).alias("key"))
+    """Of a document the first words are named, and the fourth to twelfth shown."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", F.filter(F.split("t", " "), lambda x: x != ""))
+    p = replies.picked(F.slice("w", 1, 6), F.slice("w", 4, 9))
+    return rows.select("doc_id", joined(p["kept"]).alias("kept"), joined(p["strange"]).alias("strange"), replies.capped(F.col("w"))["cut"].alias("cut"), replies.prompt_key(F.lit("read"), F.col("t")).alias("key"))
 
 
 # Checkpoints.

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .operators import state
+from .operators.trends import Trend
 from .registering import query
 from .sources import views
 from .storage import materialize, shared_dir
-from .streaming import commits, keyed
+from .streaming import anchored, commits, keyed
 
 RUNS_SQL = """runs AS (SELECT 'C' || o_custkey::VARCHAR AS record_id, o_orderkey AS sequence, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'review_required' ELSE 'failed' END AS state, o_orderkey % 3 AS batch FROM orders)"""
 
@@ -53,3 +55,31 @@ def committed_results(spark, d):
 def committed_standing(spark, d):
     store = _committed(spark, d)
     return store.table("seen", commits.IDS).withColumn("standing", F.lit("seen")).unionByName(store.table("awaiting", commits.IDS).withColumn("standing", F.lit("awaiting")))
+
+
+@query("""SELECT k, since, until, record_type, count(*) AS records, round(sum(value), 4) AS total FROM (SELECT k::INTEGER AS k, (hi - (9 + k * 10)::INTEGER)::DATE AS since, (hi - (k * 10)::INTEGER)::DATE AS until
+    FROM (SELECT max(day) AS hi, min(day) AS lo FROM records), range(0, 4) AS r(k) WHERE k <= least(3, floor((hi - 9 - lo) / 10)) AND least(3, floor((hi - 9 - lo) / 10)) >= 2) JOIN records ON day BETWEEN since AND until GROUP BY ALL""", views.RECORDS_SQL)
+def anchored_windows(spark, d):
+    """Windows counted back from the newest day, cut from sums of days."""
+    days = anchored.day_sums(views.records(spark, d))
+    return anchored.anchored(days, Trend(recent_days=10, baseline_blocks=3)).select("k", "since", "until", "record_type", "records", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT user_id AS record_id, CASE WHEN s.state NOT IN ('completed', 'review_required') THEN 'absent' WHEN s.mode <> j.mode THEN 'mode' WHEN s.prompt_version <> j.prompt_version THEN 'prompt version' WHEN s.schema_version <> 'c1' THEN 'contract'
+    WHEN j.input_hash IS NULL THEN 'not fingerprinted' WHEN s.input_hash IS DISTINCT FROM j.input_hash THEN 'input' WHEN j.mode <> 'semantic' THEN NULL WHEN j.prompt_digest <> '' AND s.prompt_digest = '' THEN 'prompt unknown'
+    WHEN j.prompt_digest <> '' AND s.prompt_digest <> j.prompt_digest THEN 'prompt' WHEN NOT list_contains(['p0/m0', 'p1/m1', 'p0/m1'], s.provider || '/' || s.model) THEN 'not a candidate' END AS reason
+  FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1) AS s JOIN (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) AS j USING (user_id)""",
+  """entries AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'review_required' ELSE 'completed' END AS state, CASE WHEN n % 4 = 0 THEN 'structured' ELSE 'semantic' END AS mode, 'v' || (n // 80) AS prompt_version, 'c' || CASE WHEN n % 9 = 0 THEN 2 ELSE 1 END AS schema_version,
+    CASE WHEN n % 13 > 0 THEN sha256((n // 50)::VARCHAR) END AS input_hash, CASE WHEN n % 5 = 0 THEN '' ELSE 'd' || (n // 60) END AS prompt_digest, 'p' || (n % 3) AS provider, 'm' || (n % 2) AS model FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS n FROM events))""")
+def reuse_reasons(spark, d):
+    """Of each user the first event is a saved result and the last one a job: whether the one still serves the other."""
+    n = F.get_json_object("props", "$.k").cast("long")
+    rows = views.table(spark, d, "events").withColumn("n", n).select(
+        F.col("user_id").alias("record_id"), "event_id", F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "review_required").otherwise("completed").alias("state"), F.when(F.col("n") % 4 == 0, "structured").otherwise("semantic").alias("mode"),
+        F.concat(F.lit("v"), F.floor(F.col("n") / 80).cast("string")).alias("prompt_version"), F.when(F.col("n") % 9 == 0, "c2").otherwise("c1").alias("schema_version"), F.when(F.col("n") % 13 > 0, F.sha2(F.floor(F.col("n") / 50).cast("string"), 256)).alias("input_hash"),
+        F.when(F.col("n") % 5 == 0, "").otherwise(F.concat(F.lit("d"), F.floor(F.col("n") / 60).cast("string"))).alias("prompt_digest"), F.concat(F.lit("p"), (F.col("n") % 3).cast("string")).alias("provider"), F.concat(F.lit("m"), (F.col("n") % 2).cast("string")).alias("model"),
+    )
+    whole = F.struct(*[F.col(c) for c in rows.columns if c not in ("record_id", "event_id")])
+    ends = rows.groupBy("record_id").agg(F.min_by(whole, "event_id").alias("s"), F.max_by(whole, "event_id").alias("j"))
+    jobs = ends.select("record_id", "j.mode", "j.prompt_version", "j.input_hash", "j.prompt_digest")
+    return state.reuse_reasons(jobs, ends.select("record_id", "s.*"), schema_version="c1", candidates=[("p0", "m0"), ("p1", "m1"), ("p0", "m1")])
