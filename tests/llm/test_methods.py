@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import best_fit, exact_dedup, jaccard_join, mixing, quality_classifier
 from tidemark.llm.shared import lookup
+from tidemark.llm.textops import Chunk, Hasher
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,3 +133,53 @@ def test_run_and_stages_on_odd_rows(spark):
     assert packed.filter("doc_id IS NULL").count() == 2 and packed.filter("doc_id = -5").count() > 1
     assert corpus_pipeline.pack_sequences(spark, odd.limit(0), SF).count() == 0
     assert jaccard_join.near_dedup(odd).count() <= odd.count()
+
+
+def test_contexts_are_sums_of_neighbours_index_vectors(spark):
+    """Contexts and pooled vectors of a small table against plain loops."""
+    texts = ["The cat sat on the mat", "a cat", "", None, "alone", "THE cat 12 cats; sat on on on", "é ü cat the"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    held = quality_classifier.word_contexts(docs)
+    words, shapes = Hasher(5), quality_classifier._Shapes()
+    units = {}
+    for text in texts:
+        for word in (text or "").split():
+            chunk = Chunk([word.encode()])
+            units[word] = int(words.words(chunk)[0]), int(shapes(chunk)[0])
+
+    def index(unit):
+        out = np.zeros(quality_classifier.DIMS)
+        for place, sign in quality_classifier._draws(np.array([unit], np.uint64)):
+            out[place[0]] += sign[0]
+        return out
+
+    buckets = quality_classifier._word_bucket, quality_classifier._shape_bucket
+    total = np.zeros((quality_classifier.BUCKETS, quality_classifier.DIMS))
+    for text in texts:
+        line = [units[w] for w in (text or "").split()]
+        for i, unit in enumerate(line):
+            for j in range(max(0, i - 2), min(len(line), i + 3)):
+                for kind in (0, 1):
+                    total[buckets[kind](np.array([unit[kind]], np.uint64))[0]] += index(line[j][kind]) * (i != j)
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.abs(held - want).max() < 1e-6 and np.linalg.norm(held, axis=1).max() < 1 + 1e-6
+    pooled = quality_classifier._pooled(held, [(t or "").encode() for t in texts], words, shapes)
+    size = quality_classifier.DIMS
+    for row, text in zip(pooled, texts, strict=True):
+        line = [units[w] for w in (text or "").split()]
+        for kind in (0, 1):
+            mean = np.mean([want[buckets[kind](np.array([u[kind]], np.uint64))[0]] for u in line], axis=0) if line else np.zeros(size)
+            assert np.abs(row[kind * size : (kind + 1) * size] - mean).max() < 1e-5
+        assert abs(row[-1] - np.log1p(len(line))) < 1e-6
+        again = [sum(line[i][0] == line[i - far][0] for i in range(far, len(line))) / max(1, len(line)) for far in (1, 2)]
+        assert np.abs(row[[-2, -3]] - again).max() < 1e-6
+
+
+def test_word_contexts_tell_words_apart(spark):
+    """Words that stand among different words have different contexts; those that stand among the same have like ones."""
+    rng = np.random.default_rng(4)
+    left, right = ([f"{c}{i}" for i in range(30)] for c in "lr")
+    lines = [" ".join(rng.choice(side, 6).tolist() + [mid] + rng.choice(side, 6).tolist()) for side, mids in ((left, ("one", "two")), (right, ("three",))) for mid in mids for _ in range(200)]
+    held = quality_classifier.word_contexts(spark.createDataFrame([(x,) for x in lines], "text string"))
+    of = lambda w: held[quality_classifier._word_bucket(Hasher(5).words(Chunk([w.encode()])))[0]]
+    assert of("one") @ of("two") > 0.8 and of("one") @ of("three") < 0.5

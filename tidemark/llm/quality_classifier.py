@@ -2,8 +2,8 @@
 
 *Random indexing.* Every word has an index vector, a few +1 and -1 drawn from its hash, never stored. A word's context
 vector is the sum of the index vectors of its neighbours over the whole table; contexts are kept by word hash bucket, so
-their table has a fixed size. A word has two units: itself and its shape (letters, capitals, digits and marks in their
-order), so that words never seen before share what their shape has learnt.
+their table has a fixed size (8 MB), in which words of a large vocabulary share rows. Beside it stands a small table of the same kind for
+the shapes of words (letters, capitals, digits and marks in their order), so that words never seen before share what their shape has learnt.
 
 *Pooling.* A text's vector is the mean over its words of the unit context vectors (length 1 each) of word and shape,
 the mean of the index vectors of the shapes, how often a word's index vector is that of the word one or two places before,
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import collect_blocks, documents, materialize, partitions, sum_blocks
+from .shared import collect_blocks, documents, materialize, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
 
-BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+WORD_BITS, SHAPE_BITS, DIMS, NONZERO, REACH = 16, 12, 32, 4, 2
+BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)  # words, then shapes
 BLOCK = 128  # buckets in a row of the summed table
 #: Labelled rows that the network is fitted on at most, taken by hash of the id.
 SAMPLE_ROWS = 20_000
@@ -67,42 +68,48 @@ class _Shapes:
         return mix(np.add.reduceat(value, chunk.starts))
 
 
+def _draws(value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places and signs of index vectors, one pair of arrays for each of their ``NONZERO`` draws."""
+    for i in range(NONZERO):
+        h = mix(value + U64((i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        yield (h >> U64(8)).astype(np.int64) % DIMS, np.where(h & U64(1), 1, -1).astype(np.int32)
+
+
 def _index(value: np.ndarray) -> np.ndarray:
     """Dense index vectors of a few distinct units."""
     out = np.zeros((len(value), DIMS), np.float32)
-    row = np.arange(len(value))
-    for i in range(NONZERO):
-        h = mix(value + U64((i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        np.add.at(out, (row, (h >> U64(8)).astype(np.int64) % DIMS), np.where(h & U64(1), 1.0, -1.0))
+    for place, sign in _draws(value):
+        np.add.at(out, (np.arange(len(value)), place), sign)
     return out
 
 
-def _bucket(value: np.ndarray) -> np.ndarray:
-    return (value >> U64(64 - 14)).astype(np.int64)
+def _word_bucket(value: np.ndarray) -> np.ndarray:
+    return (value >> U64(64 - WORD_BITS)).astype(np.int64)
+
+
+def _shape_bucket(value: np.ndarray) -> np.ndarray:
+    return (value >> U64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of neighbours' index vectors by bucket. A shape's index vector stands for its word there."""
+    """Sums of neighbours' index vectors by bucket, words of words and shapes of shapes; blocks without any aren't sent."""
     words, shapes = Hasher(5), _Shapes()
-    total = np.zeros((BUCKETS, DIMS), np.float64)
+    total = np.zeros(BUCKETS * DIMS, np.int32)
     for _, texts in chunks(batches, size=1 << 20):
         chunk = Chunk(texts)
-        w, s = words.words(chunk), shapes(chunk)
-        if not len(w):
-            continue
         doc = chunk.doc_of_word()
-        kinds, which = np.unique(s, return_inverse=True)
-        index = _index(kinds)
-        # Neighbours are counted by (bucket, kind): few kinds, so the product with their vectors comes last.
-        for far in range(1, REACH + 1):
-            same = doc[far:] == doc[:-far]
-            for a, b in ((slice(far, None), slice(None, -far)), (slice(None, -far), slice(far, None))):
-                for unit in (w, s):
-                    pair = _bucket(unit[a][same]) * len(kinds) + which[b][same]
-                    pairs, n = np.unique(pair, return_counts=True)
-                    np.add.at(total, pairs // len(kinds), index[pairs % len(kinds)] * n[:, None])
+        if not len(doc):
+            continue
+        for unit, bucket in ((words.words(chunk), _word_bucket), (shapes(chunk), _shape_bucket)):
+            row = bucket(unit) * DIMS
+            for place, sign in _draws(unit):
+                for far in range(1, REACH + 1):
+                    same = doc[far:] == doc[:-far]
+                    np.add.at(total, row[far:][same] + place[:-far][same], sign[:-far][same])
+                    np.add.at(total, row[:-far][same] + place[far:][same], sign[far:][same])
     parts = total.reshape(-1, BLOCK * DIMS)
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "data"])
+    used = np.flatnonzero(parts.any(1)).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
 
 
 def _pooled(contexts: np.ndarray, texts: list[bytes], words: Hasher, shapes: _Shapes) -> np.ndarray:
@@ -120,7 +127,7 @@ def _pooled(contexts: np.ndarray, texts: list[bytes], words: Hasher, shapes: _Sh
         again = (w[far:] == w[:-far]) & (doc[far:] == doc[:-far])
         out[:, -1 - far] = np.bincount(doc[far:][again], minlength=len(texts)) / np.maximum(chunk.n_words, 1)
     begin = chunk.word_start[:-1][full]
-    for i, rows in enumerate((contexts[_bucket(w)], contexts[_bucket(kinds)][which], index[which])):
+    for i, rows in enumerate((contexts[_word_bucket(w)], contexts[_shape_bucket(kinds)][which], index[which])):
         out[full, i * DIMS : (i + 1) * DIMS] = np.add.reduceat(rows, begin, axis=0) / chunk.n_words[full][:, None]
     return out
 
@@ -185,9 +192,8 @@ def _scores(contexts, network):
 
 def word_contexts(docs: DataFrame) -> np.ndarray:
     """Context vectors of length 1 by bucket, over all of ``docs`` (``text``); a bucket without neighbours stays zero."""
-    texts = docs.select("text").coalesce(partitions(docs.sparkSession))
-    summed = sum_blocks(texts.mapInArrow(_contexts, "block int, data binary"), "<f8", BUCKETS // BLOCK)
-    out = collect_blocks(summed, "<f8", BUCKETS // BLOCK, BLOCK * DIMS).reshape(BUCKETS, DIMS)
+    summed = sum_blocks(docs.select("text").mapInArrow(_contexts, "block int, data binary"), "<i4", BUCKETS // BLOCK, into="<i8")
+    out = collect_blocks(summed, "<i8", BUCKETS // BLOCK, BLOCK * DIMS).reshape(BUCKETS, DIMS).astype(float)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 

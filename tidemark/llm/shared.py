@@ -64,10 +64,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(table, key))
 
 
-def sum_blocks(parts: DataFrame, dtype: str, blocks: int = 64) -> DataFrame:
+def sum_blocks(parts: DataFrame, dtype: str, blocks: int = 64, into: str | None = None) -> DataFrame:
     """Sum equally long arrays by ``block`` (``blocks`` of them); ``parts`` has ``block int, data binary``. One running sum a block is in memory.
 
-    Each task that fills ``parts`` sends all blocks once, so coalesce its input to the tasks that run at a time (:func:`partitions`).
+    A task that fills ``parts`` sends each block once at most and needn't send those without a count; sums are kept as ``into`` (``dtype`` unless told).
     """
 
     def run(batches):
@@ -78,7 +78,7 @@ def sum_blocks(parts: DataFrame, dtype: str, blocks: int = 64) -> DataFrame:
                 if block in sums:
                     sums[block] += x
                 else:
-                    sums[block] = x.copy()
+                    sums[block] = x.astype(into or dtype)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
 
