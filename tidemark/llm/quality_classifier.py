@@ -2,7 +2,7 @@
 
 *Random indexing.* Every word has an index vector, a few +1 and -1 drawn from its hash, never stored. A word's context
 vector is the sum of the index vectors of its neighbours over the whole table; contexts are kept by word hash bucket, so
-their table has a fixed size (8 MB), in which words of a large vocabulary share rows. Beside it stands a small table of the same kind for
+their table has a fixed size (5 MB), in which words of a large vocabulary share rows. Beside it stands a small table of the same kind for
 the shapes of words (letters, capitals, digits and marks in their order), so that words never seen before share what their shape has learnt.
 
 *Pooling.* A text's vector is the mean over its words of the unit context vectors (length 1 each) of word and shape,
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .shared import collect_blocks, documents, materialize, sum_blocks
 from .textops import U64, Chunk, Hasher, chunks, mix
 
-WORD_BITS, SHAPE_BITS, DIMS, NONZERO, REACH = 16, 12, 32, 4, 2
+WORD_BITS, SHAPE_BITS, DIMS, NONZERO, REACH = 15, 12, 32, 4, 2
 BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)  # words, then shapes
 BLOCK = 128  # buckets in a row of the summed table
 #: Labelled rows that the network is fitted on at most, taken by hash of the id.
