@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.sources import pinned
 from tidemark.streaming import commits, keyed
 
 BASE = dt.datetime(2026, 10, 1)
@@ -166,3 +167,16 @@ def test_commits_conflict_and_ledger(spark, tmp_path):
     assert [r.record_id for r in commits.job_batches(jobs, store, current=["body"]).collect()] == ["b"]
     changed = jobs.withColumn("body", F.lit("z"))
     assert commits.job_batches(changed, store, current=["body"]).count() == 2
+
+
+def test_pinned_views(spark, tmp_path):
+    store = commits.Store(spark, str(tmp_path / "pinned"))
+    view = pinned.Pinned(store)
+    with pytest.raises(pinned.Unavailable):
+        view.table("seen", commits.IDS)
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], commits.IDS)
+    store.commit({"seen": rows("a")}, writer="w", batch=0)
+    assert [r.record_id for r in view.table("seen", commits.IDS).collect()] == ["a"] and not view.stale()
+    store.commit({"seen": rows("a", "b")}, writer="w", batch=1)
+    assert view.table("seen", commits.IDS).count() == 1 and view.stale()
+    assert view.reload() == 2 and view.table("seen", commits.IDS).count() == 2 and not view.stale()

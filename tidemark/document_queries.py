@@ -73,6 +73,25 @@ def incident_lookup(spark, d):
     return D.lookup(views.incidents(spark, d), "incident_id", "INC-000000042").select("incident_id", "category", "taluk")
 
 
+@query("SELECT o_orderkey::VARCHAR AS record_id, record_id IS NOT NULL AS found, record_type, source_id FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) LEFT JOIN records ON record_id = o_orderkey::VARCHAR", RECORDS_SQL)
+def records_looked_up(spark, d):
+    """Keys of every third order, asked of the record stream; those that it doesn't hold are told as well."""
+    asked = views.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("record_id"))
+    return D.looked_up(views.records(spark, d), asked, "record_id").select("record_id", "found", "record_type", "source_id")
+
+
+@query("SELECT category, count(*) AS documents, 2 * count(*) AS evidence FROM incidents WHERE NOT (severity = 'low' AND weight > 100000) AND record_id NOT IN (SELECT l_orderkey::VARCHAR FROM lineitem WHERE l_returnflag = 'R') GROUP BY category", INCIDENTS_SQL)
+def evidence_of_the_deleted(spark, d):
+    """Documents that are deleted take their evidence with them."""
+    rows = views.incident_documents(spark, d)
+    returned = views.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("INC-"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("incident_id"))
+    heavy = views.incidents(spark, d).filter("severity = 'low' AND weight > 100000").select("incident_id")
+    facts, evidence = D.shred(rows)
+    facts, evidence = D.deleted(facts, evidence, heavy.unionByName(returned))
+    held = evidence.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
+    return facts.join(held, "incident_id", "left").groupBy("category").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("evidence"))
+
+
 @query("SELECT source_id, max(event_time) AS newest, count(*) AS n FROM records GROUP BY source_id ORDER BY newest DESC, source_id LIMIT 20", RECORDS_SQL)
 def sources_newest(spark, d):
     rows = views.records(spark, d).groupBy("source_id").agg(F.max("event_time").alias("newest"), n_rows())

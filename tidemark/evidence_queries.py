@@ -95,19 +95,6 @@ def _array(*values: str):
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-@query("""SELECT rule, rows FROM (SELECT unnest([{'rule': 'days out of range', 'rows': count_if(k = 0)}, {'rule': 'comparison without a window', 'rows': count_if(k = 1)}, {'rule': 'place as a filter', 'rows': count_if(k = 2)},
-  {'rule': 'window without dates', 'rows': 0}, {'rule': 'dates without a window', 'rows': count_if(k = 1)}, {'rule': 'silent acceptance', 'rows': count_if(k = 3)}, {'rule': 'accepted without words', 'rows': count_if(k = 4)},
-  {'rule': 'accepted without confidence', 'rows': count_if(k = 5)}, {'rule': 'accepted without a model', 'rows': 0}, {'rule': 'unmatched place', 'rows': count_if(k = 6)}, {'rule': 'review without reason', 'rows': count_if(k = 7)}], recursive := true) FROM (SELECT o_orderkey % 9 AS k FROM orders))""")
-def interpretation_contract(spark, d):
-    k, day = F.col("o_orderkey") % 9, F.to_date("o_orderdate")
-    rows = views.table(spark, d, "orders").select(
-        F.when(k == 0, 999).when(k != 1, 7).alias("days_back"), (k == 1).alias("compare"), F.when(k == 2, "x").alias("place_filter"), day.alias("since"), day.alias("until"), F.when(k == 7, "review_required").otherwise("accepted").alias("review"),
-        F.when(k == 3, _array("f")).otherwise(_array()).alias("findings"), F.when(k == 4, " ").otherwise("floods").alias("understood"), F.when(k == 5, 0.4).otherwise(0.9).alias("confidence"), F.lit("llm").alias("method"),
-        F.when(k == 6, _array("Salem")).otherwise(_array("Madurai ")).alias("places_asked"), _array("madurai").alias("places_matched"),
-    )
-    return checks.violations(rows, contracts.interpretation_rules())
-
-
 BRIEF_FAULTS = {"period upside down": 0, "anchor": 1, "events are counted": 2, "shown over counted": 3, "truncated": 4, "foreign event": 5, "foreign evidence": 6, "foreign quotation": 7, "unprinted item": 8, "invented number": 9, "days out of range": 10, "unknown basis": 11}
 
 

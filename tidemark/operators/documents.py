@@ -60,6 +60,18 @@ def lookup(rows: DataFrame, key: str, value: str | int) -> DataFrame:
     return rows.filter(F.col(key) == F.lit(value)).limit(1)
 
 
+def looked_up(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """``asked`` with ``found`` and the columns of the row of each key; a key that isn't held has none. Each key is asked for once or often."""
+    held = rows.withColumn("found", F.lit(True))
+    return asked.select(key).join(held, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def deleted(documents: DataFrame, evidence: DataFrame, gone: DataFrame, key: str = "incident_id") -> tuple[DataFrame, DataFrame]:
+    """``(documents, evidence)`` without the keys of ``gone``: what belongs to a document goes with it; unknown keys delete nothing."""
+    ids = gone.select(key).distinct()
+    return documents.join(ids, key, "left_anti"), evidence.join(ids, key, "left_anti")
+
+
 def echo_faults(sent: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows that were sent and are not stored just so."""
     return sent.exceptAll(stored.select(sent.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,29 +31,59 @@ def _at_edge(text: str, i: int) -> bool:
     return i in (0, len(text)) or not (text[i - 1].isalnum() and text[i].isalnum())
 
 
+def _runs(text: str, citation: str, sizes: list[int], closing: bool) -> dict[int, int]:
+    """Where opening (closing) runs of the allowed ``sizes`` begin (end) in ``text``, and how long the longest is there.
+
+    Longer runs stand where shorter ones do. So the shortest that occurs often enough to be found and seldom enough to be told apart has all places, and each is
+    read on from there.
+    """
+    for n in sizes:
+        run = citation[-n:] if closing else citation[:n]
+        if run not in text:
+            return {}
+        if found := _places(text, run):
+            break
+    else:
+        return {}
+    out = {}
+    for at in found:
+        edge, size = at + n if closing else at, n
+        if closing:
+            while size < len(citation) and size < edge and text[edge - size - 1] == citation[-size - 1]:
+                size += 1
+        else:
+            while size < len(citation) and edge + size < len(text) and text[edge + size] == citation[size]:
+                size += 1
+        out[edge] = size
+    return out
+
+
 def bracketed(fields: list[tuple[str, str]], citation: str) -> tuple[str, int, int] | str | None:
     """``(path, start, end)`` of the one stretch that the opening and the closing words of a citation bracket best.
 
     Opening and closing run have ``RUN`` characters or more, end at word edges, don't overlap in the citation, and the stretch
     occurs once. ``"tied"`` if several stretches are bracketed equally well, None if there is none.
     """
-    sizes = [n for n in range(RUN, len(citation) - RUN + 1)]
-    heads = [citation[:n] for n in sizes if _at_edge(citation, n)]
-    tails = [citation[-n:] for n in sizes if _at_edge(citation, len(citation) - n)]
+    sizes = list(range(RUN, len(citation) - RUN + 1))
+    heads = [n for n in sizes if _at_edge(citation, n)]
+    tails = [n for n in sizes if _at_edge(citation, len(citation) - n)]
     best: dict[tuple[str, int, int], int] = {}
     for path, text in fields:
-        openings = {h: _places(text, h) for h in heads}
-        closings = {t: _places(text, t) for t in tails}
-        for h, starts in openings.items():
-            for t, ends in closings.items():
-                if t == h or len(h) + len(t) > len(citation):
+        starts, stops = _runs(text, citation, heads, False), _runs(text, citation, tails, True)
+        for start, head in starts.items():
+            for stop, tail in stops.items():
+                room = min(len(citation), stop - start)
+                if room < 2 * RUN or stop - start > REACH * len(citation):
                     continue
-                for a in starts:
-                    for b in ends:
-                        stop = b + len(t)
-                        if b >= a + len(h) and stop - a <= REACH * len(citation) and len(_places(text, text[a:stop])) == 1:
-                            key = (path, a, stop)
-                            best[key] = max(best.get(key, 0), len(h) + len(t))
+                fits = 0
+                for h in heads[: bisect_right(heads, head)]:
+                    at = bisect_right(tails, min(tail, room - h)) - 1
+                    if at >= 0 and tails[at] == h and citation[:h] == citation[-h:]:
+                        at -= 1  # one run can't be both
+                    if at >= 0:
+                        fits = max(fits, h + tails[at])
+                if fits and len(_places(text, text[start:stop])) == 1:
+                    best[path, start, stop] = fits
     if not best:
         return None
     top = max(best.values())

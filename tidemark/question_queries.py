@@ -52,6 +52,29 @@ def _read(spark, d):
     return pool, units, asked, materialize(questions.read(asked.crossJoin(today), vocabulary, F.col("today")))
 
 
+READ_RULES = {
+    "days out of range": "until - since + 1 NOT BETWEEN 1 AND 365", "comparison without a window": "carried AND since IS NULL", "place as a filter": "n > 2 AND place IS NOT NULL", "window without dates": "false", "dates without a window": "false",
+    "silent acceptance": "n > 1", "accepted without words": "n > 0 AND words = ''", "accepted without confidence": "n > 1", "accepted without a model": "n > 0 AND carried", "unmatched place": "n > 0 AND carried AND place IS NOT NULL", "review without reason": "false",
+}
+
+
+@query("SELECT unnest([" + ", ".join(f"{{'rule': '{rule}', 'rows': count_if({held})}}" for rule, held in READ_RULES.items()) + "], recursive := true) FROM shown", POOL_SQL, ASKED_SQL,
+       """shown AS (SELECT d.*, count(w.value) AS n, min(w.value) FILTER (facet = 'place') AS place, coalesce(string_agg(w.value, '|') FILTER (facet <> 'type'), '') AS words FROM dated d LEFT JOIN wanted w USING (question_id) GROUP BY ALL)""")
+def interpretation_contract(spark, d):
+    """What was read out of each question, held as an interpretation: sure of one value, doubtful of several, silent on what a carried question didn't name itself."""
+    c = F.col
+    _, _, asked, read = _read(spark, d)
+    rows = read.join(asked.select("question_id", "carried"), "question_id").withColumn("n", F.size("wanted"))
+    of = lambda keep: F.transform(F.filter("wanted", keep), lambda v: v["value"])
+    places, none = of(lambda v: v["facet"] == "place"), F.array().cast("array<string>")
+    out = rows.select(
+        (F.datediff("until", "since") + 1).alias("days_back"), c("carried").alias("compare"), F.when(c("n") > 2, F.try_element_at(places, F.lit(1))).alias("place_filter"), "since", "until", F.when(c("n") > 0, "accepted").otherwise("review_required").alias("review"),
+        F.when((c("n") == 0) & ~c("carried"), F.array(F.lit("names nothing"))).when(c("n") > 1, F.array(F.lit("names several"))).otherwise(none).alias("findings"), F.array_join(of(lambda v: v["facet"] != "type"), "|").alias("understood"),
+        F.when(c("n") == 1, 0.9).otherwise(0.7).alias("confidence"), F.when(c("carried"), "rule").otherwise("llm").alias("method"), F.transform(places, F.upper).alias("places_asked"), F.when(c("carried"), none).otherwise(places).alias("places_matched"),
+    )
+    return checks.violations(out, contracts.interpretation_rules())
+
+
 @query("""SELECT question_id, carried, coalesce((SELECT string_agg(facet || '=' || value, '|' ORDER BY facet, value) FROM wanted w WHERE w.question_id = dated.question_id), '') AS wanted, since, until FROM dated""", POOL_SQL, ASKED_SQL)
 def questions_read(spark, d):
     _, _, asked, read = _read(spark, d)
