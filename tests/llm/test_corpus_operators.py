@@ -267,7 +267,7 @@ def test_pipeline_stages(spark):
 def test_registered_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "embeddings"):
         connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, SF).toPandas()
