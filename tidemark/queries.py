@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.ids import article_id
-from .operators import answers, checks, evidence, filters, geo, linking, normalize, recurrence, state, trends
+from .operators import answers, checks, documents, evidence, filters, geo, linking, normalize, records, recurrence, state, trends
 from .plans import passes
 from .registering import query
 from .sources import captures, views
@@ -228,6 +228,18 @@ def pair_conflicts(spark, d):
     return _links(spark, d)[1].select("link_id", F.array_join("conflicts", "|").alias("conflicts"))
 
 
+@query("""SELECT link AS link_id, array_to_string(list_sort(list_filter(['category ' || x.category, CASE WHEN x.incident_type <> 'unresolved' THEN 'type ' || x.incident_type END, 'place ' || x.taluk], lambda v: list_contains(['category ' || y.category, CASE WHEN y.incident_type <> 'unresolved' THEN 'type ' || y.incident_type END, 'place ' || y.taluk], v))), '|') AS shared,
+  coalesce(x.category = y.category, false) OR coalesce(x.incident_type = y.incident_type AND x.incident_type <> 'unresolved', false) AS problem FROM best JOIN pool AS x ON a = x.incident_id JOIN pool AS y ON b = y.incident_id""", POOL_SQL, PAIRS_SQL)
+def pair_signals(spark, d):
+    """What the two reports of a pair share in words, and whether that is a problem of one kind."""
+    pool, links = _links(spark, d)
+    kind = F.when(X.known(F.col("incident_type")), F.col("incident_type"))
+    said = F.array_compact(F.array(F.concat(F.lit("category "), "category"), F.concat(F.lit("type "), kind), F.concat(F.lit("place "), "taluk")))
+    side = lambda n: pool.select(F.col("incident_id").alias(f"{n}_id"), F.struct(said.alias("signals"), F.array_compact(F.array(kind)).alias("types"), F.array_compact(F.array("category")).alias("categories")).alias(n))
+    rows = links.select("link_id", "low_id", "high_id").join(side("low"), "low_id").join(side("high"), "high_id")
+    return rows.select("link_id", F.array_join(documents.shared_signals(F.col("low.signals"), F.col("high.signals")), "|").alias("shared"), records.shares_problem("low", "high").alias("problem"))
+
+
 def _groups(spark, d):
     """The scripted reader links pairs that share two signals and don't differ in place."""
     pool, links = _links(spark, d)
