@@ -1,11 +1,12 @@
 """Questions in one plan, and the days that questions name."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import answers, questions, replies
+from tidemark.operators import answers, questions, records, replies
 
 TODAY = dt.date(2026, 10, 14)
 
@@ -107,3 +108,39 @@ def test_searches_of_nothing(spark):
     found = questions.retrieve(units.limit(0), read.select("search_id", "wanted", "since", "until").distinct())
     assert [(r.events, r.shown) for r in found.collect()] == [(0, [])]
     assert {r.state for r in questions.answers(read, found, evidence).collect()} == {"refused"}
+
+
+def test_searches_add_up_sets_of_values_not_events(spark):
+    kinds, places = ["flood", "fire", None], ["melur", "vadipatti"]
+    rows = [(f"E{i:05}", f"i{i}", dt.datetime(2026, 10, 1 + i % 13) if i % 5 else None, kinds[i % 3], "water", places[i % 2]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "event_id string, incident_id string, at timestamp, type string, category string, place string")
+    units = questions.units_of(table, {"place": "place", "type": "type", "category": "category"}, event="event_id", day="at")
+    vocabulary = units.select(F.explode("held").alias("v")).select("v.*").distinct()
+    texts = ["flood last 3 days", "fire or flood in melur", "water last 7 days", "anything", "flood", "fire in vadipatti or melur last 3 days"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id int, asked string")
+    read = questions.read(asked, vocabulary, F.lit(dt.date(2026, 10, 13))).cache()
+    searches = read.select("search_id", "wanted", "since", "until").distinct()
+    sets = questions.holders(units, searches)
+    assert sets.count() <= 6 * len(texts) and {len(r.held) for r in sets.collect()} == {2, 3}
+    found = {r.search_id: r for r in questions.retrieve(units, searches).collect()}
+    for s in read.collect():
+        wanted = {f: {v.value for v in s.wanted if v.facet == f} for f in {v.facet for v in s.wanted}}
+        met = [(r[0], r[2] and r[2].date()) for r in rows if all({"type": r[3], "category": r[4], "place": r[5]}[f] in vs for f, vs in wanted.items())]
+        inside = [m for m in met if s.since is None or (m[1] and s.since <= m[1] <= s.until)]
+        before = [m for m in met if s.since and m[1] and 0 < (s.since - m[1]).days <= (s.until - s.since).days + 1]
+        newest = sorted(inside, key=lambda m: (m[1] or dt.date.min, m[0]), reverse=True)
+        r = found[s.search_id]
+        assert (r.events, r.incidents, r.previous, r.outside) == (len(inside), len(inside), len(before), len(met) - len(inside))
+        assert r.undated == len([m for m in met if m not in inside and m[1] is None]) and r.shown == [m[0] for m in newest[:8]]
+
+
+def test_fields_named_by_many_questions(spark):
+    index = spark.createDataFrame([("kind", "Road", "a"), ("kind", "bridge", "a"), ("kind", "road", "b"), ("kind", "bridge", "c"), ("kind", "well", None), ("who", "road", "a")], "field string, word string, id string")
+    asked = spark.createDataFrame([(1, "a ROAD, a bridge"), (2, "road"), (3, "well?"), (4, "none"), (5, None)], "question_id int, text string")
+    got = {(r.question_id, r.field): (r.words, r.ids) for r in records.named_fields(index, asked).collect()}
+    assert got == {(1, "kind"): (["bridge", "road"], 3), (1, "who"): (["road"], 1), (2, "kind"): (["road"], 2), (2, "who"): (["road"], 1), (3, "kind"): (["well"], 0)}
+    n = 40_000  # pairs of questions and ids would be 1.6 billion
+    index = spark.range(n).select(F.lit("kind").alias("field"), F.lit("road").alias("word"), F.col("id").cast("string").alias("id"))
+    began = time.time()
+    assert records.named_fields(index, spark.range(n).select(F.col("id").alias("question_id"), F.lit("a road").alias("text"))).agg(F.sum("ids")).first()[0] == n * n
+    assert time.time() - began < 60

@@ -1,7 +1,7 @@
 """All questions of a table in one plan: reading, carried follow-ups, retrieval, and answers with citations.
 
-Questions that ask the same (values, period) are one search. A search meets the events that hold its rarest value through an inverted
-index, and the events themselves tell whether they hold the rest, so an index list is as long as the rarest value is common. A search
+Questions that ask the same (values, period) are one search. Events that hold the same values are one set. A search meets the sets that hold its
+rarest value through an inverted index, and the sets themselves tell whether they hold the rest; events are counted by set and period. A search
 without values has the pseudo value "any". Nothing is looped over on the driver: a follow-up is read together with what it follows by a
 window over its session, so the second look is one more row of the same join.
 """
@@ -16,12 +16,15 @@ from pyspark.sql.window import Window
 
 from ..functions.text import fold
 from ..functions.wording import claim_words
+from ..storage import materialize
 from .answers import question_window
 from .contracts import answer_state, supported_statements
 
 #: Fixed limits: events shown, quotes of an event, earlier questions that a follow-up carries, words of a value.
 SHOWN, QUOTES, CARRIED, PHRASE = 8, 2, 5, 3
 ANY = ("any", "any")
+#: What is counted of a search.
+COUNTED = ["events", "incidents", "previous", "undated", "outside"]
 
 
 def follow_ups(questions: DataFrame, *, most: int = CARRIED) -> DataFrame:
@@ -59,45 +62,59 @@ def read(questions: DataFrame, vocabulary: DataFrame, today: Column, *, key: str
     return rows.withColumn("search_id", F.sha2(F.to_json(F.struct("wanted", "since", "until")), 256))
 
 
-def matches(units: DataFrame, searches: DataFrame) -> DataFrame:
-    """``search_id, event_id, day, incidents, place`` of every event (``0``: in the period, ``1``: in as many days before it, ``2``: undated, ``3``: another day).
+def _sets(units: DataFrame) -> DataFrame:
+    return units.withColumn("held", F.array_sort("held"))
 
-    ``units``: ``event_id, day, incidents, held`` (array of ``facet, value``); ``searches``: distinct ``search_id, wanted, since, until``.
+
+def holders(units: DataFrame, searches: DataFrame) -> DataFrame:
+    """``search_id, since, until, held``: the distinct sets of values (sorted) that hold what a search wants.
+
+    ``units``: ``event_id, day, incidents, held`` (array of ``facet, value``), a row an event; ``searches``: distinct ``search_id, wanted, since, until``.
     """
-    lists = units.select("event_id", "day", "incidents", "held", F.explode(F.concat("held", F.array(F.struct(F.lit(ANY[0]).alias("facet"), F.lit(ANY[1]).alias("value"))))).alias("v")).select("event_id", "day", "incidents", "held", "v.*")
-    common = lists.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("events"))
+    sets = _sets(units).select("held").distinct()
+    lists = sets.select("held", F.explode(F.concat("held", F.array(F.struct(F.lit(ANY[0]).alias("facet"), F.lit(ANY[1]).alias("value"))))).alias("v")).select("held", "v.*")
+    common = lists.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("sets"))
     # a facet costs as much as its values together; the cheapest one is looked up, the others are checked
     each = searches.select("search_id", F.explode("wanted").alias("v")).select("search_id", "v.*").join(common, ["facet", "value"], "left")
-    cost = each.groupBy("search_id", "facet").agg(F.sum(F.coalesce("events", F.lit(0))).alias("cost"), F.collect_set("value").alias("values"))
+    cost = each.groupBy("search_id", "facet").agg(F.sum(F.coalesce("sets", F.lit(0))).alias("cost"), F.collect_set("value").alias("values"))
     rarest = cost.groupBy("search_id").agg(F.min_by(F.struct("facet", "values"), F.struct("cost", "facet")).alias("r"))
     keyed = searches.join(rarest, "search_id", "left").withColumn("facet", F.coalesce("r.facet", F.lit(ANY[0]))).withColumn("value", F.explode(F.coalesce("r.values", F.array(F.lit(ANY[1])))))
     facets = F.array_distinct(F.transform("wanted", lambda v: v["facet"]))
     holds = F.forall(facets, lambda f: F.exists("wanted", lambda v: (v["facet"] == f) & F.array_contains("held", v)))
-    days = F.datediff("until", "since") + 1
-    dated = F.col("day").isNotNull()
-    inside = F.col("since").isNull() | (dated & F.col("day").between(F.col("since"), F.col("until")))
-    earlier = dated & (F.col("day") < F.col("since")) & (F.datediff("since", "day") <= days)
-    place = F.when(inside, 0).when(~dated, 2).when(earlier, 1).otherwise(3)
     found = keyed.select("search_id", "wanted", "since", "until", "facet", "value").join(lists, ["facet", "value"]).filter(holds)
-    return found.select("search_id", "event_id", "day", "incidents", place.alias("place")).dropDuplicates(["search_id", "event_id"])
+    return found.select("search_id", "since", "until", "held").dropDuplicates(["search_id", "held"])
 
 
 def retrieve(units: DataFrame, searches: DataFrame, *, shown: int = SHOWN) -> DataFrame:
     """One row a search: ``events, incidents, previous, undated, outside, newest`` and the ``shown`` newest events (ties: the larger id first).
 
-    Searches without a match have zeros. What a search holds is counted before the newest events are ranked, so ranking keeps ``shown`` rows a task.
+    Searches without a match have zeros. Events are counted and ranked once for each set of values and each period that some search asks for
+    (in the period, in as many days before it, undated, another day), so a search adds up sets, not events.
     """
-    met = matches(units, searches)
+    period = F.to_json(F.struct("since", "until"))
+    met = materialize(holders(units, searches).withColumn("period", period))
+    days = F.datediff("until", "since") + 1
+    dated = F.col("day").isNotNull()
+    inside = F.col("since").isNull() | (dated & F.col("day").between(F.col("since"), F.col("until")))
+    earlier = dated & (F.col("day") < F.col("since")) & (F.datediff("since", "day") <= days)
+    place = F.when(inside, 0).when(~dated, 2).when(earlier, 1).otherwise(3)
+    # a table of events is small as Parquet and many times larger in memory, so it is never sent whole
+    each = met.select("held", "period", "since", "until").distinct().join(_sets(units).hint("merge"), "held").withColumn("place", place)
     inside = F.col("place") == 0
-    counts = met.groupBy("search_id").agg(
+    counts = each.groupBy("held", "period").agg(
         F.count_if(inside).alias("events"), F.coalesce(F.sum(F.when(inside, F.col("incidents"))), F.lit(0)).alias("incidents"), F.count_if(F.col("place") == 1).alias("previous"),
         F.count_if(F.col("place") == 2).alias("undated"), F.count_if(~inside).alias("outside"), F.max("day").alias("newest"),
     )
-    newest = F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc_nulls_last("day"), F.desc("event_id")))
-    top = met.filter(inside).select("search_id", "event_id", "day").withColumn("rank", newest).filter(F.col("rank") <= shown)
+    order = [F.desc_nulls_last("day"), F.desc("event_id")]
+    best = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= shown)
+    newest = best(each.filter(inside).select("held", "period", "event_id", "day"), "held", "period").groupBy("held", "period").agg(F.collect_list(F.struct("event_id", "day")).alias("top"))  # ``shown`` events
+    of = materialize(counts.join(newest, ["held", "period"], "left"))
+    met = met.select("search_id", "held", "period").join(of, ["held", "period"])
+    sums = met.groupBy("search_id").agg(*[F.sum(c).alias(c) for c in COUNTED], F.max("newest").alias("newest"))
+    top = best(met.select("search_id", F.explode("top").alias("t")).select("search_id", "t.*"), "search_id")
     top = top.groupBy("search_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"]).alias("shown"))  # ``shown`` ids
-    zeros = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("events", "incidents", "previous", "undated", "outside")}
-    out = searches.join(counts, "search_id", "left").join(top, "search_id", "left")
+    zeros = {c: F.coalesce(c, F.lit(0)).alias(c) for c in COUNTED}
+    out = searches.join(sums, "search_id", "left").join(top, "search_id", "left")
     return out.select("search_id", "wanted", "since", "until", *zeros.values(), "newest", F.coalesce("shown", F.array().cast("array<string>")).alias("shown"))
 
 
@@ -141,7 +158,8 @@ def answers(asked: DataFrame, found: DataFrame, evidence: DataFrame, drafts: Dat
     Without drafts an answer says what was measured and cites the quotes of what is shown. A statement is kept if it is cited, in scope, and
     its numbers were measured (:func:`contracts.supported_statements`); what was dropped, claims and thin quoting are findings.
     """
-    rows = found.join(quotes_of(found, evidence), "search_id", "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<struct<rank:int,incident_id:string,evidence_id:string,event_id:string,quote:string,source_url:string>>")))
+    rows = found.join(quotes_of(found, evidence), "search_id", "left")
+    rows = materialize(rows.withColumn("citations", F.coalesce("citations", F.array().cast("array<struct<rank:int,incident_id:string,evidence_id:string,event_id:string,quote:string,source_url:string>>"))))
     missing = emptiness(F.col("events"), F.col("undated"), F.col("outside"), F.col("since"))
     every = asked.select(key, "search_id").join(rows.withColumn("lines", measured()).withColumn("missing", missing), "search_id")
     if drafts is None:
