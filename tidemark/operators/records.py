@@ -99,11 +99,18 @@ def eligible_values(documents: DataFrame, topic: str) -> DataFrame:
 def named_fields(index: DataFrame, questions: DataFrame) -> DataFrame:
     """``question_id, field, words, ids``: fields of a value index that a question names, with the words that it uses.
 
-    ``index``: ``field, word, id``; ``questions``: ``question_id, text``. Words meet by equality of tokens, so nothing is paired all with all.
+    ``index``: ``field, word, id``; ``questions``: ``question_id, text``. Words meet by equality of tokens. Ids that hold the same words of a field
+    are one set, and questions that use the same words ask once, so ids are never paired with questions.
     """
+    folded = index.select("field", fold(F.col("word")).alias("word"), "id").filter("word <> ''")
     asked = questions.select("question_id", F.explode(F.array_distinct(F.split(fold(F.col("text")), r"[^\p{L}\p{M}\p{N}_#]+"))).alias("word")).filter("word <> ''")
-    met = asked.join(index.select("field", fold(F.col("word")).alias("word"), "id"), "word")
-    return met.groupBy("question_id", "field").agg(F.array_sort(F.collect_set("word")).alias("words"), F.countDistinct("id").alias("ids"))
+    met = asked.join(folded.select("field", "word").distinct(), "word")
+    said = met.groupBy("question_id", "field").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    held = folded.filter("id IS NOT NULL").groupBy("field", "id").agg(F.array_sort(F.collect_set("word")).alias("held")).groupBy("field", "held").agg(F.count(F.lit(1)).alias("n"))
+    uses = said.select("field", "words").distinct().withColumn("word", F.explode("words"))
+    once = uses.join(held.withColumn("word", F.explode("held")), ["field", "word"]).dropDuplicates(["field", "words", "held"])
+    ids = once.groupBy("field", "words").agg(F.sum("n").alias("ids"))
+    return said.join(ids, ["field", "words"], "left").select("question_id", "field", "words", F.coalesce("ids", F.lit(0)).alias("ids"))
 
 
 def refusals(questions: DataFrame, found: DataFrame) -> DataFrame:
