@@ -8,8 +8,10 @@ empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import best_fit, exact_dedup, jaccard_join, mixing, quality_classifier
 from tidemark.llm.shared import documents, materialize
@@ -42,15 +44,39 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of a Pfair schedule of source blocks: rows and files follow the target weights.
 
-    No row is dropped, repeated rows keep their places, and documents without a source are one source more.
+    No row is dropped, repeated rows keep their places, and documents without a source are one source more. The next stage
+    reads the order off the files.
     """
     rows = docs.select("doc_id", "source", F.struct("*").alias("_doc"))
     return mixing.mix(rows).orderBy("slot", "place").select("_doc.*")
 
 
+def _place(docs: DataFrame) -> Column | None:
+    """Where a row of a written table stands: the number of its file's task, the file's number in the task, the row in the file. Null without files."""
+    try:
+        of = docs.metadataColumn("_metadata")
+        number = lambda pattern: F.coalesce(F.regexp_extract(of["file_name"], pattern, 1).try_cast("long"), F.lit(0))
+        at = F.shiftleft(number(r"^part-(\d+)"), 44) + F.shiftleft(number(r"-c(\d+)\."), 32) + of["row_index"]
+        docs.select(at).schema  # noqa: B018  a table without files has no such column
+    except AnalysisException:
+        return None
+    return at
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset; columns other than id and text are not read. A text without words is its end id."""
-    return best_fit.pack(materialize(best_fit.token_pieces(docs).drop("size")))
+    """Token pieces with their sequence and offset; columns other than id and text are not read. A text without words is its end id.
+
+    Best fit asks for sizes alone, so the order of the rows in the files of ``docs``, the mixture, decides in which order sequences are
+    read: each has the ``position`` of the row that opens it (the piece at offset 0), and rows and files are sorted by it. Tables without
+    files have no order, and no ``position``.
+    """
+    place = _place(docs)
+    rows = docs.select("doc_id", "text", *([] if place is None else [place.alias("position")]))
+    packed = best_fit.pack(materialize(best_fit.token_pieces(rows, carry=None if place is None else "position").drop("size")))
+    if place is None:
+        return packed
+    opens = F.max(F.when(F.col("offset") == 0, F.col("position"))).over(Window.partitionBy("sequence_id"))  # pieces of one sequence
+    return packed.withColumn("position", opens).orderBy("position", "sequence_id", "offset")
 
 
 STAGES = [

@@ -183,3 +183,21 @@ def test_word_contexts_tell_words_apart(spark):
     held = quality_classifier.word_contexts(spark.createDataFrame([(x,) for x in lines], "text string"))
     of = lambda w: held[quality_classifier._word_bucket(Hasher(5).words(Chunk([w.encode()])))[0]]
     assert of("one") @ of("two") > 0.8 and of("one") @ of("three") < 0.5
+
+
+def test_sequences_follow_the_mixture(spark):
+    """Documents of some 700 tokens open a sequence each: read by position, sequences have sources as they were mixed, and short ones fill them."""
+    long = [(i, " ".join(f"w{i}x{j}" for j in range(120)), "rare" if i % 10 == 0 else "common") for i in range(200)]
+    docs = spark.createDataFrame(long + [(1000 + i, "a few words", None) for i in range(50)], "doc_id long, text string, source string").repartition(5)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    packed = corpus_pipeline.pack_sequences(spark, corpus_pipeline.materialize(mixed), SF).cache()
+    place = {r.doc_id: i for i, r in enumerate(mixed.collect())}
+    assert len(set(place.values())) == docs.count() == packed.select("doc_id").distinct().count()
+    rows = packed.collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    first = [r for r in rows if r.offset == 0]
+    assert [place[r.doc_id] for r in first] == sorted(place[r.doc_id] for r in first) and {r.sequence_id: r.position for r in first} == {r.sequence_id: r.position for r in rows}
+    order = [r.doc_id for r in first if r.doc_id < 1000]
+    assert order == sorted(order, key=place.get) and order != sorted(order)
+    source = {i: s for i, _, s in long}
+    assert [source[i] for i in order[:40]].count("rare") > 6  # a tenth of the rows, a quarter by weight

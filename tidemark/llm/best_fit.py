@@ -101,36 +101,39 @@ class Encoder:
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, size bigint"
 
 
-def _pieces(path: str, contract: str | None, capacity: int, end_id: int):
+def _pieces(path: str, contract: str | None, capacity: int, end_id: int, carry: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Encoder(path, contract), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             texts = batch.column("text")
+            kept = batch.column(carry).to_pylist() if carry else ids
             for begin in range(0, len(ids), 256):
                 part = [t or "" for t in texts.slice(begin, 256).to_pylist()]
-                cols: list[list] = [[] for _ in range(6)]
-                for doc, data in zip(ids[begin : begin + 256], encode(part), strict=True):
+                cols: list[list] = [[] for _ in range(7)]
+                for doc, data, own in zip(ids[begin : begin + 256], encode(part), kept[begin : begin + 256], strict=True):
                     data += end
                     n = len(data) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        for col, x in zip(cols, (doc, i, a, b - a, zlib.crc32(data[4 * a : 4 * b]), n), strict=True):
+                        for col, x in zip(cols, (doc, i, a, b - a, zlib.crc32(data[4 * a : 4 * b]), n, own), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32", "size"])
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "size", *([carry] if carry else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols[: len(names)])], names=names)
 
     return run
 
 
-def token_pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, carry: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, size``: texts as token ids and an end id; longer ones in pieces, the first short.
 
     A null or empty text is its end id alone; null ids and repeated rows give pieces of their own. A text of any length is encoded
-    whole, in one task, so it has to fit in a worker's memory several times. Other columns are ignored; an empty table gives an empty one.
+    whole, in one task, so it has to fit in a worker's memory several times. Other columns are ignored, but for ``carry``, a column of whole numbers; an empty table gives an empty one.
     """
     path = path or tokenizer_path()
     twin = Path(path).with_suffix(".json")
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, str(twin) if twin.exists() else None, capacity, end_id), PIECES)
+    more = [F.col(carry).cast("long").alias(carry)] if carry else []
+    return docs.select("doc_id", "text", *more).mapInArrow(_pieces(path, str(twin) if twin.exists() else None, capacity, end_id, carry), PIECES + (f", `{carry}` bigint" if carry else ""))
 
 
 SWEPT = "what int, id bigint, sequence_id bigint, offset bigint, length bigint"
