@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, geo, neighbours, patterns
+from tidemark.operators import evidence, geo, linking, neighbours, patterns
 
 BASE = dt.datetime(2026, 10, 1)
 SIG = "incident_id string, record_id string, reported_at timestamp, kind string, value string"
@@ -125,3 +125,13 @@ def test_many_patterns(spark):
     registry = spark.range(20_000).select(F.col("id").alias("place_id"), F.lit(9.9).alias("lat"), F.lit(78.1).alias("lng"))
     out = {r.id: (r.place_id, r.resolution) for r in geo.geocode(rows, registry, aliases, key="id", text="text").collect()}
     assert out == {1: (3, "registry"), 2: (None, "insufficient")}
+
+
+def test_links_are_counted_with_one_search_and_without_events(spark, monkeypatch):
+    from tidemark import catalogue
+
+    searches, search = [], linking.nearest_pairs
+    monkeypatch.setattr(linking, "nearest_pairs", lambda *a, **k: searches.append(1) or search(*a, **k))
+    monkeypatch.setattr(linking, "connected_components", lambda *a: searches.append("components"))
+    assert catalogue.QUERIES["link_pass_counts"](spark, "/root/testdata/sf0.001").count() == 6
+    assert len(searches) == 1

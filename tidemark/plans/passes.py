@@ -9,18 +9,22 @@ from ..functions.text import known
 from ..operators import answers, filters, linking, recurrence, trends
 
 
-def link_pass(incidents: DataFrame, decisions: DataFrame, *, only_place: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(links, groups, units)``. ``decisions``: ``link_id, verdict, confidence, quotes_low, quotes_high`` of any reader.
+def read_links(pool: DataFrame, pairs: DataFrame, decisions: DataFrame, *, only_place: bool = False) -> DataFrame:
+    """Links of ``pairs`` (:func:`linking.candidate_pairs` of ``pool``) as decided. ``decisions``: ``link_id, verdict, confidence, quotes_low, quotes_high`` of any reader.
 
     With ``only_place``, no conflict but a differing place speaks against a link.
     """
-    pool = filters.accepted_pool(incidents)
-    pairs = linking.candidate_pairs(linking.signals(pool))
     side = lambda n: pool.select(F.col("incident_id").alias(f"{n}_id"), F.struct("event_time", "incident_type", "taluk").alias(n))
     drafts = pairs.join(decisions, "link_id").join(side("low"), "low_id").join(side("high"), "high_id").withColumn("conflicts", linking.conflicts("low", "high"))
     if only_place:
         drafts = drafts.withColumn("conflicts", F.array_intersect("conflicts", F.array(F.lit("place"))))
-    links = linking.decide(drafts).drop("low", "high")
+    return linking.decide(drafts).drop("low", "high")
+
+
+def link_pass(incidents: DataFrame, decisions: DataFrame, *, only_place: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(links, groups, units)``: :func:`read_links` of the accepted incidents, and the events that they make."""
+    pool = filters.accepted_pool(incidents)
+    links = read_links(pool, linking.candidate_pairs(linking.signals(pool)), decisions, only_place=only_place)
     groups = linking.event_groups(pool, links)
     return links, groups, linking.event_units(pool, groups)
 
