@@ -67,6 +67,27 @@ def test_nearest_pairs_edges(spark):
         assert set(map(tuple, neighbours.nearest_pairs(signals_of(spark, reports), pairs=5, gap_days=7).collect())) == brute_pairs(reports, 5, 7)
 
 
+@pytest.mark.parametrize(("per_record", "dense", "hours"), [(1, False, 24), (3, False, 1), (1, True, 24), (40, False, 24)])
+def test_cells_against_brute_force(spark, monkeypatch, per_record, dense, hours):
+    """Dated reports are searched in cells by one shuffle; cells too dense for a task and large records are looked up by keys."""
+    from tidemark.operators import cells
+
+    rng = random.Random(per_record)
+    reports = []
+    for n in range(400):
+        sigs = {("category", f"c{rng.randrange(2)}"), ("place", f"p{rng.randrange(3)}")} | ({("type", f"t{rng.randrange(3)}")} if rng.random() < 0.8 else set()) | ({("person", f"n{rng.randrange(60)}")} if rng.random() < 0.9 else set())
+        day = rng.choice([0, 0, 1, 6, 7, 8]) + rng.randrange(0, 90, 9) if rng.random() < 0.8 else rng.randrange(400)
+        reports.append((f"i{n:03}", f"r{n // per_record}" if n < 200 else f"s{n}", BASE + dt.timedelta(days=day, hours=rng.randrange(0, 24, hours)), frozenset(sigs)))
+    looked, keyed = [], neighbours._by_combinations
+    monkeypatch.setattr(neighbours, "_by_combinations", lambda base, asking, *a: looked.append(asking.count()) or keyed(base, asking, *a))
+    monkeypatch.setattr(cells, "CELL_ROWS", 30)
+    if dense:
+        monkeypatch.setattr(cells, "MOST_ROWS", 60)
+    got = list(map(tuple, neighbours.nearest_pairs(signals_of(spark, reports), pairs=5, gap_days=7).collect()))
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(reports, 5, 7)
+    assert bool(looked) == (dense or per_record > cells.MOST_REPORTS) and all(0 < n < 400 for n in looked)
+
+
 def test_pairs_looked_at_grow_with_reports(spark):
     """A signal that all share isn't paired with itself: what is compared stays near ``pairs`` a report where times differ."""
     made = []

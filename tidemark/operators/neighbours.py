@@ -8,16 +8,20 @@ the few reports that have nothing better.
 Nearest partners come without pairing a combination with itself: its time points (with counts of reports) are sorted, each sees a few points
 before and after, and the counts tell how far a report has to look. Only the points within that reach are joined. All reports at the last gap
 that counts are compared, as ties go by link id; that join is by (combination, time point), and skewed ones are split by Spark.
+
+Where all reports are dated and none has more than ``MOST_SIGNALS`` signals, they are searched in cells of time instead (:mod:`tidemark.operators.cells`), by one shuffle;
+only those of cells too dense for a task, and of records with very many reports, are looked up by combinations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ids import link_id
 from ..storage import materialize, release
+from . import cells
 
 #: Signals of a report that is looked up by combinations; the pairs of reports with more are found by single signals within their weeks.
 MOST_SIGNALS = 6
@@ -119,13 +123,38 @@ def nearest_pairs(sig: DataFrame, *, pairs: int, gap_days: int) -> DataFrame:
     """
     span = gap_days * 86400
     base = materialize(reports(sig))
+    far = F.size("signals") > MOST_SIGNALS
+    row = base.agg(F.max(F.when(~far, F.size("signals"))).alias("most"), F.coalesce(F.bool_or(F.col("second").isNull()), F.lit(False)).alias("undated"), F.max("many").alias("many"), F.count_if(far).alias("broad"),
+                   F.count(F.lit(1)).alias("n"), F.min("second").alias("first"), F.max("second").alias("last")).first()
+    if row.undated or row.broad or not row.n:
+        out = _by_combinations(base, base, row, pairs, span)
+        release(base)
+        return out
+    width = cells.cell_width(row.n, row.first, row.last, span)
+    sent = cells.celled(base, width, span)
+    dense = [r.cell for r in sent.groupBy("cell").count().filter(F.col("count") > cells.MOST_ROWS).collect()]
+    found = cells.best_in_cells(sent.filter(~F.col("cell").isin(dense)) if dense else sent, pairs=pairs, span=span)
+    low, high = F.least("id", "other"), F.greatest("id", "other")
+    near = materialize(found.select(low.alias("low_id"), high.alias("high_id"), "shared", "gap_seconds", link_id(low, high).alias("link_id"), "across"))
+    if not dense and row.many <= cells.MOST_REPORTS:
+        release(base)
+        return near.filter("NOT across").drop("across").unionByName(near.filter("across").drop("across").distinct())
+    asking = base.filter(F.floor(F.col("second") / width).isin(dense) | (F.col("many") > cells.MOST_REPORTS))
+    rest = _by_combinations(base, asking, row, pairs, span)
+    release(base)
+    return near.drop("across").unionByName(rest).distinct()
+
+
+def _by_combinations(base: DataFrame, asking: DataFrame, row: Row, pairs: int, span: int) -> DataFrame:
+    """The pairs that the reports in ``asking`` choose among all of ``base``, looked up by combinations."""
+    most, undated, many, broad = row.most, row.undated, row.many, row.broad
     narrow, crowded = base.filter(F.size("signals") <= MOST_SIGNALS), base.filter(F.size("signals") > MOST_SIGNALS)
-    most, undated, many, broad = base.agg(F.max(F.when(F.size("signals") <= MOST_SIGNALS, F.size("signals"))), F.coalesce(F.bool_or(F.col("second").isNull()), F.lit(False)), F.max("many"), F.count_if(F.size("signals") > MOST_SIGNALS)).first()
+    asking = asking.filter(F.size("signals") <= MOST_SIGNALS)
     passes = [(least, top) for least, top in ((3, most or 0), (2, 2), (1, 1)) if least <= min(top, most or 0)]
     rank = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("shared"), F.asc_nulls_last("gap_seconds"), "link_id"))
     link = link_id(F.least("id", "other"), F.greatest("id", "other"))
     best = lambda found: found.withColumn("_rank", rank).filter(F.col("_rank") <= pairs).drop("_rank").dropDuplicates(["id", "other"])
-    asking, held, done, tables = narrow, None, [], [base]
+    held, done, tables = None, [], []
     if broad:
         extra = materialize(best(_crowded_pairs(crowded, base, span, undated=undated).withColumn("link_id", link)))
         tables.append(extra)
@@ -145,7 +174,7 @@ def nearest_pairs(sig: DataFrame, *, pairs: int, gap_days: int) -> DataFrame:
         held = after.filter(F.col("n") < pairs).drop("n")
         asking = asking.join(after.filter(F.col("n") >= pairs).select("id").distinct(), "id", "left_anti")
     if not done:
-        empty = sig.select(F.col("incident_id").alias("low_id"), F.col("incident_id").alias("high_id"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("gap_seconds"), F.lit("").alias("link_id"))
+        empty = base.select(F.col("id").alias("low_id"), F.col("id").alias("high_id"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("gap_seconds"), F.lit("").alias("link_id"))
         return empty.filter("false")
     chosen = done[0]
     for more in done[1:]:
