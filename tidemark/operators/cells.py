@@ -43,13 +43,13 @@ def celled(base: DataFrame, width: int, span: int) -> DataFrame:
     return base.select("id", "record", "second", "marks", "many", F.explode(cells).alias("c")).select("c.cell", "c.border", "id", "record", "second", "marks", "many")
 
 
-def _links(ids: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The bits of the link ids of pairs, in their order."""
-    made = (hashlib.sha256(f"{min(x, y)}|{max(x, y)}".encode()).digest()[:8] for x, y in ((ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)))
-    return np.frombuffer(b"".join(made), dtype=">u8").astype(np.uint64)
+def _links(ids: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits of the link ids of pairs, in their order; numbers of reports are in the order of their ids."""
+    sha, pairs = hashlib.sha256, zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
+    return np.frombuffer(b"".join([sha(ids[i] + b"|" + ids[j]).digest()[:8] for i, j in pairs]), dtype=">u8").astype(np.uint64)
 
 
-def _best(ids: list[str], a: np.ndarray, b: np.ndarray, gap: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+def _best(ids: list[bytes], a: np.ndarray, b: np.ndarray, gap: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the pairs of each asking report the ``need[report]`` with the least gap; ties go to the least link id."""
     order = np.lexsort((gap, a))
     a, b, gap = a[order], b[order], gap[order]
@@ -89,7 +89,7 @@ def _entries(marks: np.ndarray, size: np.ndarray, asks: np.ndarray, n: int) -> t
     return place[held], row[held]
 
 
-def _partners_of(ids: list[str], record: np.ndarray, second: np.ndarray, marks: np.ndarray, codes: np.ndarray, size: np.ndarray, asks: np.ndarray, need: np.ndarray, n: int, pairs: int, span: int, many: int) -> tuple[np.ndarray, ...] | None:
+def _partners_of(ids: list[bytes], record: np.ndarray, second: np.ndarray, marks: np.ndarray, codes: np.ndarray, size: np.ndarray, asks: np.ndarray, need: np.ndarray, n: int, pairs: int, span: int, many: int) -> tuple[np.ndarray, ...] | None:
     """The best pairs of the asking reports that share exactly ``n`` signals: ``(asking, other, gap)``."""
     key, row = _entries(marks, size, asks, n)
     if key.size < 2:
@@ -108,10 +108,11 @@ def _partners_of(ids: list[str], record: np.ndarray, second: np.ndarray, marks:
         b = row[np.arange(a.size) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
         other = record[a] != record[b]
         a, b = a[other], b[other]
+        left, right = [c[a] for c in codes], [c[b] for c in codes]
         shared = np.zeros(a.size, dtype=np.int8)
-        for i in range(codes.shape[1]):
-            for j in range(codes.shape[1]):
-                shared += (codes[a, i] == codes[b, j]) & (j < size[b])
+        for x in left:
+            for y in right:
+                shared += (x == y) & (x >= 0)
         exact = shared == n
         a, b = a[exact], b[exact]
         if a.size:
@@ -142,20 +143,20 @@ def _partners_of(ids: list[str], record: np.ndarray, second: np.ndarray, marks:
 
 def _search(table: pa.Table, pairs: int, span: int) -> pa.Table:
     """The best pairs of a cell's own reports; a pair of two own reports once."""
-    table = table.combine_chunks()
+    table = table.combine_chunks().sort_by("id")
     n = table.num_rows
     column = lambda name: table.column(name).combine_chunks()
     code = lambda name: column(name).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    ids, record, second = column("id").to_pylist(), code("record"), column("second").to_numpy()
+    ids, record, second = column("id").cast(pa.binary()).to_pylist(), code("record"), column("second").to_numpy()
     lists = column("marks")
     size = lists.value_lengths().to_numpy(zero_copy_only=False)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     begin, width = np.cumsum(size) - size, max(int(size.max()), 1)
-    marks, codes = np.zeros((n, width), dtype=np.uint64), np.full((n, width), -1, dtype=np.int64)
+    marks, codes = np.zeros((n, width), dtype=np.uint64), np.full((width, n), -1, dtype=np.int32)
     known = np.unique(flat, return_inverse=True)[1]
     for i in range(width):
         has = size > i
-        marks[has, i], codes[has, i] = flat[begin[has] + i].view(np.uint64), known[begin[has] + i]
+        marks[has, i], codes[i, has] = flat[begin[has] + i].view(np.uint64), known[begin[has] + i]
     many = column("many").to_numpy()
     own = ~column("border").to_numpy(zero_copy_only=False)
     asks = own & (many <= MOST_REPORTS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import event_id, link_id
 from ..functions.text import effective_time, known
+from ..storage import materialize
 from .components import connected_components
 from .neighbours import nearest_pairs
 
@@ -72,9 +73,11 @@ def event_groups(pool: DataFrame, links: DataFrame) -> DataFrame:
     Incidents without links are events of one. An accepted ``separate_event`` link inside a component sends it to review.
     """
     ids = pool.select("incident_id")
-    inside = links.filter("accepted").join(ids.withColumnRenamed("incident_id", "low_id"), "low_id", "left_semi").join(ids.withColumnRenamed("incident_id", "high_id"), "high_id", "left_semi")
+    # links come partitioned by their high end, so that end is looked up first
+    inside = links.filter("accepted").join(ids.withColumnRenamed("incident_id", "high_id"), "high_id", "left_semi").join(ids.withColumnRenamed("incident_id", "low_id"), "low_id", "left_semi").select("low_id", "high_id", "verdict")
     parts = connected_components(inside.filter("verdict = 'same_event'"), "low_id", "high_id")
     rooted = ids.join(parts, F.col("incident_id") == F.col("id"), "left").select("incident_id", F.coalesce("component", "incident_id").alias("root"))
+    rooted = materialize(rooted)
     low, high = rooted.select(F.col("incident_id").alias("low_id"), F.col("root").alias("low_root")), rooted.select(F.col("incident_id").alias("high_id"), F.col("root").alias("high_root"))
     torn = inside.filter("verdict = 'separate_event'").join(low, "low_id").join(high, "high_id").filter("low_root = high_root").select(F.col("low_root").alias("root")).distinct().withColumn("torn", F.lit(True))
     named = rooted.groupBy("root").agg(event_id(F.collect_list("incident_id")).alias("event_id"), F.count(F.lit(1)).alias("size"))

@@ -13,6 +13,7 @@ from .plans import passes
 from .registering import query
 from .sources import captures, views
 from .sources.views import INCIDENTS_SQL, PRICES_SQL, RECORDS_SQL
+from .storage import materialize
 from .streaming import windows as streams
 
 def rows_n():
@@ -213,7 +214,7 @@ def candidate_pairs(spark, d):
 
 
 def _links(spark, d):
-    pool = filters.accepted_pool(views.incidents(spark, d))
+    pool = materialize(filters.accepted_pool(views.incidents(spark, d)))  # read for signals, both sides and events
     pairs = linking.candidate_pairs(linking.signals(pool))
     side = lambda n: pool.select(F.col("incident_id").alias(f"{n}_id"), F.struct("event_time", "incident_type", "taluk").alias(n))
     return pool, pairs.join(side("low"), "low_id").join(side("high"), "high_id").withColumn("conflicts", linking.conflicts("low", "high"))
