@@ -42,6 +42,18 @@ def test_cube_against_loops(spark):
     assert got == {k: tuple(map(len, v)) for k, v in found.items()} and cells.count() == len(got)
 
 
+def test_many_periods_share_one_row_an_id(spark, capsys):
+    """More periods than fit into one number, and no copy of the reports for each set of distinct ids."""
+    days = {f"p{n:02}": n + 1 for n in range(25)}
+    _, _, cells = cells_of(spark, ROWS, days)
+    got = {(r.period_id, r.side): (r.events, r.incidents) for r in cells.filter("dimension IS NULL").collect()}
+    for period, n in days.items():
+        inside = [r for r in ROWS if r[4] and r[4] > DAY - dt.timedelta(n)]
+        assert got[period, "inside"] == (len({r[0] for r in inside}), len(inside)) and got[period, "undated"] == (1, 1)
+    cells.explain()
+    assert "Expand" not in capsys.readouterr().out
+
+
 def test_lines_and_reasons(spark):
     _, periods, cells = cells_of(spark, ROWS, {"week": 7})
     reasons = measures.emptiness(cells, periods, read=6, kept=6)

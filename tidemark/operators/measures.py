@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .replies import window_note
 
-INSIDE, OUTSIDE, UNDATED = "inside", "outside", "undated"
+INSIDE, OUTSIDE, UNDATED = SIDES = "inside", "outside", "undated"
+#: Periods whose sides go into one number.
+PERIODS = 20
 #: States that are open and states that are on record.
 OPEN, RECORDED = ["ongoing", "under_investigation"], ["action_taken", "resolved"]
 
@@ -39,13 +42,25 @@ def cube(reports: DataFrame, periods: DataFrame, facets: dict[str, Column]) -> D
     tagged = lambda name, held: F.transform(F.coalesce(held, F.array().cast("array<string>")), lambda x: F.struct(F.lit(name).alias("dimension"), x.alias("value")))
     values = F.concat(*[tagged(name, held) for name, held in facets.items()])
     stated = F.filter(values, lambda v: F.coalesce(v["value"], F.lit("")) != "")
-    side = F.when(F.col("since").isNull() & F.col("until").isNull(), INSIDE).when(F.col("day").isNull(), UNDATED).when((F.col("day") >= F.coalesce("since", F.col("day"))) & (F.col("day") <= F.coalesce("until", F.col("day"))), INSIDE).otherwise(OUTSIDE)
-    sided = reports.withColumn("_values", stated).crossJoin(F.broadcast(periods.select("period_id", "since", "until"))).withColumn("side", side)
-    rows = sided.select("period_id", "side", "event_id", "incident_id", "record_id", "source_id", F.explode_outer("_values").alias("_v")).select("*", "_v.dimension", "_v.value").drop("_v")
-    cells = rows.sparkSession.sql("""
-        SELECT period_id, side, dimension, value, grouping_id() AS _set, count(DISTINCT event_id) AS events, count(DISTINCT incident_id) AS incidents, count(DISTINCT record_id) AS records, count(DISTINCT source_id) AS sources
-        FROM {rows} GROUP BY GROUPING SETS ((period_id, side), (period_id, side, dimension, value))""", rows=rows)
-    return cells.filter("_set <> 0 OR dimension IS NOT NULL").drop("_set")
+    tagged_ids = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in enumerate(("event_id", "incident_id", "record_id", "source_id"))])
+    # what lies where is a bit a period and side, so an id is shuffled once a value, for all periods together
+    place = F.floor((F.row_number().over(Window.orderBy("period_id")) - 1) / PERIODS)
+    named = periods.select("period_id", "since", "until").withColumn("part", place)
+    bounds = named.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("period_id", "since", "until"))).alias("bounds"))
+    inside = lambda p: (F.col("day") >= F.coalesce(p["since"], F.col("day"))) & (F.col("day") <= F.coalesce(p["until"], F.col("day")))
+    side = lambda p: F.when(p["since"].isNull() & p["until"].isNull(), 0).when(F.col("day").isNull(), 2).when(inside(p), 0).otherwise(1)
+    bits = F.aggregate(F.transform("bounds", lambda p, i: F.call_function("shiftleft", F.lit(1).cast("long"), i * len(SIDES) + side(p))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    every = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("string").alias("value"))), stated)
+    rows = reports.withColumn("_values", F.array_distinct(every)).crossJoin(F.broadcast(bounds)).select("part", bits.alias("bits"), "_values", tagged_ids.alias("_ids"))
+    rows = rows.select("part", "bits", "_ids", F.explode("_values").alias("v")).select("part", "bits", "v.dimension", "v.value", F.explode("_ids").alias("i"))
+    held = rows.groupBy("part", "dimension", "value", "i.kind", "i.id").agg(F.bit_or("bits").alias("bits"))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(PERIODS * len(SIDES) - 1)), lambda b: F.getbit("bits", b) == 1)).alias("bit")
+    count = lambda k: F.count_if((F.col("kind") == k) & F.col("id").isNotNull())
+    cells = held.select("part", "dimension", "value", "kind", "id", bit).groupBy("part", "bit", "dimension", "value").agg(*[count(k).alias(n) for k, n in enumerate(("events", "incidents", "records", "sources"))])
+    of = F.floor(F.col("bit") / len(SIDES)) == F.col("at")
+    known = bounds.select("part", F.posexplode("bounds").alias("at", "p")).select("part", "at", "p.period_id")
+    told = cells.join(F.broadcast(known), "part").filter(of)
+    return told.select("period_id", F.element_at(F.array(*map(F.lit, SIDES)), F.col("bit") % len(SIDES) + 1).alias("side"), "dimension", "value", "events", "incidents", "records", "sources")
 
 
 def emptiness(cells: DataFrame, periods: DataFrame, *, read: int, kept: int) -> DataFrame:
