@@ -97,3 +97,16 @@ def test_reasons_of_reuse_in_their_order(spark):
     alone = reasons(provider="p", model="m")
     assert alone[:12] == [w for _, _, w in cases][:12] and alone[12:] == ["model", "provider"]
     assert reasons()[12:] == [None, None]
+
+
+def test_families_with_one_key_need_no_components(spark, monkeypatch):
+    from tidemark.operators import families
+
+    rows = [("b", 1, f"e{i}") for i in range(4)] + [("c", 1, f"f{i}") for i in range(3)] + [("d", 1, f"g{i}") for i in range(4)]
+    picked = spark.createDataFrame(rows, "bucket_id string, family int, event_id string")
+    keys = [(f"e{i}", "k") for i in range(4)] + [("f0", "x"), ("f1", "y")] + [("g0", "p"), ("g1", "p"), ("g1", "q"), ("g2", "q"), ("g3", "z")]
+    keyed = lambda n: spark.createDataFrame([k for k in keys if k[0][0] in n], "event_id string, key string")
+    got = lambda n: {r.bucket_id: r.parts for r in families._connected(picked.filter(F.col("bucket_id").isin(*n)), keyed("efg")).collect()}
+    assert got("bcd") == {"b": 1, "c": 3, "d": 2}
+    monkeypatch.setattr(families, "connected_components", None)
+    assert got("bc") == {"b": 1, "c": 3}

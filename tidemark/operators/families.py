@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import short_hash
+from ..storage import materialize
 from ..vocabularies import DEPARTMENTS
 from .components import connected_components
 
@@ -27,13 +28,22 @@ def picked_events(drafts: DataFrame, members: DataFrame) -> DataFrame:
 
 def _connected(picked: DataFrame, keys: DataFrame) -> DataFrame:
     """``bucket_id, family, parts``: into how many parts the events of a family fall, linked by a shared key."""
-    said = picked.join(keys, "event_id").select("bucket_id", "family", "event_id", "key")
-    star = said.groupBy("bucket_id", "family", "key").agg(F.min("event_id").alias("hub"))
+    by = ["bucket_id", "family"]
+    sizes = picked.groupBy(*by).agg(F.countDistinct("event_id").alias("parts"))
+    said = picked.join(keys, "event_id").select(*by, "event_id", "key").distinct()
+    star = said.groupBy(*by, "key").agg(F.min("event_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    widest = star.groupBy(*by).agg(F.max("n").alias("n"))
+    known = sizes.join(widest, by, "left")
+    # a key that all events have makes one part, and without a key of two events each is its own; only the others need components
+    plain = known.filter("n IS NULL OR n = parts").select(*by, F.when(F.col("n").isNull(), F.col("parts")).otherwise(F.lit(1).cast("long")).alias("parts"))
+    rest = materialize(known.filter("n < parts").select(*by))
     node = lambda c: F.struct("bucket_id", "family", F.col(c).alias("event_id"))
-    edges = said.join(star, ["bucket_id", "family", "key"]).select(node("hub").alias("src"), node("event_id").alias("dst"))
+    edges = said.join(star, [*by, "key"]).join(rest, by, "left_semi").select(node("hub").alias("src"), node("event_id").alias("dst"))
+    if rest.isEmpty():
+        return plain
     parts = connected_components(edges)
-    rows = picked.select("bucket_id", "family", "event_id").join(parts.select("id.*", "component"), ["bucket_id", "family", "event_id"], "left")
-    return rows.groupBy("bucket_id", "family").agg(F.countDistinct(F.coalesce(F.col("component.event_id"), F.col("event_id"))).alias("parts"))
+    rows = picked.join(rest, by, "left_semi").select(*by, "event_id").join(parts.select("id.*", "component"), [*by, "event_id"], "left")
+    return plain.unionByName(rows.groupBy(*by).agg(F.countDistinct(F.coalesce(F.col("component.event_id"), F.col("event_id"))).alias("parts")))
 
 
 def assess(drafts: DataFrame, members: DataFrame, units: DataFrame, keys: DataFrame, quotes: DataFrame) -> DataFrame:
