@@ -110,3 +110,16 @@ def test_families_with_one_key_need_no_components(spark, monkeypatch):
     assert got("bcd") == {"b": 1, "c": 3, "d": 2}
     monkeypatch.setattr(families, "connected_components", None)
     assert got("bc") == {"b": 1, "c": 3}
+
+
+def test_buckets_of_events_that_say_the_same(spark, monkeypatch):
+    """The graph holds one vertex for all events that say the same, and events without a key stay out of it."""
+    from tidemark.operators import recurrence
+
+    sent, found = [], recurrence.connections
+    monkeypatch.setattr(recurrence, "connections", lambda heads: sent.append(heads.count()) or found(heads))
+    event = lambda i, place, kind: (f"e{i:02}", dt.datetime(2026, 1, 1) + dt.timedelta(days=i), [kind] if kind else [], [], [place] if place else [], [])
+    rows = [event(i, "Melur", "flood") for i in range(12)] + [event(20, "Melur", None), event(21, None, "fire"), event(22, None, "fire"), event(23, "Usilampatti", "fire")]
+    units = spark.createDataFrame(rows, "event_id string, when timestamp, types array<string>, categories array<string>, taluks array<string>, districts array<string>")
+    out = recurrence.buckets(units).collect()
+    assert [(r.size, r.truncated, r.event_ids) for r in out] == [(12, 4, [f"e{i:02}" for i in range(4, 12)])] and sent == [4]

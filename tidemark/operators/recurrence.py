@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ids import short_hash
+from ..storage import materialize
 from .components import connected_components
 
 SHOWN, LEAST_DAYS = 8, 61
@@ -27,10 +28,19 @@ def connections(units: DataFrame) -> DataFrame:
 
 def buckets(units: DataFrame, *, shown: int = SHOWN) -> DataFrame:
     """``bucket_id, size, truncated, event_ids``: components of two events or more, the newest ``shown`` of each."""
-    part = connected_components(connections(units))
-    rows = units.select("event_id", "when").join(part, F.col("event_id") == F.col("id"))
+    said = ["taluks", "districts", "types", "categories"]
+    alike = units.select("event_id", "when", *[F.array_sort(F.array_distinct(c)).alias(c) for c in said])
+    # events that say the same share all keys: the least of them stands for them in the graph
+    heads = materialize(alike.groupBy(*said).agg(F.min("event_id").alias("event_id")))
+    keyed = heads.filter((F.size(F.array_compact(F.concat("taluks", "districts"))) > 0) & (F.size(F.array_compact(F.concat("types", "categories"))) > 0))
+    part = connected_components(connections(heads))
+    named = keyed.join(part, F.col("event_id") == F.col("id"), "left").select(*[F.col(c).alias(f"_{c}") for c in said], F.coalesce("component", "event_id").alias("component"))
+    same = F.lit(True)
+    for c in said:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = alike.join(named, same).select("event_id", "when", "component")
     newest = Window.partitionBy("component").orderBy(F.desc_nulls_last("when"), F.desc("event_id"))
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     top = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= shown)
     ids = top.groupBy("component").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
     named = ids.join(sizes, "component").withColumn("bucket_id", F.concat(F.lit("BKT-"), short_hash(F.array_join("event_ids", "|"))))
