@@ -123,3 +123,15 @@ def test_buckets_of_events_that_say_the_same(spark, monkeypatch):
     units = spark.createDataFrame(rows, "event_id string, when timestamp, types array<string>, categories array<string>, taluks array<string>, districts array<string>")
     out = recurrence.buckets(units).collect()
     assert [(r.size, r.truncated, r.event_ids) for r in out] == [(12, 4, [f"e{i:02}" for i in range(4, 12)])] and sent == [4]
+
+
+def test_texts_that_many_rows_have_are_looked_up_once(spark, monkeypatch):
+    from tidemark.operators import geo
+
+    seen, found = [], geo.occurrences
+    monkeypatch.setattr(geo, "occurrences", lambda texts, *a, **k: seen.append(texts.count()) or found(texts, *a, **k))
+    rows = spark.createDataFrame([(i, "in Melur" if i % 2 else "ஊரில்", None, None) for i in range(50)] + [(50, None, None, None)], "id long, text string, lat double, lng double")
+    registry = spark.createDataFrame([("M", 9.9, 78.1), ("U", 9.8, 78.2)], "place_id string, lat double, lng double")
+    aliases = spark.createDataFrame([("M", "melur", 0), ("U", "ஊர", 1)], "place_id string, alias string, position int")
+    got = {r.id: (r.place_id, r.resolution) for r in geo.geocode(rows, registry, aliases, key="id", text="text").collect()}
+    assert got == {i: ("M" if i % 2 else "U", "registry") for i in range(50)} | {50: (None, "insufficient")} and seen == [2]

@@ -29,13 +29,14 @@ def geocode(rows: DataFrame, registry: DataFrame, aliases: DataFrame, *, key: st
     compared; others may sit inside a word and are found by their grams (:mod:`tidemark.operators.patterns`).
     """
     fault = coordinates_fault(F.col("lat"), F.col("lng"), lat_box, lng_box)
-    words = rows.select(key, fold(F.col(text)).alias("_t")).filter("_t <> ''")
+    key, rows = "_t", rows.withColumn("_t", fold(F.col(text)))  # a text that many rows have is looked up once
+    words = rows.select("_t").filter("_t <> ''").distinct()
     plain = ~F.col("alias").rlike(r"[^\x00-\x7F]")
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
     keyed = aliases.filter(plain).withColumn("_w", F.get(tokens(F.col("alias")), 0))
     met = words.withColumn("_w", F.explode(F.array_distinct(tokens(F.col("_t"))))).join(keyed, "_w").drop("_w")
     inside = aliases.filter(~plain).select("place_id", "position", F.lower("alias").alias("alias"))
-    held = occurrences(words, inside, key=key, text="_t", pattern="alias")
+    held = occurrences(words.withColumn("_k", F.col("_t")), inside, key="_k", text="_t", pattern="alias").withColumnRenamed("_k", "_t")
     hit = met.filter(contains_alias(F.col("_t"), F.col("alias"))).select(key, "place_id", "position").unionByName(held.select(key, "place_id", "position"))
     first = hit.groupBy(key).agg(F.min_by("place_id", "position").alias("place_id"))
     points = registry.select("place_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
@@ -43,7 +44,7 @@ def geocode(rows: DataFrame, registry: DataFrame, aliases: DataFrame, *, key: st
     given, found = F.col("_fault").isNull(), (F.col("_fault") == "absent") & F.col("place_id").isNotNull()
     resolution = F.when(given, "explicit").when(F.col("_fault") != "absent", F.concat(F.lit("rejected_"), F.col("_fault"))).when(found, "registry").otherwise("insufficient")
     pick = lambda own, theirs: F.when(given, F.col(own)).when(found, F.col(theirs))
-    return out.select(*rows.columns, pick("lat", "_lat").alias("lat_out"), pick("lng", "_lng").alias("lng_out"), F.when(found, F.col("place_id")).alias("place_id"), resolution.alias("resolution"))
+    return out.select(*[c for c in rows.columns if c != "_t"], pick("lat", "_lat").alias("lat_out"), pick("lng", "_lng").alias("lng_out"), F.when(found, F.col("place_id")).alias("place_id"), resolution.alias("resolution"))
 
 
 def disperse(points: DataFrame, *, lat: str, lng: str, order: list[str]) -> DataFrame:
