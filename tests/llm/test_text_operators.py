@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard_join, substring_dedup, suffix_dedup
+from tidemark.llm.packed import with_uid
 from tidemark.llm.textops import Chunk, Hasher, chunks, covered, ranges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,3 +190,12 @@ def test_exact_dedup_of_rows_that_repeat(spark):
     assert nameless.filter("kept").count() == 1 and nameless.filter("keep_id IS NULL").count() == 3000
     out = exact_dedup.exact_dedup(docs)
     assert out.columns == docs.columns and sorted((r.doc_id, r.text, r._null) for r in out.collect()) == [(1, "", "_null"), (2, "alone", "_null"), (7, "copy", "_null")]
+
+
+def test_only_texts_of_pairs_are_moved(spark):
+    texts = with_uid(frame(spark, [(i, f"text {i}") for i in range(6000)] + [(7, "text 7")] * 5, 5))
+    some = texts.filter("doc_id % 100 = 7").select(F.struct("uid_a", "uid_b").alias("uid")).distinct()
+    moved = jaccard_join._needed(texts, some)
+    assert sorted(r.text for r in moved.join(some, "uid").collect()) == sorted(f"text {i}" for i in range(7, 6000, 100))
+    assert moved.count() < 300 and moved.select("uid").distinct().count() == moved.count()
+    assert jaccard_join._needed(texts, some.limit(0)).count() == 0

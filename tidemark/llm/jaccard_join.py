@@ -36,6 +36,7 @@ PARITY = 4  # words of 64 hash ranges each, for the suffix filter
 ROUNDS = 1  # with one class per shingle, before the last
 LEADS = 16
 KEY_BYTES = 5
+BITMAP_BYTES, MOST_BITMAPS = 4096, 4096  # of texts that pairs ask for: 16 MB at most
 
 _LOWER = bytes.lower  # of A-Z only
 
@@ -210,13 +211,29 @@ def _pairs(group: DataFrame, other: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("set", "o_set").alias("left"), F.greatest("set", "o_set").alias("right")).distinct()
 
 
-def _links(pairs: DataFrame, reps: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link, verified on the whole sets."""
+def _needed(texts: DataFrame, uids: DataFrame) -> DataFrame:
+    """``uid, text`` of the rows of ``texts`` that ``uids`` (``uid``) names, each once, and of few others.
+
+    Which rows may be named is told by bitmaps that are broadcast (a byte a name, ``MOST_BITMAPS`` of 4 KB at most), so that texts that no pair asks for aren't shuffled.
+    """
+    maps = max(1, min(-(-uids.count() // BITMAP_BYTES), MOST_BITMAPS))
+    at = lambda c: (F.pmod(F.shiftright(c, 15), F.lit(maps)).alias("_map"), c.bitwiseAND(8 * BITMAP_BYTES - 1).alias("_bit"))
+    held = uids.select(*at(F.col("uid.uid_a"))).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_held"))
+    byte = F.conv(F.hex(F.substring("_held", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = texts.select(F.struct("uid_a", "uid_b").alias("uid"), "text", *at(F.col("uid_a"))).join(F.broadcast(held), "_map")
+    return rows.filter(F.getbit(byte, F.col("_bit").bitwiseAND(7).cast("int")) == 1).select("uid", "text").dropDuplicates(["uid"])
+
+
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link, verified on the whole sets. Only the texts of pairs are moved."""
     side = lambda name: reps.select(F.col("set").alias(name), F.col("uid").alias(f"{name}_uid"))
+    named = materialize(pairs.join(side("left"), "left").join(side("right"), "right"))
+    pool = materialize(_needed(texts, named.select(F.explode(F.array("left_uid", "right_uid")).alias("uid")).distinct()))
     text = lambda name: pool.select(F.col("uid").alias(f"{name}_uid"), F.col("text").alias(f"{name}_text"))
-    named = pairs.join(side("left"), "left").join(side("right"), "right")
     rows = named.join(text("left"), "left_uid").join(text("right"), "right_uid").select("left", "right", "left_text", "right_text")
-    return materialize(rows.mapInArrow(_verified(k, percent), pairs.schema))
+    links = materialize(rows.mapInArrow(_verified(k, percent), pairs.schema))
+    release(named, pool)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -245,8 +262,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     some = reps.select("set_a", "set_b", "n", "parity", "prefix").join(hits, (F.col("set_a") == F.col("hit_a")) & (F.col("set_b") == F.col("hit_b")))
     held = materialize(some.select("set_a", "set_b", "n", "parity", "prefix", "hits").mapInArrow(_kept, PREFIX))
     group = held.withColumn("set", F.struct("set_a", "set_b")).drop("set_a", "set_b").withColumn("part", F.col("set"))
-    involved = group.select("set").distinct().join(reps.select("set", "uid"), "set").select("uid")
-    pool = materialize(texts.select(F.struct("uid_a", "uid_b").alias("uid"), "text").join(involved, "uid", "left_semi").dropDuplicates(["uid"]))
 
     links = asked = group.select(F.col("set").alias("left"), F.col("set").alias("right")).limit(0)
     for step in range(ROUNDS + 1):
@@ -261,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
             break
         pairs = _pairs(held.filter("part <> main"), held, percent) if last else _pairs(held.drop("main"), one, percent)
         pairs = materialize(pairs.join(asked, ["left", "right"], "left_anti") if step else pairs)
-        found = _links(pairs, reps, pool, shingle, percent)
+        found = _links(pairs, reps, texts, shingle, percent)
         asked, links = asked.union(pairs), links.union(found)
         if not last:
             release(one)
@@ -269,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
             before, held = held, materialize(held.drop("main").join(part, F.col("set") == F.col("id"), "left").withColumn("part", F.coalesce("_component", "part")).drop("id", "_component"))
             release(before)
             group = held
-    release(held, pool)
+    release(held)
 
     part = connected_components(links, "left", "right")
     ids = reps.select("set", "least_id")
